@@ -42,6 +42,20 @@ def owned_documents(df: DataFrame, kind: str, doc_id: Column, owner: Column, tex
     ).filter(F.col("text").isNotNull())
 
 
+def request_documents(requests: DataFrame) -> DataFrame:
+    """Resume and job description of each request, in one pass, owned by the request."""
+    owner = F.col("request_id")
+    texts = F.array(
+        F.struct(F.lit("resume").alias("kind"), F.col("resume").alias("text")),
+        F.struct(F.lit("job").alias("kind"), F.col("job_desc").alias("text")),
+    )
+    return (
+        requests.select(owner.alias("owner"), F.inline(texts))
+        .filter(F.col("text").isNotNull())
+        .select(F.concat_ws("-", "kind", "owner").alias("doc_id"), "owner", "kind", "text")
+    )
+
+
 def corpus_docs(courses: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """All documents; columns that only one kind has are NULL for the others."""
     return courses.unionByName(resumes, allowMissingColumns=True).unionByName(
@@ -157,8 +171,9 @@ class HashingEmbedder:
         tokens = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\W+")
         counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=self.dimension)
         unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
-        worded = tokens.transform(df.filter(F.col(text).isNotNull())).filter(F.size("_tokens") > 0)
-        vectors = unit.transform(counts.transform(worded))
+        # asked of the text: a filter on the tokens would tokenise every text twice
+        worded = df.filter(F.col(text).rlike(r"(?U)\w"))
+        vectors = unit.transform(counts.transform(tokens.transform(worded)))
         return vectors.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
             "_tokens", "_counts", "_unit"
         )

@@ -87,12 +87,8 @@ def _small(queries: DataFrame, max_rows: int) -> pa.Table | None:
     """The queries as a table if they are few and small, measured before they are sent."""
     if max_rows <= 0:
         return None
-    size = F.coalesce(F.sum(F.size("embedding") * 8 + 64), F.lit(0))
-    head = queries.select("qid", "embedding").limit(max_rows + 1)
-    rows, nbytes = head.agg(F.count("*"), size).first()
-    if rows > max_rows or nbytes > SMALL_BYTES:
-        return None
-    return head.toArrow()
+    table = queries.select("qid", "embedding").limit(max_rows + 1).toArrow()
+    return None if table.num_rows > max_rows or table.nbytes > SMALL_BYTES else table
 
 
 def _scan(queries: pa.Table, corpus: DataFrame, k: int, id_col: str, schema: T.StructType) -> DataFrame:
@@ -166,7 +162,9 @@ def _join_by_key(
     q = spread(queries, "_qb", "_cb", "qid", "_nq", "_nc")
     c = spread(corpus, "_cb", "_qb", id_col, "_nc", "_nq")
     block = F.concat_ws("|", F.col("_cb"), F.col("_qb"), F.col(key).cast("string"))
-    vector = F.col("embedding").cast("array<double>")
+    vector = F.col("embedding")
+    if queries.schema["embedding"].dataType != corpus.schema["embedding"].dataType:
+        vector = vector.cast("array<double>")
     carried = [f.name for f in schema][2:]
     both = q.select(
         block.alias("_block"), F.lit(0).alias("_side"), "qid", vector.alias("_vec")
@@ -393,14 +391,12 @@ def knn_lsh(
 
     def buckets(df: DataFrame) -> DataFrame:
         hashed = model.transform(_as_vector(df))
-        step = [
-            vector_to_array(F.col("_h")[i])[0].cast("bigint").cast("string")
-            for i in range(tables * hashes)
-        ]
-        keys = [
-            F.concat_ws(",", F.lit(t), *step[t * hashes : (t + 1) * hashes]) for t in range(tables)
-        ]
-        return hashed.select(*df.columns, F.explode(F.array(*keys)).alias("_key"))
+        steps = F.transform("_h", lambda v: vector_to_array(v)[0].cast("bigint").cast("string"))
+        keys = F.transform(
+            F.sequence(F.lit(0), F.lit(tables - 1)),
+            lambda t: F.concat_ws(",", t, F.slice(F.col("_steps"), t * hashes + 1, hashes)),
+        )
+        return hashed.withColumn("_steps", steps).select(*df.columns, F.explode(keys).alias("_key"))
 
     hits = _join_by_key(
         buckets(queries), buckets(corpus), "_key", wanted, id_col, _hit_schema(queries, corpus)

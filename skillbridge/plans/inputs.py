@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillbridge.session import spread_scan
 from skillbridge.sources.listings import PROVIDER_A, PROVIDER_B, SourceSpec
 
 PAGE_ROWS = 10
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For work that is heavy per row: a small table is spread over all cores first."""
+    return spread_scan(table(spark, sf_dir, name))
+
+
 def email(key: str | Column) -> Column:
     col = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit("user"), col.cast("string"), F.lit("@example.com"))
@@ -123,7 +129,7 @@ def upload_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an upload: its whole text is the file."""
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         email("doc_id").alias("email"),
         F.encode("text", "UTF-8").alias("pdf_resume"),
@@ -166,7 +172,7 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scoped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label 0 is open to everybody; another label is the owner of its vectors."""
     owner = F.when(F.col("label") != 0, F.concat(F.lit("owner"), F.col("label").cast("string")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", owner.alias("owner"), "embedding")
+    return wide_table(spark, sf_dir, "embeddings").select("vec_id", owner.alias("owner"), "embedding")
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from skillbridge.operators.corpus import (
     chunk_text,
     course_documents,
     embed,
-    owned_documents,
+    request_documents,
     with_chunk_id,
 )
 from skillbridge.operators.knn import best_hits, distance_to, knn, knn_scoped
@@ -68,13 +68,15 @@ def nearest_courses(
     embedder: Embedder | None = None,
 ) -> tuple[list[float], list[Row]]:
     """The question's vector and its ``k`` nearest chunks of the shared index."""
-    one = index.sparkSession.createDataFrame([("q", question)], "qid string, question string")
-    query = embed(one, "question", embedder).select("qid", "embedding")
-    vector = query.first()
-    if vector is None:
+    spark = index.sparkSession
+    asked = spark.createDataFrame([(question,)], "question string")
+    row = embed(asked, "question", embedder).select("embedding").first()
+    if row is None:
         raise ValueError("the question has no word to search by")
+    vector = list(row["embedding"])
+    query = spark.createDataFrame([("q", vector)], "qid string, embedding array<float>")
     hits = knn(query, index.select("chunk_id", "chunk", "embedding"), k, id_col="chunk_id")
-    return vector["embedding"], hits.orderBy("rk").collect()
+    return vector, hits.orderBy("rk").collect()
 
 
 def recommend(
@@ -107,10 +109,7 @@ def recommend(
     ).cast(hit)
 
     requests = requests.withColumn("request_id", F.col("request_id").cast("string"))
-    owner = F.col("request_id")
-    resumes = owned_documents(requests, "resume", F.concat(F.lit("resume-"), owner), owner, F.col("resume"))
-    jobs = owned_documents(requests, "job", F.concat(F.lit("job-"), owner), owner, F.col("job_desc"))
-    private = index_documents(resumes.unionByName(jobs), embedder).select(
+    private = index_documents(request_documents(requests), embedder).select(
         F.col("owner").alias("qid"), "chunk_id", distance_to(vector).alias("dist"), "chunk"
     )
     own = (

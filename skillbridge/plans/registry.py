@@ -119,7 +119,7 @@ def course_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def row_rules(spark: SparkSession, sf: str) -> DataFrame:
-    docs = I.table(spark, sf, "documents")
+    docs = I.wide_table(spark, sf, "documents")
     checked = quality.check(docs, quality.account_rules("text", "text"))
     return checked.select("doc_id", F.array_join("errors", ",").alias("errors"))
 
@@ -280,7 +280,7 @@ def atomic_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return I.table(spark, sf, "documents").select(F.col("doc_id"), "text")
+    return I.wide_table(spark, sf, "documents").select("doc_id", "text")
 
 
 @query
@@ -328,7 +328,7 @@ def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return (
         I.vector_queries(spark, sf).select("qid", "embedding"),
-        I.table(spark, sf, "embeddings").select("vec_id", "embedding"),
+        I.wide_table(spark, sf, "embeddings").select("vec_id", "embedding"),
     )
 
 

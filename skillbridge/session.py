@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", **conf: str) -> SparkSession:
@@ -47,3 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan that has fewer partitions than the cluster has cores.
+
+    For the stages that are heavy per row (chunking, embedding, distances). A table of
+    many files has partitions enough and is left alone, so nothing is shuffled there.
+    ``scan`` must not contain a shuffle, as counting partitions would then run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -54,31 +54,24 @@ def parse_requests(messages: DataFrame) -> DataFrame:
     never dropped here, so that a bad message cannot hold up the ones behind it.
     """
     schema = T.StructType([*REQUEST_BODY, T.StructField("_corrupt_record", T.StringType())])
-    body = F.from_json("body", schema)
-    content = F.try_to_binary("_req.file_content", F.lit("base64"))
-    # try_validate_utf8 turns bytes that are no text into NULL instead of failing the job
-    resume = F.try_validate_utf8(content.cast("string"))
+    # as a generator the body is parsed once, not once per field and condition
+    parsed = messages.select("*", F.inline(F.array(F.from_json("body", schema))))
+    resume = F.try_to_binary("file_content", F.lit("base64"))
     error = F.coalesce(
         F.when(
-            F.col("_req").isNull() | F.col("_req._corrupt_record").isNotNull(),
+            F.col("body").isNull() | F.col("_corrupt_record").isNotNull(),
             F.lit("body is not JSON"),
         ),
         F.when(F.col("email").isNull(), F.lit("email is missing")),
         F.when(F.col("job_desc").isNull(), F.lit("job_desc is missing")),
-        F.when(F.col("_req.file_content").isNull(), F.lit("file_content is missing")),
+        F.when(F.col("file_content").isNull(), F.lit("file_content is missing")),
         F.when(F.col("resume").isNull(), F.lit("file_content cannot be decoded")),
     )
     return (
-        messages.withColumn("_req", body)
-        .withColumns(
-            {
-                "email": F.col("_req.email"),
-                "resume": resume,
-                "job_desc": F.col("_req.job_desc"),
-            }
-        )
+        # bytes that are no text become NULL instead of failing the job
+        parsed.withColumn("resume", F.try_validate_utf8(resume.cast("string")))
         .withColumn("error", error)
-        .drop("_req")
+        .select(*messages.columns, "email", "resume", "job_desc", "error")
     )
 
 
