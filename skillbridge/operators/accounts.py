@@ -1,7 +1,9 @@
 """Keyed operations on users and uploads.
 
-Where a key may be hot (one key holding a third of the rows), rows are reduced per key by
-an aggregate with a map-side part before anything is shuffled on the key alone.
+A key may be hot (one key holding a third of the rows). The side of a join that is only
+asked for its keys is therefore reduced to distinct keys first: that aggregate has a
+map-side part and leaves the rows partitioned as the join wants them. The other side is
+never grouped by the key alone; a join of it with distinct keys can be split by AQE.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from skillbridge.functions.text import base64_text
 
 
+def key_set(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key).distinct()
+
+
 def lookup(
     df: DataFrame,
     keys: DataFrame,
@@ -23,7 +29,7 @@ def lookup(
 
     With ``unique`` the job fails if a key matches more than one row.
     """
-    found = df.join(keys.select(key), key, "left_semi").select(df.columns)
+    found = df.join(key_set(keys, key), key, "left_semi").select(df.columns)
     if unique:
         n = F.col("n")
         once = F.when(n > 1, F.raise_error(F.concat(F.lit(f"several rows for {key} "), F.col(key))))
@@ -37,9 +43,9 @@ def user_uploads(
     uploads: DataFrame, users: DataFrame, keys: DataFrame | None = None, key: str = "email"
 ) -> DataFrame:
     """Uploads of existing users, optionally of the given ones only."""
-    owners = users.select(key)
+    owners = key_set(users, key)
     if keys is not None:
-        owners = owners.join(keys.select(key), key, "left_semi")
+        owners = owners.join(key_set(keys, key), key, "left_semi")
     return uploads.join(owners, key).select(uploads.columns)
 
 
@@ -52,7 +58,7 @@ def project_upload(uploads: DataFrame, *extra: str) -> DataFrame:
 
 def fk_split(child: DataFrame, parent: DataFrame, key: str = "email") -> tuple[DataFrame, DataFrame]:
     """Rows with a parent, and orphans. A NULL key is an orphan."""
-    parents = parent.select(key)
+    parents = key_set(parent, key)
     return (
         child.join(parents, key, "left_semi").select(child.columns),
         child.join(parents, key, "left_anti").select(child.columns),
@@ -67,7 +73,7 @@ def erase(
     Returns the remaining users, the remaining uploads and a one-row report of how many of
     each went. Unknown keys change nothing. Write the results to new folders.
     """
-    gone = keys.select(key)
+    gone = key_set(keys, key)
     removed_users = users.join(gone, key, "left_semi").select(key)
     removed_uploads = uploads.join(gone, key, "left_semi").select(key)
     report = (
@@ -99,7 +105,7 @@ def admit_unique(
     """
     known = new.filter(F.col(key).isNotNull())
     first = known.groupBy(key).agg(F.min(order).alias(order))
-    taken = existing.select(key)
+    taken = key_set(existing, key)
     winners = first.join(taken, key, "left_anti").withColumn("_verdict", F.lit("ok"))
     losers = first.join(taken, key, "left_semi").withColumn("_verdict", F.lit("key_taken"))
     judged = known.join(winners.unionByName(losers), [key, order], "left")

@@ -93,7 +93,8 @@ def _small(queries: DataFrame, max_rows: int) -> pa.Table | None:
 
 def _scan(queries: pa.Table, corpus: DataFrame, k: int, id_col: str, schema: T.StructType) -> DataFrame:
     """Every task keeps the best ``k`` rows of its partition for each query."""
-    # each query's slot: NULL-free ids and one matrix, a few megabytes at most
+    if not queries.num_rows:
+        return corpus.sparkSession.createDataFrame([], schema)
     qids = queries["qid"].combine_chunks()
     matrix = vectors(queries["embedding"].combine_chunks())
     carried = [f.name for f in schema][2:]
@@ -116,13 +117,16 @@ def _result(top: TopK, qids: pa.Array, carried: list[str]) -> Iterator[pa.Record
     yield from table.combine_chunks().to_batches()
 
 
-def _splits(queries: DataFrame, corpus: DataFrame, key: str) -> tuple[DataFrame | None, bool]:
+def _splits(
+    queries: DataFrame, corpus: DataFrame, key: str, counted: DataFrame | None
+) -> tuple[DataFrame | None, bool]:
     """Keys that need more than one block, with the number of blocks on either side.
 
-    Counting has a map-side part, so a hot key costs nothing here. Returns also whether
-    the table is small enough, as measured, to be broadcast.
+    Counting has a map-side part, so a hot key costs nothing here. ``counted`` are the
+    corpus rows per key ``(key, c)`` if they are known already. Returns also whether the
+    table is small enough, as measured, to be broadcast.
     """
-    c = corpus.groupBy(key).agg(F.count("*").alias("c"))
+    c = corpus.groupBy(key).agg(F.count("*").alias("c")) if counted is None else counted
     q = queries.groupBy(key).agg(F.count("*").alias("q"))
     table = (
         c.join(q, key)
@@ -142,14 +146,20 @@ def _splits(queries: DataFrame, corpus: DataFrame, key: str) -> tuple[DataFrame
 
 
 def _join_by_key(
-    queries: DataFrame, corpus: DataFrame, key: str, k: int, id_col: str, schema: T.StructType
+    queries: DataFrame,
+    corpus: DataFrame,
+    key: str,
+    k: int,
+    id_col: str,
+    schema: T.StructType,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``k`` rows per query among the rows of the same key, block by block.
 
     Rows are shuffled by key and block and sorted so that a block's queries come before
     its corpus rows; a task then holds one block's queries and streams the rows past them.
     """
-    table, small = _splits(queries, corpus, key)
+    table, small = _splits(queries, corpus, key, counted)
 
     def spread(df: DataFrame, own: str, other: str, id_: str, n_own: str, n_other: str) -> DataFrame:
         if table is None:
@@ -207,7 +217,7 @@ def _join_by_key(
 
 def _cells(
     queries: DataFrame, corpus: DataFrame, k: int, id_col: str
-) -> tuple[DataFrame, DataFrame] | None:
+) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Give corpus rows the cell of their nearest pivot, and queries all cells they need.
 
     Everything on the driver has a fixed bound: the pivots, and for each cell its radii
@@ -231,27 +241,61 @@ def _cells(
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(batch)
-                cell = d.argmin(axis=1)
-                out = [*batch.columns, pa.array(cell, pa.int32()), pa.array(d.min(axis=1))]
-                yield pa.RecordBatch.from_arrays(out, [*batch.schema.names, "_cell", "_far"])
+                cell = pa.array(distances(batch).argmin(axis=1), pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns, cell], [*batch.schema.names, "_cell"])
 
     placed = corpus.mapInArrow(
-        assign,
-        T.StructType(
-            [*corpus.schema, T.StructField("_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())]
-        ),
+        assign, T.StructType([*corpus.schema, T.StructField("_cell", T.IntegerType())])
+    )
+    part = T.StructType(
+        [
+            T.StructField("_cell", T.IntegerType()),
+            T.StructField("n", T.LongType()),
+            T.StructField("hi", T.DoubleType()),
+            T.StructField("close", T.ArrayType(T.DoubleType())),
+        ]
     )
-    nearest = Window.partitionBy("_cell").orderBy("_far")
-    inner = (
-        placed.select("_cell", "_far")
-        .withColumn("n", F.row_number().over(nearest))
-        .filter(F.col("n") <= k)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per cell of one partition: rows, outer radius and the k least distances."""
+        seen: dict[int, tuple[int, np.ndarray, float]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = distances(batch)
+            cell, far = d.argmin(axis=1), d.min(axis=1)
+            for i in np.unique(cell):
+                mine = far[cell == i]
+                n, close, hi = seen.get(int(i), (0, np.empty(0), 0.0))
+                close = np.sort(np.concatenate([close, mine]))[:k]
+                seen[int(i)] = (n + len(mine), close, max(hi, float(mine.max())))
+        rows = [
+            {"_cell": i, "n": n, "hi": hi, "close": close.tolist()}
+            for i, (n, close, hi) in seen.items()
+        ]
+        schema = pa.schema(
+            [("_cell", pa.int32()), ("n", pa.int64()), ("hi", pa.float64()), ("close", pa.list_(pa.float64()))]
+        )
+        yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+
+    nearest = Window.partitionBy("_cell").orderBy("far")
+    measured = corpus.mapInArrow(measure, part)
+    least = (
+        measured.select("_cell", "n", "hi", F.posexplode("close").alias("i", "far"))
+        .withColumn("n", F.when(F.col("i") == 0, F.col("n")).otherwise(0))
+        .withColumn("rank", F.row_number().over(nearest))
         .groupBy("_cell")
-        .agg(F.collect_list("_far").alias("close"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.max("hi").alias("hi"),
+            F.min("far").alias("lo"),
+            F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.col("far")))).alias("close"),
+        )
+    )
+    cells = {r["_cell"]: r for r in least.collect()}
+    counted = corpus.sparkSession.createDataFrame(
+        [(r["_cell"], r["n"]) for r in cells.values()], "_cell int, c bigint"
     )
-    outer = placed.groupBy("_cell").agg(F.min("_far").alias("lo"), F.max("_far").alias("hi"))
-    cells = {r["_cell"]: r for r in inner.join(outer, "_cell").collect()}
     used = np.array(sorted(cells))
     low = np.array([cells[i]["lo"] for i in used])
     high = np.array([cells[i]["hi"] for i in used])
@@ -288,7 +332,8 @@ def _cells(
     )
     return (
         routed.select(*queries.columns, F.explode("_cells").alias("_cell")),
-        placed.drop("_far"),
+        placed,
+        counted,
     )
 
 
@@ -319,7 +364,8 @@ def knn(
         if cells is None:
             hits = queries.sparkSession.createDataFrame([], schema)
         else:
-            hits = _join_by_key(*cells, "_cell", wanted, id_col, schema)
+            routed, placed, counted = cells
+            hits = _join_by_key(routed, placed, "_cell", wanted, id_col, schema, counted)
     return best_hits(hits, k, id_col, metric, exclude_self)
 
 
@@ -335,7 +381,7 @@ def knn_private(
     queries = _prepare(queries, metric).filter(F.col("owner").isNotNull())
     corpus = _prepare(corpus, metric).filter(F.col("owner").isNotNull())
     wanted = k + 1 if exclude_self else k
-    asking = corpus.join(queries.select("owner"), "owner", "left_semi").select(corpus.columns)
+    asking = corpus.join(queries.select("owner").distinct(), "owner", "left_semi").select(corpus.columns)
     hits = _join_by_key(queries, asking, "owner", wanted, id_col, _hit_schema(queries, corpus))
     return best_hits(hits, k, id_col, metric, exclude_self)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skillbridge.functions.text import ERROR_SUBJECT, error_text
+from skillbridge.operators.accounts import key_set
 from skillbridge.plans.ingest import ingest
 from skillbridge.sources.listings import SourceSpec, read_pages
 from skillbridge.sources.requests import (
@@ -35,7 +36,7 @@ def request_stream(
 def enrich_requests(stream: DataFrame, static: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join a stream with a table as it stands when the micro-batch runs."""
     if how in ("left_semi", "left_anti"):
-        static = static.select(key)
+        static = key_set(static, key)
     return stream.join(static, key, how)
 
 
@@ -72,9 +73,10 @@ def ingest_stream(
     """Listing pages in micro-batches of five files, to ``out/courses`` and ``out/rejects``."""
 
     def handle(pages: DataFrame, batch_id: int) -> None:
-        courses, rejects = ingest(pages, spec)
+        courses, rejects = ingest(pages.persist(), spec)
         write_batch(courses, f"{out}/courses", batch_id)
         write_batch(rejects, f"{out}/rejects", batch_id)
+        pages.unpersist()
 
     pages = read_pages(spark, path, streaming=True, files_per_batch=files_per_batch)
     return run_batches(pages, handle, checkpoint)
@@ -104,8 +106,9 @@ def recommend_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        usable, failed = split_requests(batch)
+        usable, failed = split_requests(batch.persist())
         write_batch(answer(usable), f"{out}/answers", batch_id)
         write_batch(dead_letters(failed, operator_address), f"{out}/dead", batch_id)
+        batch.unpersist()
 
     return run_batches(parsed, handle, checkpoint)

@@ -1,0 +1,144 @@
+import numpy as np
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from skillbridge.functions.nearest import TopK
+from skillbridge.operators import knn
+from skillbridge.plans import registry
+
+
+def brute(queries, corpus, k, scope=lambda q, c: True, metric="l2sq"):
+    """``{qid: [ids]}`` by comparing everything."""
+    out = {}
+    for qid, qowner, q in queries:
+        found = []
+        for cid, owner, c in corpus:
+            if scope(qowner, owner):
+                a, b = np.array(q, float), np.array(c, float)
+                if metric == "cosine":
+                    a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+                found.append((round(float(np.square(a - b).sum()), 9), cid))
+        out[qid] = [cid for _, cid in sorted(found)[:k]]
+    return {qid: ids for qid, ids in out.items() if ids}
+
+
+def scoped(query_owner, owner):
+    return owner is None or owner == query_owner
+
+
+def grouped(hits, id_col="vec_id"):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r.qid, r.rk)):
+        out.setdefault(r.qid, []).append(r[id_col])
+        assert r.rk == len(out[r.qid])
+    return out
+
+
+def rows(seed, n, owners=(None,), copies=0, d=4):
+    """Vectors on a coarse grid, so distances tie, plus copies of the first one."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.integers(-2, 3, (n, d)).astype(float)
+    vectors[n - copies :] = vectors[0]
+    return [(i, owners[i % len(owners)], vectors[i].tolist()) for i in range(n)]
+
+
+def frames(spark, queries, corpus):
+    return (
+        spark.createDataFrame(queries, "qid bigint, owner string, embedding array<float>").repartition(3),
+        spark.createDataFrame(corpus, "vec_id bigint, owner string, embedding array<float>").repartition(5),
+    )
+
+
+@pytest.fixture
+def tiny_blocks(monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "CORPUS_BLOCK", 11)
+    monkeypatch.setattr(knn, "PIVOTS", 6)
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+@pytest.mark.parametrize("copies", [0, 40])
+def test_knn_is_exact(spark, tiny_blocks, small, metric, copies):
+    queries = [r for r in rows(1, 40) if any(r[2])]
+    corpus = [r for r in rows(2, 120, copies=copies) if any(r[2])]
+    q, c = frames(spark, queries, corpus)
+    got = grouped(knn.knn(q, c, 3, metric, small_queries=small))
+    if metric == "l2sq":
+        assert got == brute(queries, corpus, 3)
+    else:  # ties differ by rounding; the distances must still agree
+        want = brute(queries, corpus, 3, metric=metric)
+        vector = {cid: np.array(v) / np.linalg.norm(v) for cid, _, v in corpus}
+        for qid, _, v in queries:
+            unit = np.array(v) / np.linalg.norm(v)
+            dist = [[np.square(unit - vector[i]).sum() for i in ids[qid]] for ids in (got, want)]
+            assert np.allclose(dist[0], dist[1])
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_scope_with_a_hot_owner(spark, tiny_blocks, small, monkeypatch):
+    owners = (None, "a", "a", "a", "b", "c")
+    queries, corpus = rows(3, 30, owners), rows(4, 150, owners, copies=30)
+    monkeypatch.setattr(knn, "SMALL_QUERIES", small)
+    q, c = frames(spark, queries, corpus)
+    hits = knn.knn_scoped(q, c, 4)
+    assert grouped(hits) == brute(queries, corpus, 4, scoped)
+    whose = {qid: owner for qid, owner, _ in queries}
+    assert all(r.owner in (None, whose[r.qid]) for r in hits.collect())
+
+
+def test_large_split_table_is_joined_not_sent(spark, tiny_blocks, monkeypatch):
+    monkeypatch.setattr(knn, "SPLITS_SENT", 0)
+    queries, corpus = rows(3, 30, ("a", "b")), rows(4, 150, ("a", "b"))
+    q, c = frames(spark, queries, corpus)
+    want = brute(queries, corpus, 3, lambda a, b: a == b)
+    assert grouped(knn.knn_private(q, c)) == want
+
+
+def test_exclude_self_and_few_rows(spark):
+    corpus = rows(5, 3)
+    q, c = frames(spark, corpus, corpus)
+    got = grouped(knn.knn(q, c, 3, exclude_self=True))
+    assert {qid: sorted(ids) for qid, ids in got.items()} == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
+    assert knn.knn(q, c.filter("false"), 3).count() == 0
+    assert knn.knn(q, c.filter("false"), 3, small_queries=0).count() == 0
+    assert knn.knn(q.filter("false"), c, 3).count() == 0
+
+
+def test_string_ids_and_carried_columns(spark):
+    q, c = frames(spark, rows(6, 5), rows(7, 40))
+    c = c.select(F.concat(F.lit("c"), "vec_id").alias("chunk_id"), F.lit("text").alias("chunk"), "embedding")
+    hits = knn.knn(q, c, 2, id_col="chunk_id")
+    assert hits.columns == ["qid", "rk", "chunk_id", "dist", "chunk"]
+    assert hits.count() == 10 and hits.filter("chunk = 'text'").count() == 10
+
+
+def test_null_vectors_are_left_out(spark):
+    q, c = frames(spark, rows(6, 2), [(1, None, None), (2, None, [0.0, 0.0, 0.0, 0.0])])
+    assert grouped(knn.knn(q, c, 3)) == {0: [2], 1: [2]}
+
+
+def test_block_of_copies_is_thinned():
+    points = np.zeros((5000, 3))
+    ids = np.random.default_rng(0).permutation(5000)
+    import pyarrow as pa
+
+    top = TopK(np.ones((4, 3)), 3)
+    top.offer(points, pa.table({"id": ids}), "id")
+    assert top.rows["id"].to_pylist() == [0, 1, 2] * 4
+
+
+def test_lsh_recall(spark):
+    exact = grouped(registry.knn_top3(spark, SF))
+    near = grouped(registry.knn_lsh(spark, SF))
+    found = sum(len(set(ids) & set(near.get(qid, []))) for qid, ids in exact.items())
+    total = sum(len(ids) for ids in exact.values())
+    assert found / total >= 0.85, found / total
+
+
+@pytest.mark.parametrize("name", ["knn_top3", "knn_cells", "knn_scoped", "recommend", "recommend_text"])
+def test_no_pairs_are_joined_and_groups_are_limited_early(spark, plan_of, name):
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
