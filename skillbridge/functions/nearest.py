@@ -57,7 +57,8 @@ class TopK:
         norms = np.einsum("ij,ij->i", points, points)
         rough = self.norms[:, None] + norms[None, :] - 2.0 * (self.queries @ points.T)
         limit = self.limit
-        if len(points) > self.k:
+        # the k-th of this block is only of use to queries that have no k rows yet
+        if len(points) > self.k and not np.isfinite(limit).all():
             limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
         slack = 1e-9 * (1.0 + self.norms + (norms.max() if len(norms) else 0.0))
         return np.nonzero(rough <= (limit + slack)[:, None])

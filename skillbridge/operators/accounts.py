@@ -105,10 +105,10 @@ def admit_unique(
     """
     known = new.filter(F.col(key).isNotNull())
     first = known.groupBy(key).agg(F.min(order).alias(order))
-    taken = key_set(existing, key)
-    winners = first.join(taken, key, "left_anti").withColumn("_verdict", F.lit("ok"))
-    losers = first.join(taken, key, "left_semi").withColumn("_verdict", F.lit("key_taken"))
-    judged = known.join(winners.unionByName(losers), [key, order], "left")
+    taken = key_set(existing, key).withColumn("_taken", F.lit(True))
+    verdict = F.when(F.col("_taken"), F.lit("key_taken")).otherwise(F.lit("ok"))
+    judgement = first.join(taken, key, "left").select(key, order, verdict.alias("_verdict"))
+    judged = known.join(judgement, [key, order], "left")
     ok = judged.filter(F.col("_verdict") == "ok").select(new.columns)
     refused = judged.filter(~F.col("_verdict").eqNullSafe("ok"))
     reason = F.coalesce("_verdict", F.lit("key_repeated")).alias("reason")

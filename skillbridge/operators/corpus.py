@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,11 +152,7 @@ def with_chunk_id(chunks: DataFrame) -> DataFrame:
 
 
 class Embedder(Protocol):
-    """Turns a text column into a vector column ``embedding``.
-
-    An implementation around a neural model would wrap ``predict_batch_udf``; its model
-    name and device are fields of the implementation.
-    """
+    """Turns a text column into a vector column ``embedding``."""
 
     def embed(self, df: DataFrame, text: str) -> DataFrame: ...
 
@@ -179,6 +176,34 @@ class HashingEmbedder:
         )
 
 
+class ModelEmbedder:
+    """Vectors of a model that ``load(model_name, device)`` brings up once per worker.
+
+    ``load`` returns a function from an array of texts to a matrix, one row per text.
+    """
+
+    def __init__(
+        self,
+        load: Callable[[str, str], Callable[[np.ndarray], np.ndarray]],
+        model_name: str,
+        device: str = "cpu",
+        batch_size: int = 64,
+    ) -> None:
+        self.load = load
+        self.model_name = model_name
+        self.device = device
+        self.batch_size = batch_size
+
+    def embed(self, df: DataFrame, text: str) -> DataFrame:
+        load, model_name, device = self.load, self.model_name, self.device
+        vector = predict_batch_udf(
+            lambda: load(model_name, device),
+            return_type=T.ArrayType(T.FloatType()),
+            batch_size=self.batch_size,
+        )
+        return df.filter(F.col(text).isNotNull()).withColumn("embedding", vector(F.col(text)))
+
+
 def embed(df: DataFrame, text: str = "chunk", embedder: Embedder | None = None) -> DataFrame:
     """Add ``embedding``; rows whose text has no word are left out."""
     return (embedder or HashingEmbedder()).embed(df, text)

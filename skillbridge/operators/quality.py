@@ -71,6 +71,14 @@ def account_rules(email: str = "email", password: str = "password") -> Rules:
     }
 
 
+def reset_rules(new: str = "new_password", confirm: str = "confirm_password") -> Rules:
+    """What a credential reset must satisfy before it is applied as an update."""
+    rules = account_rules(password=new)
+    del rules["email_format"]
+    same = F.coalesce(F.col(new) == F.col(confirm), F.lit(False))
+    return {**rules, "password_mismatch": ~same}
+
+
 def upload_rules(content: str = "pdf_resume", content_type: str = "content_type") -> Rules:
     """What an uploaded file must satisfy; a missing content type is no PDF."""
     return {

@@ -141,7 +141,7 @@ def event_messages(events: DataFrame) -> DataFrame:
     """Events as queue messages: a purchase is an upload, anything else goes elsewhere.
 
     The body of a small purchase is the event's own properties, which are no request; that
-    of a middling one is cut off.
+    of a middling one is no JSON at all.
     """
     body = F.to_json(
         F.struct(
@@ -157,7 +157,7 @@ def event_messages(events: DataFrame) -> DataFrame:
         .otherwise(F.col("event_type"))
         .alias("routing_key"),
         F.when(value < 10, F.col("props"))
-        .when(value < 20, body.substr(F.lit(1), F.length(body) - 1))
+        .when(value < 20, F.col("event_type"))
         .otherwise(body)
         .alias("body"),
     )

@@ -181,8 +181,8 @@ FROM ({_chunks(f"({_DOC_UNION})", "doc_id, owner, kind")})""",
     "recommend": _RECOMMEND,
     # streams
     "stream_route": f"""
-SELECT event_id, CASE WHEN value < 10 THEN props WHEN value < 20 THEN left(body, length(body) - 1)
-                 ELSE body END AS body FROM (
+SELECT event_id, CASE WHEN value < 10 THEN props WHEN value < 20 THEN event_type ELSE body END AS body
+FROM (
   SELECT *, to_json({{'email': 'user' || user_id || '@example.com',
                       'file_content': to_base64(encode(event_type)), 'job_desc': props}})::VARCHAR AS body
   FROM events) WHERE event_type = 'purchase'""",

@@ -111,7 +111,9 @@ def flatten_listing(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     """
     return (
         _items(pages, spec)
-        .select("page", F.explode("items").alias("item"))
+        # outer, as the optimizer would add a filter that parses every page once more
+        .select("page", F.posexplode_outer("items").alias("pos", "item"))
+        .filter(F.col("pos").isNotNull())
         .select(
             F.lit(spec.name).alias("_source"),
             F.col("page").alias("_page"),

@@ -21,6 +21,20 @@ def test_account_rules(spark):
     assert got[("a@b", "Éa")] == ["password_special"]
 
 
+def test_reset_is_checked_and_applied_to_known_users(spark):
+    rows = [("a", "Ab!", "Ab!", 1), ("a", "Cd!", "Cd!", 2), ("a", "Ef!", "other", 3), ("a", "Gh!", None, 4),
+            ("a", "weak", "weak", 5), ("z", "Ij!", "Ij!", 6)]
+    asked = frame(spark, rows, "email string, new_password string, confirm_password string, seq int")
+    ok, bad = quality.split_valid(asked, quality.reset_rules())
+    assert {r.seq: r.errors for r in bad.collect()} == {
+        3: ["password_mismatch"], 4: ["password_mismatch"], 5: ["password_uppercase", "password_special"]
+    }
+    users = frame(spark, [("a", "old"), ("b", "old")], "email string, password string")
+    changes = ok.withColumnRenamed("new_password", "password")
+    updated = accounts.upsert(users, changes, "email", "seq", insert_missing=False)
+    assert sorted(updated.collect()) == [("a", "Cd!"), ("b", "old")]
+
+
 def test_special_class_is_the_fixed_one(spark):
     import re
 

@@ -117,6 +117,18 @@ def test_own_embedder(spark):
     assert df.first().embedding == [3.0]
 
 
+def test_model_embedder_loads_by_name_and_device(spark):
+    def load(name, device):
+        scale = {"small/cpu": 1.0, "large/gpu": 10.0}[f"{name}/{device}"]
+        return lambda texts: np.array([[len(t) * scale, scale] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([("abc",), ("de",), (None,)], "chunk string")
+    small = corpus.embed(df, embedder=corpus.ModelEmbedder(load, "small", batch_size=1))
+    assert sorted(r.embedding for r in small.collect()) == [[2.0, 1.0], [3.0, 1.0]]
+    large = corpus.embed(df, embedder=corpus.ModelEmbedder(load, "large", "gpu"))
+    assert sorted(r.embedding for r in large.collect()) == [[20.0, 10.0], [30.0, 10.0]]
+
+
 def test_atomic_columns(spark):
     df = spark.range(1).select(
         "id", F.array("id").alias("a"), F.struct("id").alias("s"), F.create_map("id", "id").alias("m"),

@@ -9,6 +9,7 @@ from skillbridge.functions.text import ERROR_PREFIX
 from skillbridge.plans import inputs, registry
 from skillbridge.plans.ingest import ingest
 from skillbridge.plans.recommend import index_courses, recommend
+from skillbridge.session import shared_dir
 from skillbridge.sources import listings, requests, sinks
 from skillbridge.sources.listings import PROVIDER_B
 from skillbridge.streaming import jobs
@@ -56,6 +57,20 @@ def test_encoded_base64_has_no_line_breaks(spark):
     assert json.loads(message.body)["file_content"] == base64.b64encode(b"x" * 300).decode()
 
 
+def test_shared_folder_is_required_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    def session(**conf):
+        values = {k.replace("_", "."): v for k, v in conf.items()}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: values.get(k, d)))
+
+    assert shared_dir(session(spark_checkpoint_dir="hdfs:///x/", spark_master="yarn")) == "hdfs:///x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session(spark_master="yarn"))
+    local = session(spark_master="local[2]")
+    assert shared_dir(local) == shared_dir(local)
+
+
 def test_routing(spark):
     df = messages(spark, ("resume_pdf", "a"), ("other", "b"), (None, "c"))
     assert [r.body for r in requests.route(df).collect()] == ["a"]
