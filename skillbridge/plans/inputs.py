@@ -163,6 +163,24 @@ def event_messages(events: DataFrame) -> DataFrame:
     )
 
 
+class LetterEmbedder:
+    """Unit vectors of letter counts; an embedder that plain SQL can state as well."""
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def embed(self, df: DataFrame, text: str) -> DataFrame:
+        col = F.col(text)
+        counts = [F.length(col) - F.length(F.replace(col, F.lit(c), F.lit(""))) for c in self.letters]
+        square = F.aggregate("_counts", F.lit(0), lambda s, n: s + n * n)
+        return (
+            df.withColumn("_counts", F.array(*counts))
+            .withColumn("_norm", F.sqrt(square))
+            .filter(F.col("_norm") > 0)
+            .withColumn("embedding", F.transform("_counts", lambda n: (n / F.col("_norm")).cast("float")))
+            .drop("_counts", "_norm")
+        )
+
+
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, owner, text, embedding``: vectors that have a document of the same number."""
     text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")

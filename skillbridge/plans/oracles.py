@@ -90,6 +90,51 @@ SELECT {columns}, CAST(i AS INT) AS chunk_idx, substring(text, i * 192 + 1, 256)
 FROM {docs}, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 64) / 192.0) AS BIGINT) - 1, 0))) u(i)"""
 
 
+_REQUEST_DOCS = """
+SELECT 'resume-' || doc_id AS doc_id, CAST(doc_id AS VARCHAR) AS qid, text FROM documents
+UNION ALL
+SELECT 'job-' || doc_id, CAST(doc_id AS VARCHAR), lang || ' ' || source FROM documents"""
+
+_COURSE_DOCS = f"""
+SELECT concat_ws('-', CAST(id AS VARCHAR), md5(title || headline)) AS doc_id, CAST(NULL AS VARCHAR) AS qid,
+       title || headline AS text
+FROM ({_LISTING_A} UNION ALL {_VALID_B}) WHERE headline IS NOT NULL"""
+
+_RECOMMEND_WINDOWS = f"""
+WITH texts AS (
+  SELECT qid, doc_id || '#' || lpad(CAST(chunk_idx AS VARCHAR), 9, '0') AS chunk_id, chunk
+  FROM ({_chunks(f"({_REQUEST_DOCS} UNION ALL {_COURSE_DOCS})", "doc_id, qid")})
+  UNION ALL SELECT 'question', 'question', {_quote(STANDING_QUESTION)}),
+counts AS (
+  SELECT *, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''),
+                           lambda c: length(chunk) - length(replace(chunk, c, ''))) AS n FROM texts),
+vectors AS (
+  SELECT qid, chunk_id, chunk, list_transform(n, lambda x: CAST(x / norm AS FLOAT)::DOUBLE) AS v
+  FROM (SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))::DOUBLE) AS norm FROM counts)
+  WHERE norm > 0),
+dists AS (
+  SELECT c.qid, c.chunk_id, c.chunk,
+         list_sum(list_transform(list_zip(c.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM vectors c, (SELECT v FROM vectors WHERE qid = 'question') q
+  WHERE c.qid IS DISTINCT FROM 'question'),
+courses AS (SELECT * FROM dists WHERE qid IS NULL ORDER BY d, chunk_id LIMIT 3),
+own AS (
+  SELECT * FROM dists WHERE qid IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, chunk_id) <= 3),
+hits AS (
+  SELECT * FROM (
+    SELECT * FROM own UNION ALL
+    SELECT CAST(doc_id AS VARCHAR), chunk_id, chunk, d FROM courses, documents)
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, chunk_id) <= 3),
+answers AS (
+  SELECT qid AS request_id, string_agg(chunk, e'\n\n' ORDER BY d, chunk_id) AS context,
+         string_agg(chunk_id, ',' ORDER BY d, chunk_id) AS sources FROM hits GROUP BY qid)
+SELECT request_id, 'user' || request_id || '@example.com' AS address, 'Courses' AS subject,
+       (SELECT string_agg(chunk, e'\n' ORDER BY d, chunk_id) FROM courses) AS message,
+       context, sources, {_PROMPT} AS prompt
+FROM answers"""
+
+
 ORACLES: dict[str, str] = {
     # listings
     "listing_a": _LISTING_A,
@@ -179,6 +224,7 @@ FROM ({_chunks(f"({_DOC_UNION})", "doc_id, owner, kind")})""",
     "source_docs": f"SELECT qid, sources FROM ({_ANSWERS})",
     "prompt": f"SELECT qid, {_PROMPT} AS prompt FROM ({_ANSWERS})",
     "recommend": _RECOMMEND,
+    "recommend_windows": _RECOMMEND_WINDOWS,
     # streams
     "stream_route": f"""
 SELECT event_id, CASE WHEN value < 10 THEN props WHEN value < 20 THEN event_type ELSE body END AS body

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -23,23 +25,28 @@ from skillbridge.operators.corpus import (
 from skillbridge.operators.knn import best_hits, distance_to, knn, knn_scoped
 
 
-def index_documents(docs: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+Chunker = Callable[[DataFrame], DataFrame]
+
+
+def index_documents(
+    docs: DataFrame, embedder: Embedder | None = None, chunker: Chunker = chunk_text
+) -> DataFrame:
     """Chunk and embed documents: ``chunk_id, doc_id, owner, kind, chunk_idx, chunk, embedding``."""
-    chunks = with_chunk_id(chunk_text(docs))
+    chunks = with_chunk_id(chunker(docs))
     return embed(chunks, "chunk", embedder).select(
         "chunk_id", "doc_id", "owner", "kind", "chunk_idx", "chunk", "embedding"
     )
 
 
-def index_courses(courses: DataFrame, embedder: Embedder | None = None) -> DataFrame:
+def index_courses(
+    courses: DataFrame, embedder: Embedder | None = None, chunker: Chunker = chunk_text
+) -> DataFrame:
     """The shared part of the index. Build it once, store it, and use it for all requests.
 
-    Courses have no key, so a document is named by provider row id and a hash of its text.
+    Courses have no key, so a document is named by the course's id and a hash of its text.
     """
-    text_hash = F.hex(F.xxhash64("title", "headline"))
-    return index_documents(
-        course_documents(courses, F.concat_ws("-", F.col("id").cast("string"), text_hash)), embedder
-    )
+    name = F.concat_ws("-", F.col("id").cast("string"), F.md5(F.concat("title", "headline")))
+    return index_documents(course_documents(courses, name), embedder, chunker)
 
 
 def answer_queries(
@@ -85,6 +92,7 @@ def recommend(
     k: int = 3,
     question: str = STANDING_QUESTION,
     embedder: Embedder | None = None,
+    chunker: Chunker = chunk_text,
     template: str = PROMPT_TEMPLATE,
     nearest: tuple[list[float], list[Row]] | None = None,
 ) -> DataFrame:
@@ -109,7 +117,7 @@ def recommend(
     ).cast(hit)
 
     requests = requests.withColumn("request_id", F.col("request_id").cast("string"))
-    private = index_documents(request_documents(requests), embedder).select(
+    private = index_documents(request_documents(requests), embedder, chunker).select(
         F.col("owner").alias("qid"), "chunk_id", distance_to(vector).alias("dist"), "chunk"
     )
     own = (

@@ -15,7 +15,7 @@ from skillbridge.functions import text as X
 from skillbridge.operators import accounts, context, corpus, knn, quality
 from skillbridge.plans import inputs as I
 from skillbridge.plans.ingest import all_courses, ingest, typed_listing
-from skillbridge.plans.recommend import answer_queries, index_courses, index_documents, recommend
+from skillbridge.plans.recommend import answer_queries, index_courses, recommend
 from skillbridge.schemas import COURSES
 from skillbridge.session import scratch_path
 from skillbridge.sources import listings, requests, sinks
@@ -416,6 +416,18 @@ def recommend_text(spark: SparkSession, sf: str) -> DataFrame:
     return answers.withColumn("sources", F.array_join("sources", ","))
 
 
+@query
+def recommend_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same job with fixed windows and letter counts, which SQL can check."""
+    embedder, chunker = I.LetterEmbedder(), corpus.chunk_fixed
+    index = index_courses(_both_providers(spark, sf), embedder, chunker)
+    folder = sinks.write_index(index, scratch_path(spark, "window-index"), "v1")
+    answers = recommend(
+        _requests(spark, sf), sinks.read_index(spark, folder), embedder=embedder, chunker=chunker
+    )
+    return answers.withColumn("sources", F.array_join("sources", ","))
+
+
 # Streams ------------------------------------------------------------------------------
 
 
