@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -82,48 +83,50 @@ def chunk_fixed(
     return docs.select(*rest, F.posexplode(windows).alias("chunk_idx", "chunk"))
 
 
-def _cut(text: str, lo: int, hi: int, separator: str) -> list[tuple[int, int]]:
-    """Cut before each separator, so that the pieces put together are the text."""
+def _starts(text: str, lo: int, hi: int, separator: str) -> Iterator[int]:
+    """Where the pieces of a stretch of text begin: at its start and at each separator."""
     if not separator:
-        return [(i, i + 1) for i in range(lo, hi)]
-    marks, at = [lo], text.find(separator, lo, hi)
+        yield from range(lo, hi)
+        return
+    yield lo
+    at = text.find(separator, lo, hi)
     while at >= 0:
         if at > lo:
-            marks.append(at)
+            yield at
         at = text.find(separator, at + len(separator), hi)
-    return list(zip(marks, marks[1:] + [hi]))
-
-
-def _pack(pieces: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Join neighbouring pieces to spans of at most ``size``.
-
-    The next span starts again inside the last one, at the first piece from which at most
-    ``overlap`` characters are repeated and the new piece still fits.
-    """
-    first = 0
-    for i, (lo, hi) in enumerate(pieces):
-        if i > first and hi - pieces[first][0] > size:
-            yield pieces[first][0], lo
-            while first < i and (lo - pieces[first][0] > overlap or hi - pieces[first][0] > size):
-                first += 1
-    if pieces:
-        yield pieces[first][0], pieces[-1][1]
 
 
 def _spans(
     text: str, lo: int, hi: int, separators: tuple[str, ...], size: int, overlap: int
 ) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``size``, made of neighbouring pieces.
+
+    A stretch starts again inside the last one, at the first piece from which at most
+    ``overlap`` characters are repeated and the new piece still fits. A piece that is too
+    long by itself is cut at the finer separators. Only the starts of the current
+    stretch's pieces are held, however long the text.
+    """
     level = next(i for i, s in enumerate(separators) if not s or text.find(s, lo, hi) >= 0)
     finer = separators[level + 1 :]
-    run: list[tuple[int, int]] = []
-    for piece in _cut(text, lo, hi, separators[level]):
-        if piece[1] - piece[0] < size or not finer:
-            run.append(piece)
-            continue
-        yield from _pack(run, size, overlap)
-        run = []
-        yield from _spans(text, *piece, finer, size, overlap)
-    yield from _pack(run, size, overlap)
+    held: deque[int] = deque()
+    starts = _starts(text, lo, hi, separators[level])
+    start = next(starts, hi)
+    while start < hi:
+        end = next(starts, hi)
+        if end - start >= size and finer:
+            if held:
+                yield held[0], start
+                held.clear()
+            yield from _spans(text, start, end, finer, size, overlap)
+        else:
+            if held and end - held[0] > size:
+                yield held[0], start
+                while held and (start - held[0] > overlap or end - held[0] > size):
+                    held.popleft()
+            held.append(start)
+        start = end
+    if held:
+        yield held[0], hi
 
 
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
