@@ -1,9 +1,8 @@
 """Keyed operations on users and uploads.
 
-A key may be hot (one key holding a third of the rows). The side of a join that is only
-asked for its keys is therefore reduced to distinct keys first: that aggregate has a
-map-side part and leaves the rows partitioned as the join wants them. The other side is
-never grouped by the key alone; a join of it with distinct keys can be split by AQE.
+A key may be hot (one key holding a third of the rows). Filters by key go through
+:class:`KeySet`; what is first or last of a key is found by an aggregate, which has a
+map-side part; nothing else is grouped by the key alone.
 """
 
 from __future__ import annotations
@@ -12,10 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.functions.text import base64_text
-
-
-def key_set(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key).distinct()
+from skillbridge.operators.keys import KeySet
 
 
 def lookup(
@@ -29,7 +25,7 @@ def lookup(
 
     With ``unique`` the job fails if a key matches more than one row.
     """
-    found = df.join(key_set(keys, key), key, "left_semi").select(df.columns)
+    found = KeySet.of(keys, key).matching(df)
     if unique:
         n = F.col("n")
         once = F.when(n > 1, F.raise_error(F.concat(F.lit(f"several rows for {key} "), F.col(key))))
@@ -43,10 +39,10 @@ def user_uploads(
     uploads: DataFrame, users: DataFrame, keys: DataFrame | None = None, key: str = "email"
 ) -> DataFrame:
     """Uploads of existing users, optionally of the given ones only."""
-    owners = key_set(users, key)
+    owners = users.select(key)
     if keys is not None:
-        owners = owners.join(key_set(keys, key), key, "left_semi")
-    return uploads.join(owners, key).select(uploads.columns)
+        owners = KeySet.of(keys, key).matching(owners)
+    return KeySet.of(owners, key).matching(uploads)
 
 
 def project_upload(uploads: DataFrame, *extra: str) -> DataFrame:
@@ -58,11 +54,8 @@ def project_upload(uploads: DataFrame, *extra: str) -> DataFrame:
 
 def fk_split(child: DataFrame, parent: DataFrame, key: str = "email") -> tuple[DataFrame, DataFrame]:
     """Rows with a parent, and orphans. A NULL key is an orphan."""
-    parents = key_set(parent, key)
-    return (
-        child.join(parents, key, "left_semi").select(child.columns),
-        child.join(parents, key, "left_anti").select(child.columns),
-    )
+    parents = KeySet.of(parent, key)
+    return parents.matching(child), parents.missing(child)
 
 
 def erase(
@@ -73,9 +66,8 @@ def erase(
     Returns the remaining users, the remaining uploads and a one-row report of how many of
     each went. Unknown keys change nothing. Write the results to new folders.
     """
-    gone = key_set(keys, key)
-    removed_users = users.join(gone, key, "left_semi").select(key)
-    removed_uploads = uploads.join(gone, key, "left_semi").select(key)
+    gone = KeySet.of(keys, key)
+    removed_users, removed_uploads = gone.matching(users), gone.matching(uploads)
     report = (
         removed_users.select(F.lit(1).alias("u"), F.lit(0).alias("f"))
         .unionAll(removed_uploads.select(F.lit(0), F.lit(1)))
@@ -84,11 +76,7 @@ def erase(
             F.coalesce(F.sum("f"), F.lit(0)).alias("uploads_removed"),
         )
     )
-    return (
-        users.join(gone, key, "left_anti").select(users.columns),
-        uploads.join(gone, key, "left_anti").select(uploads.columns),
-        report,
-    )
+    return gone.missing(users), gone.missing(uploads), report
 
 
 def admit_unique(
@@ -105,7 +93,7 @@ def admit_unique(
     """
     known = new.filter(F.col(key).isNotNull())
     first = known.groupBy(key).agg(F.min(order).alias(order))
-    taken = key_set(existing, key).withColumn("_taken", F.lit(True))
+    taken = existing.select(key).distinct().withColumn("_taken", F.lit(True))
     verdict = F.when(F.col("_taken"), F.lit("key_taken")).otherwise(F.lit("ok"))
     judgement = first.join(taken, key, "left").select(key, order, verdict.alias("_verdict"))
     judged = known.join(judgement, [key, order], "left")

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skillbridge.functions.nearest import TopK, vectors
+from skillbridge.operators.keys import KeySet
 
 SMALL_QUERIES = 2048  # rows of queries that may be sent to every task
 SMALL_BYTES = 16 << 20  # and their size
-SPLITS_SENT = 10_000  # rows of the table of split keys that may be broadcast
+SPLIT_KEYS = 100_000  # keys that may be split; the table of them is broadcast
 QUERY_BLOCK = 1024  # queries of a key handled by one task
 CORPUS_BLOCK = 50_000  # rows of a key handled by one task
 PIVOTS = 64
@@ -119,12 +120,12 @@ def _result(top: TopK, qids: pa.Array, carried: list[str]) -> Iterator[pa.Record
 
 def _splits(
     queries: DataFrame, corpus: DataFrame, key: str, counted: DataFrame | None
-) -> tuple[DataFrame | None, bool]:
-    """Keys that need more than one block, with the number of blocks on either side.
+) -> DataFrame | None:
+    """The largest keys that need more than one block, with the number of blocks per side.
 
     Counting has a map-side part, so a hot key costs nothing here. ``counted`` are the
-    corpus rows per key ``(key, c)`` if they are known already. Returns also whether the
-    table is small enough, as measured, to be broadcast.
+    corpus rows per key ``(key, c)`` if they are known already. Any further keys have less
+    than a ``SPLIT_KEYS``-th of the rows each and stay whole.
     """
     c = corpus.groupBy(key).agg(F.count("*").alias("c")) if counted is None else counted
     q = queries.groupBy(key).agg(F.count("*").alias("q"))
@@ -137,12 +138,10 @@ def _splits(
         )
         .filter((F.col("_nc") > 1) | (F.col("_nq") > 1))
     )
-    head = table.limit(SPLITS_SENT + 1).toArrow()
-    if head.num_rows == 0:
-        return None, True
-    if head.num_rows <= SPLITS_SENT:
-        return corpus.sparkSession.createDataFrame(head, table.schema), True
-    return table, False
+    largest = table.orderBy(F.desc(F.col("_nc") * F.col("_nq")), key).limit(SPLIT_KEYS).toArrow()
+    if not largest.num_rows:
+        return None
+    return corpus.sparkSession.createDataFrame(largest, table.schema)
 
 
 def _join_by_key(
@@ -159,12 +158,12 @@ def _join_by_key(
     Rows are shuffled by key and block and sorted so that a block's queries come before
     its corpus rows; a task then holds one block's queries and streams the rows past them.
     """
-    table, small = _splits(queries, corpus, key, counted)
+    table = _splits(queries, corpus, key, counted)
 
     def spread(df: DataFrame, own: str, other: str, id_: str, n_own: str, n_other: str) -> DataFrame:
         if table is None:
             return df.withColumns({own: F.lit(0), other: F.lit(0)})
-        df = df.join(F.broadcast(table) if small else table, key, "left")
+        df = df.join(F.broadcast(table), key, "left")
         mine = F.pmod(F.xxhash64(id_), F.coalesce(n_own, F.lit(1))).cast("int")
         others = F.sequence(F.lit(0), F.coalesce(n_other, F.lit(1)) - 1)
         return df.withColumns({own: mine, other: F.explode(others)}).drop("_nc", "_nq")
@@ -381,7 +380,7 @@ def knn_private(
     queries = _prepare(queries, metric).filter(F.col("owner").isNotNull())
     corpus = _prepare(corpus, metric).filter(F.col("owner").isNotNull())
     wanted = k + 1 if exclude_self else k
-    asking = corpus.join(queries.select("owner").distinct(), "owner", "left_semi").select(corpus.columns)
+    asking = KeySet.of(queries, "owner").matching(corpus)
     hits = _join_by_key(queries, asking, "owner", wanted, id_col, _hit_schema(queries, corpus))
     return best_hits(hits, k, id_col, metric, exclude_self)
 

@@ -82,7 +82,8 @@ def nearest_courses(
         raise ValueError("the question has no word to search by")
     vector = list(row["embedding"])
     query = spark.createDataFrame([("q", vector)], "qid string, embedding array<float>")
-    hits = knn(query, index.select("chunk_id", "chunk", "embedding"), k, id_col="chunk_id")
+    shared = index.filter(F.col("owner").isNull()).select("chunk_id", "chunk", "embedding")
+    hits = knn(query, shared, k, id_col="chunk_id")
     return vector, hits.orderBy("rk").collect()
 
 

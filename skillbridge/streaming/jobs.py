@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skillbridge.functions.text import ERROR_SUBJECT, error_text
-from skillbridge.operators.accounts import key_set
 from skillbridge.plans.ingest import ingest
 from skillbridge.sources.listings import SourceSpec, read_pages
 from skillbridge.sources.requests import (
@@ -36,7 +35,7 @@ def request_stream(
 def enrich_requests(stream: DataFrame, static: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join a stream with a table as it stands when the micro-batch runs."""
     if how in ("left_semi", "left_anti"):
-        static = key_set(static, key)
+        static = static.select(key).distinct()
     return stream.join(static, key, how)
 
 

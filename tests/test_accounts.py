@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skillbridge.operators import accounts, quality
+from skillbridge.operators import accounts, keys, quality
 from skillbridge.sources import sinks
 
 
@@ -74,6 +74,35 @@ def test_foreign_key(spark):
     assert [r.id for r in accounts.user_uploads(uploads, users).collect()] == [1]
 
 
+@pytest.mark.parametrize("sent", [0, 200_000])
+@pytest.mark.parametrize("part", [50, 1_000_000])
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_key_sets_with_hot_keys_on_both_sides(spark, monkeypatch, sent, part, hot):
+    monkeypatch.setattr(keys, "SENT_KEYS", sent)
+    monkeypatch.setattr(keys, "PART_ROWS", part)
+    monkeypatch.setattr(keys, "HOT_KEYS", hot)
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 5 == 0, F.lit("warm"))
+    rows = spark.range(3000).select("id", key.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"))
+    wanted = spark.range(900).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 11 > 0, F.col("id").cast("string")).alias("k")
+    )
+    known = {r.k for r in wanted.collect()} - {None}
+    every = rows.collect()
+    chosen = keys.KeySet.of(wanted, "k")
+    assert sorted(chosen.matching(rows).collect()) == sorted(r for r in every if r.k in known)
+    by_id = lambda found: sorted(r.id for r in found)
+    assert by_id(chosen.missing(rows).collect()) == by_id(r for r in every if r.k not in known)
+
+
+def test_small_key_sets_do_not_shuffle_the_table(spark, plan_of, monkeypatch):
+    table = spark.range(10**6).select(F.col("id").cast("string").alias("k"))
+    wanted = spark.createDataFrame([("1",)], "k string")
+    assert "BroadcastHashJoin" in plan_of(keys.KeySet.of(wanted, "k").matching(table))
+    monkeypatch.setattr(keys, "SENT_KEYS", 0)
+    plan = plan_of(keys.KeySet.of(wanted, "k").matching(table))
+    assert "_part" in plan
+
+
 def test_erase_cascades_and_ignores_unknown_keys(spark, folder):
     users = frame(spark, [("a",), ("b",)], "email string")
     uploads = frame(spark, [(1, "a"), (2, "a"), (3, "b")], "id int, email string")

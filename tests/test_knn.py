@@ -88,8 +88,9 @@ def test_scope_with_a_hot_owner(spark, tiny_blocks, small, monkeypatch):
     assert all(r.owner in (None, whose[r.qid]) for r in hits.collect())
 
 
-def test_large_split_table_is_joined_not_sent(spark, tiny_blocks, monkeypatch):
-    monkeypatch.setattr(knn, "SPLITS_SENT", 0)
+@pytest.mark.parametrize("split_keys", [0, 1, 2])
+def test_keys_beyond_the_split_table_stay_whole(spark, tiny_blocks, monkeypatch, split_keys):
+    monkeypatch.setattr(knn, "SPLIT_KEYS", split_keys)
     queries, corpus = rows(3, 30, ("a", "b")), rows(4, 150, ("a", "b"))
     q, c = frames(spark, queries, corpus)
     want = brute(queries, corpus, 3, lambda a, b: a == b)

@@ -80,6 +80,15 @@ def test_nobody_sees_the_text_of_others(spark):
         assert not any(f"number{i}" in words for i in others)
 
 
+def test_private_rows_of_an_index_are_not_recommended(spark):
+    index = index_courses(courses(spark))
+    mine = index.limit(1).withColumns(
+        {"owner": F.lit("1"), "chunk": F.lit("secret"), "chunk_id": F.lit("p"), "kind": F.lit("resume")}
+    )
+    rows = recommend(requests(spark), index.unionByName(mine).cache()).collect()
+    assert not any("secret" in r.context + r.message for r in rows)
+
+
 def test_requests_without_text_are_answered_from_courses(spark):
     index = index_courses(courses(spark)).cache()
     df = spark.createDataFrame(
