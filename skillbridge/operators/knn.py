@@ -33,7 +33,7 @@ from skillbridge.operators.keys import KeySet
 SMALL_QUERIES = 2048  # rows of queries that may be sent to every task
 SMALL_BYTES = 16 << 20  # and their size
 SPLIT_KEYS = 100_000  # keys that may be split; the table of them is broadcast
-QUERY_BLOCK = 1024  # queries of a key handled by one task
+QUERY_BLOCK = 2048  # queries of a key handled by one task
 CORPUS_BLOCK = 50_000  # rows of a key handled by one task
 PIVOTS = 64
 

@@ -61,10 +61,12 @@ def answer_queries(
 ) -> DataFrame:
     """``qid, context, sources, prompt`` for queries that each have a vector of their own.
 
-    A query sees the shared rows of the index and the rows of its owner.
+    A query sees the shared rows of the index and the rows of its owner. The search goes by
+    ids, which must be unique; texts are joined to the hits alone.
     """
-    rows = index.select(id_col, "owner", text, "embedding")
-    hits = knn_scoped(queries, rows, k, id_col=id_col, exclude_self=exclude_self)
+    rows = index.select(id_col, "owner", "embedding")
+    found = knn_scoped(queries, rows, k, id_col=id_col, exclude_self=exclude_self)
+    hits = found.join(index.select(id_col, text), id_col)
     return build_prompts(answer_inputs(hits, id_col, text), question, template)
 
 

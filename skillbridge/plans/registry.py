@@ -366,7 +366,8 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     queries, index = I.vector_queries(spark, sf), I.vector_index(spark, sf)
-    return knn.knn_scoped(queries, index, exclude_self=True)
+    hits = knn.knn_scoped(queries, index.drop("text"), exclude_self=True)
+    return hits.join(index.select("vec_id", "text"), "vec_id")
 
 
 @query
