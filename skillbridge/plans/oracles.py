@@ -1,8 +1,7 @@
 """The registered queries in SQL, for DuckDB over the same tables.
 
-Left out, with tests of their own instead: ``chunk_text`` and what builds on it
-(``recommend_text``, ``stream_recommend_text``), ``embed_hash``, ``knn_lsh`` and
-``surrogate_ids``.
+Left out, with tests of their own instead: ``embed_hash`` and what builds on it
+(``recommend_text``, ``stream_recommend_text``), ``knn_lsh`` and ``surrogate_ids``.
 """
 
 from __future__ import annotations
@@ -90,6 +89,66 @@ SELECT {columns}, CAST(i AS INT) AS chunk_idx, substring(text, i * 192 + 1, 256)
 FROM {docs}, unnest(generate_series(0, greatest(CAST(ceil((length(text) - 64) / 192.0) AS BIGINT) - 1, 0))) u(i)"""
 
 
+def _chunk_text(size: int = 256, overlap: int = 64) -> str:
+    """The separator-aware chunks of ``documents``.
+
+    Level by level, texts are cut before a separator; pieces that are too long are cut at
+    the next one. Neighbouring pieces of a level form a run. For each piece of a run it is
+    worked out where a chunk starting there ends and where the next one starts; the chunks
+    are then found by following these links.
+    """
+    separators = ("\n\n", "\n", " ")
+    steps = ["s0 AS (SELECT doc_id, 0::BIGINT AS lo, text AS t FROM documents)"]
+    runs = []
+    for i, separator in enumerate(separators):
+        sep = "e'" + separator.replace("\n", "\\n") + "'"
+        steps += [
+            f"""cut{i} AS (
+  SELECT doc_id, lo, piece, length(piece) AS n,
+         lo + sum(length(piece)) OVER w - length(piece) AS a,
+         sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) OVER w AS long_before
+  FROM (SELECT doc_id, lo, j, CASE WHEN j = 1 THEN part ELSE {sep} || part END AS piece
+        FROM (SELECT doc_id, lo, unnest(string_split(t, {sep})) AS part,
+                     generate_subscripts(string_split(t, {sep}), 1) AS j
+              FROM s{i} WHERE contains(t, {sep})))
+  WHERE piece <> '' WINDOW w AS (PARTITION BY doc_id, lo ORDER BY j))""",
+            f"""s{i + 1} AS (
+  SELECT * FROM s{i} WHERE NOT contains(t, {sep})
+  UNION ALL SELECT doc_id, CAST(a AS BIGINT), piece FROM cut{i} WHERE n >= {size})""",
+        ]
+        runs.append(f"""
+  SELECT doc_id, concat_ws('/', doc_id, {i}, lo, long_before) AS run,
+         CAST(a AS BIGINT) AS a, CAST(a + n AS BIGINT) AS b
+  FROM cut{i} WHERE n < {size}""")
+    last = len(separators)
+    runs.append(f"""
+  SELECT doc_id, concat_ws('/', doc_id, {last}, lo), lo + i, lo + i + 1
+  FROM s{last}, unnest(range(length(t))) u(i)""")
+    steps += [
+        f"pieces AS MATERIALIZED ({' UNION ALL '.join(runs)})",
+        f"""ends AS MATERIALIZED (
+  SELECT doc_id, run, a AS s, max(b) OVER (PARTITION BY run ORDER BY b
+         RANGE BETWEEN CURRENT ROW AND {size} - (b - a) FOLLOWING) AS e FROM pieces)""",
+        f"""links AS MATERIALIZED (
+  SELECT x.doc_id, x.run, x.s, x.e, n.next FROM ends x LEFT JOIN (
+    SELECT w.run, w.s, p.a AS next FROM (
+      SELECT x.run, x.s, greatest(x.e - {overlap}, n.b - {size}) AS least
+      FROM ends x JOIN pieces n ON n.run = x.run AND n.a = x.e) w
+    ASOF JOIN pieces p ON w.run = p.run AND w.least <= p.a) n ON x.run = n.run AND x.s = n.s)""",
+        """chain AS (
+  SELECT l.* FROM links l JOIN (SELECT run, min(a) AS a FROM pieces GROUP BY run) f
+    ON l.run = f.run AND l.s = f.a
+  UNION ALL
+  SELECT l.* FROM chain c JOIN links l ON l.run = c.run AND l.s = c.next)""",
+    ]
+    return f"""
+WITH RECURSIVE {", ".join(steps)}
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk_idx, chunk
+FROM (SELECT doc_id, s, regexp_replace(substring(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') AS chunk
+      FROM chain JOIN documents USING (doc_id))
+WHERE chunk <> ''"""
+
+
 _REQUEST_DOCS = """
 SELECT 'resume-' || doc_id AS doc_id, CAST(doc_id AS VARCHAR) AS qid, text FROM documents
 UNION ALL
@@ -212,6 +271,7 @@ SELECT 'user' || conv_id || '@example.com' AS address, 'Courses' AS subject,
     "atomic_meta": "SELECT vec_id, label FROM embeddings",
     "doc_union": _DOC_UNION,
     "chunk_fixed": _chunks("documents", "doc_id"),
+    "chunk_text": _chunk_text(),
     "index_roundtrip": f"""
 SELECT *, doc_id || '#' || lpad(CAST(chunk_idx AS VARCHAR), 9, '0') AS chunk_id
 FROM ({_chunks(f"({_DOC_UNION})", "doc_id, owner, kind")})""",

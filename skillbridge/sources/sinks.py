@@ -26,6 +26,16 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_version(df: DataFrame, path: str, version: str) -> str:
+    """Write a table's next version, such as after an erasure or an upsert.
+
+    Fails if the version exists, so the folder that is being read cannot be hit.
+    """
+    folder = f"{path}/{version}"
+    df.write.parquet(folder)
+    return folder
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write a micro-batch to its own folder; a replay replaces it, so nothing doubles."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

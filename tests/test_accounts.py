@@ -106,12 +106,13 @@ def test_small_key_sets_do_not_shuffle_the_table(spark, plan_of, monkeypatch):
 def test_erase_cascades_and_ignores_unknown_keys(spark, folder):
     users = frame(spark, [("a",), ("b",)], "email string")
     uploads = frame(spark, [(1, "a"), (2, "a"), (3, "b")], "id int, email string")
-    sinks.append_rows(uploads, f"{folder}/v1")
-    uploads = spark.read.parquet(f"{folder}/v1")
+    uploads = spark.read.parquet(sinks.write_version(uploads, folder, "v1"))
     left, kept, report = accounts.erase(users, uploads, frame(spark, [("a",), ("zz",)], "email string"))
-    sinks.append_rows(kept, f"{folder}/v2")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_version(kept, folder, "v1")
+    written = spark.read.parquet(sinks.write_version(kept, folder, "v2"))
     assert [r.email for r in left.collect()] == ["b"]
-    assert [r.id for r in spark.read.parquet(f"{folder}/v2").collect()] == [3]
+    assert [r.id for r in written.collect()] == [3]
     assert report.collect() == [(1, 2)]
     _, kept, report = accounts.erase(users, uploads, frame(spark, [("zz",)], "email string"))
     assert kept.count() == 3 and report.collect() == [(0, 0)]

@@ -6,7 +6,7 @@ from conftest import SF
 from __spark_entry__ import entry, oracle_sql, queries
 from tools.check import canonical
 
-NO_SQL = {"chunk_text", "embed_hash", "knn_lsh", "surrogate_ids", "recommend_text", "stream_recommend_text"}
+NO_SQL = {"embed_hash", "knn_lsh", "surrogate_ids", "recommend_text", "stream_recommend_text"}
 
 
 def test_which_queries_have_sql():
