@@ -161,3 +161,17 @@ def test_index_is_stored_by_kind(spark, folder):
     df = sinks.read_index(spark, written).filter("kind = 'course'")
     assert df.count() == 1 and df.inputFiles()[0].split("/")[-2] == "kind=course"
     assert df.schema["kind"].dataType == T.StringType()
+
+
+def test_worker_functions_need_no_installed_package(tmp_path):
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(corpus.split_text))
+    code = "import pickle; print(pickle.load(open('f', 'rb'))('a b\\nc', 3, 0))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "['a b', 'c']", done.stderr
+    assert pickle.loads(cloudpickle.dumps(corpus.split_text))("a") == ["a"]
