@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skillbridge.llm import linededup, sharding
+from skillbridge.llm import bpe, linededup, sharding
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, ranks))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "text", "lines_removed")
@@ -24,7 +30,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", "n_chars", "shard")
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op5_sharding": op5_sharding}
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_sharding": op5_sharding,
+}
 
 
 def _sharding_sql() -> str:

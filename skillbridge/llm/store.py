@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillbridge.session import scratch_path
@@ -50,3 +50,10 @@ def may_hold(bit_words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def same(left: Column, right: Column) -> Column:
     """Equal, with NULL equal to NULL."""
     return left.eqNullSafe(right)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python in batches small enough for long texts (results don't change)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
