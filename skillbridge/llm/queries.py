@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skillbridge.llm import bpe, linededup, sharding
+from skillbridge.llm import bpe, decontam, jaccard, linededup, sharding, toxicity
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
@@ -30,10 +30,30 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", "n_chars", "shard")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.similar(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("th")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = toxicity.label_categories(_table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, toxicity.fit_chain(docs, labels, toxicity.CATEGORIES))
+    flag = F.col("p_toxic") >= toxicity.THRESHOLD
+    return scored.select("doc_id", "p_poor", "p_toxic", flag.alias("toxic"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op5_sharding": op5_sharding,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op8_decontamination": op8_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by_key(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As :func:`written`, in buckets of ``key``: a later join on it doesn't shuffle the table."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = "t" + uuid.uuid4().hex
+    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    # the files stay, the frame knows them; only the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def bit_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     """A one-hash Bloom filter over a ``bigint`` column of hashes, as 64-bit words.
 
@@ -52,8 +67,21 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand rows to Python in batches small enough for long texts (results don't change)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another batch size, for jobs that run within; for rows of a few numbers."""
+    before = spark.conf.get(_BATCH, "10000")
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
