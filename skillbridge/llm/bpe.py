@@ -7,7 +7,8 @@
 2. Words are shuffled by a hash of the word. The task that meets a word first applies the
    merges to it; all other blocks get the same ids. A word is sent once per block, so the
    most frequent word of the corpus makes no key hot.
-3. Ids return to their block, where texts are put together again by position.
+3. Ids return to their block, where texts are put together again by position. Blocks are
+   written in buckets, so only the ids are shuffled for it.
 
 Decoding joins ids with the table of token bytes, which the vocabulary bounds.
 
@@ -19,6 +20,7 @@ identify a word within its block.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.llm.spans import Texts, chunks, span_hashes
-from skillbridge.llm.store import small_batches, written
+from skillbridge.llm.store import small_batches, written_by_key
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 PACK_TOKENS = 1 << 16  # pre-tokens in one packed row, or one text
-CACHED_WORDS = 2_000_000  # distinct words a task remembers at once
+CACHED_WORDS = 1_000_000  # distinct words a task remembers at once
 MAX_BUCKETS = 2048
 _OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 255
@@ -165,7 +167,7 @@ def _piece(texts: Texts, ids: pa.Array, classes: np.ndarray) -> _Piece:
         raise ValueError("two words of one text share a hash")
     length = (stop - start)[first]
     counts = np.searchsorted(start, end) - np.searchsorted(start, begin)
-    return _Piece(ids, counts, unique, check[first], word, _gather(codes, start[first], length), length)
+    return _Piece(ids, counts, unique, check[first], word.astype(np.int32), _gather(codes, start[first], length), length)
 
 
 def _block_rows(block: int, pieces: list[_Piece], buckets: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -235,7 +237,7 @@ def _split(batches: Iterator[pa.RecordBatch], classes, buckets: int, block_chars
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Iterator[pa.RecordBatch]:
     """Rows of words to rows of ids; a word already met in the task is not encoded again."""
     encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-    known: dict[bytes, np.ndarray] = {}
+    known: dict[bytes, bytes] = {}
     for batch in batches:
         for row in batch.to_pylist():
             text, ends = zstandard.decompress(row["words"]), np.cumsum(_numbers(row["payload"]).astype(np.int64))
@@ -244,14 +246,13 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Ite
             if len(known) + len(fresh) > CACHED_WORDS:
                 known, fresh = {}, words
             for word in fresh:
-                known[word] = np.array(encoding.encode_ordinary(word.decode()), dtype=np.uint32)
+                known[word] = array("I", encoding.encode_ordinary(word.decode())).tobytes()
             found = [known[w] for w in words]
-            count = np.fromiter(map(len, found), dtype=np.uint32, count=len(found))
-            ids = np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
+            count = np.fromiter(map(len, found), dtype=np.uint32, count=len(found)) // np.uint32(4)
+            ids = np.frombuffer(b"".join(found), dtype=np.uint32)
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([row["block"]], pa.int64()),
-                    "kind": pa.array([0], pa.int8()),
                     "part": pa.array([row["part"]], pa.int32()),
                     "words": pa.array([_planes(count)], pa.binary()),
                     "payload": pa.array([_planes(ids)], pa.binary()),
@@ -259,43 +260,28 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Ite
             )
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block, first its ids by bucket, then the bucket of each word, then texts."""
-    block, parts, offset, length, ids = None, [], None, None, None
-    for batch in batches:
-        found_ids, found = [], []
-        names = batch.schema.names
-        for k in range(batch.num_rows):
-            row = {n: batch.column(i)[k] for i, n in enumerate(names) if n != "ids"}
-            if row["block"].as_py() != block:
-                block, parts = row["block"].as_py(), []
-            if row["kind"].as_py() == 0:
-                parts.append((_numbers(row["words"].as_py()), _numbers(row["payload"].as_py())))
-                continue
-            if row["part"].as_py() == -1:
-                # the words of a bucket came in the order of their numbers
-                place = np.argsort(_numbers(row["words"].as_py()), kind="stable")
-                count = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint32)
-                ids = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint32)
-                if len(count) != len(place):
-                    raise ValueError("a block lacks the ids of some words")
-                ends = np.cumsum(count.astype(np.int64))
-                offset, length = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-                offset[place], length[place] = ends - count, count
-                parts = []
-                continue
-            words = _numbers(row["payload"].as_py())
-            tokens = _gather(ids, offset[words], length[words]).astype("<u4")
-            cut = np.cumsum(length[words])
-            upto = np.cumsum(row["counts"].values.to_numpy(zero_copy_only=False).astype(np.int64))
-            cut = np.concatenate([[0], cut])[np.concatenate([[0], upto])]
-            raw = tokens.tobytes()
-            found.extend(raw[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            found_ids.append(batch.column(names.index("ids"))[k].values)
-        if found_ids:
-            keys = pa.concat_arrays(found_ids)
-            count = pa.array([len(x) // 4 for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, count, pa.array(found, pa.binary())], ["id", "n_tokens", "ids"])
+def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """A block's packed texts and the ids of its words to ``id, n_tokens, ids``."""
+    rows = texts.sort_by("part").to_pylist()
+    parts = [(_numbers(r["words"]), _numbers(r["payload"])) for r in words.sort_by("part").to_pylist()]
+    count, ids = (np.concatenate([np.empty(0, np.uint32), *[p[k] for p in parts]]) for k in (0, 1))
+    # the words of a bucket came in the order of their numbers
+    place = np.argsort(_numbers(rows[0]["words"]), kind="stable") if rows else np.empty(0, np.int64)
+    if not rows or rows[0]["part"] != -1 or len(count) != len(place):
+        raise ValueError("a block is not complete")
+    offset, length = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    offset[place], length[place] = np.cumsum(count, dtype=np.int64) - count, count
+    found, keys = [], []
+    for row in rows[1:]:
+        word = _numbers(row["payload"])
+        raw = _gather(ids, offset[word], length[word]).astype("<u4").tobytes()
+        ends = np.concatenate([[0], np.cumsum(length[word])])
+        ends = 4 * ends[np.cumsum([0, *row["counts"]])]
+        found += [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        keys += row["ids"]
+    kind = texts.schema.field("ids").type.value_type
+    sizes = [len(x) // 4 for x in found]
+    return pa.table({"id": pa.array(keys, kind), "n_tokens": pa.array(sizes, pa.int64()), "ids": pa.array(found, pa.binary())})
 
 
 def encode(
@@ -318,21 +304,21 @@ def encode(
     kind = source.schema["id"].dataType.simpleString()
     buckets = min(max(8, source.rdd.getNumPartitions()), MAX_BUCKETS)
     classes, sent = spark.sparkContext.broadcast(character_classes()), spark.sparkContext.broadcast(ranks)
-    pre = written(
+    pre = written_by_key(
         source.mapInArrow(
             lambda b: _split(b, classes, buckets, block_chars),
             f"block long, kind tinyint, part int, counts array<int>, words binary, payload binary, ids array<{kind}>",
         ),
         "bpe-blocks",
+        "block",
+        max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))),
     )
-    words = pre.filter("kind = 0").select("block", "part", "words", "payload").repartition("part")
+    words = pre.filter("kind = 0").select("block", "part", "words", "payload").repartition(buckets, "part")
     ids = words.mapInArrow(
-        lambda b: _encode_words(b, sent, pattern),
-        "block long, kind tinyint, part int, words binary, payload binary",
+        lambda b: _encode_words(b, sent, pattern), "block long, part int, words binary, payload binary"
     )
-    both = ids.unionByName(pre.filter("kind = 1"), allowMissingColumns=True)
-    dealt = both.repartition("block").sortWithinPartitions("block", "kind", "part")
-    out = dealt.mapInArrow(_reassemble, f"id {kind}, n_tokens long, ids binary")
+    texts = pre.filter("kind = 1").groupBy("block")
+    out = texts.cogroup(ids.groupBy("block")).applyInArrow(_reassemble, f"id {kind}, n_tokens long, ids binary")
     return out.withColumnRenamed("id", doc_id)
 
 
