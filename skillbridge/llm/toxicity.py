@@ -29,7 +29,8 @@ MIN_DOCS = 5  # documents of the sample that a feature must occur in
 FOLDS = 5
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a longer word that are a feature by themselves
 LEVELS = (1, 2, 4)  # a word or beginning that occurs so often in a text is a feature each
-THRESHOLD = 0.5
+ASSOCIATED = 30.0  # least chi-square of a feature with a category
+THRESHOLD = 0.4
 
 _WORDLIKE = np.zeros(256, dtype=bool)
 _WORDLIKE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
@@ -179,7 +180,7 @@ def fit_chain(
                 other = F.col("df") * (1 - share)
                 chi.append(F.pow(F.col(c) - want, 2) * (1 / want + 1 / other))
         score = F.greatest(*chi, F.lit(0.0))
-        chosen = counts.select("feature", score.alias("score")).filter("score > 4")
+        chosen = counts.select("feature", score.alias("score")).filter(F.col("score") > ASSOCIATED)
         chosen = chosen.orderBy(F.desc("score"), "feature").limit(FEATURES).toPandas()
         known = np.sort(chosen["feature"].to_numpy(np.int64).view(np.uint64))
         if not len(known):
