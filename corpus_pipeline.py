@@ -1,19 +1,56 @@
-"""Preparation of a training corpus: a chain of stages over ``documents``."""
+"""Preparation of a training corpus: a chain of stages over ``documents``.
+
+Every stage works on all that the one before has kept. The first four return the columns of
+``documents``; the last returns the digests of the encoded texts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skillbridge.llm.linededup import dedup_lines
+from skillbridge.llm import bpe, decontam, jaccard, linededup, toxicity
 from skillbridge.llm.store import written
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup_lines(docs).select(docs.columns)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain doesn't find toxic."""
+    return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without runs of lines that an earlier one has; ``n_chars`` follows."""
+    cut = linededup.dedup_lines(docs)
+    size = F.when(F.col("lines_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", size).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
+]
 
+#: SQL can't state the classifier; tests compare the stages with a brute-force version.
 ORACLE_SQL = None
 
 
