@@ -1,9 +1,8 @@
 """Deletion of repeated runs of lines, found by winnowing.
 
-A line counts without blanks at its ends; blank lines count for nothing. A *run* is a
-sequence of consecutive counting lines of one document. A line goes if it lies in a run of at least ``min_words`` words that also occurs earlier, in an earlier document or further
-up, and blank lines go with the run around them; documents are ordered by id (NULL first)
-and then by a hash of their text.
+A line counts without blanks at its ends; blank lines count for nothing and stay. A *run* is
+a sequence of consecutive counting lines of one document. A line goes if it lies in a run of at least ``min_words`` words that also occurs earlier, in an earlier document or further
+up; documents are ordered by id (NULL first) and then by a hash of their text.
 
 Some facts make this linear and free of pairs. If a line lies in such a run, it lies in one
 that cannot be shortened without losing the line or falling below ``min_words``; and a run
@@ -133,7 +132,8 @@ def dedup_lines(
     here = same(F.col(f"`{doc_id}`"), F.col("_doc")) & (_row_hash(F.col(f"`{text}`")) == F.col("_th"))
     joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(gone, here, "left")
     parts = F.split(F.col(f"`{text}`"), "\n")
-    rest = F.filter(parts, lambda line, i: ~F.coalesce(F.get("_mask", i), F.lit(False)))
+    blank = lambda line: F.btrim(line, F.lit(BLANKS)) == ""
+    rest = F.filter(parts, lambda line, i: ~F.coalesce(F.get("_mask", i), F.lit(False)) | blank(line))
     cut = F.col("_mask").isNotNull()
     return joined.select(
         *[
@@ -142,7 +142,7 @@ def dedup_lines(
             else F.col(f"`{c}`")
             for c in columns
         ],
-        F.when(cut, F.size(F.filter("_mask", lambda m: m))).otherwise(0).cast("bigint").alias("lines_removed"),
+        F.when(cut, F.size(parts) - F.size(rest)).otherwise(0).cast("bigint").alias("lines_removed"),
     )
 
 
@@ -176,7 +176,7 @@ WITH parts AS (
   SELECT doc_id, lo, hi, row_number() OVER (PARTITION BY content ORDER BY doc_id, lo) AS nth
   FROM runs WHERE w >= {min_words}
 ), gone AS (
-  SELECT DISTINCT p.doc_id, p.pos FROM parts p JOIN ranked r
+  SELECT DISTINCT p.doc_id, p.pos FROM placed p JOIN ranked r
     ON p.doc_id = r.doc_id AND p.pos BETWEEN r.lo AND r.hi WHERE r.nth > 1
 ), rest AS (
   SELECT q.doc_id, count(g.pos) AS lines_removed,
