@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _CELLS = 4_000_000  # entries of a distance block held at once
 _PAIRS = 20_000  # pairs measured exactly at once
 
 
 def vectors(column: pa.Array) -> np.ndarray:
-    """An Arrow list column as a matrix of doubles; all vectors have one length."""
-    values = np.asarray(column.flatten(), dtype=np.float64)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+    """An Arrow list column as a matrix of doubles; vectors must have one length."""
+    if not len(column):
+        return np.empty((0, 0))
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    if sizes.min() != sizes.max():
+        raise ValueError(f"vectors of {sizes.min()} and of {sizes.max()} components")
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), int(sizes[0]))
 
 
 class TopK:
@@ -32,6 +37,10 @@ class TopK:
         self.rows: pa.Table | None = None
 
     def offer(self, points: np.ndarray, rows: pa.Table, id_col: str) -> None:
+        if not len(points) or not len(self.queries):
+            return
+        if points.shape[1] != self.queries.shape[1]:
+            raise ValueError(f"vectors of {points.shape[1]} and of {self.queries.shape[1]} components")
         step = max(1, _CELLS // max(1, len(self.queries)))
         for lo in range(0, len(points), step):
             self._offer(points[lo : lo + step], rows.slice(lo, step), id_col)
@@ -61,8 +70,8 @@ class TopK:
         # the k-th of this block is only of use to queries that have no k rows yet
         if len(points) > self.k and not np.isfinite(limit).all():
             limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-        slack = 1e-9 * (1.0 + self.norms + (norms.max() if len(norms) else 0.0))
-        return np.nonzero(rough <= (limit + slack)[:, None])
+        slack = 1e-9 * (1.0 + self.norms[:, None] + norms[None, :])
+        return np.nonzero(rough - slack <= limit[:, None])
 
     def _thin(self, points: np.ndarray, ids: pa.ChunkedArray) -> np.ndarray:
         """Keep the ``k`` lowest ids of each group of equal vectors; no query needs more."""

@@ -1,7 +1,7 @@
 """Keyed operations on users and uploads.
 
-A key may be hot (one key holding a third of the rows). Filters by key go through
-:class:`KeySet`; what is first or last of a key is found by an aggregate, which has a
+A key may be hot (one key holding a third of the rows). Filters by key are semi and anti joins
+with distinct keys; what is first or last of a key is found by an aggregate, which has a
 map-side part; nothing else is grouped by the key alone.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.functions.text import base64_text
-from skillbridge.operators.keys import KeySet
+from skillbridge.operators.keys import matching, missing
 
 
 def lookup(
@@ -25,7 +25,7 @@ def lookup(
 
     With ``unique`` the job fails if a key matches more than one row.
     """
-    found = KeySet.of(keys, key).matching(df)
+    found = matching(df, keys, key)
     if unique:
         n = F.col("n")
         once = F.when(n > 1, F.raise_error(F.concat(F.lit(f"several rows for {key} "), F.col(key))))
@@ -41,8 +41,8 @@ def user_uploads(
     """Uploads of existing users, optionally of the given ones only."""
     owners = users.select(key)
     if keys is not None:
-        owners = KeySet.of(keys, key).matching(owners)
-    return KeySet.of(owners, key).matching(uploads)
+        owners = matching(owners, keys, key)
+    return matching(uploads, owners, key)
 
 
 def project_upload(uploads: DataFrame, *extra: str) -> DataFrame:
@@ -54,8 +54,7 @@ def project_upload(uploads: DataFrame, *extra: str) -> DataFrame:
 
 def fk_split(child: DataFrame, parent: DataFrame, key: str = "email") -> tuple[DataFrame, DataFrame]:
     """Rows with a parent, and orphans. A NULL key is an orphan."""
-    parents = KeySet.of(parent, key)
-    return parents.matching(child), parents.missing(child)
+    return matching(child, parent, key), missing(child, parent, key)
 
 
 def erase(
@@ -66,8 +65,7 @@ def erase(
     Returns the remaining users, the remaining uploads and a one-row report of how many of
     each went. Unknown keys change nothing. Write the results to new folders.
     """
-    gone = KeySet.of(keys, key)
-    removed_users, removed_uploads = gone.matching(users), gone.matching(uploads)
+    removed_users, removed_uploads = matching(users, keys, key), matching(uploads, keys, key)
     report = (
         removed_users.select(F.lit(1).alias("u"), F.lit(0).alias("f"))
         .unionAll(removed_uploads.select(F.lit(0), F.lit(1)))
@@ -76,7 +74,7 @@ def erase(
             F.coalesce(F.sum("f"), F.lit(0)).alias("uploads_removed"),
         )
     )
-    return gone.missing(users), gone.missing(uploads), report
+    return missing(users, keys, key), missing(uploads, keys, key), report
 
 
 def admit_unique(
@@ -84,23 +82,36 @@ def admit_unique(
 ) -> tuple[DataFrame, DataFrame]:
     """Sign-ups whose key is new; of several with one key the first by ``order`` wins.
 
-    ``order`` must tell the rows of one key apart. Rejects carry a ``reason``:
-    ``key_null``, ``key_taken`` or ``key_repeated``.
+    A NULL order comes last, rows of one order are told apart by a hash of their columns, and
+    of rows equal in all columns one is admitted. Rejects carry a ``reason``: ``key_null``,
+    ``key_taken`` or ``key_repeated``.
 
     The first row of a key is found by a partial aggregate, and the check against the
     existing keys then sees each key once, however often it occurs in the batch. Rows are
-    told from winners by joining on key and order together, which is never hot.
+    told from winners by joining on key and place together, which is never hot: equal rows
+    are counted before.
     """
-    known = new.filter(F.col(key).isNotNull())
-    first = known.groupBy(key).agg(F.min(order).alias(order))
+    known = new.filter(F.col(key).isNotNull()).groupBy(new.columns).agg(F.count("*").alias("_n"))
+    place = F.struct(
+        F.isnull(order).alias("_last"), F.col(order).alias("_order"), F.xxhash64(*new.columns).alias("_row")
+    )
+    known = known.withColumn("_place", place)
+    first = known.groupBy(key).agg(F.min("_place").alias("_first"))
     taken = existing.select(key).distinct().withColumn("_taken", F.lit(True))
     verdict = F.when(F.col("_taken"), F.lit("key_taken")).otherwise(F.lit("ok"))
-    judgement = first.join(taken, key, "left").select(key, order, verdict.alias("_verdict"))
-    judged = known.join(judgement, [key, order], "left")
-    ok = judged.filter(F.col("_verdict") == "ok").select(new.columns)
-    refused = judged.filter(~F.col("_verdict").eqNullSafe("ok"))
-    reason = F.coalesce("_verdict", F.lit("key_repeated")).alias("reason")
-    rejects = refused.select(*new.columns, reason).unionByName(
+    judgement = first.join(taken, key, "left").select(
+        key, F.col("_first._row").alias("_row"), verdict.alias("_verdict")
+    )
+    judged = known.withColumn("_row", F.col("_place._row")).join(judgement, [key, "_row"], "left")
+    admitted = F.col("_verdict").eqNullSafe("ok")
+    ok = judged.filter(admitted).select(new.columns)
+    reason = F.when(F.col("_verdict") == "key_taken", F.lit("key_taken")).otherwise(F.lit("key_repeated"))
+    # of equal rows the first has the verdict, the others repeat its key
+    reasons = F.concat(
+        F.when(admitted, F.array().cast("array<string>")).otherwise(F.array(reason)),
+        F.array_repeat(F.lit("key_repeated"), (F.col("_n") - 1).cast("int")),
+    )
+    rejects = judged.select(*new.columns, F.explode(reasons).alias("reason")).unionByName(
         new.filter(F.col(key).isNull()).withColumn("reason", F.lit("key_null"))
     )
     return ok, rejects

@@ -1,66 +1,20 @@
-"""Joins of a table with a set of keys, whatever the distribution of the keys.
+"""Joins of a table with a set of keys.
 
-A set that is measured to be small is broadcast, and the table is not shuffled at all. For
-a larger one both sides are shuffled, with the hottest keys of the table cut into parts:
-its rows take one part each, the key is repeated for every part.
+The set is made distinct by a partial aggregate, so a key that fills the set costs nothing. A
+set the optimizer knows to be small is broadcast by its size in bytes; otherwise both sides
+are shuffled, and Spark splits a partition of the table that a hot key makes too large.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SENT_KEYS = 200_000  # rows of a key set that may be broadcast
-HOT_KEYS = 100_000  # keys that may be cut into parts; the table of them is broadcast
-PART_ROWS = 1_000_000  # rows of one key that a task should get
-
-
-@dataclass(frozen=True)
-class KeySet:
-    """Distinct keys. Duplicates go by a partial aggregate, so a hot key costs nothing."""
-
-    keys: DataFrame
-    key: str
-    small: bool
-
-    @classmethod
-    def of(cls, df: DataFrame, key: str) -> KeySet:
-        rows = df.select(key)
-        small = rows.limit(SENT_KEYS + 1).count() <= SENT_KEYS
-        return cls(rows.distinct(), key, small)
-
-    def matching(self, df: DataFrame) -> DataFrame:
-        """Rows whose key is in the set."""
-        return self._join(df, "left_semi")
 
-    def missing(self, df: DataFrame) -> DataFrame:
-        """Rows whose key is not in the set, or NULL."""
-        return self._join(df, "left_anti")
 
-    def _join(self, df: DataFrame, how: str) -> DataFrame:
-        key = self.key
-        if self.small:
-            return df.join(F.broadcast(self.keys), key, how).select(df.columns)
-        hot = F.broadcast(_hot_keys(df, key))
-        nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-        row = F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, nested)])
-        part = (
-            F.when(F.col("_parts").isNotNull(), F.pmod(row, "_parts"))
-            # rows without a key match nothing, wherever they go
-            .when(F.col(key).isNull(), row)
-            .otherwise(F.lit(0))
-        )
-        parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1)
-        left = df.join(hot, key, "left").withColumn("_part", part)
-        right = self.keys.join(hot, key, "left").select(key, F.explode(parts).alias("_part"))
-        return left.join(right, [key, "_part"], how).select(df.columns)
+def matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``keys``."""
+    return df.join(keys.select(key).distinct(), key, "left_semi").select(df.columns)
 
 
-def _hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """The hottest keys with their number of parts: at most ``HOT_KEYS`` rows."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > PART_ROWS)
-    hottest = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS)
-    return hottest.select(key, F.ceil(F.col("_n") / PART_ROWS).alias("_parts"))
+def missing(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys``, or NULL."""
+    return df.join(keys.select(key).distinct(), key, "left_anti").select(df.columns)

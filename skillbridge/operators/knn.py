@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skillbridge.functions.nearest import TopK, vectors
-from skillbridge.operators.keys import KeySet
+from skillbridge.operators.keys import matching
 
-SMALL_QUERIES = 2048  # rows of queries that may be sent to every task
+# The default of ``small_queries``: rows of queries that may be sent to every task. It changes
+# the plan and not the result; the bench runs both plans.
+SMALL_QUERIES = 2048
 SMALL_BYTES = 16 << 20  # and their size
-SPLIT_KEYS = 100_000  # keys that may be split; the table of them is broadcast
 QUERY_BLOCK = 2048  # queries of a key handled by one task
 CORPUS_BLOCK = 50_000  # rows of a key handled by one task
 PIVOTS = 64
@@ -41,10 +42,16 @@ METRICS = ("l2sq", "cosine")
 
 
 def _prepare(df: DataFrame, metric: str) -> DataFrame:
-    """Drop rows without a vector; for ``cosine`` scale to unit length, dropping zeros."""
+    """Drop rows without a vector, or with a component that is NULL, NaN or infinite.
+
+    For ``cosine`` vectors are scaled to unit length, and zeros dropped.
+    """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    df = df.filter(F.col("embedding").isNotNull())
+    finite = F.forall(
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    )
+    df = df.filter(F.col("embedding").isNotNull() & finite)
     if metric == "l2sq":
         return df
     as_double = F.col("embedding").cast("array<double>")
@@ -120,16 +127,16 @@ def _result(top: TopK, qids: pa.Array, carried: list[str]) -> Iterator[pa.Record
 
 def _splits(
     queries: DataFrame, corpus: DataFrame, key: str, counted: DataFrame | None
-) -> DataFrame | None:
-    """The largest keys that need more than one block, with the number of blocks per side.
+) -> DataFrame:
+    """The keys that need more than one block, with the number of blocks per side.
 
     Counting has a map-side part, so a hot key costs nothing here. ``counted`` are the
-    corpus rows per key ``(key, c)`` if they are known already. Any further keys have less
-    than a ``SPLIT_KEYS``-th of the rows each and stay whole.
+    corpus rows per key ``(key, c)`` if they are known already. The table stays with Spark,
+    whatever its size.
     """
     c = corpus.groupBy(key).agg(F.count("*").alias("c")) if counted is None else counted
     q = queries.groupBy(key).agg(F.count("*").alias("q"))
-    table = (
+    return (
         c.join(q, key)
         .select(
             key,
@@ -138,10 +145,6 @@ def _splits(
         )
         .filter((F.col("_nc") > 1) | (F.col("_nq") > 1))
     )
-    largest = table.orderBy(F.desc(F.col("_nc") * F.col("_nq")), key).limit(SPLIT_KEYS).toArrow()
-    if not largest.num_rows:
-        return None
-    return corpus.sparkSession.createDataFrame(largest, table.schema)
 
 
 def _join_by_key(
@@ -161,9 +164,7 @@ def _join_by_key(
     table = _splits(queries, corpus, key, counted)
 
     def spread(df: DataFrame, own: str, other: str, id_: str, n_own: str, n_other: str) -> DataFrame:
-        if table is None:
-            return df.withColumns({own: F.lit(0), other: F.lit(0)})
-        df = df.join(F.broadcast(table), key, "left")
+        df = df.join(table, key, "left")
         mine = F.pmod(F.xxhash64(id_), F.coalesce(n_own, F.lit(1))).cast("int")
         others = F.sequence(F.lit(0), F.coalesce(n_other, F.lit(1)) - 1)
         return df.withColumns({own: mine, other: F.explode(others)}).drop("_nc", "_nq")
@@ -380,7 +381,7 @@ def knn_private(
     queries = _prepare(queries, metric).filter(F.col("owner").isNotNull())
     corpus = _prepare(corpus, metric).filter(F.col("owner").isNotNull())
     wanted = k + 1 if exclude_self else k
-    asking = KeySet.of(queries, "owner").matching(corpus)
+    asking = matching(corpus, queries, "owner")
     hits = _join_by_key(queries, asking, "owner", wanted, id_col, _hit_schema(queries, corpus))
     return best_hits(hits, k, id_col, metric, exclude_self)
 
@@ -432,7 +433,10 @@ def knn_lsh(
         seed=seed,
     )
     # fitting draws the directions and needs the dimension only
-    model = lsh.fit(_as_vector(corpus).limit(1))
+    one = _as_vector(corpus).limit(1)
+    if one.isEmpty():
+        return best_hits(corpus.sparkSession.createDataFrame([], _hit_schema(queries, corpus)), k, id_col)
+    model = lsh.fit(one)
 
     def buckets(df: DataFrame) -> DataFrame:
         hashed = model.transform(_as_vector(df))

@@ -74,13 +74,7 @@ def test_foreign_key(spark):
     assert [r.id for r in accounts.user_uploads(uploads, users).collect()] == [1]
 
 
-@pytest.mark.parametrize("sent", [0, 200_000])
-@pytest.mark.parametrize("part", [50, 1_000_000])
-@pytest.mark.parametrize("hot", [1, 10_000])
-def test_key_sets_with_hot_keys_on_both_sides(spark, monkeypatch, sent, part, hot):
-    monkeypatch.setattr(keys, "SENT_KEYS", sent)
-    monkeypatch.setattr(keys, "PART_ROWS", part)
-    monkeypatch.setattr(keys, "HOT_KEYS", hot)
+def test_key_joins_with_hot_keys_on_both_sides(spark):
     key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 5 == 0, F.lit("warm"))
     rows = spark.range(3000).select("id", key.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("k"))
     wanted = spark.range(900).select(
@@ -88,19 +82,23 @@ def test_key_sets_with_hot_keys_on_both_sides(spark, monkeypatch, sent, part, ho
     )
     known = {r.k for r in wanted.collect()} - {None}
     every = rows.collect()
-    chosen = keys.KeySet.of(wanted, "k")
-    assert sorted(chosen.matching(rows).collect()) == sorted(r for r in every if r.k in known)
+    assert sorted(keys.matching(rows, wanted, "k").collect()) == sorted(r for r in every if r.k in known)
     by_id = lambda found: sorted(r.id for r in found)
-    assert by_id(chosen.missing(rows).collect()) == by_id(r for r in every if r.k not in known)
+    assert by_id(keys.missing(rows, wanted, "k").collect()) == by_id(r for r in every if r.k not in known)
 
 
-def test_small_key_sets_do_not_shuffle_the_table(spark, plan_of, monkeypatch):
-    table = spark.range(10**6).select(F.col("id").cast("string").alias("k"))
-    wanted = spark.createDataFrame([("1",)], "k string")
-    assert "BroadcastHashJoin" in plan_of(keys.KeySet.of(wanted, "k").matching(table))
-    monkeypatch.setattr(keys, "SENT_KEYS", 0)
-    plan = plan_of(keys.KeySet.of(wanted, "k").matching(table))
-    assert "_part" in plan
+def test_sets_are_broadcast_by_their_size_only(spark, plan_of, folder):
+    spark.range(10**5).select(F.col("id").cast("string").alias("k")).write.parquet(f"{folder}/table")
+    spark.createDataFrame([("1",)], "k string").write.parquet(f"{folder}/few")
+    table, few = spark.read.parquet(f"{folder}/table"), spark.read.parquet(f"{folder}/few")
+    assert "BroadcastHashJoin" in plan_of(keys.matching(table, few, "k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        assert "SortMergeJoin" in plan_of(keys.matching(table, table, "k"))
+        plan = plan_of(accounts.user_uploads(table, table, few, "k"))
+        assert plan.count("FileScan") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_erase_cascades_and_ignores_unknown_keys(spark, folder):
@@ -127,6 +125,19 @@ def test_admit_unique(spark):
     ]
 
 
+def test_admit_unique_has_one_winner(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "a", "y"), (2, "b", "x"), (2, "b", "x"), (None, "c", "x"),
+            (None, "c", "x"), (None, "d", "x"), (3, "d", "x"), (None, "e", "z"), (7, "t", "x"), (7, "t", "x")]
+    new = frame(spark, rows, "id int, email string, password string")
+    ok, bad = accounts.admit_unique(new, frame(spark, [("t",)], "email string"), "email", "id")
+    admitted, refused = ok.collect(), bad.collect()
+    assert sorted(r.email for r in admitted) == ["a", "b", "c", "d", "e"]
+    assert {r.id for r in admitted if r.email == "d"} == {3}
+    assert len(admitted) + len(refused) == len(rows)
+    assert sorted(r.reason for r in refused) == ["key_repeated"] * 6 + ["key_taken"]
+    assert {r.reason for r in refused if r.email in "abcde"} == {"key_repeated"}
+
+
 def test_admit_unique_with_a_hot_key(spark):
     """A third of the batch has one key; it is reduced before the join on the key."""
     new = spark.range(30000).select(

@@ -88,9 +88,7 @@ def test_scope_with_a_hot_owner(spark, tiny_blocks, small, monkeypatch):
     assert all(r.owner in (None, whose[r.qid]) for r in hits.collect())
 
 
-@pytest.mark.parametrize("split_keys", [0, 1, 2])
-def test_keys_beyond_the_split_table_stay_whole(spark, tiny_blocks, monkeypatch, split_keys):
-    monkeypatch.setattr(knn, "SPLIT_KEYS", split_keys)
+def test_all_large_keys_are_split(spark, tiny_blocks):
     queries, corpus = rows(3, 30, ("a", "b")), rows(4, 150, ("a", "b"))
     q, c = frames(spark, queries, corpus)
     want = brute(queries, corpus, 3, lambda a, b: a == b)
@@ -143,3 +141,36 @@ def test_no_pairs_are_joined_and_groups_are_limited_early(spark, plan_of, name):
     plan = plan_of(registry.QUERIES[name](spark, SF))
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def rubbish(seed, first):
+    """Rows that no search may be disturbed by."""
+    nan, inf = float("nan"), float("inf")
+    bad = [[nan, 0.0, 0.0, 0.0], [0.0, None, 0.0, 0.0], [inf, 0.0, 0.0, 0.0], [-inf] * 4, [nan] * 4, None]
+    return [(first + i, None, v) for i, v in enumerate(bad)]
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_nan_null_and_infinite_components_cost_no_hit(spark, tiny_blocks, small):
+    queries, corpus = rows(1, 20), rows(2, 60)
+    q, c = frames(spark, queries + rubbish(3, 500), corpus + rubbish(4, 500))
+    assert grouped(knn.knn(q, c, 3, small_queries=small)) == brute(queries, corpus, 3)
+    near = grouped(knn.knn_lsh(q, c, 3, radius=50.0))
+    assert near == brute(queries, corpus, 3)
+    owned = [(i, "a", v) for i, _, v in corpus]
+    q, c = frames(spark, [(i, "a", v) for i, _, v in queries + rubbish(3, 500)], owned + [(i, "a", v) for i, _, v in rubbish(4, 500)])
+    assert grouped(knn.knn_scoped(q, c, 3)) == brute(queries, corpus, 3)
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_ragged_vectors_are_refused(spark, small):
+    q, c = frames(spark, rows(1, 3), rows(2, 10) + [(99, None, [1.0])])
+    with pytest.raises(Exception, match="components"):
+        knn.knn(q, c, 3, small_queries=small).collect()
+
+
+def test_empty_inputs_of_the_approximate_search(spark):
+    q, c = frames(spark, rows(1, 3), rows(2, 10))
+    assert knn.knn_lsh(q, c.filter("false"), 3).count() == 0
+    assert knn.knn_lsh(q.filter("false"), c, 3).count() == 0
+    assert knn.knn_scoped(q, c.filter("false"), 3).count() == 0
