@@ -44,17 +44,16 @@ def owned_documents(df: DataFrame, kind: str, doc_id: Column, owner: Column, tex
     ).filter(F.col("text").isNotNull())
 
 
-def request_documents(requests: DataFrame) -> DataFrame:
-    """Resume and job description of each request, in one pass, owned by the request."""
-    owner = F.col("request_id")
+def request_documents(requests: DataFrame, owner: str = "request_id") -> DataFrame:
+    """Resume and job description of each request, in one pass, owned by column ``owner``."""
     texts = F.array(
         F.struct(F.lit("resume").alias("kind"), F.col("resume").alias("text")),
         F.struct(F.lit("job").alias("kind"), F.col("job_desc").alias("text")),
     )
     return (
-        requests.select(owner.alias("owner"), F.inline(texts))
+        requests.select(F.col(owner).alias("owner"), "request_id", F.inline(texts))
         .filter(F.col("text").isNotNull())
-        .select(F.concat_ws("-", "kind", "owner").alias("doc_id"), "owner", "kind", "text")
+        .select(F.concat_ws("-", "kind", "request_id").alias("doc_id"), "owner", "kind", "text")
     )
 
 

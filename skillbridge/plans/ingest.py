@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillbridge.operators.quality import conform, split_valid, table_rules
+from skillbridge.operators.quality import check, conform, table_rules
 from skillbridge.schemas import COURSES
-from skillbridge.sources.listings import SourceSpec, bad_pages, flatten_listing, map_fields
+from skillbridge.sources.listings import SourceSpec, flatten_listing, map_fields, read_items
 
 TRACE = ("_source", "_page")
 
@@ -17,15 +17,34 @@ def typed_listing(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     return conform(map_fields(flatten_listing(pages, spec), spec), COURSES, keep=TRACE)
 
 
+def judge(pages: DataFrame, spec: SourceSpec) -> DataFrame:
+    """All items and unreadable pages of one provider in one pass, with their ``errors``.
+
+    Course columns, provider, page, ``raw`` (the JSON as it came) and ``errors``, which is
+    empty for a course that satisfies the table's constraints.
+    """
+    typed = conform(map_fields(read_items(pages, spec), spec), COURSES, keep=(*TRACE, "_item", "_broken"))
+    checked = check(typed, table_rules(COURSES))
+    errors = F.when(F.col("_broken").isNull(), F.col("errors")).otherwise(F.array("_broken"))
+    return checked.select(*COURSES.names, *TRACE, F.col("_item").alias("raw"), errors.alias("errors"))
+
+
+def courses_of(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.size("errors") == 0).select(COURSES.names)
+
+
+def rejects_of(judged: DataFrame) -> DataFrame:
+    return judged.filter(F.size("errors") > 0).select(*TRACE, "raw", "errors")
+
+
 def ingest(pages: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame]:
     """Courses that satisfy the table's constraints, and rejects with their reasons.
 
     A bad row or page does not stop its batch; the reject keeps provider, page and the
-    raw JSON.
+    raw JSON. Both are filters of :func:`judge`; a job that writes both stores that first.
     """
-    valid, broken = split_valid(typed_listing(pages, spec), table_rules(COURSES))
-    rejects = broken.select(*TRACE, F.to_json("_raw").alias("raw"), "errors")
-    return valid.select(COURSES.names), rejects.unionByName(bad_pages(pages, spec))
+    judged = judge(pages, spec)
+    return courses_of(judged), rejects_of(judged)
 
 
 def all_courses(*providers: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ where a number belongs, orphans, gaps) comes from how the tables' own columns fa
 
 * provider A lists ``part``, provider B lists ``documents`` with their ``labels``;
 * users are ``customer``, active users the ``user_id`` of ``events``, uploads ``orders``;
-* the index is ``embeddings`` with the text of ``documents``: label 0 is shared, any other
-  label is an owner.
+* the index is ``embeddings`` with the texts of ``documents``, both whole: label 0 is shared,
+  any other label is an owner.
 """
 
 from __future__ import annotations
@@ -127,6 +127,23 @@ def upload_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload forms with the columns of an upload."""
+    own = uploads(spark, sf_dir).select("id", "email", "job_description")
+    return upload_forms(spark, sf_dir).join(own, "id")
+
+
+def turn_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a request of its own sender; the turns of a conversation share an id."""
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    return table(spark, sf_dir, "conversations").select(
+        conv.alias("request_id"),
+        email(F.concat_ws("-", conv, turn)).alias("email"),
+        F.col("text").alias("resume"),
+        F.col("role").alias("job_desc"),
+    )
+
+
 def resume_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an upload: its whole text is the file."""
     return wide_table(spark, sf_dir, "documents").select(
@@ -182,9 +199,20 @@ class LetterEmbedder:
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vec_id, owner, text, embedding``: vectors that have a document of the same number."""
-    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return scoped_vectors(spark, sf_dir).join(text, "vec_id")
+    """``vec_id, owner, text, embedding``: all vectors and all documents.
+
+    Row ``r`` has the vector numbered ``r`` modulo their count and the document likewise, so
+    the larger table is there once and the smaller one is gone through again.
+    """
+    vectors = scoped_vectors(spark, sf_dir)
+    text = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_vectors, n_texts = vectors.count(), text.count()
+    if n_vectors >= n_texts:
+        rows = vectors.withColumn("doc_id", F.pmod("vec_id", F.lit(max(1, n_texts))))
+        return rows.join(text, "doc_id").drop("doc_id")
+    rows = text.withColumn("number", F.pmod("doc_id", F.lit(max(1, n_vectors))))
+    named = vectors.withColumnRenamed("vec_id", "number")
+    return rows.join(named, "number").select(F.col("doc_id").alias("vec_id"), "owner", "embedding", "text")
 
 
 def scoped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,14 @@ WHERE rk <= {k}"""
 _ALL_PAIRS = "FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id"
 _SCOPED_PAIRS = """FROM embeddings q JOIN embeddings c
      ON q.vec_id <> c.vec_id AND (c.label = 0 OR c.label = q.label)"""
-_INDEX_PAIRS = f"{_SCOPED_PAIRS} JOIN documents t ON t.doc_id = c.vec_id"
+# Row r of the index: vector and document numbered r modulo their counts.
+_INDEX = """(
+  SELECT r AS vec_id, e.embedding, e.label, t.text
+  FROM unnest(generate_series(0, greatest((SELECT count(*) FROM embeddings), (SELECT count(*) FROM documents)) - 1)) u(r)
+  JOIN embeddings e ON e.vec_id = r % (SELECT count(*) FROM embeddings)
+  JOIN documents t ON t.doc_id = r % (SELECT count(*) FROM documents))"""
+_INDEX_PAIRS = f"""FROM embeddings q JOIN {_INDEX} c
+     ON q.vec_id <> c.vec_id AND (c.label = 0 OR c.label = q.label)"""
 
 
 def _hits(pairs: str, metric: str = "l2sq") -> str:
@@ -61,11 +68,16 @@ def _hits(pairs: str, metric: str = "l2sq") -> str:
 _ANSWERS = f"""
 SELECT qid, string_agg(text, e'\\n\\n' ORDER BY rk) AS context,
        string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rk) AS sources
-FROM ({_ranked(_INDEX_PAIRS)}) h JOIN documents ON doc_id = vec_id GROUP BY qid"""
+FROM ({_ranked(_INDEX_PAIRS)}) h JOIN (SELECT vec_id AS id, text FROM {_INDEX}) ON id = vec_id GROUP BY qid"""
 
 _BEFORE, _AFTER = PROMPT_TEMPLATE.replace("{question}", STANDING_QUESTION).split("{context}")
 _PROMPT = f"{_quote(_BEFORE)} || context || {_quote(_AFTER)}"
 
+# the template with a question of its own
+_PROMPT_OF = "{} || context || {} || question || {}".format(
+    *map(_quote, PROMPT_TEMPLATE.replace("{question}", "{context}").split("{context}"))
+)
+
 _RECOMMEND = f"""
 SELECT qid, 'user' || qid || '@example.com' AS address, 'Courses' AS subject, context, sources,
        {_PROMPT} AS prompt
@@ -149,49 +161,65 @@ FROM (SELECT doc_id, s, regexp_replace(substring(text, s + 1, e - s), '^\\s+|\\s
 WHERE chunk <> ''"""
 
 
-_REQUEST_DOCS = """
-SELECT 'resume-' || doc_id AS doc_id, CAST(doc_id AS VARCHAR) AS qid, text FROM documents
-UNION ALL
-SELECT 'job-' || doc_id, CAST(doc_id AS VARCHAR), lang || ' ' || source FROM documents"""
+# Requests: (qid, request_id, address, resume, job_desc, question).
+_RESUMES = """
+SELECT CAST(doc_id AS VARCHAR) AS qid, CAST(doc_id AS VARCHAR) AS request_id,
+       'user' || doc_id || '@example.com' AS address, text AS resume, lang || ' ' || source AS job_desc
+FROM documents"""
+_TURNS = """
+SELECT conv_id || '-' || turn AS qid, CAST(conv_id AS VARCHAR) AS request_id,
+       'user' || conv_id || '-' || turn || '@example.com' AS address, text AS resume, role AS job_desc
+FROM conversations"""
 
 _COURSE_DOCS = f"""
 SELECT concat_ws('-', CAST(id AS VARCHAR), md5(title || headline)) AS doc_id, CAST(NULL AS VARCHAR) AS qid,
        title || headline AS text
 FROM ({_LISTING_A} UNION ALL {_VALID_B}) WHERE headline IS NOT NULL"""
 
-_RECOMMEND_WINDOWS = f"""
-WITH texts AS (
-  SELECT qid, doc_id || '#' || lpad(CAST(chunk_idx AS VARCHAR), 9, '0') AS chunk_id, chunk
-  FROM ({_chunks(f"({_REQUEST_DOCS} UNION ALL {_COURSE_DOCS})", "doc_id, qid")})
-  UNION ALL SELECT 'question', 'question', {_quote(STANDING_QUESTION)}),
+
+def _recommend_windows(requests: str, question: str) -> str:
+    """Fixed windows and letter counts; ``question`` is an expression over the requests."""
+    return f"""
+WITH requests AS MATERIALIZED (SELECT *, {question} AS question FROM ({requests})),
+asked AS (SELECT row_number() OVER (ORDER BY question) AS q, question FROM (SELECT DISTINCT question FROM requests)),
+request_docs AS (
+  SELECT 'resume-' || request_id AS doc_id, qid, resume AS text FROM requests WHERE resume IS NOT NULL
+  UNION ALL SELECT 'job-' || request_id, qid, job_desc FROM requests WHERE job_desc IS NOT NULL),
+docs AS (SELECT * FROM request_docs UNION ALL SELECT DISTINCT * FROM ({_COURSE_DOCS})),
+texts AS (
+  SELECT qid, NULL::BIGINT AS q, doc_id || '#' || lpad(CAST(chunk_idx AS VARCHAR), 9, '0') AS chunk_id, chunk
+  FROM ({_chunks("docs", "doc_id, qid")})
+  UNION ALL SELECT NULL, q, NULL, question FROM asked),
 counts AS (
   SELECT *, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''),
                            lambda c: length(chunk) - length(replace(chunk, c, ''))) AS n FROM texts),
-vectors AS (
-  SELECT qid, chunk_id, chunk, list_transform(n, lambda x: CAST(x / norm AS FLOAT)::DOUBLE) AS v
+vectors AS MATERIALIZED (
+  SELECT qid, q, chunk_id, chunk, list_transform(n, lambda x: CAST(x / norm AS FLOAT)::DOUBLE) AS v
   FROM (SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))::DOUBLE) AS norm FROM counts)
   WHERE norm > 0),
-dists AS (
-  SELECT c.qid, c.chunk_id, c.chunk,
-         list_sum(list_transform(list_zip(c.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
-  FROM vectors c, (SELECT v FROM vectors WHERE qid = 'question') q
-  WHERE c.qid IS DISTINCT FROM 'question'),
-courses AS (SELECT * FROM dists WHERE qid IS NULL ORDER BY d, chunk_id LIMIT 3),
+questions AS (SELECT q, question, v AS qv FROM vectors JOIN asked USING (q)),
+near AS MATERIALIZED (
+  SELECT s.q, c.chunk_id, c.chunk,
+         list_sum(list_transform(list_zip(c.v, s.qv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM vectors c, questions s WHERE c.qid IS NULL AND c.q IS NULL
+  QUALIFY row_number() OVER (PARTITION BY s.q ORDER BY d, c.chunk_id) <= 3),
 own AS (
-  SELECT * FROM dists WHERE qid IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, chunk_id) <= 3),
+  SELECT c.qid, c.chunk_id, c.chunk,
+         list_sum(list_transform(list_zip(c.v, s.qv), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM vectors c JOIN requests r ON r.qid = c.qid JOIN questions s ON s.question = r.question),
 hits AS (
   SELECT * FROM (
-    SELECT * FROM own UNION ALL
-    SELECT CAST(doc_id AS VARCHAR), chunk_id, chunk, d FROM courses, documents)
+    SELECT qid, chunk_id, chunk, d FROM own UNION ALL
+    SELECT r.qid, n.chunk_id, n.chunk, n.d
+    FROM near n JOIN questions s USING (q) JOIN requests r ON r.question = s.question)
   QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, chunk_id) <= 3),
 answers AS (
-  SELECT qid AS request_id, string_agg(chunk, e'\n\n' ORDER BY d, chunk_id) AS context,
-         string_agg(chunk_id, ',' ORDER BY d, chunk_id) AS sources FROM hits GROUP BY qid)
-SELECT request_id, 'user' || request_id || '@example.com' AS address, 'Courses' AS subject,
-       (SELECT string_agg(chunk, e'\n' ORDER BY d, chunk_id) FROM courses) AS message,
-       context, sources, {_PROMPT} AS prompt
-FROM answers"""
+  SELECT qid, string_agg(chunk, e'\n\n' ORDER BY d, chunk_id) AS context,
+         string_agg(chunk_id, ',' ORDER BY d, chunk_id) AS sources FROM hits GROUP BY qid),
+messages AS (SELECT q, string_agg(chunk, e'\n' ORDER BY d, chunk_id) AS message FROM near GROUP BY q)
+SELECT request_id, address, 'Courses' AS subject, message, context, sources,
+       {_PROMPT_OF} AS prompt
+FROM answers JOIN requests USING (qid) JOIN asked USING (question) JOIN messages USING (q)"""
 
 
 ORACLES: dict[str, str] = {
@@ -258,7 +286,20 @@ FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
     "update_latest": """
 SELECT CAST(n_nationkey AS BIGINT) AS key, coalesce(arg_max(o_totalprice, o_orderkey), 0.0::DOUBLE) AS v
 FROM nation LEFT JOIN orders ON n_nationkey = o_custkey GROUP BY n_nationkey""",
+    "surrogate_summary": "SELECT count(*) AS n_rows, count(*) AS n_ids, true AS above_start FROM customer",
     # messages
+    "upload_publish": f"""
+SELECT CAST(id AS VARCHAR) AS message_id, email, o_orderpriority AS resume,
+       o_orderstatus || ' ' || o_orderpriority AS job_desc, CAST(NULL AS VARCHAR) AS error
+FROM ({_UPLOADS}) JOIN orders ON o_orderkey = id
+WHERE o_orderstatus = 'O' AND o_orderpriority <> '5-LOW' AND orders.o_custkey IN ({_ACTIVE})""",
+    "upload_publish_rejects": f"""
+SELECT id, errors FROM (
+  SELECT o_orderkey AS id, concat_ws(',', CASE WHEN o_orderpriority = '5-LOW' THEN 'no_file' END,
+         CASE WHEN o_orderstatus <> 'O' THEN 'not_pdf' END,
+         CASE WHEN o_orderpriority <> '5-LOW' AND o_orderstatus = 'O' AND o_custkey NOT IN ({_ACTIVE})
+              THEN 'unknown_user' END) AS errors FROM orders)
+WHERE errors <> ''""",
     "request_roundtrip": """
 SELECT CAST(doc_id AS VARCHAR) AS request_id, 'user' || doc_id || '@example.com' AS email,
        text AS resume, lang || ' ' || source AS job_desc FROM documents""",
@@ -279,12 +320,16 @@ FROM ({_chunks(f"({_DOC_UNION})", "doc_id, owner, kind")})""",
     "knn_top3": _hits(_ALL_PAIRS),
     "knn_cosine": _hits(_ALL_PAIRS, "cosine"),
     "knn_cells": _hits(_ALL_PAIRS),
+    "knn_lsh_recall": """
+SELECT count(*) AS n_queries, true AS distances_exact, true AS recall_reached FROM embeddings""",
     "knn_scoped": _hits(_SCOPED_PAIRS),
     "context": f"SELECT qid, context FROM ({_ANSWERS})",
     "source_docs": f"SELECT qid, sources FROM ({_ANSWERS})",
     "prompt": f"SELECT qid, {_PROMPT} AS prompt FROM ({_ANSWERS})",
     "recommend": _RECOMMEND,
-    "recommend_windows": _RECOMMEND_WINDOWS,
+    "recommend_windows": _recommend_windows(_RESUMES, _quote(STANDING_QUESTION)),
+    "recommend_isolated": _recommend_windows(_TURNS, _quote(STANDING_QUESTION)),
+    "recommend_per_request": _recommend_windows(_RESUMES, "job_desc"),
     # streams
     "stream_route": f"""
 SELECT event_id, CASE WHEN value < 10 THEN props WHEN value < 20 THEN event_type ELSE body END AS body
@@ -294,7 +339,8 @@ FROM (
   FROM events) WHERE event_type = 'purchase'""",
     "stream_deadletter": f"""
 SELECT event_id, {_quote(OPERATOR_ADDRESS)} AS address, 'Service Error' AS subject,
-       'Error occurred: ' || CASE WHEN value < 10 THEN 'email is missing' ELSE 'body is not JSON' END AS message
+       'Error occurred: ' || CASE WHEN value < 10 THEN 'email is missing' ELSE 'body is not JSON' END AS message,
+       CASE WHEN value < 10 THEN props ELSE event_type END AS body
 FROM events WHERE event_type = 'purchase' AND value < 20""",
     "stream_admit": f"SELECT id FROM ({_UPLOADS}) WHERE o_custkey IN ({_ACTIVE})",
     "stream_ingest": _LISTING_A,

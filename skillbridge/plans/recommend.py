@@ -44,9 +44,11 @@ def index_courses(
     """The shared part of the index. Build it once, store it, and use it for all requests.
 
     Courses have no key, so a document is named by the course's id and a hash of its text.
+    Loads append and may hold a course several times; it is indexed once.
     """
     name = F.concat_ws("-", F.col("id").cast("string"), F.md5(F.concat("title", "headline")))
-    return index_documents(course_documents(courses, name), embedder, chunker)
+    documents = course_documents(courses, name).dropDuplicates(["doc_id"])
+    return index_documents(documents, embedder, chunker)
 
 
 def answer_queries(
@@ -98,19 +100,25 @@ def recommend(
     chunker: Chunker = chunk_text,
     template: str = PROMPT_TEMPLATE,
     nearest: tuple[list[float], list[Row]] | None = None,
+    query: str | None = None,
 ) -> DataFrame:
     """Recommendations for requests ``(request_id, email, resume, job_desc)``.
 
+    With ``query`` that column is what each request asks (see :func:`recommend_each`).
+
     ``index`` is the stored index of the courses. Every request asks the same question, so
     the ``k`` nearest courses are found once for all of them (a stream passes them in as
     ``nearest``). A request's own documents are chunked and embedded here and ranked
-    against that question by a built-in expression; they are scoped by ``request_id``, so
-    nobody's text can reach somebody else's context.
+    against that question by a built-in expression; they are scoped by ``request_id`` and
+    ``email`` together, so nobody's text can reach somebody else's context, even if ids are
+    missing or come twice.
 
     Returns ``request_id, address, subject, message, context, sources, prompt``. The
     message is the ranked list of nearest courses; the context may also hold the
     request's own text.
     """
+    if query is not None:
+        return recommend_each(requests, index, query, k, embedder, chunker, template)
     vector, courses = nearest or nearest_courses(index, k, question, embedder)
     hit = "array<struct<dist:double,chunk_id:string,chunk:string>>"
     shared = F.array(
@@ -120,16 +128,17 @@ def recommend(
     ).cast(hit)
 
     requests = requests.withColumn("request_id", F.col("request_id").cast("string"))
-    private = index_documents(request_documents(requests), embedder, chunker).select(
+    requests = requests.withColumn("_scope", F.to_json(F.struct("request_id", "email")))
+    private = index_documents(request_documents(requests, "_scope"), embedder, chunker).select(
         F.col("owner").alias("qid"), "chunk_id", distance_to(vector).alias("dist"), "chunk"
     )
     own = (
         best_hits(private, k, "chunk_id")
-        .groupBy(F.col("qid").alias("request_id"))
+        .groupBy(F.col("qid").alias("_scope"))
         .agg(F.collect_list(F.struct("dist", "chunk_id", "chunk")).alias("_own"))
     )
     both = F.concat(shared, F.coalesce("_own", F.array().cast(hit)))
-    answered = requests.join(own, "request_id", "left").withColumn(
+    answered = requests.join(own, "_scope", "left").withColumn(
         "_hits", F.slice(F.array_sort(both), 1, k)
     )
     contexts = answered.select(
@@ -141,3 +150,56 @@ def recommend(
         F.transform("_hits", lambda h: h["chunk_id"]).alias("sources"),
     )
     return build_prompts(contexts, question, template)
+
+
+def recommend_each(
+    requests: DataFrame,
+    index: DataFrame,
+    query: str,
+    k: int = 3,
+    embedder: Embedder | None = None,
+    chunker: Chunker = chunk_text,
+    template: str = PROMPT_TEMPLATE,
+) -> DataFrame:
+    """As :func:`recommend`, with a question of its own for every request.
+
+    Equal questions of one request are searched once. The message ranks the nearest courses
+    of the request's question; its own documents are compared with that question only. A
+    request whose question has no word gets an empty message and context.
+    """
+    requests = requests.withColumn("request_id", F.col("request_id").cast("string"))
+    requests = requests.withColumns(
+        {
+            "_scope": F.to_json(F.struct("request_id", "email")),
+            "_ask": F.to_json(F.struct("request_id", "email", F.col(query).alias("query"))),
+        }
+    )
+    asked = requests.select("_ask", "_scope", F.col(query).alias("_text")).dropDuplicates(["_ask"])
+    asked = embed(asked.filter(F.col("_text").isNotNull()), "_text", embedder)
+    asked = asked.select(F.col("_ask").alias("qid"), "_scope", "embedding")
+
+    courses = index.filter(F.col("owner").isNull()).select("chunk_id", "chunk", "embedding")
+    shared = knn(asked.select("qid", "embedding"), courses, k, id_col="chunk_id")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rk", "chunk"))), lambda h: h["chunk"])
+    messages = shared.groupBy("qid").agg(F.array_join(texts, "\n").alias("message"))
+
+    documents = request_documents(requests.dropDuplicates(["_scope", "resume", "job_desc"]), "_scope")
+    private = index_documents(documents, embedder, chunker)
+    private = private.select(F.col("owner").alias("_scope"), "chunk_id", "chunk", F.col("embedding").alias("_own"))
+    squares = F.zip_with("_own", "embedding", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+    own = private.join(asked, "_scope").select(
+        "qid", "chunk_id", F.aggregate(squares, F.lit(0.0), lambda s, x: s + x).alias("dist"), "chunk"
+    )
+    hits = best_hits(own.unionByName(shared.select("qid", "chunk_id", "dist", "chunk")), k, "chunk_id")
+    inputs = answer_inputs(hits, "chunk_id", "chunk").join(messages, "qid", "left")
+    answered = requests.join(inputs.withColumnRenamed("qid", "_ask"), "_ask", "left")
+    contexts = answered.select(
+        "request_id",
+        F.col("email").alias("address"),
+        F.lit(ANSWER_SUBJECT).alias("subject"),
+        F.coalesce("message", F.lit("")).alias("message"),
+        F.coalesce("context", F.lit("")).alias("context"),
+        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
+        F.coalesce(F.col(query), F.lit("")).alias("_question"),
+    )
+    return build_prompts(contexts, F.col("_question"), template).drop("_question")

@@ -16,6 +16,7 @@ from skillbridge.operators import accounts, context, corpus, knn, quality
 from skillbridge.plans import inputs as I
 from skillbridge.plans.ingest import all_courses, ingest, typed_listing
 from skillbridge.plans.recommend import answer_queries, index_courses, recommend
+from skillbridge.plans.uploads import publish_uploads
 from skillbridge.schemas import COURSES
 from skillbridge.session import scratch_path
 from skillbridge.sources import listings, requests, sinks
@@ -70,7 +71,7 @@ def courses_rejects(spark: SparkSession, sf: str) -> DataFrame:
         "_source",
         "_page",
         F.get_json_object("raw", "$.id").alias("raw_id"),
-        F.get_json_object("raw", "$.title").alias("raw_title"),
+        F.get_json_object("raw", "$.name").alias("raw_title"),
         F.array_join("errors", ",").alias("errors"),
     )
 
@@ -237,6 +238,16 @@ def surrogate_ids(spark: SparkSession, sf: str) -> DataFrame:
     return accounts.assign_ids(I.table(spark, sf, "customer"), start=1000)
 
 
+@query
+def surrogate_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the ids, whatever they are."""
+    return surrogate_ids(spark, sf).agg(
+        F.count("*").alias("n_rows"),
+        F.countDistinct("id").alias("n_ids"),
+        (F.min("id") > 1000).alias("above_start"),
+    )
+
+
 # Messages -----------------------------------------------------------------------------
 
 
@@ -252,6 +263,23 @@ def request_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _requests(spark, sf).select("request_id", "email", "resume", "job_desc")
 
 
+@query
+def upload_publish(spark: SparkSession, sf: str) -> DataFrame:
+    """The messages that the upload job sends for all orders as forms."""
+    table, queue = scratch_path(spark, "uploads-table"), scratch_path(spark, "uploads-queue")
+    publish_uploads(I.full_forms(spark, sf), I.active_users(spark, sf), table, queue)
+    sent = requests.parse_requests(requests.route(requests.read_requests(spark, queue)))
+    stored = spark.read.parquet(table).select(F.col("id").cast("string").alias("message_id"))
+    return sent.join(stored, "message_id").select("message_id", "email", "resume", "job_desc", "error")
+
+
+@query
+def upload_publish_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    table, queue = scratch_path(spark, "uploads-table"), scratch_path(spark, "uploads-queue")
+    rejects = publish_uploads(I.full_forms(spark, sf), I.active_users(spark, sf), table, queue)
+    return rejects.select("id", F.array_join("errors", ",").alias("errors"))
+
+
 @query
 def answer_trim(spark: SparkSession, sf: str) -> DataFrame:
     padded = F.concat(F.lit("\n\t  "), F.col("text"), F.lit("  \r\n"))
@@ -364,6 +392,18 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(knn.knn_lsh(*_vectors(spark, sf), exclude_self=True))
 
 
+@query
+def knn_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How the approximate hits compare with the exact ones."""
+    near, exact = knn_lsh(spark, sf), knn_top3(spark, sf)
+    found = exact.select("qid", "vec_id", F.col("d").alias("true_d")).join(near, ["qid", "vec_id"], "left")
+    return found.agg(
+        F.countDistinct("qid").alias("n_queries"),
+        F.bool_and(F.coalesce(F.col("d") == F.col("true_d"), F.lit(True))).alias("distances_exact"),
+        (F.count("d") >= 0.85 * F.count("*")).alias("recall_reached"),
+    )
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     queries, index = I.vector_queries(spark, sf), I.vector_index(spark, sf)
     hits = knn.knn_scoped(queries, index.drop("text"), exclude_self=True)
@@ -417,18 +457,37 @@ def recommend_text(spark: SparkSession, sf: str) -> DataFrame:
     return answers.withColumn("sources", F.array_join("sources", ","))
 
 
-@query
-def recommend_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """The same job with fixed windows and letter counts, which SQL can check."""
-    embedder, chunker = I.LetterEmbedder(), corpus.chunk_fixed
-    index = index_courses(_both_providers(spark, sf), embedder, chunker)
+def _window_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = index_courses(_both_providers(spark, sf), I.LetterEmbedder(), corpus.chunk_fixed)
     folder = sinks.write_index(index, scratch_path(spark, "window-index"), "v1")
+    return sinks.read_index(spark, folder)
+
+
+def _windows(spark: SparkSession, sf: str, asked: DataFrame, **options: str) -> DataFrame:
+    """The text job with fixed windows and letter counts, which SQL can check."""
     answers = recommend(
-        _requests(spark, sf), sinks.read_index(spark, folder), embedder=embedder, chunker=chunker
+        asked, _window_index(spark, sf), embedder=I.LetterEmbedder(), chunker=corpus.chunk_fixed, **options
     )
     return answers.withColumn("sources", F.array_join("sources", ","))
 
 
+@query
+def recommend_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _windows(spark, sf, _requests(spark, sf))
+
+
+@query
+def recommend_isolated(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of different senders under one id: each is answered from its own texts."""
+    return _windows(spark, sf, I.turn_requests(spark, sf))
+
+
+@query
+def recommend_per_request(spark: SparkSession, sf: str) -> DataFrame:
+    """Every request asks its own question: its job description."""
+    return _windows(spark, sf, _requests(spark, sf), query="job_desc")
+
+
 # Streams ------------------------------------------------------------------------------
 
 
@@ -472,14 +531,20 @@ def stream_deadletter(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "stream-dead")
     routed = requests.route(I.event_messages(_table_stream(spark, sf, "events")))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        _, failed = requests.split_requests(batch)
-        letters = jobs.dead_letters(failed, I.OPERATOR_ADDRESS, "message_id")
-        sinks.write_batch(letters, out, batch_id)
-
-    jobs.run_batches(requests.parse_requests(routed), handle, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out).select(
-        F.col("message_id").cast("bigint").alias("event_id"), "address", "subject", "message"
+    def echo(usable: DataFrame) -> DataFrame:
+        subject = F.lit(X.ANSWER_SUBJECT)
+        return usable.select(
+            F.col("message_id").alias("request_id"),
+            F.col("email").alias("address"),
+            subject.alias("subject"),
+            F.col("job_desc").alias("message"),
+        )
+
+    parsed = requests.parse_requests(routed)
+    done = jobs.recommend_stream(parsed, echo, I.OPERATOR_ADDRESS, out, f"{out}-checkpoint")
+    done.awaitTermination()
+    return spark.read.parquet(f"{out}/dead").select(
+        F.col("message_id").cast("bigint").alias("event_id"), "address", "subject", "message", "body"
     )
 
 
@@ -511,12 +576,8 @@ def stream_recommend_text(spark: SparkSession, sf: str) -> DataFrame:
     """Landed requests answered per micro-batch by the same job as ``recommend_text``."""
     landed, out = scratch_path(spark, "stream-requests"), scratch_path(spark, "stream-texts")
     requests.write_requests(requests.encode_requests(I.resume_uploads(spark, sf)), landed)
-    index = _course_index(spark, sf)
+    answer = jobs.course_answers(_course_index(spark, sf))
     parsed = jobs.request_stream(spark, landed)
-
-    def answer(batch: DataFrame) -> DataFrame:
-        return recommend(batch.withColumnRenamed("message_id", "request_id"), index)
-
     done = jobs.recommend_stream(parsed, answer, I.OPERATOR_ADDRESS, out, f"{out}/checkpoint")
     done.awaitTermination()
     answers = spark.read.parquet(f"{out}/answers").drop("batch_id")

@@ -25,13 +25,17 @@ class SourceSpec:
 
     @property
     def page_schema(self) -> T.StructType:
-        """Every leaf is read as text: casting is a later step that can report failures."""
-        item = T.StructType([T.StructField(f, T.StringType()) for f in self.fields])
-        node: T.DataType = T.ArrayType(item)
+        """A page's envelope; its items stay JSON, so that one bad item spoils no other."""
+        node: T.DataType = T.ArrayType(T.StringType())
         for key in reversed(self.envelope):
             node = T.StructType([T.StructField(key, node)])
         return node
 
+    @property
+    def item_schema(self) -> T.StructType:
+        """Every leaf is read as text: casting is a later step that can report failures."""
+        return T.StructType([T.StructField(f, T.StringType()) for f in self.fields])
+
 
 # The two providers' page layout and field names.
 PROVIDER_A = SourceSpec(
@@ -97,50 +101,55 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.select("page", "body").write.json(path)
 
 
-def _items(pages: DataFrame, spec: SourceSpec) -> DataFrame:
-    parsed = F.from_json("body", spec.page_schema)
-    for key in spec.envelope:
-        parsed = parsed.getField(key)
-    return pages.select("page", "body", parsed.alias("items"))
+def read_items(pages: DataFrame, spec: SourceSpec) -> DataFrame:
+    """One row per listed item, or per page that has none to read, in one pass.
 
-
-def flatten_listing(pages: DataFrame, spec: SourceSpec) -> DataFrame:
-    """One row per listed course, with the provider's field names.
-
-    Pages without the envelope give no rows here; see :func:`bad_pages`.
+    ``_source, _page, _item`` (the item's JSON, or the page's body), ``_broken`` and the
+    provider's fields. ``_broken`` is ``bad_envelope`` for a page that is not JSON or lacks
+    the list, ``bad_item`` for an item that is no object, and else NULL. Text behind the end
+    of a page's JSON is ignored, as is a page with an empty list.
     """
-    return (
-        _items(pages, spec)
-        # outer, as the optimizer would add a filter that parses every page once more
-        .select("page", F.posexplode_outer("items").alias("pos", "item"))
-        .filter(F.col("pos").isNotNull())
+    items = F.from_json("body", spec.page_schema)
+    for key in spec.envelope:
+        items = items.getField(key)
+    # generators parse a page once and an item once, not once per field and condition
+    listed = (
+        pages.select("page", "body", F.explode(F.array(items)).alias("items"))
         .select(
-            F.lit(spec.name).alias("_source"),
-            F.col("page").alias("_page"),
-            *[F.col("item").getField(f).alias(f) for f in spec.fields],
+            "page",
+            F.when(F.col("items").isNull(), F.col("body")).alias("body"),
+            F.col("items").isNull().alias("lost"),
+            F.posexplode_outer("items").alias("pos", "item"),
         )
+        .filter(F.col("lost") | F.col("pos").isNotNull())
     )
+    broken = F.when(F.col("lost"), F.lit("bad_envelope")).when(
+        ~F.ltrim("item").startswith("{"), F.lit("bad_item")
+    )
+    return listed.select(
+        F.lit(spec.name).alias("_source"),
+        F.col("page").alias("_page"),
+        F.when(F.col("lost"), F.col("body")).otherwise(F.coalesce("item", F.lit("null"))).alias("_item"),
+        broken.alias("_broken"),
+        F.inline_outer(F.array(F.from_json("item", spec.item_schema))),
+    )
+
+
+def flatten_listing(pages: DataFrame, spec: SourceSpec) -> DataFrame:
+    """One row per listed course, with the provider's field names."""
+    return read_items(pages, spec).filter(F.col("_broken").isNull()).drop("_item", "_broken")
 
 
 def bad_pages(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     """Pages that are not JSON or lack the envelope, as reject rows."""
-    return (
-        _items(pages, spec)
-        .filter(F.col("items").isNull())
-        .select(
-            F.lit(spec.name).alias("_source"),
-            F.col("page").alias("_page"),
-            F.col("body").alias("raw"),
-            F.array(F.lit("bad_envelope")).alias("errors"),
-        )
-    )
+    rows = read_items(pages, spec).filter(F.col("_broken") == "bad_envelope")
+    return rows.select("_source", "_page", F.col("_item").alias("raw"), F.array("_broken").alias("errors"))
 
 
 def map_fields(df: DataFrame, spec: SourceSpec) -> DataFrame:
     """Rename the provider's fields to the columns of the course table."""
-    return df.select(
-        "_source", "_page", *[F.col(src).alias(dst) for src, dst in spec.fields.items()]
-    )
+    kept = [c for c in df.columns if c.startswith("_")]
+    return df.select(*kept, *[F.col(src).alias(dst) for src, dst in spec.fields.items()])
 
 
 def page_gaps(pages: DataFrame, first: int, last: int) -> DataFrame:

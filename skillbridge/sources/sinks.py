@@ -8,17 +8,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skillbridge.schemas import COURSES, NOTIFICATION
 
 
 def append_courses(courses: DataFrame, table: str, path: str | None = None) -> None:
-    """Create the course table if it is absent, then append; duplicates are kept."""
+    """Create the course table if it is absent, then append by name; duplicates are kept.
+
+    Columns are declared with their lengths, so a text that is too long fails the load; a
+    required column that is NULL fails it as well. The table may have its columns in any
+    order.
+    """
     spark = courses.sparkSession
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COURSES)
-    location = "" if path is None else f" LOCATION '{path}'"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet{location}")
-    courses.select(COURSES.names).write.mode("append").insertInto(table)
+
+    def declared(field: T.StructField) -> str:
+        limit = field.metadata.get("max_length")
+        kind = field.dataType.simpleString() if limit is None else f"varchar({limit})"
+        return f"`{field.name}` {kind}{'' if field.nullable else ' NOT NULL'}"
+
+    location = "" if path is None else " LOCATION '{}'".format(path.replace("\\", "\\\\").replace("'", "\\'"))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(map(declared, COURSES))}) USING parquet{location}")
+
+    def required(field: T.StructField) -> Column:
+        col = F.col(field.name)
+        if field.nullable:
+            return col
+        missing = F.raise_error(F.lit(f"{field.name} is NULL")).cast(field.dataType)
+        return F.coalesce(col, missing).alias(field.name)
+
+    rows = courses.select([required(f) for f in COURSES])
+    rows.select(spark.table(table).columns).write.mode("append").insertInto(table)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -44,11 +64,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def write_index(chunks: DataFrame, path: str, version: str) -> str:
     """Store chunks with their vectors; returns the folder of this version.
 
-    Partitioned by ``kind`` only. Owners are far too many for folders, so private rows
-    are clustered by owner inside the files, which lets row groups be skipped.
+    Partitioned by ``kind`` only. Owners are far too many for folders, so rows are dealt by
+    ranges of kind and owner: a file holds few owners, and row groups can be skipped.
     """
     folder = f"{path}/{version}"
-    chunks.sortWithinPartitions("kind", "owner").write.partitionBy("kind").parquet(folder)
+    dealt = chunks.repartitionByRange("kind", "owner")
+    dealt.sortWithinPartitions("kind", "owner").write.partitionBy("kind").parquet(folder)
     return folder
 
 
@@ -67,5 +88,11 @@ def write_notifications(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*NOTIFICATION.names)).alias("value")).write.text(path)
 
 
+def write_notification_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """A micro-batch of notifications in a folder of its own, which a replay replaces."""
+    text = rows.select(F.to_json(F.struct(*NOTIFICATION.names)).alias("value"))
+    text.write.mode("overwrite").text(f"{path}/batch_id={batch_id}")
+
+
 def read_notifications(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NOTIFICATION).json(path)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skillbridge.functions.text import ERROR_SUBJECT, error_text
-from skillbridge.plans.ingest import ingest
+from skillbridge.plans.ingest import courses_of, judge, rejects_of
+from skillbridge.plans.recommend import nearest_courses, recommend
 from skillbridge.sources.listings import SourceSpec, read_pages
 from skillbridge.sources.requests import (
     ROUTING_KEY,
@@ -22,11 +23,15 @@ from skillbridge.sources.requests import (
     route,
     split_requests,
 )
-from skillbridge.sources.sinks import write_batch
+from skillbridge.sources.sinks import write_batch, write_notification_batch
+
+FILES_PER_BATCH = 100  # a backlog is worked off in batches of so many files
+Trigger = dict[str, bool | str]
+ONCE: Trigger = {"availableNow": True}
 
 
 def request_stream(
-    spark: SparkSession, path: str, key: str = ROUTING_KEY, files_per_batch: int | None = None
+    spark: SparkSession, path: str, key: str = ROUTING_KEY, files_per_batch: int = FILES_PER_BATCH
 ) -> DataFrame:
     """Routed and decoded requests; the checkpoint takes the place of acknowledgements."""
     return parse_requests(route(read_requests(spark, path, True, files_per_batch), key))
@@ -50,13 +55,19 @@ def dead_letters(failed: DataFrame, operator_address: str, *extra: str) -> DataF
 
 
 def run_batches(
-    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str
+    stream: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    trigger: Trigger | None = None,
 ) -> StreamingQuery:
-    """Process everything that has landed in micro-batches, then stop."""
+    """Process what has landed in micro-batches, then stop; or go on, with another trigger.
+
+    ``trigger`` are the arguments of Spark's trigger, such as ``{"processingTime": "10 seconds"}``.
+    """
     return (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
@@ -68,28 +79,47 @@ def ingest_stream(
     out: str,
     checkpoint: str,
     files_per_batch: int = 5,
+    trigger: Trigger | None = None,
 ) -> StreamingQuery:
     """Listing pages in micro-batches of five files, to ``out/courses`` and ``out/rejects``."""
 
     def handle(pages: DataFrame, batch_id: int) -> None:
-        courses, rejects = ingest(pages.persist(), spec)
-        write_batch(courses, f"{out}/courses", batch_id)
-        write_batch(rejects, f"{out}/rejects", batch_id)
-        pages.unpersist()
+        judged = judge(pages, spec).persist()
+        try:
+            write_batch(courses_of(judged), f"{out}/courses", batch_id)
+            write_batch(rejects_of(judged), f"{out}/rejects", batch_id)
+        finally:
+            judged.unpersist()
 
     pages = read_pages(spark, path, streaming=True, files_per_batch=files_per_batch)
-    return run_batches(pages, handle, checkpoint)
+    return run_batches(pages, handle, checkpoint, trigger)
 
 
 def answer_stream(
-    requests: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
+    requests: DataFrame,
+    answer: Callable[[DataFrame], DataFrame],
+    out: str,
+    checkpoint: str,
+    trigger: Trigger | None = None,
 ) -> StreamingQuery:
     """Apply a batch job to each micro-batch of requests."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(answer(batch), out, batch_id)
 
-    return run_batches(requests, handle, checkpoint)
+    return run_batches(requests, handle, checkpoint, trigger)
+
+
+def course_answers(index: DataFrame, **options: object) -> Callable[[DataFrame], DataFrame]:
+    """The job for :func:`recommend_stream`: the catalogue is searched here, once per stream."""
+    keep = {k: v for k, v in options.items() if k in ("k", "question", "embedder")}
+    nearest = nearest_courses(index, **keep)
+
+    def answer(batch: DataFrame) -> DataFrame:
+        asked = batch.withColumnRenamed("message_id", "request_id")
+        return recommend(asked, index, nearest=nearest, **options)
+
+    return answer
 
 
 def recommend_stream(
@@ -98,16 +128,30 @@ def recommend_stream(
     operator_address: str,
     out: str,
     checkpoint: str,
+    trigger: Trigger | None = None,
 ) -> StreamingQuery:
-    """Answer usable requests and turn failed ones into dead letters; the stream goes on.
+    """Answer usable requests and turn the others into dead letters; the stream goes on.
 
-    Writes ``out/answers`` and ``out/dead``.
+    Writes ``out/answers``, ``out/dead`` (with the id and body of the failed message) and
+    ``out/outbound``, the notifications of both. A usable request for which ``answer`` has
+    no row (by ``request_id``) is a dead letter as well.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        usable, failed = split_requests(batch.persist())
-        write_batch(answer(usable), f"{out}/answers", batch_id)
-        write_batch(dead_letters(failed, operator_address), f"{out}/dead", batch_id)
-        batch.unpersist()
-
-    return run_batches(parsed, handle, checkpoint)
+        batch = batch.persist()
+        try:
+            usable, failed = split_requests(batch)
+            write_batch(answer(usable), f"{out}/answers", batch_id)
+            spark = batch.sparkSession
+            answers = spark.read.parquet(f"{out}/answers/batch_id={batch_id}")
+            got = answers.select(F.col("request_id").cast("string").alias("_id")).distinct()
+            silent = usable.join(got, F.col("message_id").cast("string").eqNullSafe(F.col("_id")), "left_anti")
+            failed = failed.unionByName(silent.withColumn("error", F.lit("there is no answer")))
+            write_batch(dead_letters(failed, operator_address, "message_id", "body"), f"{out}/dead", batch_id)
+            letters = spark.read.parquet(f"{out}/dead/batch_id={batch_id}")
+            rows = ["address", "subject", "message"]
+            write_notification_batch(answers.select(rows).unionByName(letters.select(rows)), f"{out}/outbound", batch_id)
+        finally:
+            batch.unpersist()
+
+    return run_batches(parsed, handle, checkpoint, trigger)

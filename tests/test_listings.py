@@ -43,7 +43,7 @@ def test_numbers_as_text_and_text_as_numbers(spark):
         (None, 1000.0, None, None, None),
     ]
     assert sorted(r.errors[0] for r in rejects) == ["id_cast", "rating_cast", "rating_cast"]
-    assert {json.loads(r.raw).get("id") for r in rejects} == {"4.6", None}
+    assert {json.loads(r.raw).get("id") for r in rejects} == {4.6, None}
 
 
 def test_lengths(spark):
@@ -73,6 +73,25 @@ def test_bad_pages_are_rejected_and_the_others_kept(spark):
     assert {r.raw for r in bad if r._page == 1} == {"not json"}
 
 
+def test_a_bad_item_spoils_no_other(spark, plan_of):
+    bad = [5, "text", [1], True]
+    valid, rejects = courses_b(spark, {"name": "a"}, *bad, {"name": "b", "id": {"x": 1}, "extra": 1}, {"name": "c"})
+    assert sorted(r.title for r in valid) == ["a", "c"]
+    assert sorted((r.raw, r.errors[0]) for r in rejects) == [
+        ("5", "bad_item"), ("[1]", "bad_item"), ("text", "bad_item"), ("true", "bad_item"),
+        ('{"name":"b","id":{"x":1},"extra":1}', "id_cast"),
+    ]
+
+
+def test_pages_are_read_and_parsed_once(spark, folder, plan_of):
+    listings.write_pages(pages(spark, page_b({"name": "a"}, {"id": 1})), folder)
+    for df in ingest(listings.read_pages(spark, folder), PROVIDER_B):
+        plan = plan_of(df)
+        assert plan.count("FileScan") == 1
+        # once for the page's envelope, once for an item
+        assert plan.count("from_json(") + plan.count("jsontostructs(") == 2
+
+
 def test_null_item_is_a_reject(spark):
     valid, rejects = courses_b(spark, None, {"name": "a"})
     assert len(valid) == 1 and rejects[0].errors == ["title_null"]
@@ -121,6 +140,21 @@ def test_append_creates_once_and_keeps_duplicates(spark, folder):
     assert spark.table(name).columns == COURSES.names
 
 
+def test_append_goes_by_name_and_keeps_the_constraints(spark, folder):
+    name, path = "courses_" + folder[-8:], folder + "'s"
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reversed(COURSES.fields))
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet")
+    valid, _ = ingest(pages(spark, page_b({"id": 1, "name": "a", "price": "5", "rating": 2})), PROVIDER_B)
+    sinks.append_courses(valid, name)
+    (row,) = spark.table(name).collect()
+    assert (row.id, row.title, row.price, row.rating) == (1, "a", "5", 2.0)
+    for title in ("t" * 256, None):
+        with pytest.raises(Exception, match="(?i)exceed|NULL"):
+            sinks.append_courses(valid.withColumn("title", F.lit(title).cast("string")), name + "_new", path)
+    sinks.append_courses(valid, name + "_new")
+    assert spark.table(name + "_new").count() == 1
+
+
 @pytest.mark.parametrize("value", ["a\n ", "\t a\r\n", " a　", "a"])
 def test_strip_space(spark, value):
     df = spark.createDataFrame([(value,)], "v string").select(X.strip_space(F.col("v")).alias("v"))

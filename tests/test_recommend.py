@@ -102,3 +102,38 @@ def test_requests_without_text_are_answered_from_courses(spark):
 
 def test_course_without_headline_is_not_indexed(spark):
     assert index_courses(courses(spark)).filter(F.col("chunk").contains("no headline")).count() == 0
+
+
+def test_requests_that_share_an_id_see_their_own_text_only(spark):
+    index = index_courses(courses(spark)).cache()
+    rows = [(i, f"u{n}@x", f"{STANDING_QUESTION} secret{n}", "job") for n, i in enumerate(["1", "1", "1", None, None])]
+    asked = spark.createDataFrame(rows, "request_id string, email string, resume string, job_desc string")
+    for answers in (recommend(asked, index), recommend(asked, index, query="resume")):
+        got = answers.collect()
+        assert sorted(r.address for r in got) == [f"u{n}@x" for n in range(5)]
+        for r in got:
+            mine = "secret" + r.address[1]
+            assert mine in r.context
+            assert not any(f"secret{n}" in r.context + r.message for n in range(5) if f"secret{n}" != mine)
+
+
+def test_courses_loaded_twice_are_found_once(spark):
+    twice = courses(spark).union(courses(spark))
+    index = index_courses(twice)
+    assert index.count() == index.select("chunk_id").distinct().count() == index_courses(courses(spark)).count()
+    _, found = nearest_courses(index.cache())
+    assert len({c["chunk_id"] for c in found}) == 3
+
+
+def test_every_request_may_ask_its_own_question(spark):
+    index = index_courses(courses(spark)).cache()
+    rows = [("1", "a@x", "resume", "cooking"), ("2", "b@x", "resume", "recommend exact courses"),
+            ("3", "c@x", "resume", "..."), ("4", "d@x", "resume", None), ("2", "b@x", "resume", "recommend exact courses")]
+    asked = spark.createDataFrame(rows, "request_id string, email string, resume string, job_desc string")
+    got = recommend(asked, index, query="job_desc").collect()
+    first = {r.request_id: r.message.split("\n")[0] for r in got}
+    assert len(got) == 5 and first == {"1": "cooking for all", "2": "recommend exact courses for all", "3": "", "4": ""}
+    for r in got:
+        if r.request_id in "12":
+            question = "cooking" if r.request_id == "1" else "recommend exact courses"
+            assert f"Question: {question}" in r.prompt and r.context in r.prompt and len(r.sources) == 3

@@ -134,12 +134,34 @@ def test_recommend_stream_goes_on_after_bad_requests(spark, folder):
     (dead,) = spark.read.parquet(f"{folder}/out/dead").collect()
     assert (dead.address, dead.subject) == ("op@example.com", "Service Error")
     assert dead.message == ERROR_PREFIX + "body is not JSON"
+    assert (dead.message_id, dead.body) == ("0", "{")
+    sent = sinks.read_notifications(spark, f"{folder}/out/outbound")
+    assert sent.count() == 3 and sent.filter("subject = 'Service Error'").count() == 1
     usable = requests.parse_requests(requests.route(requests.read_requests(spark, landed)))
     batch = answer(requests.split_requests(usable)[0])
     key = ["address", "context", "message"]
     assert sorted(answers.select(key).collect()) == sorted(batch.select(key).collect())
 
 
+def test_requests_without_an_answer_become_letters(spark, folder):
+    rows = [("resume_pdf", body(email=f"u{n}@x")) for n in range(4)]
+    messages(spark, *rows).write.json(f"{folder}/in")
+
+    def answer(batch):
+        found = batch.filter("message_id < 2").withColumnRenamed("message_id", "request_id")
+        return found.selectExpr("request_id", "email AS address", "'Courses' AS subject", "job_desc AS message")
+
+    parsed = jobs.request_stream(spark, f"{folder}/in")
+    trigger = {"processingTime": "1 second"}  # a standing stream
+    stream = jobs.recommend_stream(parsed, answer, "op@x", f"{folder}/out", f"{folder}/checkpoint", trigger)
+    stream.processAllAvailable()
+    assert stream.isActive
+    stream.stop()
+    dead = spark.read.parquet(f"{folder}/out/dead").collect()
+    assert sorted(r.message_id for r in dead) == ["2", "3"]
+    assert {r.message for r in dead} == {ERROR_PREFIX + "there is no answer"}
+
+
 def test_text_stream_equals_batch(spark):
     columns = ["request_id", "address", "message", "context", "sources", "prompt"]
     batch = registry.recommend_text(spark, SF).select(columns)
