@@ -24,7 +24,7 @@ class Rows:
         return len(self.ends)
 
     def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.ends, prepend=0))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.ends, prepend=0))
 
     def take(self, which: np.ndarray) -> Rows:
         keep = which[self.row_of()]
@@ -49,18 +49,25 @@ def fit_logistic(
     w[-1] = bias
     if positive in (0.0, float(n)):
         return w[: rows.width], w[rows.width : -1], bias
-    row = rows.row_of()
     penalty = np.full(len(w), l2)
     penalty[-1] = 1e-6
+    # by row and by column, so that both products are sums over neighbours
+    size = np.diff(rows.ends, prepend=0)
+    row_by_col = rows.row_of()[np.argsort(rows.cols, kind="stable")]
+    in_col = np.bincount(rows.cols, minlength=rows.width)
+
+    def sums(values, count):
+        out = np.zeros(len(count))
+        some = count > 0
+        if some.any():
+            out[some] = np.add.reduceat(values, (np.cumsum(count) - count)[some])
+        return out
 
     def apply(v):
-        out = np.bincount(row, weights=v[rows.cols], minlength=n) if len(row) else np.zeros(n)
-        return out + extra @ v[rows.width : -1] + v[-1]
+        return sums(v[rows.cols], size) + extra @ v[rows.width : -1] + v[-1]
 
     def back(r):
-        return np.concatenate(
-            [np.bincount(rows.cols, weights=r[row], minlength=rows.width), extra.T @ r, [r.sum()]]
-        )
+        return np.concatenate([sums(r[row_by_col], in_col), extra.T @ r, [r.sum()]])
 
     def loss(v):
         z = apply(v)
@@ -69,20 +76,22 @@ def fit_logistic(
     for _ in range(steps):
         p = sigmoid(apply(w))
         gradient = back(p - y) + penalty * w
-        if np.abs(gradient).max() < 1e-4:
+        if np.abs(gradient).max() < 1e-3:
             break
         curve = np.maximum(p * (1 - p), 1e-9)
         step, residual = np.zeros_like(w), -gradient
-        direction, size = residual.copy(), residual @ residual
+        direction, length = residual.copy(), residual @ residual
+        # a rough step far from the optimum, a good one near it
+        enough = min(0.01, np.sqrt(length) / n) * length
         for _ in range(30):
             h = back(curve * apply(direction)) + penalty * direction
-            alpha = size / (direction @ h)
+            alpha = length / (direction @ h)
             step += alpha * direction
             residual = residual - alpha * h
             new = residual @ residual
-            if new < 1e-4 * (gradient @ gradient):
+            if new < enough:
                 break
-            direction, size = residual + (new / size) * direction, new
+            direction, length = residual + (new / length) * direction, new
         scale, before = 1.0, loss(w)
         while loss(w + scale * step) > before and scale > 1e-3:
             scale /= 2

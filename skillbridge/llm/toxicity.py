@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,8 +191,11 @@ def fit_chain(
         found = fitted.orderBy(F.xxhash64("id"), "id").toArrow()
     finally:
         rows.unpersist()
-    lists = [np.searchsorted(known, np.array(x.as_py(), dtype=np.int64).view(np.uint64)) for x in found["features"]]
-    matrix = Rows.of(lists, len(known))
+    lists = found["features"].combine_chunks()
+    hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    matrix = Rows(np.searchsorted(known, hashes).astype(np.int32), np.cumsum(sizes, dtype=np.int64), len(known))
+    del lists, hashes
     fold = found["fold"].to_numpy()
     truth = np.array([found[c].to_numpy() for c in categories], dtype=float).T.reshape(n, len(categories))
     return _fit(tuple(categories), known, matrix, truth, fold)
