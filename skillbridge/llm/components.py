@@ -16,20 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     changes. A node with very many neighbours is met by partial aggregates and joins on a
     unique side only. Loops and repeated edges are harmless; no edges give no nodes.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    loops = edges.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    both = edges.select("a", "b").union(edges.select("b", "a")).union(loops.select("a", F.col("a").alias("b")))
     both = written(both, "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-    labels = written(labels.select("node", F.least("node", "least").alias("comp")), "labels")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")), "labels")
     while True:
+        # a node is its own neighbour, so the least label is never above its own
         near = both.join(labels.withColumnRenamed("node", "b"), "b")
-        least = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("least"))
-        stepped = labels.join(least, "node", "left").select(
-            "node", F.least("comp", "least").alias("next"), F.col("comp").alias("old")
-        )
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old")
+        stepped = near.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("next"), own)
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        new = stepped.join(jump, "next", "left").select(
-            "node", F.least("next", "far").alias("comp"), "old"
-        )
+        new = stepped.join(jump, "next").select("node", F.least("next", "far").alias("comp"), "old")
         new = written(new, "labels")
         labels = new.select("node", "comp")
         if new.filter(F.col("comp") < F.col("old")).isEmpty():

@@ -6,8 +6,9 @@ copies.
 
 * Documents with equal sets are one *node* from the start, by a partial aggregate.
 * **Roots.** With one order of all tokens, two similar sets share a token among the first
-  ``n - ceil(t * n) + 1`` of each. So every such token is the root of a tree over the nodes
-  that have it there, and only nodes of one root are compared. Tokens that are frequent come
+  ``n - ceil(t * n) + 1`` of each. So the nodes that have such a token there make a tree, and
+  only nodes of one tree are compared. Tokens whose least node is the same share a tree, as
+  those of a family of near copies mostly do. Tokens that are frequent come
   last in the order. How frequent is counted over all documents, exactly for any token that
   a task meets twice; the order steers the work and can't change the result.
 * **Trees.** Below a root, nodes are leaves with their size and a bitmap of their tokens;
@@ -42,8 +43,13 @@ FREQUENT = 1 << 18  # tokens that the order puts last; the table is sent to all
 FREQUENT_FROM = 32  # documents that make a token frequent
 COUNTED_TOKENS = 8_000_000  # tokens over which a task counts before it sends
 FAN_OUT = 8
+# Roots are named by 48 bits of their token: tokens that share them share a root, which costs
+# a comparison and no link.
+_ROOT_BITS = np.uint64((1 << 48) - 1)
+SKETCH_BITS = 8  # bits per token of the bitmaps that pairs are checked by, at least
+STAR_ROUNDS = 2
 _CELLS = 1 << 20  # words of bitmaps compared at once
-STAR_NODES = 512  # nodes of a root that one group takes in the first rounds, about
+STAR_NODES = 4096  # nodes of a root that one group takes in the first rounds, about
 WALK_NODES = 1 << 16  # and in the last walk; beyond it all pairs of such parts are groups
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,18 +97,37 @@ def _node_ids(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Tokens that occur in several documents of the task's share, with how many."""
-    held, total = [], 0
+def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Columns ``doc, th, text`` to rows of nodes, and rows of counted tokens.
+
+    Counted are tokens that several documents of the task's share contain.
+    """
+    held, total, doc_type = [], 0, None
 
     def flush():
         token, count = np.unique(np.concatenate(held), return_counts=True)
-        many = count > 1
-        return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(count[many])], ["token", "n"])
+        token, count = token[count > 1].view(np.int64), count[count > 1]
+        nothing = [pa.nulls(len(token), t) for t in (doc_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(count), *nothing], _SHINGLED)
 
     for batch in batches:
-        for texts in chunks(batch.column(0)):
-            tokens, _ = token_sets(texts, size)
+        doc_type = batch.schema.field(0).type
+        for texts in chunks(batch.column(2)):
+            tokens, count = token_sets(texts, size)
+            first = np.cumsum(count) - count
+            bits = [bitmap(tokens[a : a + n]).tobytes() if n else b"" for a, n in zip(first, count, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(len(texts), pa.int64()),
+                    pa.nulls(len(texts), pa.int64()),
+                    batch.column(0).slice(texts.first, len(texts)),
+                    batch.column(1).slice(texts.first, len(texts)),
+                    pa.array(_node_ids(tokens, count)),
+                    pa.array(count.astype(np.int64)),
+                    pa.array(bits, pa.binary()),
+                ],
+                _SHINGLED,
+            )
             held.append(tokens)
             total += len(tokens)
             if total >= COUNTED_TOKENS:
@@ -112,11 +137,14 @@ def _counted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield flush()
 
 
+_SHINGLED = ["token", "n", "doc", "th", "node", "size", "bits"]
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    """Columns ``doc, text`` to ``doc, th, node, size, prefix``."""
+    """Column ``text`` to ``node, prefix`` of the texts that have shingles."""
     hot, rank = frequent.value
     for batch in batches:
-        for texts in chunks(batch.column(2)):
+        for texts in chunks(batch.column(0)):
             tokens, count = token_sets(texts, size)
             text = np.repeat(np.arange(len(count)), count)
             late = np.zeros(len(tokens), dtype=np.int64)
@@ -127,24 +155,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, freque
             first = np.cumsum(count) - count
             within = np.arange(len(tokens)) - np.repeat(first, count)
             length = np.where(count > 0, count + (-percent * count) // 100 + 1, 0)
-            prefix = tokens[order][within < np.repeat(length, count)]
-            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(texts.first, len(texts)),
-                    batch.column(1).slice(texts.first, len(texts)),
-                    pa.array(_node_ids(tokens, count)),
-                    pa.array(count.astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64))),
-                ],
-                ["doc", "th", "node", "size", "prefix"],
-            )
+            prefix = tokens[order][within < np.repeat(length, count)] & _ROOT_BITS
+            some = count > 0
+            ends = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
+            prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(_node_ids(tokens, count)[some]), prefixes], ["node", "prefix"])
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``token, node`` in order of token to ``root, node`` of tokens with several nodes.
 
-    The root is a hash of its nodes, so roots over the same nodes are one.
+    The root is the least of the token's nodes: tokens with much the same nodes have the same
+    one, and share a tree.
     """
     left: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -155,13 +177,12 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = token[1:] != token[:-1]
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(token)))
-        key = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + count.astype(np.uint64))
         keep = np.repeat(count > 1, count)
         if not keep.any():
             return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(key, count)[keep].view(np.int64)), pa.array(node[keep])], ["root", "node"]
-        )
+        root = np.repeat(np.minimum.reduceat(node, first), count)[keep]
+        pairs = np.unique(np.stack([root, node[keep]]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["root", "node"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -182,30 +203,36 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Which of ``2 ** k`` values the low bits of the tokens take; about two bits a token."""
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+def bitmap(tokens: np.ndarray, per_token: int = 2) -> np.ndarray:
+    """Which of ``2 ** k`` values the low bits of the tokens take, ``per_token`` bits or more."""
+    bits = max(64, 1 << int(per_token * len(tokens) - 1).bit_length())
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[pa.RecordBatch]:
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap in ``width`` words: equal low bits stay equal."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width), axis=0)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, picks, nodes, sketch: bool) -> Iterator[pa.RecordBatch]:
+    """Columns ``pick, text`` to ``node, size, data`` of those that the bit sets let pass.
+
+    ``data`` are the tokens, in order, or a bitmap of them.
+    """
     for batch in batches:
-        for texts in chunks(batch.column(0)):
+        batch = batch.filter(pa.array(may_hold(picks.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+        for texts in chunks(batch.column(1)):
             tokens, count = token_sets(texts, size)
             node = _node_ids(tokens, count)
             first = np.cumsum(count) - count
-            rows = np.flatnonzero((count > 0) & may_hold(wanted.value, node.view(np.uint64)))
+            rows = np.flatnonzero((count > 0) & may_hold(nodes.value, node.view(np.uint64)))
             sets = [tokens[first[r] : first[r] + count[r]] for r in rows]
+            data = [(bitmap(x, SKETCH_BITS) if sketch else x).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(node[rows]),
-                    pa.array(count[rows].astype(np.int64)),
-                    pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                ["node", "size", "bits", "tokens"],
+                [pa.array(node[rows]), pa.array(count[rows].astype(np.int64)), pa.array(data, pa.binary())],
+                ["node", "size", "data"],
             )
 
 
@@ -215,8 +242,7 @@ class SignatureTree:
     def __init__(self, size: np.ndarray, bits: list[bytes], comp: np.ndarray, percent: int) -> None:
         self.percent = percent
         width = min(map(len, bits)) // 8
-        # a wider bitmap is folded: equal low bits stay equal
-        leaves = np.array([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), axis=0) for b in bits])
+        leaves = np.array([folded(b, width) for b in bits])
         self.levels = [(leaves, leaves, size, size, comp)]
         while len(self.levels[-1][2]) > 1:
             above, below, least, most, comps = self.levels[-1]
@@ -233,8 +259,11 @@ class SignatureTree:
                 )
             )
 
-    def may_link(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which pairs of nodes of a level may have linked leaves of different components."""
+    def may_link(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of nodes of a level may have linked leaves of different components.
+
+        Their places, and the most that two such leaves can overlap.
+        """
         any_bit, all_bits, least, most, comp = self.levels[level]
         t = self.percent
         ok = (comp[a] != comp[b]) | (comp[a] == _MIXED)
@@ -245,13 +274,16 @@ class SignatureTree:
         need = -((-t * (least[a] + least[b])) // (100 + t))
         outside_b = np.bitwise_count(all_bits[a] & ~any_bit[b]).sum(axis=1, dtype=np.int64)
         outside_a = np.bitwise_count(all_bits[b] & ~any_bit[a]).sum(axis=1, dtype=np.int64)
-        fits = np.minimum(most[a] - outside_b, most[b] - outside_a) >= need
-        ok[at] = fits
-        return ok
+        bound = np.minimum(most[a] - outside_b, most[b] - outside_a)
+        fits = bound >= need
+        return at[fits], bound[fits]
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs of leaves that may be linked, from a walk of the tree against itself."""
-        top = len(self.levels) - 1
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs of leaves that may be linked, from a walk of the tree against itself.
+
+        With the share of the two sizes that they overlap by at most.
+        """
+        top, size = len(self.levels) - 1, self.levels[0][2]
         zero = np.zeros(1, dtype=np.int64)
         todo = [(top, zero, zero)]
         step = max(64, _CELLS // self.levels[0][0].shape[1])
@@ -263,12 +295,12 @@ class SignatureTree:
             if level == 0:
                 apart = a < b
                 a, b = a[apart], b[apart]
-            ok = self.may_link(level, a, b)
-            a, b = a[ok], b[ok]
+            at, bound = self.may_link(level, a, b)
+            a, b = a[at], b[at]
             if not len(a):
                 continue
             if level == 0:
-                yield a, b
+                yield a, b, bound / (size[a] + size[b])
                 continue
             todo.append((level - 1, *self._below(level - 1, a, b)))
 
@@ -280,8 +312,8 @@ class SignatureTree:
         ok = (x < count) & (y < count) & (x <= y)
         return x[ok], y[ok]
 
-    def near(self, leaf: int, open_: np.ndarray) -> np.ndarray:
-        """Leaves behind ``leaf`` that may be linked with it and are still open."""
+    def near(self, leaf: int, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves behind ``leaf`` that may be linked with it and are still open; as ``pairs``."""
         any_bit, _, size, _, comp = self.levels[0]
         mine, n, t = any_bit[leaf], int(size[leaf]), self.percent
         at = np.zeros(1, dtype=np.int64)
@@ -292,20 +324,22 @@ class SignatureTree:
             at, need = at[ok], need[ok]
             out = np.bitwise_count(mine & ~above[at]).sum(axis=1, dtype=np.int64)
             over = np.bitwise_count(below[at] & ~mine).sum(axis=1, dtype=np.int64)
-            at = at[np.minimum(n - out, most[at] - over) >= need]
+            bound = np.minimum(n - out, most[at] - over)
+            at, bound = at[bound >= need], bound[bound >= need]
             if level:
                 at = (at[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
                 at = at[at < len(self.levels[level - 1][2])]
                 # only leaves behind this one
                 at = at[(at + 1) * FAN_OUT ** (level - 1) > leaf]
-        return at[(at > leaf) & open_[at]]
+        good = (at > leaf) & open_[at]
+        return at[good], bound[good] / (n + size[at[good]])
 
 
 _MIXED = np.iinfo(np.int64).min
 
 
 def _walk(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Rows ``cell, node, size, bits, comp`` in order of cell to pairs ``a, b``."""
+    """Rows ``cell, node, size, bits, comp`` in order of cell to pairs ``a, b, share``."""
 
     def out(rows):
         node, size, comp = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 3))
@@ -320,9 +354,9 @@ def _walk(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Itera
             found = tree.pairs()
         else:
             found = _stars(tree, len(node))
-        for a, b in found:
+        for a, b, share in found:
             lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(share)], ["a", "b", "share"])
 
     root, rows = None, []
     for batch in batches:
@@ -341,46 +375,86 @@ def _walk(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Itera
         yield from out(rows)
 
 
-def _stars(tree: SignatureTree, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _stars(tree: SignatureTree, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Each leaf with the first one it may be linked with."""
     open_ = np.ones(count, dtype=bool)
     for leaf in range(count - 1):
         if open_[leaf]:
-            near = tree.near(leaf, open_)
+            near, share = tree.near(leaf, open_)
             if len(near):
                 open_[near] = False
-                yield np.full(len(near), leaf), near
+                yield np.full(len(near), leaf), near, share
 
 
-def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with the sizes and bitmaps of both sides: those that may be linked."""
+    for batch in batches:
+        a, b, m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        keep = np.zeros(len(a), dtype=bool)
+        for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            x, y = x.as_py(), y.as_py()
+            width = min(len(x), len(y)) // 8
+            x, y = folded(x, width), folded(y, width)
+            most = min(m[k] - int(np.bitwise_count(x & ~y).sum()), n[k] - int(np.bitwise_count(y & ~x).sum()))
+            keep[k] = (100 + percent) * most >= percent * (m[k] + n[k])
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with the sizes and tokens of both sides: those that are linked."""
     for batch in batches:
-        linked = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        a, b, m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        keep = np.zeros(len(a), dtype=bool)
+        for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-
-def _sets_of(sets: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """The sets that ``pairs`` names, prefiltered where they are read."""
-    spark = sets.sparkSession
-    wanted = spark.sparkContext.broadcast(bit_filter(pairs.select(column).distinct(), column))
-
-    def some(batches):
-        for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(may_hold(wanted.value, node)))
-
-    return sets.select("node", "tokens").mapInArrow(some, "node long, tokens binary")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked`` of pairs of nodes, by their whole sets."""
-    first = _sets_of(sets, pairs, "a").withColumnsRenamed({"node": "a", "tokens": "x"})
-    second = _sets_of(sets, pairs, "b").withColumnsRenamed({"node": "b", "tokens": "y"})
-    rows = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(lambda b: _compare(b, percent), "a long, b long, linked boolean")
+            keep[k] = 100 * both >= percent * (m[k] + n[k] - both)
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+
+class _Whole:
+    """Sets, or bitmaps, of the nodes that pairs name; read from the texts when first needed."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, sketch: bool) -> None:
+        self.docs, self.nodes, self.size, self.percent, self.sketch = docs, nodes, size, percent, sketch
+        self.held: DataFrame | None = None
+
+    def _read(self, wanted: DataFrame) -> DataFrame:
+        """``node, size, data`` of the nodes in ``wanted``, from one document each."""
+        spark, size, sketch = self.docs.sparkSession, self.size, self.sketch
+        one = self.nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "th")).alias("d"))
+        picked = written(one.select("node", F.xxhash64("d.doc", "d.th").alias("pick")), "shingle-picks")
+        picks = spark.sparkContext.broadcast(bit_filter(picked, "pick"))
+        some = spark.sparkContext.broadcast(bit_filter(picked, "node"))
+        rows = self.docs.select(F.xxhash64("doc", "th").alias("pick"), "text")
+        sets = rows.mapInArrow(lambda b: _sets(b, size, picks, some, sketch), "node long, size long, data binary")
+        return written(sets, "shingle-sets")
+
+    def _side(self, pairs: DataFrame, column: str) -> DataFrame:
+        """The rows that a side of ``pairs`` names, prefiltered where they are read."""
+        wanted = pairs.sparkSession.sparkContext.broadcast(bit_filter(pairs.select(column), column))
+
+        def some(batches):
+            for batch in batches:
+                node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                yield batch.filter(pa.array(may_hold(wanted.value, node)))
+
+        return self.held.mapInArrow(some, "node long, size long, data binary")
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass; a node may be held twice, so a pair may come twice."""
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        if self.held is None:
+            self.held = self._read(met)
+        else:
+            more = written(met.distinct().join(self.held, "node", "left_anti"), "shingle-more")
+            if not more.isEmpty():
+                self.held = self.held.union(self._read(more))
+        first = self._side(pairs, "a").toDF("a", "m", "x")
+        second = self._side(pairs, "b").toDF("b", "n", "y")
+        rows = pairs.join(first, "a").join(second, "b").select("a", "b", "m", "n", "x", "y")
+        test, percent = _bounded if self.sketch else _compared, self.percent
+        return written(rows.mapInArrow(lambda b: test(b, percent), "a long, b long"), "shingle-checked")
 
 
 def _cells(forest: DataFrame, comps: DataFrame | None, salt: int, every: bool) -> DataFrame:
@@ -417,55 +491,73 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("text")
-    counts = texts.mapInArrow(lambda b: _counted(b, size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    kind = docs.schema["doc"].dataType.simpleString()
+    shingled = written(
+        docs.select("doc", "th", "text").mapInArrow(
+            lambda b: _shingled(b, size),
+            f"token long, n long, doc {kind}, th long, node long, size long, bits binary",
+        ),
+        "shingles",
+    )
+    nodes = shingled.filter("n IS NULL").select("doc", "th", "node", "size")
+    counts = shingled.filter("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     # the most frequent last; tokens as frequent in the order of their hashes
     top = top.assign(token=top["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
     frequent = spark.sparkContext.broadcast((top["token"].to_numpy(), top["n"].to_numpy(np.int64)))
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    prefixes = docs.mapInArrow(
-        lambda b: _prefixes(b, size, percent, frequent),
-        f"doc {kind}, th long, node long, size long, prefix array<long>",
+    prefixes = docs.select("text").mapInArrow(
+        lambda b: _prefixes(b, size, percent, frequent), "node long, prefix array<long>"
     )
-    prefixes = written(prefixes, "shingle-prefixes")
-    nodes = prefixes.select("doc", "th", "node", "size")
-
-    distinct = prefixes.filter("size > 0").groupBy("node").agg(F.first("prefix").alias("prefix"))
+    distinct = prefixes.groupBy("node").agg(F.first("prefix").alias("prefix"))
     tokens = distinct.select(F.explode("prefix").alias("token"), "node")
     dealt = tokens.repartition("token").sortWithinPartitions("token")
-    with batches_of(spark, 50_000):
+    with batches_of(spark, 2000):
         roots = written(dealt.mapInArrow(_roots, "root long, node long").dropDuplicates(), "shingle-roots")
-
-    wanted = spark.sparkContext.broadcast(bit_filter(roots.select("node").distinct(), "node"))
-    sets = written(
-        texts.mapInArrow(
-            lambda b: _sets(b, size, wanted), "node long, size long, bits binary, tokens binary"
-        ).dropDuplicates(["node"]),
-        "shingle-sets",
+    leaves = (
+        shingled.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     )
-    forest = written(roots.join(sets.select("node", "size", "bits"), "node"), "shingle-trees")
+    forest = written(roots.join(leaves, "node"), "shingle-trees")
 
+    sketches = _Whole(docs, nodes, size, percent, sketch=True)
+    sets = _Whole(docs, nodes, size, percent, sketch=False)
     links, tested, comps = None, None, None
-    for salt, every in enumerate((False, False, True)):
+
+    def found_pairs(salt: int, every: bool) -> DataFrame:
         rows = _cells(forest, comps, salt, every)
         found = (
             rows.repartition("cell")
             .sortWithinPartitions("cell")
-            .mapInArrow(lambda b, every=every: _walk(b, percent, every), "a long, b long")
+            .mapInArrow(lambda b: _walk(b, percent, every), "a long, b long, share double")
         )
-        pairs = found.distinct() if every else found.groupBy("a").agg(F.min("b").alias("b"))
         if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs.select("a", "b"), "shingle-pairs")
-        checked = written(_linked(pairs, sets, percent), "shingle-links")
-        tested = checked if tested is None else tested.union(checked)
-        new = checked.filter("linked").select("a", "b")
+            found = found.join(tested, ["a", "b"], "left_anti")
+        return found
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """For each node its most promising partner."""
+        return pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal links, comps
+        new = sets.check(pairs)
         links = new if links is None else links.union(new)
-        if every and new.isEmpty():
-            break
         comps = components(links)
+
+    for salt in range(STAR_ROUNDS):
+        pairs = written(best(found_pairs(salt, False)).select("a", "b"), "shingle-pairs")
+        link(sketches.check(pairs))
+        tested = pairs if tested is None else tested.union(pairs)
+    every = found_pairs(STAR_ROUNDS, True).select("a", "b").distinct()
+    left = sketches.check(written(every, "shingle-pairs")).withColumn("share", F.lit(1.0))
+    # first one pair for each node, then what is not one component by that
+    link(written(best(left).select("a", "b"), "shingle-pairs"))
+    for side in ("a", "b"):
+        own = comps.select(F.col("node").alias(side), F.col("comp").alias(f"of_{side}"))
+        left = left.join(own, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    left = written(left.filter("of_a <> of_b").select("a", "b").distinct(), "shingle-pairs")
+    if not left.isEmpty():
+        link(left)
     return nodes, comps
 
 
@@ -529,3 +621,30 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         return once
     more = docs.join(several.hint("shuffle_hash"), here).dropDuplicates(["_doc", "_th"])
     return once.unionByName(more.select(docs.columns))
+
+
+def oracle(size: int = WORDS, percent: int = PERCENT) -> str:
+    """DuckDB SQL for the query over ``documents``: all pairs that share a shingle."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size - 1}], ' ')) END)) AS s
+  FROM worded
+), sizes AS (
+  SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN sets USING (doc_id) GROUP BY d.doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * o >= {percent} * (x.n + y.n - o)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sizes
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sizes"""

@@ -109,5 +109,6 @@ FROM documents, filled"""
 ORACLES = {
     "op3_line_dedup": linededup.oracle(),
     "op5_sharding": _sharding_sql(),
+    "op6_jaccard_join": jaccard.oracle(),
     "op9_exact_topk": topk.oracle(QUERY_EVERY, NEAREST),
 }

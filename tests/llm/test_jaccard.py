@@ -125,10 +125,10 @@ def test_tree_loses_no_pair(fan_out, monkeypatch):
     size = np.array([len(s) for s in sets])
     comp = rng.integers(0, 60, len(sets))
     tree = jaccard.SignatureTree(size, [jaccard.bitmap(s).tobytes() for s in sets], comp, 80)
-    found = {(i, j) for a, b in tree.pairs() for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    found = {(i, j) for a, b, _ in tree.pairs() for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     every = np.ones(len(sets), dtype=bool)
     for i in range(len(sets)):
-        near = set(tree.near(i, every).tolist())
+        near = set(tree.near(i, every)[0].tolist())
         for j in range(i + 1, len(sets)):
             both = len(np.intersect1d(sets[i], sets[j]))
             if comp[i] != comp[j] and 100 * both >= 80 * (size[i] + size[j] - both):
