@@ -4,7 +4,9 @@ Texts become templates: numbers, units and names turn into typed placeholders, a
 lower case. Windows of template words of the benchmark are joined by hash with those of the
 documents, so a question is found though it was given other numbers or names. A match stands
 only if its slots agree: wherever the benchmark repeats a value, the document repeats its
-own one.
+own one. Texts are read three ways, each with windows of its own: with names inside sentences as
+placeholders, with all capitalised words as such, and word by word in case-folded letters
+without any placeholder, so that copies in another case are found.
 
 Every window of every document is hashed where the text lies. Those that a bit set of fixed
 size rules out go no further, the rest are shuffled to the benchmark's. A window that fills
@@ -14,9 +16,11 @@ many documents is split by Spark, as the benchmark holds each (window, item, pla
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +41,6 @@ UNITS = (
 
 _WORDLIKE = np.zeros(256, dtype=bool)
 _WORDLIKE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _LETTER = _WORDLIKE & ~_DIGIT
@@ -46,6 +48,10 @@ _LETTER = _WORDLIKE & ~_DIGIT
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?:;\n\"'("]] = True
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
+# readings of a text, as bits: names inside sentences, all capitals as names, no placeholders
+TYPED, INITIAL, LITERAL = 1, 2, 4
+# letters that lower case leaves apart from the capitals of the same word
+_FOLDED = (("ß", "ss"), ("ς", "σ"))
 _PLACEHOLDERS = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -56,18 +62,41 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(span_hashes(joined, found.start, found.stop))
 
 
-def templates(texts: Texts, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: its text, hash of the template word, hash of the value, kind.
+def _one_piece(column: pa.Array) -> Texts:
+    return next(chunks(column, 1 << 40))
 
-    A number is a word with a digit and no letter; a unit is one of :data:`UNITS` behind a
-    number; a name starts with a capital (A-Z) and follows a word of its sentence.
+
+def _capital(data: np.ndarray, at: np.ndarray, lower: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Which words begin with a letter that is another one in lower case."""
+    out = data[at] != lower[there]
+    behind = np.searchsorted([0xC0, 0xE0, 0xF0], data[at], side="right")  # bytes of the letter after its first
+    for k in (1, 2, 3):
+        more = (behind >= k) & ~out
+        out[more] = data[at[more] + k] != lower[there[more] + k]
+    return out
+
+
+def readings(texts: Texts, column: pa.Array, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Per word: its text, hash of the value, and for each reading its kind.
+
+    ``column`` holds the strings of ``texts``. A number is a word with a digit and no letter; a
+    unit is one of :data:`UNITS` behind a number; a name starts with a capital and, unless all
+    capitals are read as names, follows a word of its sentence. Values are case-folded.
     """
     found = spans(texts, _WORDLIKE)
     none = np.empty(0, dtype=np.int64)
     if not len(found.start):
-        return none, none.astype(np.uint64), none.astype(np.uint64), none
+        return none, none.astype(np.uint64), {r: none for r in (TYPED, INITIAL, LITERAL)}
     data = texts.data
-    value = span_hashes(_LOWER[data], found.start, found.stop)
+    lowered = pc.utf8_lower(pc.fill_null(column, ""))
+    lower = _one_piece(lowered)
+    there = spans(lower, _WORDLIKE)  # the same words, at other places
+    folded = lowered
+    for letter, other in _FOLDED:
+        folded = pc.replace_substring(folded, letter, other)
+    fold = _one_piece(folded)
+    within = spans(fold, _WORDLIKE)
+    value = span_hashes(fold.data, within.start, within.stop)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
     ends = np.concatenate([[0], np.cumsum(_ENDS[data])])
@@ -81,28 +110,28 @@ def templates(texts: Texts, units: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     unit = ~number & (units[at] == value) & follows & after_number
     inside = np.zeros(len(a), dtype=bool)
     inside[1:] = ends[a[1:]] == ends[b[:-1]]
-    name = (data[a] >= 65) & (data[a] <= 90) & follows & inside & ~unit
-    kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], WORD)
-    template = np.where(kind == WORD, value, _PLACEHOLDERS[kind])
-    return found.text, template, value, kind
+    capital = _capital(data, a, lower.data, there.start) & ~unit
+    typed = np.select([number, unit, capital & follows & inside], [NUMBER, UNIT, NAME], WORD)
+    kinds = {TYPED: typed, INITIAL: np.where(capital, NAME, typed), LITERAL: np.zeros_like(typed)}
+    return found.text, value, kinds
 
 
-def _windows(text, template, kind, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _windows(text, value, kind, reading: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of the windows with enough words that are no placeholders."""
-    key, at = windows(template, text, size)
+    key, at = windows(np.where(kind == WORD, value, _PLACEHOLDERS[kind]), text, size)
     plain = np.concatenate([[0], np.cumsum(kind == WORD)])
     enough = plain[at + size] - plain[at] >= min(LITERALS, size)
-    return mix(key[enough] + np.uint64(size)), at[enough]
+    return mix(key[enough] + np.uint64(size + 256 * reading)), at[enough]
 
 
-_COLUMNS = "window long, place long, size int, kinds array<tinyint>, vals array<long>"
+_COLUMNS = "window long, place long, size int, reading int, kinds array<tinyint>, vals array<long>"
 
 
-def _rows(ids: pa.Array, text, template, value, kind, sizes, keep) -> Iterator[pa.RecordBatch]:
+def _rows(ids: pa.Array, text, value, kinds, sizes, keep) -> Iterator[pa.RecordBatch]:
     """Windows that ``keep`` accepts, with their slots: kinds and values of all their words."""
     begin = np.searchsorted(text, np.arange(len(ids)))
-    for size in sizes:
-        key, at = _windows(text, template, kind, size)
+    for size, (reading, kind) in product(sizes, kinds.items()):
+        key, at = _windows(text, value, kind, reading, size)
         good = keep(key, at, size)
         key, at = key[good], at[good]
         if not len(key):
@@ -117,10 +146,11 @@ def _rows(ids: pa.Array, text, template, value, kind, sizes, keep) -> Iterator[p
                     pa.array(k.view(np.int64)),
                     pa.array((p - begin[text[p]]).astype(np.int64)),
                     pa.array(np.full(len(k), size, dtype=np.int32)),
+                    pa.array(np.full(len(k), reading, dtype=np.int32)),
                     pa.ListArray.from_arrays(ends, pa.array(kind[cells].astype(np.int8))),
                     pa.ListArray.from_arrays(ends, pa.array(value[cells].view(np.int64))),
                 ],
-                ["id", "window", "place", "size", "kinds", "vals"],
+                ["id", "window", "place", "size", "reading", "kinds", "vals"],
             )
 
 
@@ -129,14 +159,14 @@ def _item_windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
     units = _unit_hashes()
     for batch in batches:
         for texts in chunks(batch.column(1)):
-            text, template, value, kind = templates(texts, units)
+            text, value, kinds = readings(texts, batch.column(1).slice(texts.first, len(texts)), units)
             ids = batch.column(0).slice(texts.first, len(texts))
             words = np.bincount(text, minlength=len(texts))
 
             def fits(key, at, n, text=text, words=words):
                 return (n == size) | (words[text[at]] == n)
 
-            yield from _rows(ids, text, template, value, kind, range(SHORTEST, size + 1), fits)
+            yield from _rows(ids, text, value, kinds, range(SHORTEST, size + 1), fits)
 
 
 def _doc_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted) -> Iterator[pa.RecordBatch]:
@@ -145,7 +175,7 @@ def _doc_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], wanted) ->
     for batch in batches:
         ids = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["doc", "th"])
         for texts in chunks(batch.column(2)):
-            parts = templates(texts, units)
+            parts = readings(texts, batch.column(2).slice(texts.first, len(texts)), units)
 
             def fits(key, at, n):
                 return may_hold(wanted.value, key)
@@ -164,11 +194,12 @@ def matches(
 ) -> DataFrame:
     """``doc_id, th, item_id, n_windows, n_slots, exact`` for each document and item that match.
 
-    ``n_windows`` counts windows of the item in the document whose slots agree, ``n_slots``
-    its distinct slot values, and ``exact`` says that all values are the item's own. ``th`` is
-    a hash of the text. Windows are ``window`` words; an item of fewer words is one window,
-    and one of fewer than :data:`SHORTEST` or with fewer than :data:`LITERALS` plain words
-    matches nothing, as do NULL and empty texts. Items and documents that repeat an id are
+    ``n_windows`` counts windows of the item in the document, in any reading whose slots agree,
+    ``n_slots`` its distinct slot values, and ``exact`` says that all values are the item's
+    own, case aside. ``th`` is a hash of the text. Windows are ``window`` words; an item of fewer
+    words is one window, and one of fewer than :data:`SHORTEST` matches nothing, as do NULL
+    and empty texts. Windows with fewer than :data:`LITERALS` plain words match word by word only.
+    Windows without placeholders count unless the typed slots of their passage disagree. Items and documents that repeat an id are
     reported under it; rows equal in id and text count once. Empty tables give no matches.
     """
     spark = docs.sparkSession
@@ -190,37 +221,54 @@ def matches(
         lambda b: _doc_windows(b, sizes, wanted), f"id struct<doc: {kind}, th: bigint>, {_COLUMNS}"
     ).distinct()
     theirs = items.select(
-        F.col("id").alias("item"), "window", "size", "kinds", F.col("place").alias("at"), F.col("vals").alias("asked")
+        F.col("id").alias("item"), "window", "size", "reading", "kinds", F.col("place").alias("at"), F.col("vals").alias("asked")
     )
-    joined = found.join(theirs, ["window", "size", "kinds"])
+    joined = found.join(theirs, ["window", "size", "reading", "kinds"])
     # words that are no slots must be equal, whatever the hashes say
     pairs = F.arrays_zip("kinds", "vals", "asked")
     plain = F.forall(pairs, lambda p: (p["kinds"] != WORD) | (p["vals"] == p["asked"]))
     slots = F.filter(pairs, lambda p: p["kinds"] != WORD)
     joined = joined.filter(plain).select(
-        "id", "item", "window", "at", (F.col("place") - F.col("at")).alias("shift"), slots.alias("slots")
+        "id", "item", "reading", "at", (F.col("place") - F.col("at")).alias("shift"), slots.alias("slots")
     )
     # one value of the item stands for one value of the document, over all windows of the passage
     match = ["id", "item", "shift"]
-    values = joined.select(*match, F.explode("slots").alias("s")).groupBy(*match, "s.kinds", "s.asked").agg(
-        F.min("s.vals").alias("lo"), F.max("s.vals").alias("hi")
-    )
+    values = joined.select(*match, "reading", F.explode("slots").alias("s")).groupBy(
+        *match, "reading", "s.kinds", "s.asked"
+    ).agg(F.min("s.vals").alias("lo"), F.max("s.vals").alias("hi"))
+    own = (F.col("lo") == F.col("asked")) & (F.col("hi") == F.col("asked"))
     agreed = values.groupBy(*match).agg(
-        F.bool_and(F.col("lo") == F.col("hi")).alias("agree"),
-        F.count("*").alias("n_slots"),
-        F.bool_and((F.col("lo") == F.col("asked")) & (F.col("hi") == F.col("asked"))).alias("exact"),
+        F.bit_or(F.when(F.col("lo") != F.col("hi"), F.col("reading")).otherwise(0)).alias("torn"),
+        F.bit_or(F.when(own, 0).otherwise(F.col("reading"))).alias("changed"),
+        F.count_if(F.col("reading") == TYPED).alias("typed"),
+        F.count_if(F.col("reading") == INITIAL).alias("initial"),
     )
-    counted = joined.groupBy(*match).agg(F.countDistinct("at").alias("n_windows"))
+    held = joined.groupBy(*match, "at").agg(F.bit_or("reading").alias("held"))
+    per_choice = [F.count_if(F.col("held").bitwiseAND(r) != 0) for r in range(2 * LITERAL)]
+    counted = held.groupBy(*match).agg(F.bit_or("held").alias("held"), F.array(*per_choice).alias("per_choice"))
     null = [same(counted[c], agreed[c]) for c in match]
+    torn = F.coalesce("torn", F.lit(0))
+    bad = torn.bitwiseOR(F.when(torn.bitwiseAND(TYPED) != 0, LITERAL).otherwise(0))
     judged = counted.join(agreed, null[0] & null[1] & null[2], "left").select(
         *[counted[c] for c in match],
-        "n_windows",
-        F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-        F.coalesce("agree", F.lit(True)).alias("agree"),
-        F.coalesce("exact", F.lit(True)).alias("exact"),
+        "per_choice",
+        F.col("held").bitwiseAND(F.bitwise_not(bad)).alias("good"),
+        F.coalesce("changed", F.lit(0)).alias("changed"),
+        F.coalesce("typed", F.lit(0)).alias("typed"),
+        F.coalesce("initial", F.lit(0)).alias("initial"),
+    )
+    good = F.col("good")
+    judged = judged.filter(good != 0).select(
+        *match,
+        F.col("per_choice")[good].alias("n_windows"),
+        F.when(good.bitwiseAND(TYPED) != 0, F.col("typed"))
+        .when(good.bitwiseAND(INITIAL) != 0, F.col("initial"))
+        .otherwise(0)
+        .alias("n_slots"),
+        (good.bitwiseAND(F.col("changed")) == 0).alias("exact"),
     )
     best = F.max_by(F.struct("n_windows", "n_slots", "exact"), F.struct("n_windows", "exact", "shift"))
-    out = judged.filter("agree").groupBy("id", "item").agg(best.alias("best"))
+    out = judged.groupBy("id", "item").agg(best.alias("best"))
     return out.select(
         F.col("id.doc").alias(doc_id),
         F.col("item").alias(item_id),

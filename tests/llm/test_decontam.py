@@ -50,6 +50,16 @@ def test_copies_and_new_parameters(spark):
     assert (3, 70) not in got
 
 
+def test_other_case_and_names_at_the_start(spark):
+    german = "der Müller aus Straßburg geht über die große Brücke und Élodie grüßt ihn dort sehr höflich"
+    named = "Hopkins sells 14 melons for 3 dollars each on market day near town"
+    renamed = "Barlow sells 90 melons for 5 dollars each on market day near town"
+    rows = [(5, QUESTION.upper()), (6, QUESTION.title()), (7, german.upper()), (8, renamed), (9, f"Later on Barlow{renamed[6:]}")]
+    got = found(spark, rows, [(70, QUESTION), (71, german), (72, named)])
+    assert set(got) == {(5, 70), (6, 70), (7, 71), (8, 72), (9, 72)}
+    assert all(got[k].exact for k in [(5, 70), (6, 70), (7, 71)]) and not got[8, 72].exact and got[8, 72].n_slots == 4
+
+
 def brute(rows, items, window):
     """Pairs that share a window of equal words, for texts without any slots."""
     def grams(text, n):
