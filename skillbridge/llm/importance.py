@@ -5,8 +5,8 @@ documents. A document's log weight is the log ratio of its likelihoods under the
 Gumbel noise to it and keeping the largest is a draw without replacement in proportion to the
 weights.
 
-The target is a bounded sample of labelled documents; the raw counts, the weights and the
-draw cover every document.
+The target is every document labelled as good; the raw counts, the weights and the draw cover
+every document.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from skillbridge.llm.spans import Texts, chunks, mix, span_hashes, spans, window
 from skillbridge.llm.store import small_batches, written
 
 BUCKETS = 10_000
-SAMPLE = 20_000  # target documents used at most
 SMOOTHING = 1.0
 BINS = 1024  # ranges counted in a step towards the k-th largest
 
@@ -53,20 +52,20 @@ def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
 
-def target_ids(labels: DataFrame, size: int = SAMPLE, doc_id: str = "doc_id") -> DataFrame:
-    """Ids labelled as good (``quality`` 1), at most ``size``, in the order of a hash."""
-    good = labels.filter("quality = 1").select(F.col(f"`{doc_id}`").alias("id")).dropna().distinct()
-    return good.orderBy(F.xxhash64("id"), "id").limit(size)
+def target_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The distinct ids labelled as good (``quality`` 1)."""
+    return labels.filter("quality = 1").select(F.col(f"`{doc_id}`").alias("id")).dropna().distinct()
 
 
 def log_ratios(docs: DataFrame, ids: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS) -> np.ndarray:
     """Per bucket the log of its probability in the target over that in all documents.
 
-    ``ids`` is bounded (:func:`target_ids`) and sent to all tasks.
+    ``ids`` are distinct (:func:`target_ids`). They grow with the labels, so they are joined by a
+    shuffle and not sent to all tasks; the hash table is of the ids, the texts are not sorted.
     """
     small_batches(docs.sparkSession)
     flagged = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
-        F.broadcast(ids.withColumn("target", F.lit(True))), "id", "left"
+        ids.withColumn("target", F.lit(True)).hint("shuffle_hash"), "id", "left"
     )
     rows = flagged.select(F.coalesce("target", F.lit(False)).alias("target"), "text")
     counts = rows.mapInArrow(lambda b: _counts(b, buckets), "bucket long, raw long, target long")

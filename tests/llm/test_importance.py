@@ -55,6 +55,16 @@ def test_weights_as_by_brute_force(spark):
     assert sum(i % 3 > 0 for i in kept) > 0.9 * len(kept)
 
 
+def test_all_good_labels_make_the_target(spark):
+    count = 20_500
+    labels = spark.range(count).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    ids = importance.target_ids(labels)
+    assert ids.count() == count
+    docs = spark.range(count).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    # all documents are the target, so no bucket is more likely in it
+    assert not importance.log_ratios(docs, ids).any()
+
+
 def test_noise_is_gumbel(spark):
     noise = np.array([r[0] for r in spark.range(20_000).select(importance.gumbel(3, "id")).collect()])
     assert abs(noise.mean() - 0.5772) < 0.05 and abs(noise.var() - math.pi**2 / 6) < 0.1
