@@ -60,6 +60,14 @@ def test_other_case_and_names_at_the_start(spark):
     assert all(got[k].exact for k in [(5, 70), (6, 70), (7, 71)]) and not got[8, 72].exact and got[8, 72].n_slots == 4
 
 
+def test_items_of_few_plain_words_match_word_by_word(spark):
+    sum_of = "What is 12 plus 30 ?"
+    table = "12 kg 30 kg 45 kg 7 Barlow 8 Hopkins 9 Miller 10"
+    rows = [(1, f"he asked: {sum_of}"), (2, "What is 12 plus 31 ?"), (3, f"seen {table} there"), (4, table.replace("45", "46"))]
+    got = found(spark, rows, [(70, sum_of), (71, table)])
+    assert set(got) == {(1, 70), (3, 71)} and all(r.exact for r in got.values())
+
+
 def brute(rows, items, window):
     """Pairs that share a window of equal words, for texts without any slots."""
     def grams(text, n):
