@@ -43,6 +43,8 @@ MAX_BUCKETS = 2048
 _OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 255
 
+# The pattern that pretoken_starts restates.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Fixed values of the format: what follows an apostrophe in a token of its own.
 ENDINGS_1 = "stmd"
 ENDINGS_2 = ("re", "ve", "ll")
@@ -296,8 +298,11 @@ def encode(
 
     A NULL or empty text has no tokens, a NULL id is kept, repeated rows are encoded each; an
     empty table gives an empty one. Other columns are not read. Any UTF-8 text is accepted,
-    whole; one of more than ``block_chars`` is a block of its own.
+    whole; one of more than ``block_chars`` is a block of its own. Texts are split by the rules
+    of :data:`PATTERN`, so another ``pattern`` is refused.
     """
+    if pattern != PATTERN:
+        raise ValueError(f"texts are split by {PATTERN!r} only, not by {pattern!r}")
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))

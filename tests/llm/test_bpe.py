@@ -75,3 +75,8 @@ def test_empty_table_and_clashing_columns(spark, ranks):
     assert got == [] and out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     clash = docs_of(spark, [(1, "some words")]).withColumnsRenamed({"lang": "id", "source": "ids", "n_chars": "block"})
     assert len(run(clash, ranks)[1]) == 1
+
+
+def test_another_pattern_is_refused(spark):
+    with pytest.raises(ValueError, match="split by"):
+        bpe.encode(docs_of(spark, [(1, "a b")]), {}, r"\p{L}+|\s+")
