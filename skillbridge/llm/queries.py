@@ -13,6 +13,7 @@ from skillbridge.llm import (
     jaccard,
     langid,
     linededup,
+    merkle,
     sharding,
     tokencounts,
     topk,
@@ -82,6 +83,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_poor", "p_toxic", flag.alias("toxic"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_test(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_byte_bpe": op2_byte_bpe,
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_exact_topk": op9_exact_topk,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 
@@ -111,4 +117,5 @@ ORACLES = {
     "op5_sharding": _sharding_sql(),
     "op6_jaccard_join": jaccard.oracle(),
     "op9_exact_topk": topk.oracle(QUERY_EVERY, NEAREST),
+    "op11_merkle_manifest": merkle.oracle(),
 }
