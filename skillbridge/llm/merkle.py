@@ -77,7 +77,7 @@ def _pivot(nodes: DataFrame, fanout: int, with_items: bool) -> DataFrame:
         spread += [
             F.any_value(F.when(slot == s, F.col("item")), ignoreNulls=True).alias(f"i{s}") for s in range(fanout)
         ]
-    above = nodes.groupBy("tree", "total", F.floor(F.col("place") / fanout).alias("place")).agg(*spread)
+    above = nodes.groupBy("tree", "total", F.expr(f"place div {fanout}").alias("place")).agg(*spread)
     return above.withColumn("digest", digest(*_or_empty(range(fanout))))
 
 

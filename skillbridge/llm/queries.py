@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skillbridge.llm import (
     bpe,
     decontam,
+    filteraudit,
     importance,
     jaccard,
     langid,
@@ -87,6 +88,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_test(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_byte_bpe": op2_byte_bpe,
@@ -99,6 +104,7 @@ QUERIES = {
     "op9_exact_topk": op9_exact_topk,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 
@@ -118,4 +124,5 @@ ORACLES = {
     "op6_jaccard_join": jaccard.oracle(),
     "op9_exact_topk": topk.oracle(QUERY_EVERY, NEAREST),
     "op11_merkle_manifest": merkle.oracle(),
+    "op12_filter_audit": filteraudit.oracle(),
 }
