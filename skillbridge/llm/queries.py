@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skillbridge.llm import (
     bpe,
+    chat,
     decontam,
     filteraudit,
     importance,
@@ -92,6 +93,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_byte_bpe": op2_byte_bpe,
@@ -105,6 +110,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_filter_audit": op12_filter_audit,
+    "op13_chat_format": op13_chat_format,
 }
 
 
@@ -125,4 +131,5 @@ ORACLES = {
     "op9_exact_topk": topk.oracle(QUERY_EVERY, NEAREST),
     "op11_merkle_manifest": merkle.oracle(),
     "op12_filter_audit": filteraudit.oracle(),
+    "op13_chat_format": chat.oracle(),
 }

@@ -9,7 +9,7 @@ from tools.check import canonical
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].partition("_")[0]) for name in QUERIES) == list(range(1, 13))
+    assert sorted(int(name[2:].partition("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
