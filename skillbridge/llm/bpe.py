@@ -14,7 +14,7 @@ Decoding joins ids with the table of token bytes, which the vocabulary bounds.
 
 The splitting is done on arrays of code points; the pattern's rules are restated there, and
 the classes of characters come from the pattern's own library. Two independent 64-bit hashes
-identify a word within its block.
+together identify a word within its block; from there on words are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.llm.spans import Texts, chunks, span_hashes
-from skillbridge.llm.store import small_batches, written_by_key
+from skillbridge.llm.store import small_batches, tidied, written_by_key
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 PACK_TOKENS = 1 << 16  # pre-tokens in one packed row, or one text
-CACHED_WORDS = 1_000_000  # distinct words a task remembers at once
+CACHE_BYTES = 64 << 20  # of distinct words and their ids that a task remembers at once, about
 MAX_BUCKETS = 2048
+_ENTRY_BYTES = 170  # what an entry of a dict of bytes takes besides its bytes, about
 _OTHER_BASE = np.uint64(0xD6E8FEB86659FD93)
 OTHER, LETTER, NUMBER, SPACE, EDGE = 0, 1, 2, 3, 255
 
@@ -155,6 +156,20 @@ class _Piece:
     length: np.ndarray
 
 
+def _distinct(hashes: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each pair of hashes, and for every place the number of its pair."""
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    if np.array_equal(check, check[first][number]):
+        return first, number
+    # words share the first hash: the second one tells them apart
+    order = np.lexsort((check, hashes))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def _piece(texts: Texts, ids: pa.Array, classes: np.ndarray) -> _Piece:
     # bounds in characters: count the bytes that start one
     starts = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
@@ -163,21 +178,18 @@ def _piece(texts: Texts, ids: pa.Array, classes: np.ndarray) -> _Piece:
     start = pretoken_starts(codes, begin, end, classes)
     stop = np.append(start[1:], len(codes))
     hashes = span_hashes(codes, start, stop)
-    unique, first, word = np.unique(hashes, return_index=True, return_inverse=True)
     check = span_hashes(codes, start, stop, _OTHER_BASE)
-    if not np.array_equal(check, check[first][word]):
-        raise ValueError("two words of one text share a hash")
+    first, word = _distinct(hashes, check)
     length = (stop - start)[first]
     counts = np.searchsorted(start, end) - np.searchsorted(start, begin)
-    return _Piece(ids, counts, unique, check[first], word.astype(np.int32), _gather(codes, start[first], length), length)
+    return _Piece(ids, counts, hashes[first], check[first], word.astype(np.int32), _gather(codes, start[first], length), length)
 
 
 def _block_rows(block: int, pieces: list[_Piece], buckets: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     hashes = np.concatenate([p.hashes for p in pieces])
     check = np.concatenate([p.check for p in pieces])
-    unique, first, merged = np.unique(hashes, return_index=True, return_inverse=True)
-    if not np.array_equal(check, check[first][merged]):
-        raise ValueError("two words of one block share a hash")
+    first, merged = _distinct(hashes, check)
+    unique = hashes[first]
     offset = np.cumsum([0] + [len(p.hashes) for p in pieces])
     used = np.zeros(len(unique), dtype=np.int64)
     for p, lo in zip(pieces, offset, strict=False):
@@ -240,15 +252,18 @@ def _encode_words(batches: Iterator[pa.RecordBatch], ranks, pattern: str) -> Ite
     """Rows of words to rows of ids; a word already met in the task is not encoded again."""
     encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
     known: dict[bytes, bytes] = {}
+    held = 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k].as_py() for c in ("block", "part", "words", "payload")}
             text, ends = zstandard.decompress(row["words"]), np.cumsum(_numbers(row["payload"]).astype(np.int64))
             words = [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
-            fresh = [w for w in words if w not in known]
-            if len(known) + len(fresh) > CACHED_WORDS:
-                known, fresh = {}, words
-            for word in fresh:
-                known[word] = array("I", encoding.encode_ordinary(word.decode())).tobytes()
+            if held > CACHE_BYTES:
+                known, held = {}, 0
+            for word in words:
+                if word not in known:
+                    known[word] = ids = array("I", encoding.encode_ordinary(word.decode())).tobytes()
+                    held += len(word) + len(ids) + _ENTRY_BYTES
             found = [known[w] for w in words]
             count = np.fromiter(map(len, found), dtype=np.uint32, count=len(found)) // np.uint32(4)
             ids = np.frombuffer(b"".join(found), dtype=np.uint32)
@@ -311,7 +326,7 @@ def encode(
     classes, sent = spark.sparkContext.broadcast(character_classes()), spark.sparkContext.broadcast(ranks)
     pre = written_by_key(
         source.mapInArrow(
-            lambda b: _split(b, classes, buckets, block_chars),
+            tidied(lambda b: _split(b, classes, buckets, block_chars)),
             f"block long, kind tinyint, part int, counts array<int>, words binary, payload binary, ids array<{kind}>",
         ),
         "bpe-blocks",
@@ -320,7 +335,7 @@ def encode(
     )
     words = pre.filter("kind = 0").select("block", "part", "words", "payload").repartition(buckets, "part")
     ids = words.mapInArrow(
-        lambda b: _encode_words(b, sent, pattern), "block long, part int, words binary, payload binary"
+        tidied(lambda b: _encode_words(b, sent, pattern)), "block long, part int, words binary, payload binary"
     )
     texts = pre.filter("kind = 1").groupBy("block")
     out = texts.cogroup(ids.groupBy("block")).applyInArrow(_reassemble, f"id {kind}, n_tokens long, ids binary")
@@ -354,7 +369,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     names = [c for c in encoded.columns if c != "decoded"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema)
     return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(
-        lambda b: _decode(b, table), f"{fields}, decoded binary"
+        tidied(lambda b: _decode(b, table)), f"{fields}, decoded binary"
     )
 
 

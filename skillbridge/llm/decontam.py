@@ -2,9 +2,9 @@
 
 Texts become templates: numbers, units and names turn into typed placeholders, all else into
 lower case. Windows of template words of the benchmark are joined by hash with those of the
-documents, so a question is found though it was given other numbers or names. A match stands
-only if its slots agree: wherever the benchmark repeats a value, the document repeats its
-own one. Texts are read three ways, each with windows of its own: with names inside sentences as
+documents, so a question is found though it was given other numbers or names. A match by
+placeholders stands only if its slots agree: wherever the benchmark repeats a value, the document
+repeats its own one; a match word by word always stands. Texts are read three ways, each with windows of its own: with names inside sentences as
 placeholders, with all capitalised words as such, and word by word in case-folded letters
 without any placeholder, so that copies in another case are found.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.llm.spans import Texts, chunks, mix, span_hashes, spans, windows
-from skillbridge.llm.store import bit_filter, may_hold, same, small_batches, written
+from skillbridge.llm.store import bit_filter, may_hold, same, small_batches, unused, written
 
 WINDOW = 13  # template words of a window; an item with fewer is one window
 SHORTEST = 5  # items with fewer words are no evidence
@@ -199,7 +199,8 @@ def matches(
     own, case aside. ``th`` is a hash of the text. Windows are ``window`` words; an item of fewer
     words is one window, and one of fewer than :data:`SHORTEST` matches nothing, as do NULL
     and empty texts. Windows with fewer than :data:`LITERALS` plain words match word by word only.
-    Windows without placeholders count unless the typed slots of their passage disagree. Items and documents that repeat an id are
+    Windows that are equal word by word always count; those with placeholders count unless the slots of
+    their passage disagree. Items and documents that repeat an id are
     reported under it; rows equal in id and text count once. Empty tables give no matches.
     """
     spark = docs.sparkSession
@@ -247,8 +248,7 @@ def matches(
     per_choice = [F.count_if(F.col("held").bitwiseAND(r) != 0) for r in range(2 * LITERAL)]
     counted = held.groupBy(*match).agg(F.bit_or("held").alias("held"), F.array(*per_choice).alias("per_choice"))
     null = [same(counted[c], agreed[c]) for c in match]
-    torn = F.coalesce("torn", F.lit(0))
-    bad = torn.bitwiseOR(F.when(torn.bitwiseAND(TYPED) != 0, LITERAL).otherwise(0))
+    bad = F.coalesce("torn", F.lit(0))  # never the reading word by word, which has no slots
     judged = counted.join(agreed, null[0] & null[1] & null[2], "left").select(
         *[counted[c] for c in match],
         "per_choice",
@@ -284,8 +284,9 @@ def remove_contaminated(
 ) -> DataFrame:
     """``docs`` without those that match an item; all other rows stay as they are."""
     hits = matches(docs, benchmark, text, doc_id, **kw)
-    hits = hits.select(F.col(doc_id).alias("_doc"), F.col("th").alias("_th")).distinct()
-    here = same(F.col(f"`{doc_id}`"), F.col("_doc")) & (
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("_th")
+    doc, th = unused(docs.columns, "_doc", "_th")
+    hits = hits.select(F.col(f"`{doc_id}`").alias(doc), F.col("th").alias(th)).distinct()
+    here = same(F.col(f"`{doc_id}`"), F.col(doc)) & (
+        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col(th)
     )
     return docs.join(written(hits, "contaminated").hint("shuffle_hash"), here, "left_anti")

@@ -30,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.llm.components import components
 from skillbridge.llm.spans import Texts, chunks, mix, span_hashes, spans, windows
-from skillbridge.llm.store import batches_of, bit_filter, may_hold, same, small_batches, written
+from skillbridge.llm.store import batches_of, bit_filter, may_hold, same, small_batches, tidied, unused, written
 
 WORDS = 5
 PERCENT = 80
@@ -87,14 +88,40 @@ def _sequence(words: np.ndarray) -> np.uint64:
     return out[0]
 
 
-def _node_ids(tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _set_hash(tokens: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
     """A hash of each set, whatever the order of its tokens; 0 for an empty set."""
     out = np.zeros(len(count), dtype=np.uint64)
     some = count > 0
     first = (np.cumsum(count) - count)[some]
     if len(first):
-        out[some] = mix(np.add.reduceat(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first) + count[some].astype(np.uint64))
-    return out.view(np.int64)
+        out[some] = mix(np.add.reduceat(mix(tokens ^ np.uint64(seed)), first) + count[some].astype(np.uint64))
+    return out
+
+
+def _node_ids(tokens: np.ndarray, count: np.ndarray, twins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Name of each set, and a second hash of it.
+
+    The name is a hash, too; where it is one of ``twins``, which several sets of the corpus have,
+    it is made of both hashes. So sets are told apart by 128 bits.
+    """
+    node, check = (_set_hash(tokens, count, seed) for seed in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B))
+    if len(twins):
+        both = np.isin(node, twins)
+        node[both] = mix(node[both] + check[both])
+    return node.view(np.int64), check.view(np.int64)
+
+
+def _renamed(batches: Iterator[pa.RecordBatch], twins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_shingled`` whose nodes are twins, under the names that ``_node_ids`` gives these."""
+    for batch in batches:
+        at, check = (batch.schema.names.index(c) for c in ("node", "check"))
+        node = pc.fill_null(batch.column(at), 0).to_numpy(zero_copy_only=False).view(np.uint64).copy()
+        other = pc.fill_null(batch.column(check), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+        both = np.isin(node, twins) & batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+        node[both] = mix(node[both] + other[both])
+        columns = list(batch.columns)
+        columns[at] = pa.array(node.view(np.int64), mask=batch.column(at).is_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -107,7 +134,7 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     def flush():
         token, count = np.unique(np.concatenate(held), return_counts=True)
         token, count = token[count > 1].view(np.int64), count[count > 1]
-        nothing = [pa.nulls(len(token), t) for t in (doc_type, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        nothing = [pa.nulls(len(token), t) for t in (doc_type, *[pa.int64()] * 4, pa.binary())]
         return pa.RecordBatch.from_arrays([pa.array(token), pa.array(count), *nothing], _SHINGLED)
 
     for batch in batches:
@@ -116,13 +143,15 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             tokens, count = token_sets(texts, size)
             first = np.cumsum(count) - count
             bits = [bitmap(tokens[a : a + n]).tobytes() if n else b"" for a, n in zip(first, count, strict=True)]
+            node, check = _node_ids(tokens, count, _NO_TWINS)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(len(texts), pa.int64()),
                     pa.nulls(len(texts), pa.int64()),
                     batch.column(0).slice(texts.first, len(texts)),
                     batch.column(1).slice(texts.first, len(texts)),
-                    pa.array(_node_ids(tokens, count)),
+                    pa.array(node),
+                    pa.array(check),
                     pa.array(count.astype(np.int64)),
                     pa.array(bits, pa.binary()),
                 ],
@@ -137,10 +166,13 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield flush()
 
 
-_SHINGLED = ["token", "n", "doc", "th", "node", "size", "bits"]
+_SHINGLED = ["token", "n", "doc", "th", "node", "check", "size", "bits"]
+_NO_TWINS = np.empty(0, dtype=np.uint64)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
+def _prefixes(
+    batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent, twins: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """Column ``text`` to ``node, prefix`` of the texts that have shingles."""
     hot, rank = frequent.value
     for batch in batches:
@@ -159,7 +191,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, percent: int, freque
             some = count > 0
             ends = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
             prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_node_ids(tokens, count)[some]), prefixes], ["node", "prefix"])
+            node, _ = _node_ids(tokens, count, twins)
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), prefixes], ["node", "prefix"])
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +249,9 @@ def folded(bits: bytes, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width), axis=0)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, picks, nodes, sketch: bool) -> Iterator[pa.RecordBatch]:
+def _sets(
+    batches: Iterator[pa.RecordBatch], size: int, picks, nodes, sketch: bool, twins: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """Columns ``pick, text`` to ``node, size, data`` of those that the bit sets let pass.
 
     ``data`` are the tokens, in order, or a bitmap of them.
@@ -225,7 +260,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, picks, nodes, sketch: bo
         batch = batch.filter(pa.array(may_hold(picks.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
         for texts in chunks(batch.column(1)):
             tokens, count = token_sets(texts, size)
-            node = _node_ids(tokens, count)
+            node, _ = _node_ids(tokens, count, twins)
             first = np.cumsum(count) - count
             rows = np.flatnonzero((count > 0) & may_hold(nodes.value, node.view(np.uint64)))
             sets = [tokens[first[r] : first[r] + count[r]] for r in rows]
@@ -415,19 +450,22 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 class _Whole:
     """Sets, or bitmaps, of the nodes that pairs name; read from the texts when first needed."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, sketch: bool) -> None:
+    def __init__(
+        self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, sketch: bool, twins: np.ndarray
+    ) -> None:
         self.docs, self.nodes, self.size, self.percent, self.sketch = docs, nodes, size, percent, sketch
+        self.twins = twins
         self.held: DataFrame | None = None
 
     def _read(self, wanted: DataFrame) -> DataFrame:
         """``node, size, data`` of the nodes in ``wanted``, from one document each."""
-        spark, size, sketch = self.docs.sparkSession, self.size, self.sketch
+        spark, size, sketch, twins = self.docs.sparkSession, self.size, self.sketch, self.twins
         one = self.nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "th")).alias("d"))
         picked = written(one.select("node", F.xxhash64("d.doc", "d.th").alias("pick")), "shingle-picks")
         picks = spark.sparkContext.broadcast(bit_filter(picked, "pick"))
         some = spark.sparkContext.broadcast(bit_filter(picked, "node"))
         rows = self.docs.select(F.xxhash64("doc", "th").alias("pick"), "text")
-        sets = rows.mapInArrow(lambda b: _sets(b, size, picks, some, sketch), "node long, size long, data binary")
+        sets = rows.mapInArrow(tidied(lambda b: _sets(b, size, picks, some, sketch, twins)), "node long, size long, data binary")
         return written(sets, "shingle-sets")
 
     def _side(self, pairs: DataFrame, column: str) -> DataFrame:
@@ -492,13 +530,14 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc"].dataType.simpleString()
-    shingled = written(
-        docs.select("doc", "th", "text").mapInArrow(
-            lambda b: _shingled(b, size),
-            f"token long, n long, doc {kind}, th long, node long, size long, bits binary",
-        ),
-        "shingles",
-    )
+    columns = f"token long, n long, doc {kind}, th long, node long, check long, size long, bits binary"
+    shingled = docs.select("doc", "th", "text").mapInArrow(tidied(lambda b: _shingled(b, size)), columns)
+    shingled = written(shingled, "shingles")
+    # names that several sets have: none, but for one in some billions of sets
+    several = shingled.filter("size > 0").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"))
+    twins = several.filter("lo <> hi").select("node").toPandas()["node"].to_numpy(np.int64).view(np.uint64)
+    if len(twins):
+        shingled = written(shingled.mapInArrow(lambda b: _renamed(b, twins), columns), "shingles")
     nodes = shingled.filter("n IS NULL").select("doc", "th", "node", "size")
     counts = shingled.filter("n IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
@@ -507,7 +546,7 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     frequent = spark.sparkContext.broadcast((top["token"].to_numpy(), top["n"].to_numpy(np.int64)))
 
     prefixes = docs.select("text").mapInArrow(
-        lambda b: _prefixes(b, size, percent, frequent), "node long, prefix array<long>"
+        tidied(lambda b: _prefixes(b, size, percent, frequent, twins)), "node long, prefix array<long>"
     )
     distinct = prefixes.groupBy("node").agg(F.first("prefix").alias("prefix"))
     tokens = distinct.select(F.explode("prefix").alias("token"), "node")
@@ -519,8 +558,8 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     )
     forest = written(roots.join(leaves, "node"), "shingle-trees")
 
-    sketches = _Whole(docs, nodes, size, percent, sketch=True)
-    sets = _Whole(docs, nodes, size, percent, sketch=False)
+    sketches = _Whole(docs, nodes, size, percent, True, twins)
+    sets = _Whole(docs, nodes, size, percent, False, twins)
     links, tested, comps = None, None, None
 
     def found_pairs(salt: int, every: bool) -> DataFrame:
@@ -528,7 +567,7 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
         found = (
             rows.repartition("cell")
             .sortWithinPartitions("cell")
-            .mapInArrow(lambda b: _walk(b, percent, every), "a long, b long, share double")
+            .mapInArrow(tidied(lambda b: _walk(b, percent, every)), "a long, b long, share double")
         )
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
@@ -611,16 +650,17 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     best = F.min_by(F.struct("doc", "th", "n"), order).alias("best")
     keep = rows.filter("component IS NOT NULL").groupBy("component").agg(best).select("best.*")
     keep = keep.unionByName(rows.filter("component IS NULL").select("doc", "th", "n"))
-    keep = written(keep.withColumnsRenamed({"doc": "_doc", "th": "_th", "n": "_n"}), "near-kept")
-    here = same(F.col(f"`{doc_id}`"), F.col("_doc")) & (
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("_th")
+    doc, th, count = unused(docs.columns, "_doc", "_th", "_n")
+    keep = written(keep.toDF(doc, th, count), "near-kept")
+    here = same(F.col(f"`{doc_id}`"), F.col(doc)) & (
+        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col(th)
     )
-    once = docs.join(keep.filter("_n = 1").hint("shuffle_hash"), here, "left_semi")
-    several = keep.filter("_n > 1")
+    once = docs.join(keep.filter(F.col(count) == 1).hint("shuffle_hash"), here, "left_semi")
+    several = keep.filter(F.col(count) > 1)
     if several.isEmpty():
         return once
-    more = docs.join(several.hint("shuffle_hash"), here).dropDuplicates(["_doc", "_th"])
-    return once.unionByName(more.select(docs.columns))
+    more = docs.join(several.hint("shuffle_hash"), here).dropDuplicates([doc, th])
+    return once.unionByName(more.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def oracle(size: int = WORDS, percent: int = PERCENT) -> str:

@@ -172,19 +172,21 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", doc_id: str =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(filters)
+    # plain values, as executors need not have the package to read a broadcast
+    sent = spark.sparkContext.broadcast((filters.languages, filters.usual, filters.masks))
     value = F.col(f"`{text}`")
     letters = F.coalesce(value.rlike(r"\p{L}"), F.lit(False))
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.when(letters, value).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches):
-        names = np.array([*sent.value.languages, UNKNOWN], dtype=object)
+        learned = Filters(*sent.value)
+        names = np.array([*learned.languages, UNKNOWN], dtype=object)
         for batch in batches:
             missing = batch.column(1).is_null().to_numpy(zero_copy_only=False) | (len(names) == 1)
             for texts in chunks(batch.column(1)):
                 part = slice(texts.first, texts.first + len(texts))
-                best, score = sent.value.predict(texts) if len(names) > 1 else (np.zeros(len(texts), int), np.zeros(len(texts)))
+                best, score = learned.predict(texts) if len(names) > 1 else (np.zeros(len(texts), int), np.zeros(len(texts)))
                 best, score = np.where(missing[part], len(names) - 1, best), np.where(missing[part], 0.0, score)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(texts.first, len(texts)), pa.array(names[best].tolist(), pa.string()), pa.array(score)],

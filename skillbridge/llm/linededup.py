@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skillbridge.llm.store import same, written
+from skillbridge.llm.store import same, unused, written
 
 MIN_WORDS = 50
 BLANKS = " \t\r"  # what separates words and is cut off at the ends of a line
@@ -40,9 +40,9 @@ def _row_hash(text: Column) -> Column:
 def counting_lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """``doc, th, pos, h1, h2, words`` of every line that is not blank."""
     lines = docs.select(
-        F.col(doc_id).alias("doc"),
-        _row_hash(F.col(text)).alias("th"),
-        F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"),
+        F.col(f"`{doc_id}`").alias("doc"),
+        _row_hash(F.col(f"`{text}`")).alias("th"),
+        F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"),
     )
     line = F.btrim("line", F.lit(BLANKS))
     return (
@@ -114,7 +114,7 @@ def cut_masks(repeats: DataFrame) -> DataFrame:
             lambda s: F.concat(F.array_repeat(F.lit(False), s["gap"]), F.array(F.lit(True))),
         )
     )
-    return steps.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(mask.alias("_mask"))
+    return steps.groupBy("doc", "th").agg(mask.alias("mask"))
 
 
 def dedup_lines(
@@ -128,13 +128,14 @@ def dedup_lines(
     """
     columns = [c for c in docs.columns if c != "lines_removed"]
     runs = written(shortest_runs(counting_lines(docs, text, doc_id), min_words), "line-runs")
-    gone = cut_masks(repeated_runs(runs)).hint("shuffle_hash")
-    here = same(F.col(f"`{doc_id}`"), F.col("_doc")) & (_row_hash(F.col(f"`{text}`")) == F.col("_th"))
+    doc, th, mask = unused(columns, "_doc", "_th", "_mask")
+    gone = cut_masks(repeated_runs(runs)).toDF(doc, th, mask).hint("shuffle_hash")
+    here = same(F.col(f"`{doc_id}`"), F.col(doc)) & (_row_hash(F.col(f"`{text}`")) == F.col(th))
     joined = docs.select(*[F.col(f"`{c}`") for c in columns]).join(gone, here, "left")
     parts = F.split(F.col(f"`{text}`"), "\n")
     blank = lambda line: F.btrim(line, F.lit(BLANKS)) == ""
-    rest = F.filter(parts, lambda line, i: ~F.coalesce(F.get("_mask", i), F.lit(False)) | blank(line))
-    cut = F.col("_mask").isNotNull()
+    rest = F.filter(parts, lambda line, i: ~F.coalesce(F.get(mask, i), F.lit(False)) | blank(line))
+    cut = F.col(mask).isNotNull()
     return joined.select(
         *[
             F.when(cut, F.array_join(rest, "\n")).otherwise(F.col(f"`{c}`")).alias(c)

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skillbridge.llm.store import unused
+
 SLOTS = 65_537
 
 
@@ -65,14 +67,13 @@ def place(
 
     The table has ``slots`` rows, whatever the data, and is broadcast. Rows with one key go
     to one shard, repeated rows alike; a NULL key has a shard as any other; an empty table
-    stays empty. A column already named ``column`` is replaced.
+    stays empty. A column already named ``column`` is replaced, all others are kept.
     """
     names = [c for c in df.columns if c != column]
-    table = F.broadcast(table_frame(df.sparkSession, shards, slots))
-    keyed = df.withColumn("_slot", key_slot(F.col(f"`{key}`"), slots))
-    return keyed.join(table, "_slot", "left").select(
-        *[F.col(f"`{c}`") for c in names], F.col("_shard").alias(column)
-    )
+    slot, shard = unused(df.columns, "_slot", "_shard")
+    table = F.broadcast(table_frame(df.sparkSession, shards, slots).toDF(slot, shard))
+    keyed = df.withColumn(slot, key_slot(F.col(f"`{key}`"), slots))
+    return keyed.join(table, slot, "left").select(*[F.col(f"`{c}`") for c in names], F.col(shard).alias(column))
 
 
 def write_shards(placed: DataFrame, path: str, column: str = "shard") -> None:

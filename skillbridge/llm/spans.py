@@ -1,7 +1,8 @@
 """Words and shingles of many texts at once, as arrays.
 
-Texts stay UTF-8 bytes. A word is hashed by a polynomial of its bytes modulo 2**64 with a
-final mix; a task handles about a million bytes at a time, and one text at least.
+Texts stay UTF-8 bytes. A word is hashed eight bytes at a time: each group is mixed with its place
+in the word, the mixed groups are summed up and mixed again with the length. A task handles about a
+million bytes at a time, and one text at least.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+# masks of the first 0 to 8 bytes of a group, as read from memory
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,10 +27,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(count: int, base: np.uint64 = _BASE) -> np.ndarray:
-    return np.cumprod(np.full(max(1, count), base, dtype=np.uint64))
-
-
 @dataclass
 class Texts:
     """Some texts laid end to end."""
@@ -90,15 +89,31 @@ def spans(texts: Texts, is_word: np.ndarray) -> Spans:
 def span_hashes(
     codes: np.ndarray, start: np.ndarray, stop: np.ndarray, base: np.uint64 = _BASE
 ) -> np.ndarray:
-    """A 64-bit hash of each span of ``codes`` (unsigned integers of any width)."""
+    """A 64-bit hash of each span of ``codes`` (unsigned integers of 1, 2, 4 or 8 bytes).
+
+    Another ``base`` gives another hash. No two spans of one length up to eight bytes share one.
+    """
     if not len(start):
         return np.empty(0, dtype=np.uint64)
+    width = codes.dtype.itemsize
+    each = 8 // width  # codes in a group
+    padded = np.concatenate([codes, np.zeros(each, dtype=codes.dtype)]).view(np.uint8)
+    # the eight bytes from each code on
+    from_here = np.ndarray(len(codes) + 1, dtype="<u8", buffer=padded, strides=(width,))
     length = stop - start
-    first = np.concatenate([[0], np.cumsum(length)[:-1]])
-    within = np.arange(int(length.sum())) - np.repeat(first, length)
-    values = codes[within + np.repeat(start, length)].astype(np.uint64) + np.uint64(1)
-    values *= powers(int(length.max()), base)[within]
-    return mix(np.add.reduceat(values, first) + length.astype(np.uint64) * base)
+    count = np.maximum(1, -(-length // each))
+    group, at, left = np.zeros(len(start), dtype=np.int64), start, length
+    several = bool((count > 1).any())
+    if several:
+        first = np.cumsum(count) - count
+        group = np.arange(int(count.sum())) - np.repeat(first, count)
+        at = np.repeat(start, count) + group * each
+        left = np.repeat(length, count) - group * each
+    inside = _FIRST_BYTES[np.minimum(left, each) * width]
+    value = mix((from_here[at] & inside) ^ ((group + 1).astype(np.uint64) * base))
+    if several:
+        value = np.add.reduceat(value, first)
+    return mix(value + length.astype(np.uint64) * base)
 
 
 def windows(word: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,47 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(_BATCH, before)
+
+
+def give_back() -> None:
+    """Return memory that this process has freed but holds on to."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library: it trims by itself
+        pass
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 16 << 20):
+    """``work`` for ``mapInArrow``, which gives back memory after so many bytes of input and at its end.
+
+    Workers live on from one task to the next, and would keep what the largest of them took.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal seen
+            for batch in batches:
+                yield batch
+                seen += batch.nbytes
+                if seen >= every:
+                    seen = 0
+                    give_back()
+
+        yield from work(counted())
+        give_back()
+
+    return run
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column (in any case) has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

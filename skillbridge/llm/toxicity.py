@@ -227,16 +227,18 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_")
     """
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast(chain)
+    # plain arrays, as executors need not have the package to read a broadcast
+    sent = spark.sparkContext.broadcast((chain.categories, chain.known, chain.weights, chain.earlier, chain.bias))
     new = [prefix + c for c in chain.categories]
     names = [c for c in docs.columns if c not in new]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
 
     def run(batches):
+        model = Chain(*sent.value)
         for batch in batches:
             at = batch.schema.names.index(text)
             for texts in chunks(batch.column(at)):
-                p = sent.value.probabilities(texts)
+                p = model.probabilities(texts)
                 part = batch.slice(texts.first, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *[pa.array(p[:, k].copy()) for k in range(p.shape[1])]], [*names, *new]
@@ -259,4 +261,8 @@ def remove_toxic(
 ) -> DataFrame:
     """``docs`` without those whose probability of ``toxic`` reaches ``threshold``."""
     chain = fit_chain(docs, label_categories(labels), CATEGORIES, text)
-    return score(docs, chain, text, prefix="_p_").filter(F.col("_p_toxic") < threshold).select(docs.columns)
+    prefix = "_p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    scored = score(docs, chain, text, prefix=prefix).filter(F.col(f"{prefix}toxic") < threshold)
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,6 +13,14 @@ DOCS = T.StructType(
 )
 
 
+def mirrored(length):
+    """Two words of ``length`` letters (a power of two) that polynomial hashes modulo 2**64 confuse."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def docs_of(spark, rows):
     """A documents table of ``(doc_id, text)`` pairs, in several partitions."""
     full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]

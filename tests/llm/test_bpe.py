@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import regex
 import tiktoken
-from rows import docs_of
+from rows import docs_of, mirrored
 
 from skillbridge.llm import bpe
 from skillbridge.llm.spans import chunks
@@ -80,3 +80,27 @@ def test_empty_table_and_clashing_columns(spark, ranks):
 def test_another_pattern_is_refused(spark):
     with pytest.raises(ValueError, match="split by"):
         bpe.encode(docs_of(spark, [(1, "a b")]), {}, r"\p{L}+|\s+")
+
+
+def test_words_that_hashes_may_confuse(spark, ranks, encoding, monkeypatch):
+    texts = [(2 * k + n, word) for k, length in enumerate((1024, 4096)) for n, word in enumerate(mirrored(length))]
+    texts += [(10, " ".join(mirrored(1024))), (11, "some other words")]
+    _, got = run(docs_of(spark, texts).coalesce(1), ranks)
+    assert sorted(map(tuple, got)) == expected(texts, encoding)
+    # all words share the first hash: the second one tells them apart
+    own = bpe.span_hashes
+
+    def blunt(codes, start, stop, *base):
+        return own(codes, start, stop, *base) if base else np.zeros(len(start), dtype=np.uint64)
+
+    monkeypatch.setattr(bpe, "span_hashes", blunt)
+    texts += list(enumerate(odd_texts(100), 20))
+    _, got = run(docs_of(spark, texts).coalesce(1), ranks)
+    assert sorted(map(tuple, got)) == expected(texts, encoding)
+
+
+def test_words_are_encoded_again_when_the_cache_is_full(spark, ranks, encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 500)
+    texts = list(enumerate(odd_texts(200, seed=9)))
+    _, got = run(docs_of(spark, texts), ranks, block_chars=300)
+    assert sorted(map(tuple, got)) == expected(texts, encoding)
