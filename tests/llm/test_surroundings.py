@@ -66,10 +66,10 @@ def missing(_):
         return 1
     return 0
 assert spark.sparkContext.parallelize([1]).map(missing).collect() == [1]
-docs = spark.createDataFrame([(k, "nice words " * 9 if k % 2 else "vile slur " * 9, "en" if k % 2 else "de") for k in range(60)], "doc_id long, text string, lang string")
-labels = docs.select("doc_id", F.lit(1).alias("quality"), (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
-assert langid.predict(docs, langid.fit(docs)).filter("lang_pred = 'de'").count() == 30
-assert toxicity.remove_toxic(docs, labels).count() > 0
+docs = spark.createDataFrame([(k, "nice words " * 9 if k % 3 else "vile slur " * 9, "en" if k % 3 else "de") for k in range(120)], "doc_id long, text string, lang string")
+labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+assert langid.predict(docs, langid.fit(docs)).filter("lang_pred = 'de'").count() == 40
+assert toxicity.remove_toxic(docs, labels).count() == 80
 print("fine")
 """
 
