@@ -144,6 +144,16 @@ def assign_ids(df: DataFrame, start: int, name: str = "id") -> DataFrame:
     return df.withColumn(name, new_id)
 
 
+def page_after(df: DataFrame, after: object | None, limit: int, key: str = "id") -> DataFrame:
+    """The next ``limit`` rows behind ``after``, the last key of the page before (None: the first page).
+
+    A page costs the same wherever it is: the scan skips what lies before the key, and each task keeps
+    ``limit`` rows. ``key`` must be unique; rows without one are on no page.
+    """
+    rest = df.filter(F.col(key).isNotNull()) if after is None else df.filter(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(limit)
+
+
 def page_rows(
     df: DataFrame, order: str | Column = "id", skip: int | None = None, limit: int | None = None
 ) -> DataFrame:

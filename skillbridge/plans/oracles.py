@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from skillbridge.functions.text import PROMPT_TEMPLATE, STANDING_QUESTION
 from skillbridge.operators.quality import SPECIAL_CHARACTER
-from skillbridge.plans.inputs import OPERATOR_ADDRESS, PAGE_ROWS
+from skillbridge.plans.inputs import LONGEST_TEXT, OPERATOR_ADDRESS, PAGE_ROWS
 
 
 def _quote(text: str) -> str:
@@ -241,6 +241,11 @@ WHERE errors <> ''""",
     "courses_union": f"{_LISTING_A} UNION ALL {_VALID_B}",
     "courses_append": f"{_LISTING_A} UNION ALL {_LISTING_A}",
     "page_gaps": "SELECT doc_id AS page FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "page_gap_runs": """
+SELECT page + 1 AS gap_first, next - 1 AS gap_last FROM (
+  SELECT page, lead(page) OVER (ORDER BY page) AS next FROM (
+    SELECT -1 AS page UNION ALL SELECT DISTINCT conv_id * 1000 + turn FROM conversations))
+WHERE next > page + 1""",
     "course_text": "SELECT p_name || p_type AS text FROM part WHERE p_type <> 'ECONOMY'",
     # accounts
     "row_rules": f"""
@@ -264,6 +269,7 @@ SELECT o_orderkey AS id, to_base64(encode(o_orderpriority)) AS pdf_resume,
        o_orderstatus || ' ' || o_orderpriority AS job_description
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey IN ({_ACTIVE})""",
     "upload_page": "SELECT o_orderkey AS id FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20",
+    "upload_page_after": "SELECT o_orderkey AS id FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20",
     "upload_listing": f"SELECT id, email FROM ({_UPLOADS}) ORDER BY id",
     "fk_ok": f"SELECT id FROM ({_UPLOADS}) WHERE o_custkey IN ({_ACTIVE})",
     "fk_orphan": f"SELECT id FROM ({_UPLOADS}) WHERE o_custkey NOT IN ({_ACTIVE})",
@@ -287,6 +293,10 @@ FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
 SELECT CAST(n_nationkey AS BIGINT) AS key, coalesce(arg_max(o_totalprice, o_orderkey), 0.0::DOUBLE) AS v
 FROM nation LEFT JOIN orders ON n_nationkey = o_custkey GROUP BY n_nationkey""",
     "surrogate_summary": "SELECT count(*) AS n_rows, count(*) AS n_ids, true AS above_start FROM customer",
+    "ids_two_loads": """
+SELECT c_custkey AS key, c_name AS name, row_number() OVER (ORDER BY c_custkey) AS id FROM customer
+UNION ALL
+SELECT s_suppkey, s_name, (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY s_suppkey) FROM supplier""",
     # messages
     "upload_publish": f"""
 SELECT CAST(id AS VARCHAR) AS message_id, email, o_orderpriority AS resume,
@@ -343,6 +353,13 @@ SELECT event_id, {_quote(OPERATOR_ADDRESS)} AS address, 'Service Error' AS subje
        CASE WHEN value < 10 THEN props ELSE event_type END AS body
 FROM events WHERE event_type = 'purchase' AND value < 20""",
     "stream_admit": f"SELECT id FROM ({_UPLOADS}) WHERE o_custkey IN ({_ACTIVE})",
+    "stream_poison": f"""
+SELECT doc_id, CASE WHEN bad THEN {_quote(OPERATOR_ADDRESS)} ELSE 'user' || doc_id || '@example.com' END AS address,
+       CASE WHEN bad THEN 'Service Error' ELSE 'Courses' END AS subject,
+       CASE WHEN bad THEN 'Error occurred: ' || length(text) || ' characters are too many'
+            ELSE length(text) || ' ' || (length(text) - length(replace(text, ' ', ''))) END AS message
+FROM (SELECT *, length(text) > {LONGEST_TEXT} AS bad FROM documents)""",
+    "stream_courses_table": _LISTING_A,
     "stream_ingest": _LISTING_A,
     "stream_recommend": _RECOMMEND,
 }

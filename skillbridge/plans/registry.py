@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillbridge.functions import text as X
-from skillbridge.operators import accounts, context, corpus, knn, quality
+from skillbridge.operators import accounts, context, corpus, knn, numbering, quality
 from skillbridge.plans import inputs as I
 from skillbridge.plans.ingest import all_courses, ingest, typed_listing
 from skillbridge.plans.recommend import answer_queries, index_courses, recommend
@@ -106,6 +106,14 @@ def page_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return listings.page_gaps(landed, 0, last)
 
 
+@query
+def page_gap_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of conversations as pages that have landed; what is missing up to the last one."""
+    pages = _landed(spark, I.pages_of_talk(spark, sf), "pages-talk")
+    last = pages.agg(F.max("page")).first()[0]
+    return listings.gap_runs(pages, 0, last)
+
+
 @query
 def course_text(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "courses")
@@ -160,6 +168,14 @@ def upload_page(spark: SparkSession, sf: str) -> DataFrame:
     return accounts.page_rows(I.uploads(spark, sf), skip=20, limit=10).select("id")
 
 
+@query
+def upload_page_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The page that follows the first twenty uploads, from the last key of those."""
+    rows = I.uploads(spark, sf).select("id")
+    last = accounts.page_after(rows, None, 20).agg(F.max("id")).first()[0]
+    return accounts.page_after(rows, last, 10)
+
+
 @query
 def upload_listing(spark: SparkSession, sf: str) -> DataFrame:
     return accounts.page_rows(I.uploads(spark, sf)).select("id", "email")
@@ -248,6 +264,17 @@ def surrogate_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def ids_two_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers, then suppliers, then the customers again, as after a failure."""
+    path = scratch_path(spark, "accounts-table")
+    customers = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    suppliers = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    for load, rows in (("customers", customers), ("suppliers", suppliers), ("customers", customers)):
+        numbering.append_numbered(rows, path, load, order=["key"])
+    return numbering.read_numbered(spark, path)
+
+
 # Messages -----------------------------------------------------------------------------
 
 
@@ -548,6 +575,42 @@ def stream_deadletter(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def stream_poison(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts too long for the model make their batch raise: they become letters, the rest is answered."""
+    landed, out = scratch_path(spark, "poison-requests"), scratch_path(spark, "poison-answers")
+    requests.write_requests(requests.encode_requests(I.resume_uploads(spark, sf)), landed)
+    model = corpus.ModelEmbedder(I.load_counter, "counter")
+
+    def answer(usable: DataFrame) -> DataFrame:
+        return model.embed(usable, "resume").select(
+            F.col("message_id").alias("request_id"),
+            F.col("email").alias("address"),
+            F.lit(X.ANSWER_SUBJECT).alias("subject"),
+            F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("int").cast("string"))).alias("message"),
+        )
+
+    parsed = jobs.request_stream(spark, landed)
+    done = jobs.recommend_stream(parsed, answer, I.OPERATOR_ADDRESS, out, f"{out}/checkpoint")
+    done.awaitTermination()
+    columns = ["address", "subject", "message"]
+    answers = spark.read.parquet(f"{out}/answers").select(F.col("request_id").cast("bigint").alias("doc_id"), *columns)
+    letters = spark.read.parquet(f"{out}/dead").select(F.col("message_id").cast("bigint").alias("doc_id"), *columns)
+    return answers.unionByName(letters)
+
+
+@query
+def stream_courses_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages streamed into the course table, and all of their batches replayed."""
+    landed, out = scratch_path(spark, "table-pages"), scratch_path(spark, "table-courses")
+    name = out.rsplit("/", 1)[1].replace("-", "_")
+    listings.write_pages(I.pages_a(spark, sf), landed)
+    for attempt in ("first", "again"):
+        done = jobs.ingest_stream(spark, landed, PROVIDER_A, out, f"{out}/{attempt}", table=name)
+        done.awaitTermination()
+    return sinks.read_courses(spark, name)
+
+
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     landed, out = scratch_path(spark, "stream-pages"), scratch_path(spark, "stream-courses")

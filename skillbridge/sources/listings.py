@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skillbridge.operators.numbering import dealt, partition_of
 from skillbridge.schemas import PAGE
 
 
@@ -158,6 +159,27 @@ def page_gaps(pages: DataFrame, first: int, last: int) -> DataFrame:
     return wanted.join(pages.select("page"), "page", "left_anti")
 
 
+def gap_runs(pages: DataFrame, first: int, last: int) -> DataFrame:
+    """The pages of ``first..last`` that have not landed, as runs ``gap_first, gap_last``.
+
+    Nothing lists all pages. Landed ones are dealt by ranges; a page's follower within its range
+    tells a gap, and the ends of neighbouring ranges, one row each, tell those in between. Pages
+    may come twice, or lie outside of the bounds.
+    """
+    spark = pages.sparkSession
+    here = pages.filter(F.col("page").between(first, last)).select("page").distinct()
+    rows = dealt(here, ["page"]).withColumn("_part", partition_of(F.col("_dealt_at")))
+    follower = F.lead("page").over(Window.partitionBy("_part").orderBy("page"))
+    inside = rows.select((F.col("page") + 1).alias("gap_first"), (follower - 1).alias("gap_last"))
+    ends = rows.groupBy("_part").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
+    # the bounds are ranges of their own, without pages
+    bounds = spark.createDataFrame([(first - 1, first - 1), (last + 1, last + 1)], "lo bigint, hi bigint")
+    ends = ends.select("lo", "hi").unionByName(bounds)
+    beyond = F.lead("lo").over(Window.orderBy("lo"))
+    between = ends.select((F.col("hi") + 1).alias("gap_first"), (beyond - 1).alias("gap_last"))
+    return inside.unionByName(between).filter(F.col("gap_first") <= F.col("gap_last"))
+
+
 def scan_course_text(spark: SparkSession, path: str) -> DataFrame:
     """The two course columns that retrieval needs; the scan reads no others."""
     return spark.read.parquet(path).select("title", "headline")

@@ -13,6 +13,27 @@ from pyspark.sql import types as T
 from skillbridge.schemas import COURSES, NOTIFICATION
 
 
+LOAD = "_load"  # the hidden column by which the course table is partitioned
+
+
+def _declared(field: T.StructField) -> str:
+    limit = field.metadata.get("max_length")
+    kind = field.dataType.simpleString() if limit is None else f"varchar({limit})"
+    return f"`{field.name}` {kind}{'' if field.nullable else ' NOT NULL'}"
+
+
+def _quoted(text: str) -> str:
+    return "'{}'".format(text.replace("\\", "\\\\").replace("'", "\\'"))
+
+
+def _required(field: T.StructField) -> Column:
+    col = F.col(field.name)
+    if field.nullable:
+        return col
+    missing = F.raise_error(F.lit(f"{field.name} is NULL")).cast(field.dataType)
+    return F.coalesce(col, missing).alias(field.name)
+
+
 def append_courses(courses: DataFrame, table: str, path: str | None = None) -> None:
     """Create the course table if it is absent, then append by name; duplicates are kept.
 
@@ -21,24 +42,36 @@ def append_courses(courses: DataFrame, table: str, path: str | None = None) -> N
     order.
     """
     spark = courses.sparkSession
+    location = "" if path is None else f" LOCATION {_quoted(path)}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(map(_declared, COURSES))}) USING parquet{location}")
+    rows = courses.select([_required(f) for f in COURSES])
+    rows.select(spark.table(table).columns).write.mode("append").insertInto(table)
 
-    def declared(field: T.StructField) -> str:
-        limit = field.metadata.get("max_length")
-        kind = field.dataType.simpleString() if limit is None else f"varchar({limit})"
-        return f"`{field.name}` {kind}{'' if field.nullable else ' NOT NULL'}"
-
-    location = "" if path is None else " LOCATION '{}'".format(path.replace("\\", "\\\\").replace("'", "\\'"))
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(map(declared, COURSES))}) USING parquet{location}")
 
-    def required(field: T.StructField) -> Column:
-        col = F.col(field.name)
-        if field.nullable:
-            return col
-        missing = F.raise_error(F.lit(f"{field.name} is NULL")).cast(field.dataType)
-        return F.coalesce(col, missing).alias(field.name)
+def put_load(courses: DataFrame, table: str, load: str, path: str | None = None) -> None:
+    """Put a named load into the course table; a repeated load replaces its own rows only.
 
-    rows = courses.select([required(f) for f in COURSES])
-    rows.select(spark.table(table).columns).write.mode("append").insertInto(table)
+    The table is made if it is absent, with constraints as in :func:`append_courses`, and is
+    partitioned by the load's name. A load is one partition, replaced when its job commits, so
+    a batch that is replayed after a failure leaves every course there once. Read the table by
+    :func:`read_courses`.
+    """
+    spark = courses.sparkSession
+    made = not spark.catalog.tableExists(table)
+    if made:
+        location = "" if path is None else f" LOCATION {_quoted(path)}"
+        columns = ", ".join([*map(_declared, COURSES), f"`{LOAD}` string"])
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({LOAD}){location}")
+    rows = courses.select([_required(f) for f in COURSES])
+    rows = rows.select([c for c in spark.table(table).columns if c != LOAD])
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({LOAD} = {_quoted(load)}) SELECT * FROM {{rows}}", rows=rows)
+    if made:  # in a catalog that doesn't last, files of earlier loads may lie there
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+
+
+def read_courses(spark: SparkSession, table: str) -> DataFrame:
+    """The course table without the column that tells its loads apart."""
+    return spark.table(table).drop(LOAD)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -23,7 +23,8 @@ from skillbridge.sources.requests import (
     route,
     split_requests,
 )
-from skillbridge.sources.sinks import write_batch, write_notification_batch
+from skillbridge.sources.sinks import put_load, write_batch, write_notification_batch
+from skillbridge.streaming.poison import MOST, isolate
 
 FILES_PER_BATCH = 100  # a backlog is worked off in batches of so many files
 Trigger = dict[str, bool | str]
@@ -80,13 +81,21 @@ def ingest_stream(
     checkpoint: str,
     files_per_batch: int = 5,
     trigger: Trigger | None = None,
+    table: str | None = None,
 ) -> StreamingQuery:
-    """Listing pages in micro-batches of five files, to ``out/courses`` and ``out/rejects``."""
+    """Listing pages in micro-batches of five files, to ``out/courses`` and ``out/rejects``.
+
+    With ``table`` courses go to that course table instead (its files lie in ``out/courses`` if the
+    stream makes it). A batch is a load of its own there, named by provider and number.
+    """
 
     def handle(pages: DataFrame, batch_id: int) -> None:
         judged = judge(pages, spec).persist()
         try:
-            write_batch(courses_of(judged), f"{out}/courses", batch_id)
+            if table is None:
+                write_batch(courses_of(judged), f"{out}/courses", batch_id)
+            else:
+                put_load(courses_of(judged), table, f"{spec.name}-{batch_id}", f"{out}/courses")
             write_batch(rejects_of(judged), f"{out}/rejects", batch_id)
         finally:
             judged.unpersist()
@@ -129,24 +138,35 @@ def recommend_stream(
     out: str,
     checkpoint: str,
     trigger: Trigger | None = None,
+    most_raising: int = MOST,
 ) -> StreamingQuery:
     """Answer usable requests and turn the others into dead letters; the stream goes on.
 
     Writes ``out/answers``, ``out/dead`` (with the id and body of the failed message) and
     ``out/outbound``, the notifications of both. A usable request for which ``answer`` has
-    no row (by ``request_id``) is a dead letter as well.
+    no row (by ``request_id``) is a dead letter as well, and so is one whose answer raises: it is
+    set aside by :func:`~skillbridge.streaming.poison.isolate`, and the rest of its batch is
+    answered. A batch with more than ``most_raising`` of these stops the stream.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             usable, failed = split_requests(batch)
-            write_batch(answer(usable), f"{out}/answers", batch_id)
-            spark = batch.sparkSession
-            answers = spark.read.parquet(f"{out}/answers/batch_id={batch_id}")
+            spark, folder = batch.sparkSession, f"{out}/answers/batch_id={batch_id}"
+            every, whole = usable, answer(usable)
+
+            def reset() -> None:
+                spark.createDataFrame([], whole.schema).write.mode("overwrite").parquet(folder)
+
+            def work(rows: DataFrame) -> None:
+                (whole if rows is every else answer(rows)).write.mode("append").parquet(folder)
+
+            usable, raising = isolate(every, work, reset, most_raising)
+            answers = spark.read.parquet(folder)
             got = answers.select(F.col("request_id").cast("string").alias("_id")).distinct()
             silent = usable.join(got, F.col("message_id").cast("string").eqNullSafe(F.col("_id")), "left_anti")
-            failed = failed.unionByName(silent.withColumn("error", F.lit("there is no answer")))
+            failed = failed.unionByName(silent.withColumn("error", F.lit("there is no answer"))).unionByName(raising)
             write_batch(dead_letters(failed, operator_address, "message_id", "body"), f"{out}/dead", batch_id)
             letters = spark.read.parquet(f"{out}/dead/batch_id={batch_id}")
             rows = ["address", "subject", "message"]

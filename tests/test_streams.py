@@ -12,7 +12,7 @@ from skillbridge.plans.recommend import index_courses, recommend
 from skillbridge.session import shared_dir
 from skillbridge.sources import listings, requests, sinks
 from skillbridge.sources.listings import PROVIDER_B
-from skillbridge.streaming import jobs
+from skillbridge.streaming import jobs, poison
 
 
 def body(email="u@x", content=b"text", job="job", **changes):
@@ -188,3 +188,81 @@ def test_notifications_round_trip(spark, folder):
     assert sinks.read_notifications(spark, folder).collect() == [("a@x", "Courses", 'quote " and\nline')]
     line = spark.read.text(folder).first().value
     assert list(json.loads(line)) == ["address", "subject", "message"]
+
+
+def raising_answer(bad, log=None):
+    """Echoes the job, and raises where it is one of ``bad``."""
+
+    def answer(batch):
+        job = F.when(F.col("job_desc").isin(bad), F.raise_error(F.concat(F.lit("no use for "), "job_desc")))
+        return batch.select(
+            F.col("message_id").alias("request_id"), F.col("email").alias("address"),
+            F.lit("Courses").alias("subject"), F.coalesce(job, F.col("job_desc")).alias("message"),
+        )
+
+    return answer
+
+
+@pytest.mark.parametrize("bad", [[], [0], [19], [3, 4, 11], list(range(20))])
+def test_raising_requests_become_letters(spark, folder, bad):
+    rows = [("resume_pdf", body(email=f"u{n}@x", job=f"job {n}")) for n in range(20)] + [("resume_pdf", "{")]
+    messages(spark, *rows).repartition(3).write.json(f"{folder}/in")
+    answer = raising_answer([f"job {n}" for n in bad])
+    for checkpoint in ("one", "two"):  # the second run replays the batch
+        jobs.recommend_stream(
+            jobs.request_stream(spark, f"{folder}/in"), answer, "op@x", f"{folder}/out", f"{folder}/{checkpoint}"
+        ).awaitTermination()
+        answers = spark.read.parquet(f"{folder}/out/answers")
+        assert sorted(int(r.request_id) for r in answers.collect()) == [n for n in range(20) if n not in bad]
+        dead = {r.message_id: r for r in spark.read.parquet(f"{folder}/out/dead").collect()}
+        assert set(dead) == {str(n) for n in bad} | {"20"}
+        assert all(f"no use for job {n}" in dead[str(n)].message for n in bad)
+        sent = sinks.read_notifications(spark, f"{folder}/out/outbound")
+        assert sent.count() == 21 and sent.filter("address = 'op@x'").count() == len(bad) + 1
+
+
+def test_an_outage_stops_the_stream(spark, folder):
+    rows = [("resume_pdf", body(job=f"job {n}")) for n in range(8)]
+    messages(spark, *rows).write.json(f"{folder}/in")
+    stream = jobs.recommend_stream(
+        jobs.request_stream(spark, f"{folder}/in"), raising_answer([f"job {n}" for n in range(8)]),
+        "op@x", f"{folder}/out", f"{folder}/checkpoint", most_raising=3,
+    )
+    with pytest.raises(Exception, match="messages of a batch raise"):
+        stream.awaitTermination()
+
+
+def test_reasons():
+    trace = "x\nTraceback (most recent call last):\n  File y\nKeyError: 'a'\n\nTraceback (most recent call last):\n  z\npkg.OwnError: it is so\n\n\tat java"
+    assert poison.reason_of(Exception(trace)) == "it is so"
+    assert poison.reason_of(Exception("first line\nat java")) == "first line"
+    assert poison.reason_of(RuntimeError()) == "RuntimeError"
+
+
+def test_batches_in_the_course_table(spark, folder):
+    landed = f"{folder}/in"
+    name = "courses_" + folder.rsplit("-", 1)[1]
+    land_pages(spark, landed, range(7))
+
+    def run(checkpoint, files=3):
+        jobs.ingest_stream(spark, landed, PROVIDER_B, f"{folder}/out", f"{folder}/{checkpoint}", files, table=name).awaitTermination()
+        return sorted(r.id for r in sinks.read_courses(spark, name).collect())
+
+    assert run("one") == list(range(7))
+    assert run("two") == list(range(7))  # all batches again
+    loads = {r["_load"] for r in spark.table(name).select("_load").distinct().collect()}
+    assert loads == {f"{PROVIDER_B.name}-{n}" for n in range(3)}
+    # a load of the same name takes the place of its own rows only
+    some = sinks.read_courses(spark, name)
+    one = spark.createDataFrame(some.take(1), some.schema)
+    sinks.put_load(one.filter("id < 0"), name, f"{PROVIDER_B.name}-0")
+    left = sinks.read_courses(spark, name).count()
+    assert 0 < left < 7
+    # a session that doesn't know the table finds its files
+    kept = sinks.read_courses(spark, name).columns
+    spark.sql(f"DROP TABLE {name}")
+    sinks.put_load(one.selectExpr("99 AS id", "'it''s' AS title", *kept[2:]), name, "by hand's", f"{folder}/out/courses")
+    again = sinks.read_courses(spark, name)
+    assert again.columns == kept and again.count() == left + 1
+    with pytest.raises(Exception, match="title is NULL"):
+        sinks.put_load(one.selectExpr("1 AS id", "cast(NULL AS string) AS title", *kept[2:]), name, "x")
