@@ -70,7 +70,8 @@ def put_load(courses: DataFrame, table: str, load: str, path: str | None = None)
 
 
 def read_courses(spark: SparkSession, table: str) -> DataFrame:
-    """The course table without the column that tells its loads apart."""
+    """The course table as it stands now, without the column that tells its loads apart."""
+    spark.catalog.refreshTable(table)  # streams write it in sessions of their own
     return spark.table(table).drop(LOAD)
 
 
