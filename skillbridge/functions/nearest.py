@@ -20,6 +20,22 @@ def vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), int(sizes[0]))
 
 
+def limits_of(queries: np.ndarray, known: np.ndarray | None, k: int) -> np.ndarray:
+    """A bound of each query's ``k``-th distance, from ``known`` rows of the corpus, with room for rounding."""
+    out = np.full(len(queries), np.inf)
+    if known is None or not len(queries):
+        return out
+    norms = np.einsum("ij,ij->i", known, known)
+    step = max(1, _CELLS // len(known))
+    for lo in range(0, len(queries), step):
+        some = queries[lo : lo + step]
+        own = np.einsum("ij,ij->i", some, some)
+        rough = own[:, None] + norms[None, :] - 2.0 * (some @ known.T)
+        far = np.partition(rough, k - 1, axis=1)[:, k - 1]
+        out[lo : lo + step] = np.maximum(far, 0.0) + 1e-9 * (1.0 + own + norms.max())
+    return out
+
+
 class TopK:
     """The ``k`` nearest rows per query among all rows offered, ties broken by id.
 
@@ -27,11 +43,12 @@ class TopK:
     differences, so that equal vectors have equal distances wherever they are met.
     """
 
-    def __init__(self, queries: np.ndarray, k: int) -> None:
+    def __init__(self, queries: np.ndarray, k: int, limit: np.ndarray | None = None) -> None:
+        """``limit``: distances beyond which each query is known to have no hit."""
         self.queries = queries
         self.k = k
         self.norms = np.einsum("ij,ij->i", queries, queries)
-        self.limit = np.full(len(queries), np.inf)
+        self.limit = np.full(len(queries), np.inf) if limit is None else limit.copy()
         self.query = np.empty(0, dtype=np.int64)
         self.dist = np.empty(0)
         self.rows: pa.Table | None = None

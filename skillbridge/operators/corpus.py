@@ -14,33 +14,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillbridge.functions.text import course_text
+from skillbridge.functions.text import course_text, strip_space
 
 CHUNK_SIZE = 256
 CHUNK_OVERLAP = 64
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
+def plain_meta(meta: Column) -> Column:
+    """The plain values of a VARIANT object, as a map of texts.
+
+    What a value is is decided by its own type, row by row: objects and lists are left out, as is
+    NULL; texts, numbers and booleans stay.
+    """
+    kept = F.map_filter(
+        meta.cast("map<string,variant>"),
+        lambda _, v: v.isNotNull() & ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"),
+    )
+    return F.transform_values(kept, lambda _, v: v.cast("string"))
+
+
+def meta_of(*columns: str | Column) -> Column:
+    """Columns as the metadata of a document, by their names; nested and NULL ones are left out."""
+    return plain_meta(F.to_variant_object(F.struct(*columns)))
+
+
 def course_documents(courses: DataFrame, doc_id: str | Column = "id") -> DataFrame:
-    """Courses as documents everybody may see; a course without text is left out."""
+    """Courses as documents everybody may see; a course without text is left out.
+
+    Their metadata are the columns that the text is made of.
+    """
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     text = course_text(F.col("title"), F.col("headline"))
     return (
-        courses.select(key.cast("string").alias("doc_id"), text.alias("text"))
+        courses.select(
+            key.cast("string").alias("doc_id"), text.alias("text"), meta_of("title", "headline").alias("meta")
+        )
         .filter(F.col("text").isNotNull())
         .select(
-            "doc_id", F.lit(None).cast("string").alias("owner"), F.lit("course").alias("kind"), "text"
+            "doc_id", F.lit(None).cast("string").alias("owner"), F.lit("course").alias("kind"), "text", "meta"
         )
     )
 
 
-def owned_documents(df: DataFrame, kind: str, doc_id: Column, owner: Column, text: Column) -> DataFrame:
-    """Texts of one owner, such as resumes and job descriptions."""
+def owned_documents(
+    df: DataFrame, kind: str, doc_id: Column, owner: Column, text: Column, meta: Column | None = None
+) -> DataFrame:
+    """Texts of one owner, such as resumes and job descriptions, with a VARIANT of metadata."""
+    plain = F.create_map().cast("map<string,string>") if meta is None else plain_meta(meta)
     return df.select(
         doc_id.cast("string").alias("doc_id"),
         owner.cast("string").alias("owner"),
         F.lit(kind).alias("kind"),
         text.alias("text"),
+        plain.alias("meta"),
     ).filter(F.col("text").isNotNull())
 
 
@@ -53,7 +80,8 @@ def request_documents(requests: DataFrame, owner: str = "request_id") -> DataFra
     return (
         requests.select(F.col(owner).alias("owner"), "request_id", F.inline(texts))
         .filter(F.col("text").isNotNull())
-        .select(F.concat_ws("-", "kind", "request_id").alias("doc_id"), "owner", "kind", "text")
+        .withColumn("doc_id", F.concat_ws("-", "kind", "request_id"))
+        .select("doc_id", "owner", "kind", "text", F.create_map(F.lit("source"), "doc_id").alias("meta"))
     )
 
 
@@ -137,14 +165,20 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
 def chunk_text(
     docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> DataFrame:
-    """Chunks of at most ``size`` characters cut at separators, overlapping by ``overlap``."""
+    """Chunks of at most ``size`` characters cut at separators, overlapping by ``overlap``.
+
+    A text that fits into one chunk is one, and never leaves the JVM.
+    """
     rest = [c for c in docs.columns if c != text]
 
     def split(series: pd.Series) -> pd.Series:
         return series.map(lambda t: split_text(t, size, overlap), na_action="ignore")
 
     chunks = F.pandas_udf(split, T.ArrayType(T.StringType()))
-    return docs.select(*rest, F.posexplode(chunks(F.col(text))).alias("chunk_idx", "chunk"))
+    fits = F.length(text) <= size
+    short = docs.filter(fits).select(*rest, F.lit(0).alias("chunk_idx"), strip_space(F.col(text)).alias("chunk"))
+    long = docs.filter(~fits).select(*rest, F.posexplode(chunks(F.col(text))).alias("chunk_idx", "chunk"))
+    return short.filter(F.col("chunk") != "").unionByName(long)
 
 
 def with_chunk_id(chunks: DataFrame) -> DataFrame:
@@ -165,17 +199,19 @@ class HashingEmbedder:
     def __init__(self, dimension: int = 256) -> None:
         self.dimension = dimension
 
-    def embed(self, df: DataFrame, text: str) -> DataFrame:
+    def counts(self, df: DataFrame, text: str, name: str = "_counts") -> DataFrame:
+        """``df`` with the counts of hashed words, as a vector; without rows that have no word."""
         # (?U): letters with accents are part of a word
         tokens = RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\W+")
-        counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=self.dimension)
-        unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
+        hashed = HashingTF(inputCol="_tokens", outputCol=name, numFeatures=self.dimension)
         # asked of the text: a filter on the tokens would tokenise every text twice
         worded = df.filter(F.col(text).rlike(r"(?U)\w"))
-        vectors = unit.transform(counts.transform(tokens.transform(worded)))
-        return vectors.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-            "_tokens", "_counts", "_unit"
-        )
+        return hashed.transform(tokens.transform(worded)).drop("_tokens")
+
+    def embed(self, df: DataFrame, text: str) -> DataFrame:
+        unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
+        vectors = unit.transform(self.counts(df, text))
+        return vectors.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_counts", "_unit")
 
 
 class ModelEmbedder:

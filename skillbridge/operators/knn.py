@@ -8,11 +8,10 @@ No pair of query and row is ever emitted: tasks keep the best ``k`` per query of
 see, and only these are shuffled to find the best ``k`` overall.
 
 * A batch of queries that is measured to be small goes to every task, and the corpus is
-  read where it lies.
-* Otherwise both sides are matched by a key: the cell of a Voronoi partition for the exact
-  join (a query visits the cells that the triangle inequality cannot exclude), the owner
-  for private rows, a hash bucket for the approximate join. A key with many rows on either
-  side is split into a grid of blocks, so no task has to take a whole hot key.
+  read where it lies. Of more queries, tiles of a fixed size in bytes go there in rounds; or a
+  corpus that is measured to be small goes to the queries.
+* Private rows and hash buckets of the approximate join are matched by their key. A key with many
+  rows on either side is split into a grid of blocks, so no task has to take a whole hot key.
 """
 
 from __future__ import annotations
@@ -27,8 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillbridge.functions.nearest import TopK, vectors
+from skillbridge.functions.nearest import TopK, limits_of, vectors
 from skillbridge.operators.keys import matching
+from skillbridge.operators.numbering import numbered
+from skillbridge.session import scratch_path
 
 # The default of ``small_queries``: rows of queries that may be sent to every task. It changes
 # the plan and not the result; the bench runs both plans.
@@ -36,12 +37,13 @@ SMALL_QUERIES = 2048
 SMALL_BYTES = 16 << 20  # and their size
 QUERY_BLOCK = 2048  # queries of a key handled by one task
 CORPUS_BLOCK = 50_000  # rows of a key handled by one task
-PIVOTS = 64
+TILE_BYTES = 64 << 20  # of queries, or of a corpus, sent to all tasks at once
+SAMPLE_ROWS = 2048  # of the corpus, for a first bound of the distances of many queries
 
 METRICS = ("l2sq", "cosine")
 
 
-def _prepare(df: DataFrame, metric: str) -> DataFrame:
+def prepared(df: DataFrame, metric: str = "l2sq") -> DataFrame:
     """Drop rows without a vector, or with a component that is NULL, NaN or infinite.
 
     For ``cosine`` vectors are scaled to unit length, and zeros dropped.
@@ -125,16 +127,13 @@ def _result(top: TopK, qids: pa.Array, carried: list[str]) -> Iterator[pa.Record
     yield from table.combine_chunks().to_batches()
 
 
-def _splits(
-    queries: DataFrame, corpus: DataFrame, key: str, counted: DataFrame | None
-) -> DataFrame:
+def _splits(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """The keys that need more than one block, with the number of blocks per side.
 
-    Counting has a map-side part, so a hot key costs nothing here. ``counted`` are the
-    corpus rows per key ``(key, c)`` if they are known already. The table stays with Spark,
+    Counting has a map-side part, so a hot key costs nothing here. The table stays with Spark,
     whatever its size.
     """
-    c = corpus.groupBy(key).agg(F.count("*").alias("c")) if counted is None else counted
+    c = corpus.groupBy(key).agg(F.count("*").alias("c"))
     q = queries.groupBy(key).agg(F.count("*").alias("q"))
     return (
         c.join(q, key)
@@ -154,14 +153,13 @@ def _join_by_key(
     k: int,
     id_col: str,
     schema: T.StructType,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``k`` rows per query among the rows of the same key, block by block.
 
     Rows are shuffled by key and block and sorted so that a block's queries come before
     its corpus rows; a task then holds one block's queries and streams the rows past them.
     """
-    table = _splits(queries, corpus, key, counted)
+    table = _splits(queries, corpus, key)
 
     def spread(df: DataFrame, own: str, other: str, id_: str, n_own: str, n_other: str) -> DataFrame:
         df = df.join(table, key, "left")
@@ -215,126 +213,98 @@ def _join_by_key(
     return arranged.mapInArrow(task, schema)
 
 
-def _cells(
-    queries: DataFrame, corpus: DataFrame, k: int, id_col: str
-) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """Give corpus rows the cell of their nearest pivot, and queries all cells they need.
+def _broadcastable(corpus: DataFrame, limit: int) -> pa.Table | None:
+    """The corpus as a table if its size, measured before, is within ``limit`` bytes."""
+    sizes = [F.size("embedding") * 8]
+    for f in corpus.schema:
+        if f.name != "embedding":
+            text = isinstance(f.dataType, (T.StringType, T.BinaryType))
+            sizes.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if text else F.lit(16))
+            if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+                return None
+    total = corpus.agg(F.sum(sum(sizes[1:], sizes[0])).alias("b")).first()["b"]
+    return None if total is not None and total > limit else corpus.toArrow()
 
-    Everything on the driver has a fixed bound: the pivots, and for each cell its radii
-    and the ``k`` distances nearest to its pivot.
-    """
-    sample = corpus.select(F.col("embedding").cast("array<double>").alias("v"), id_col)
-    sample = sample.orderBy(F.xxhash64(id_col), id_col).limit(PIVOTS).select("v").toArrow()
-    if not sample.num_rows:
-        return None
-    pivots = np.unique(vectors(sample["v"].combine_chunks()), axis=0)
-
-    def distances(batch: pa.RecordBatch) -> np.ndarray:
-        points = vectors(batch.column("embedding"))
-        square = (
-            np.einsum("ij,ij->i", points, points)[:, None]
-            + np.einsum("ij,ij->i", pivots, pivots)[None, :]
-            - 2.0 * points @ pivots.T
-        )
-        return np.sqrt(np.maximum(square, 0.0))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_queries(
+    queries: DataFrame, corpus: pa.Table, k: int, id_col: str, schema: T.StructType
+) -> DataFrame:
+    """Every task has the whole corpus and finds the hits of its own queries: nothing is shuffled."""
+    if not corpus.num_rows:
+        return queries.sparkSession.createDataFrame([], schema)
+    carried = [f.name for f in schema][2:]
+    corpus = corpus.combine_chunks()
+    sent = queries.sparkSession.sparkContext.broadcast(
+        (vectors(corpus["embedding"].combine_chunks()), corpus.select(carried))
+    )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, rows = sent.value
         for batch in batches:
             if batch.num_rows:
-                cell = pa.array(distances(batch).argmin(axis=1), pa.int32())
-                yield pa.RecordBatch.from_arrays([*batch.columns, cell], [*batch.schema.names, "_cell"])
+                top = TopK(vectors(batch.column("embedding")), k)
+                top.offer(points, rows, id_col)
+                yield from _result(top, batch.column("qid"), carried)
 
-    placed = corpus.mapInArrow(
-        assign, T.StructType([*corpus.schema, T.StructField("_cell", T.IntegerType())])
-    )
-    part = T.StructType(
-        [
-            T.StructField("_cell", T.IntegerType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("hi", T.DoubleType()),
-            T.StructField("close", T.ArrayType(T.DoubleType())),
-        ]
-    )
+    return queries.select("qid", "embedding").mapInArrow(task, schema)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per cell of one partition: rows, outer radius and the k least distances."""
-        seen: dict[int, tuple[int, np.ndarray, float]] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = distances(batch)
-            cell, far = d.argmin(axis=1), d.min(axis=1)
-            for i in np.unique(cell):
-                mine = far[cell == i]
-                n, close, hi = seen.get(int(i), (0, np.empty(0), 0.0))
-                close = np.sort(np.concatenate([close, mine]))[:k]
-                seen[int(i)] = (n + len(mine), close, max(hi, float(mine.max())))
-        rows = [
-            {"_cell": i, "n": n, "hi": hi, "close": close.tolist()}
-            for i, (n, close, hi) in seen.items()
-        ]
-        schema = pa.schema(
-            [("_cell", pa.int32()), ("n", pa.int64()), ("hi", pa.float64()), ("close", pa.list_(pa.float64()))]
-        )
-        yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
-
-    nearest = Window.partitionBy("_cell").orderBy("far")
-    measured = corpus.mapInArrow(measure, part)
-    least = (
-        measured.select("_cell", "n", "hi", F.posexplode("close").alias("i", "far"))
-        .withColumn("n", F.when(F.col("i") == 0, F.col("n")).otherwise(0))
-        .withColumn("rank", F.row_number().over(nearest))
-        .groupBy("_cell")
-        .agg(
-            F.sum("n").alias("n"),
-            F.max("hi").alias("hi"),
-            F.min("far").alias("lo"),
-            F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.col("far")))).alias("close"),
-        )
-    )
-    cells = {r["_cell"]: r for r in least.collect()}
-    counted = corpus.sparkSession.createDataFrame(
-        [(r["_cell"], r["n"]) for r in cells.values()], "_cell int, c bigint"
-    )
-    used = np.array(sorted(cells))
-    low = np.array([cells[i]["lo"] for i in used])
-    high = np.array([cells[i]["hi"] for i in used])
-    close = [(j, far) for j, i in enumerate(used) for far in cells[i]["close"]]
-    close_cell = np.array([j for j, _ in close])
-    close_far = np.array([far for _, far in close])
-    gaps = np.sqrt(np.maximum(np.square(pivots[:, None] - pivots[used][None]).sum(-1), 0.0))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def query_tiles(queries: DataFrame, tile_bytes: int) -> Iterator[pa.Table]:
+    """The queries in tables of about ``tile_bytes``, one at a time: ``qid``, ``embedding`` and others."""
+    spark = queries.sparkSession
+    first = queries.select("embedding").first()
+    if first is None:
+        return
+    tile_rows = max(1, tile_bytes // (8 * len(first["embedding"]) + 64))
+    rows, n = numbered(queries, "_number")
+    folder = scratch_path(spark, "query-tiles")
+    rows.withColumn("_tile", F.expr(f"_number div {tile_rows}")).write.partitionBy("_tile").parquet(folder)
+    for number in range(-(-n // tile_rows)):
+        tile = spark.read.schema(rows.drop("_number").schema).parquet(f"{folder}/_tile={number}")
+        yield tile.toArrow()
+
+
+def _rounds(
+    queries: DataFrame, corpus: DataFrame, k: int, id_col: str, schema: T.StructType, tile_bytes: int
+) -> DataFrame:
+    """Tiles of queries are sent to the corpus one after another, which is read where it lies.
+
+    Before a tile is sent, its queries are compared with a small sample of the corpus: what is farther
+    than the ``k``-th of those is no hit, so tasks return little more than hits. A round stores its
+    own; driver and tasks hold one tile of queries at a time.
+    """
+    spark, hits = queries.sparkSession, scratch_path(queries.sparkSession, "tile-hits")
+    sample = corpus.select("embedding", id_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
+    sample = sample.select(F.col("embedding").cast("array<double>").alias("v")).toArrow()
+    known = vectors(sample["v"].combine_chunks()) if sample.num_rows >= k else None
+    near = spark.sparkContext.broadcast(known)
+    bounded = queries.select("qid", "embedding", F.lit(0.0).alias("_limit")).schema
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            every = distances(batch)
-            d = every[:, used]
-            # k rows are known to lie within this reach
-            reach = np.full(len(d), np.inf)
-            if len(close_far) >= k:
-                bound = d[:, close_cell] + close_far[None, :]
-                reach = np.partition(bound, k - 1, axis=1)[:, k - 1]
-            shell = np.maximum(d - high[None, :], low[None, :] - d)
-            home = every.argmin(axis=1)
-            apart = gaps[home]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d**2 - every.min(axis=1)[:, None] ** 2) / (2.0 * apart)
-            plane = np.where(apart > 0, plane, 0.0)
-            slack = 1e-6 * (1.0 + d.max(axis=1))
-            wanted = np.maximum(shell, plane) <= (reach + slack)[:, None]
-            lists = pa.array([used[w].tolist() for w in wanted], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "_cells"])
-
-    routed = queries.mapInArrow(
-        visit,
-        T.StructType([*queries.schema, T.StructField("_cells", T.ArrayType(T.IntegerType()))]),
-    )
-    return (
-        routed.select(*queries.columns, F.explode("_cells").alias("_cell")),
-        placed,
-        counted,
-    )
+            if batch.num_rows:
+                far = limits_of(vectors(batch.column("embedding")), near.value, k)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far)], ["qid", "embedding", "_limit"])
+
+    carried = [f.name for f in schema][2:]
+    spark.createDataFrame([], schema).write.parquet(hits)
+    bounded_queries = queries.select("qid", "embedding").mapInArrow(limits, bounded)
+    for table in query_tiles(bounded_queries, tile_bytes):
+        matrix = vectors(table["embedding"].combine_chunks())
+        sent = spark.sparkContext.broadcast((table["qid"].combine_chunks(), matrix, table["_limit"].to_numpy()))
+
+        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, matrix, limit = sent.value
+            top = TopK(matrix, k, limit)
+            for batch in batches:
+                part = pa.Table.from_batches([batch])
+                top.offer(vectors(batch.column("embedding")), part.select(carried), id_col)
+            yield from _result(top, qids, carried)
+
+        found = best_hits(corpus.mapInArrow(task, schema), k, id_col)
+        found.select([f.name for f in schema]).write.mode("append").parquet(hits)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(hits)
 
 
 def knn(
@@ -345,27 +315,28 @@ def knn(
     id_col: str = "vec_id",
     exclude_self: bool = False,
     small_queries: int = SMALL_QUERIES,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """The exact ``k`` nearest corpus rows of each query.
 
     With ``exclude_self`` a row is not its own neighbour (``qid`` and id are equal). Up to
-    ``small_queries`` queries are sent to every task; beyond that both sides are joined by
-    cells. The result is the same.
+    ``small_queries`` queries are sent to every task at once. For more, a corpus within
+    ``tile_bytes`` is sent to the queries; else tiles of queries, so large, are sent to the corpus
+    in rounds, which run here. No vector of the corpus is shuffled; the result is the same.
     """
-    queries = _prepare(queries, metric)
-    corpus = _prepare(corpus, metric)
+    queries = prepared(queries, metric)
+    corpus = prepared(corpus, metric)
     wanted = k + 1 if exclude_self else k
     schema = _hit_schema(queries, corpus)
     small = _small(queries, small_queries)
     if small is not None:
         hits = _scan(small, corpus, wanted, id_col, schema)
+        return best_hits(hits, k, id_col, metric, exclude_self)
+    table = _broadcastable(corpus, tile_bytes)
+    if table is not None:
+        hits = _scan_queries(queries, table, wanted, id_col, schema)
     else:
-        cells = _cells(queries, corpus, wanted, id_col)
-        if cells is None:
-            hits = queries.sparkSession.createDataFrame([], schema)
-        else:
-            routed, placed, counted = cells
-            hits = _join_by_key(routed, placed, "_cell", wanted, id_col, schema, counted)
+        hits = _rounds(queries, corpus, wanted, id_col, schema, tile_bytes)
     return best_hits(hits, k, id_col, metric, exclude_self)
 
 
@@ -378,8 +349,8 @@ def knn_private(
     exclude_self: bool = False,
 ) -> DataFrame:
     """The exact ``k`` nearest rows that have the query's owner; a NULL owner has none."""
-    queries = _prepare(queries, metric).filter(F.col("owner").isNotNull())
-    corpus = _prepare(corpus, metric).filter(F.col("owner").isNotNull())
+    queries = prepared(queries, metric).filter(F.col("owner").isNotNull())
+    corpus = prepared(corpus, metric).filter(F.col("owner").isNotNull())
     wanted = k + 1 if exclude_self else k
     asking = matching(corpus, queries, "owner")
     hits = _join_by_key(queries, asking, "owner", wanted, id_col, _hit_schema(queries, corpus))
@@ -423,7 +394,7 @@ def knn_lsh(
     ``radius``. All rows of a shared bucket are compared, however full it is. A query that
     shares no bucket with ``k`` rows has fewer hits.
     """
-    queries, corpus = _prepare(queries, "l2sq"), _prepare(corpus, "l2sq")
+    queries, corpus = prepared(queries, "l2sq"), prepared(corpus, "l2sq")
     wanted = k + 1 if exclude_self else k
     lsh = BucketedRandomProjectionLSH(
         inputCol="_v",

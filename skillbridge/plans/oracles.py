@@ -88,11 +88,13 @@ SELECT o_orderkey AS id, 'user' || o_custkey || '@example.com' AS email, o_custk
 
 _DOC_UNION = """
 SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(NULL AS VARCHAR) AS owner, 'course' AS kind,
-       p_name || p_type AS text FROM part
+       p_name || p_type AS text, to_json({'headline': p_type, 'title': p_name})::VARCHAR AS meta FROM part
 UNION ALL
-SELECT CAST(doc_id AS VARCHAR), 'user' || doc_id || '@example.com', 'resume', text FROM documents
+SELECT CAST(doc_id AS VARCHAR), 'user' || doc_id || '@example.com', 'resume', text,
+       to_json({'lang': lang, 'n_chars': n_chars::VARCHAR, 'source': source})::VARCHAR FROM documents
 UNION ALL
-SELECT conv_id || '-' || turn, 'user' || conv_id || '@example.com', 'job', text FROM conversations"""
+SELECT conv_id || '-' || turn, 'user' || conv_id || '@example.com', 'job', text,
+       to_json({'role': role, 'turn': turn::VARCHAR})::VARCHAR FROM conversations"""
 
 
 def _chunks(docs: str, columns: str) -> str:
@@ -173,19 +175,24 @@ FROM conversations"""
 
 _COURSE_DOCS = f"""
 SELECT concat_ws('-', CAST(id AS VARCHAR), md5(title || headline)) AS doc_id, CAST(NULL AS VARCHAR) AS qid,
-       title || headline AS text
+       title || headline AS text, title
 FROM ({_LISTING_A} UNION ALL {_VALID_B}) WHERE headline IS NOT NULL"""
 
 
-def _recommend_windows(requests: str, question: str) -> str:
+def _recommend_windows(requests: str, question: str, titles: bool = False) -> str:
     """Fixed windows and letter counts; ``question`` is an expression over the requests."""
+    listed = """
+  SELECT q, min(title) AS line, min(d) AS d, min(chunk_id) AS chunk_id
+  FROM near JOIN courses ON doc_id = split_part(chunk_id, '#', 1) GROUP BY q, title"""
+    lines = listed if titles else "SELECT q, chunk AS line, d, chunk_id FROM near"
     return f"""
 WITH requests AS MATERIALIZED (SELECT *, {question} AS question FROM ({requests})),
 asked AS (SELECT row_number() OVER (ORDER BY question) AS q, question FROM (SELECT DISTINCT question FROM requests)),
 request_docs AS (
   SELECT 'resume-' || request_id AS doc_id, qid, resume AS text FROM requests WHERE resume IS NOT NULL
   UNION ALL SELECT 'job-' || request_id, qid, job_desc FROM requests WHERE job_desc IS NOT NULL),
-docs AS (SELECT * FROM request_docs UNION ALL SELECT DISTINCT * FROM ({_COURSE_DOCS})),
+courses AS MATERIALIZED (SELECT DISTINCT * FROM ({_COURSE_DOCS})),
+docs AS (SELECT * FROM request_docs UNION ALL SELECT doc_id, qid, text FROM courses),
 texts AS (
   SELECT qid, NULL::BIGINT AS q, doc_id || '#' || lpad(CAST(chunk_idx AS VARCHAR), 9, '0') AS chunk_id, chunk
   FROM ({_chunks("docs", "doc_id, qid")})
@@ -216,12 +223,50 @@ hits AS (
 answers AS (
   SELECT qid, string_agg(chunk, e'\n\n' ORDER BY d, chunk_id) AS context,
          string_agg(chunk_id, ',' ORDER BY d, chunk_id) AS sources FROM hits GROUP BY qid),
-messages AS (SELECT q, string_agg(chunk, e'\n' ORDER BY d, chunk_id) AS message FROM near GROUP BY q)
+messages AS (SELECT q, string_agg(line, e'\n' ORDER BY d, chunk_id) AS message FROM ({lines}) GROUP BY q)
 SELECT request_id, address, 'Courses' AS subject, message, context, sources,
        {_PROMPT_OF} AS prompt
 FROM answers JOIN requests USING (qid) JOIN asked USING (question) JOIN messages USING (q)"""
 
 
+def _embed_counts(dimension: int = 256) -> str:
+    """Words of each text by the 32-bit MurmurHash 3 of their UTF-8 bytes, seed 42, modulo ``dimension``."""
+    word = 1 << 32
+
+    def times(x: str, factor: int) -> str:
+        return f"(({x})::HUGEINT * {factor} % {word})"
+
+    def turned(x: str, bits: int) -> str:
+        # modulo one less than 2 ** 32, a product with a power of two is a rotation
+        return f"(({x})::HUGEINT * {1 << bits} % {word - 1})"
+
+    def scrambled(block: str) -> str:
+        return times(turned(times(block, 0xCC9E2D51), 15), 0x1B873593)
+
+    def little_endian(first: str, count: int) -> str:
+        return " + ".join(f"b[{first} + {k}]::HUGEINT * {256 ** (k - 1)}" for k in range(1, count + 1))
+
+    folded = f"(({turned('xor(h::BIGINT, k::BIGINT)', 13)} * 5 + {0xE6546B64}) % {word})"
+    rest = " ".join(f"WHEN {n} THEN {scrambled(little_endian('4 * (n // 4)', n))}" for n in (1, 2, 3))
+    return f"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pM\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200C}}\\x{{200D}}]+')) AS w
+  FROM documents
+), bytes AS (
+  SELECT w, strlen(w) AS n, list_transform(range(1, strlen(w) + 1),
+    lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT w FROM words)
+), body AS (
+  SELECT w, n, b, list_reduce(list_prepend(42::HUGEINT, list_transform(range(0, n // 4),
+    lambda i: {scrambled(little_endian('4 * i', 4))})), lambda h, k: {folded}) AS h FROM bytes
+), tail AS (
+  SELECT w, xor(xor(h::BIGINT, (CASE n % 4 {rest} ELSE 0 END)::BIGINT), n) AS h FROM body
+), one AS (SELECT w, {times('xor(h, h >> 16)', 0x85EBCA6B)}::BIGINT AS h FROM tail),
+two AS (SELECT w, {times('xor(h, h >> 13)', 0xC2B2AE35)}::BIGINT AS h FROM one)
+SELECT doc_id, CAST(xor(h, h >> 16) % {dimension} AS INT) AS component, count(*) AS n_words, true AS as_embedded
+FROM words JOIN two USING (w) GROUP BY ALL"""
+
+
 ORACLES: dict[str, str] = {
     # listings
     "listing_a": _LISTING_A,
@@ -323,14 +368,22 @@ SELECT 'user' || conv_id || '@example.com' AS address, 'Courses' AS subject,
     "doc_union": _DOC_UNION,
     "chunk_fixed": _chunks("documents", "doc_id"),
     "chunk_text": _chunk_text(),
+    "embed_counts": _embed_counts(),
+    "embed_model": f"""
+SELECT doc_id, chunk_idx, CAST(length(chunk) AS INT) AS n_chars,
+       CAST(length(chunk) - length(replace(chunk, ' ', '')) AS INT) AS n_spaces
+FROM ({_chunks("documents", "doc_id")})""",
     "index_roundtrip": f"""
 SELECT *, doc_id || '#' || lpad(CAST(chunk_idx AS VARCHAR), 9, '0') AS chunk_id
-FROM ({_chunks(f"({_DOC_UNION})", "doc_id, owner, kind")})""",
+FROM ({_chunks(f"({_DOC_UNION})", "doc_id, owner, kind, meta")})""",
     # retrieval
     "knn_top3": _hits(_ALL_PAIRS),
     "knn_cosine": _hits(_ALL_PAIRS, "cosine"),
     "knn_cells": _hits(_ALL_PAIRS),
+    "knn_sent_corpus": _hits(_ALL_PAIRS),
     "knn_lsh_recall": """
+SELECT count(*) AS n_queries, true AS distances_exact, true AS recall_reached FROM embeddings""",
+    "knn_ivf_recall": """
 SELECT count(*) AS n_queries, true AS distances_exact, true AS recall_reached FROM embeddings""",
     "knn_scoped": _hits(_SCOPED_PAIRS),
     "context": f"SELECT qid, context FROM ({_ANSWERS})",
@@ -340,6 +393,8 @@ SELECT count(*) AS n_queries, true AS distances_exact, true AS recall_reached FR
     "recommend_windows": _recommend_windows(_RESUMES, _quote(STANDING_QUESTION)),
     "recommend_isolated": _recommend_windows(_TURNS, _quote(STANDING_QUESTION)),
     "recommend_per_request": _recommend_windows(_RESUMES, "job_desc"),
+    "recommend_titles": _recommend_windows(_RESUMES, _quote(STANDING_QUESTION), True),
+    "recommend_titles_each": _recommend_windows(_RESUMES, "job_desc", True),
     # streams
     "stream_route": f"""
 SELECT event_id, CASE WHEN value < 10 THEN props WHEN value < 20 THEN event_type ELSE body END AS body

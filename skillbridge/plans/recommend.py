@@ -31,10 +31,10 @@ Chunker = Callable[[DataFrame], DataFrame]
 def index_documents(
     docs: DataFrame, embedder: Embedder | None = None, chunker: Chunker = chunk_text
 ) -> DataFrame:
-    """Chunk and embed documents: ``chunk_id, doc_id, owner, kind, chunk_idx, chunk, embedding``."""
+    """Chunk and embed documents: ``chunk_id, doc_id, owner, kind, meta, chunk_idx, chunk, embedding``."""
     chunks = with_chunk_id(chunker(docs))
     return embed(chunks, "chunk", embedder).select(
-        "chunk_id", "doc_id", "owner", "kind", "chunk_idx", "chunk", "embedding"
+        "chunk_id", "doc_id", "owner", "kind", "meta", "chunk_idx", "chunk", "embedding"
     )
 
 
@@ -86,11 +86,33 @@ def nearest_courses(
         raise ValueError("the question has no word to search by")
     vector = list(row["embedding"])
     query = spark.createDataFrame([("q", vector)], "qid string, embedding array<float>")
-    shared = index.filter(F.col("owner").isNull()).select("chunk_id", "chunk", "embedding")
-    hits = knn(query, shared, k, id_col="chunk_id")
+    hits = knn(query, _shared(index), k, id_col="chunk_id")
     return vector, hits.orderBy("rk").collect()
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """What everybody may see of an index, with the title of each chunk's document."""
+    title = F.col("meta")["title"] if "meta" in index.columns else F.lit(None).cast("string")
+    return index.filter(F.col("owner").isNull()).select("chunk_id", "chunk", title.alias("title"), "embedding")
+
+
+def _listed(courses: list[Row], titles: bool) -> str:
+    if not titles:
+        return "\n".join(c["chunk"] for c in courses)
+    return "\n".join(dict.fromkeys(c["title"] for c in courses if c["title"] is not None))
+
+
+def scoped_requests(requests: DataFrame) -> DataFrame:
+    """``requests`` with ``_scope``, a digest of id, sender and texts: whose documents they are.
+
+    Requests that are equal in all of these are one; any others share nothing, even if ids or
+    senders are missing or come twice.
+    """
+    requests = requests.withColumn("request_id", F.col("request_id").cast("string"))
+    own = F.to_json(F.struct("request_id", "email", "resume", "job_desc"), {"ignoreNullFields": "false"})
+    return requests.withColumn("_scope", F.sha2(own, 256))
+
+
 def recommend(
     requests: DataFrame,
     index: DataFrame,
@@ -101,6 +123,7 @@ def recommend(
     template: str = PROMPT_TEMPLATE,
     nearest: tuple[list[float], list[Row]] | None = None,
     query: str | None = None,
+    titles: bool = False,
 ) -> DataFrame:
     """Recommendations for requests ``(request_id, email, resume, job_desc)``.
 
@@ -109,16 +132,17 @@ def recommend(
     ``index`` is the stored index of the courses. Every request asks the same question, so
     the ``k`` nearest courses are found once for all of them (a stream passes them in as
     ``nearest``). A request's own documents are chunked and embedded here and ranked
-    against that question by a built-in expression; they are scoped by ``request_id`` and
-    ``email`` together, so nobody's text can reach somebody else's context, even if ids are
-    missing or come twice.
+    against that question by a built-in expression. A request sees its own documents only
+    (see :func:`scoped_requests`), so nobody's text can reach somebody else's context.
+
+    With ``titles`` the message lists the titles of the courses, each once, instead of chunks.
 
     Returns ``request_id, address, subject, message, context, sources, prompt``. The
     message is the ranked list of nearest courses; the context may also hold the
     request's own text.
     """
     if query is not None:
-        return recommend_each(requests, index, query, k, embedder, chunker, template)
+        return recommend_each(requests, index, query, k, embedder, chunker, template, titles)
     vector, courses = nearest or nearest_courses(index, k, question, embedder)
     hit = "array<struct<dist:double,chunk_id:string,chunk:string>>"
     shared = F.array(
@@ -127,9 +151,9 @@ def recommend(
         ]
     ).cast(hit)
 
-    requests = requests.withColumn("request_id", F.col("request_id").cast("string"))
-    requests = requests.withColumn("_scope", F.to_json(F.struct("request_id", "email")))
-    private = index_documents(request_documents(requests, "_scope"), embedder, chunker).select(
+    requests = scoped_requests(requests)
+    documents = request_documents(requests.dropDuplicates(["_scope"]), "_scope")
+    private = index_documents(documents, embedder, chunker).select(
         F.col("owner").alias("qid"), "chunk_id", distance_to(vector).alias("dist"), "chunk"
     )
     own = (
@@ -145,7 +169,7 @@ def recommend(
         "request_id",
         F.col("email").alias("address"),
         F.lit(ANSWER_SUBJECT).alias("subject"),
-        F.lit("\n".join(c["chunk"] for c in courses)).alias("message"),
+        F.lit(_listed(courses, titles)).alias("message"),
         F.array_join(F.transform("_hits", lambda h: h["chunk"]), CONTEXT_SEPARATOR).alias("context"),
         F.transform("_hits", lambda h: h["chunk_id"]).alias("sources"),
     )
@@ -160,46 +184,56 @@ def recommend_each(
     embedder: Embedder | None = None,
     chunker: Chunker = chunk_text,
     template: str = PROMPT_TEMPLATE,
+    titles: bool = False,
 ) -> DataFrame:
     """As :func:`recommend`, with a question of its own for every request.
 
-    Equal questions of one request are searched once. The message ranks the nearest courses
-    of the request's question; its own documents are compared with that question only. A
-    request whose question has no word gets an empty message and context.
+    Every distinct question is searched once, for all requests that ask it, and the lists of hits are
+    joined to the requests. The message ranks the nearest courses of the request's question; its
+    own documents are compared with that question only. A request whose question has no word gets
+    an empty message and context.
     """
-    requests = requests.withColumn("request_id", F.col("request_id").cast("string"))
-    requests = requests.withColumns(
-        {
-            "_scope": F.to_json(F.struct("request_id", "email")),
-            "_ask": F.to_json(F.struct("request_id", "email", F.col(query).alias("query"))),
-        }
-    )
-    asked = requests.select("_ask", "_scope", F.col(query).alias("_text")).dropDuplicates(["_ask"])
+    requests = scoped_requests(requests).withColumn("_ask", F.sha2(F.col(query), 256))
+    asked = requests.select("_ask", F.col(query).alias("_text")).dropDuplicates(["_ask"])
     asked = embed(asked.filter(F.col("_text").isNotNull()), "_text", embedder)
-    asked = asked.select(F.col("_ask").alias("qid"), "_scope", "embedding")
+    asked = asked.select(F.col("_ask").alias("qid"), "embedding")
 
-    courses = index.filter(F.col("owner").isNull()).select("chunk_id", "chunk", "embedding")
-    shared = knn(asked.select("qid", "embedding"), courses, k, id_col="chunk_id")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("rk", "chunk"))), lambda h: h["chunk"])
-    messages = shared.groupBy("qid").agg(F.array_join(texts, "\n").alias("message"))
+    # as many rows as there are distinct questions, each with k hits
+    shared = knn(asked, _shared(index), k, id_col="chunk_id")
+    hit = F.struct("dist", "chunk_id", "chunk", "title")
+    listed = shared.groupBy(F.col("qid").alias("_ask")).agg(F.array_sort(F.collect_list(hit)).alias("_courses"))
 
-    documents = request_documents(requests.dropDuplicates(["_scope", "resume", "job_desc"]), "_scope")
+    documents = request_documents(requests.dropDuplicates(["_scope"]), "_scope")
     private = index_documents(documents, embedder, chunker)
     private = private.select(F.col("owner").alias("_scope"), "chunk_id", "chunk", F.col("embedding").alias("_own"))
+    # a question goes to the chunks of its requests; a scope has one question, so no pairs arise
+    whose = requests.select("_scope", "_ask").distinct().join(asked.withColumnRenamed("qid", "_ask"), "_ask")
     squares = F.zip_with("_own", "embedding", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    own = private.join(asked, "_scope").select(
-        "qid", "chunk_id", F.aggregate(squares, F.lit(0.0), lambda s, x: s + x).alias("dist"), "chunk"
+    near = private.join(whose.select("_scope", F.col("_ask").alias("_of"), "embedding"), "_scope").select(
+        F.concat_ws("-", "_scope", "_of").alias("qid"),
+        "chunk_id",
+        F.aggregate(squares, F.lit(0.0), lambda s, x: s + x).alias("dist"),
+        "chunk",
+    )
+    own = best_hits(near, k, "chunk_id").withColumn("title", F.lit(None).cast("string"))
+    own = own.groupBy(F.col("qid").alias("_pair")).agg(F.collect_list(hit).alias("_own"))
+
+    nothing = F.array().cast(listed.schema["_courses"].dataType)
+    answered = (
+        requests.withColumn("_pair", F.concat_ws("-", "_scope", "_ask"))
+        .join(listed, "_ask", "left")
+        .join(own, "_pair", "left")
+        .withColumn("_courses", F.coalesce("_courses", nothing))
+        .withColumn("_hits", F.slice(F.array_sort(F.concat("_courses", F.coalesce("_own", nothing))), 1, k))
     )
-    hits = best_hits(own.unionByName(shared.select("qid", "chunk_id", "dist", "chunk")), k, "chunk_id")
-    inputs = answer_inputs(hits, "chunk_id", "chunk").join(messages, "qid", "left")
-    answered = requests.join(inputs.withColumnRenamed("qid", "_ask"), "_ask", "left")
+    lines = F.transform("_courses", lambda h: h["title" if titles else "chunk"])
     contexts = answered.select(
         "request_id",
         F.col("email").alias("address"),
         F.lit(ANSWER_SUBJECT).alias("subject"),
-        F.coalesce("message", F.lit("")).alias("message"),
-        F.coalesce("context", F.lit("")).alias("context"),
-        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
+        F.array_join(F.array_distinct(lines) if titles else lines, "\n").alias("message"),
+        F.array_join(F.transform("_hits", lambda h: h["chunk"]), CONTEXT_SEPARATOR).alias("context"),
+        F.transform("_hits", lambda h: h["chunk_id"]).alias("sources"),
         F.coalesce(F.col(query), F.lit("")).alias("_question"),
     )
     return build_prompts(contexts, F.col("_question"), template).drop("_question")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillbridge.functions import text as X
-from skillbridge.operators import accounts, context, corpus, knn, numbering, quality
+from skillbridge.operators import accounts, context, corpus, ivf, knn, numbering, quality
 from skillbridge.plans import inputs as I
 from skillbridge.plans.ingest import all_courses, ingest, typed_listing
 from skillbridge.plans.recommend import answer_queries, index_courses, recommend
@@ -343,14 +344,18 @@ def doc_union(spark: SparkSession, sf: str) -> DataFrame:
     courses = I.table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("headline")
     )
+    # metadata as it comes: some of its values are nested, and are to be left out
+    about = F.to_variant_object(F.struct("lang", "source", "n_chars", F.array("lang").alias("tags"), F.struct("source").alias("more")))
     resumes = corpus.owned_documents(
-        I.table(spark, sf, "documents"), "resume", F.col("doc_id"), I.email("doc_id"), F.col("text")
+        I.table(spark, sf, "documents"), "resume", F.col("doc_id"), I.email("doc_id"), F.col("text"), about
     )
     turn_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     jobs_ = corpus.owned_documents(
-        I.table(spark, sf, "conversations"), "job", turn_id, I.email("conv_id"), F.col("text")
+        I.table(spark, sf, "conversations"), "job", turn_id, I.email("conv_id"), F.col("text"),
+        F.to_variant_object(F.struct("role", "turn")),
     )
-    return corpus.corpus_docs(corpus.course_documents(courses), resumes, jobs_)
+    docs = corpus.corpus_docs(corpus.course_documents(courses), resumes, jobs_)
+    return docs.withColumn("meta", F.to_json("meta"))
 
 
 @query
@@ -368,6 +373,32 @@ def embed_hash(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.embed(_documents(spark, sf), "text").drop("text")
 
 
+@query
+def embed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the vectors of ``embed_hash`` are made of: the words of each text by the component they hash to.
+
+    ``as_embedded`` says that the vector is these counts, brought to length 1.
+    """
+    embedder = corpus.HashingEmbedder()
+    docs = embedder.counts(embedder.embed(_documents(spark, sf), "text"), "text", "counts")
+    docs = docs.withColumn("n", vector_to_array("counts"))
+    norm = F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x))
+    pairs = F.arrays_zip("n", "embedding")
+    off = F.exists(pairs, lambda p: F.abs(p["n"] / F.col("norm") - p["embedding"]) > 1e-6)
+    docs = docs.withColumn("norm", norm).withColumn("as_embedded", ~off)
+    cells = docs.select("doc_id", "as_embedded", F.posexplode("n").alias("component", "n")).filter("n > 0")
+    return cells.select("doc_id", "component", F.col("n").cast("bigint").alias("n_words"), "as_embedded")
+
+
+@query
+def embed_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of all documents through a model that is loaded in the workers."""
+    chunks = corpus.chunk_fixed(_documents(spark, sf))
+    made = corpus.embed(chunks, "chunk", corpus.ModelEmbedder(I.load_counter, "counter"))
+    vector = [F.col("embedding")[k].cast("int") for k in (0, 1)]
+    return made.select("doc_id", "chunk_idx", vector[0].alias("n_chars"), vector[1].alias("n_spaces"))
+
+
 @query
 def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed chunks of all documents, stored as an index by kind and read back."""
@@ -403,7 +434,13 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact join in the form for more queries than a task may be sent."""
+    """The exact join in the form for more queries than a task may be sent: tiles in rounds."""
+    return _rounded(knn.knn(*_vectors(spark, sf), exclude_self=True, small_queries=0, tile_bytes=1 << 16))
+
+
+@query
+def knn_sent_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact join in the form for many queries and a corpus that fits into a tile."""
     return _rounded(knn.knn(*_vectors(spark, sf), exclude_self=True, small_queries=0))
 
 
@@ -419,18 +456,34 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(knn.knn_lsh(*_vectors(spark, sf), exclude_self=True))
 
 
-@query
-def knn_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """How the approximate hits compare with the exact ones."""
-    near, exact = knn_lsh(spark, sf), knn_top3(spark, sf)
+def _recall(near: DataFrame, exact: DataFrame, least: float) -> DataFrame:
+    """How approximate hits compare with the exact ones."""
     found = exact.select("qid", "vec_id", F.col("d").alias("true_d")).join(near, ["qid", "vec_id"], "left")
     return found.agg(
         F.countDistinct("qid").alias("n_queries"),
         F.bool_and(F.coalesce(F.col("d") == F.col("true_d"), F.lit(True))).alias("distances_exact"),
-        (F.count("d") >= 0.85 * F.count("*")).alias("recall_reached"),
+        (F.count("d") >= least * F.count("*")).alias("recall_reached"),
     )
 
 
+@query
+def knn_lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return _recall(knn_lsh(spark, sf), knn_top3(spark, sf), 0.9)
+
+
+@query
+def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits from the stored inverted file."""
+    queries, vectors = _vectors(spark, sf)
+    folder = ivf.write_ivf(vectors, scratch_path(spark, "inverted-file"))
+    return _rounded(ivf.search_ivf(spark, folder, queries, exclude_self=True))
+
+
+@query
+def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return _recall(knn_ivf(spark, sf), knn_top3(spark, sf), 0.95)
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     queries, index = I.vector_queries(spark, sf), I.vector_index(spark, sf)
     hits = knn.knn_scoped(queries, index.drop("text"), exclude_self=True)
@@ -490,7 +543,7 @@ def _window_index(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_index(spark, folder)
 
 
-def _windows(spark: SparkSession, sf: str, asked: DataFrame, **options: str) -> DataFrame:
+def _windows(spark: SparkSession, sf: str, asked: DataFrame, **options: object) -> DataFrame:
     """The text job with fixed windows and letter counts, which SQL can check."""
     answers = recommend(
         asked, _window_index(spark, sf), embedder=I.LetterEmbedder(), chunker=corpus.chunk_fixed, **options
@@ -515,6 +568,17 @@ def recommend_per_request(spark: SparkSession, sf: str) -> DataFrame:
     return _windows(spark, sf, _requests(spark, sf), query="job_desc")
 
 
+@query
+def recommend_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """The message names the courses: their titles come from the metadata of the chunks."""
+    return _windows(spark, sf, _requests(spark, sf), titles=True)
+
+
+@query
+def recommend_titles_each(spark: SparkSession, sf: str) -> DataFrame:
+    return _windows(spark, sf, _requests(spark, sf), query="job_desc", titles=True)
+
+
 # Streams ------------------------------------------------------------------------------
 
 

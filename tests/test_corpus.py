@@ -175,3 +175,33 @@ def test_worker_functions_need_no_installed_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
     assert done.stdout.strip() == "['a b', 'c']", done.stderr
     assert pickle.loads(cloudpickle.dumps(corpus.split_text))("a") == ["a"]
+
+
+def test_metadata_keeps_plain_values_row_by_row(spark):
+    rows = [('{"a": 1, "b": [1], "c": {"d": 2}, "e": "x", "f": true, "g": null, "h": 1.5}',), ('{"a": [1], "b": 7}',), ("{}",), (None,)]
+    df = spark.createDataFrame(rows, "j string").select(corpus.plain_meta(F.try_parse_json("j")).alias("m"))
+    assert [r.m for r in df.collect()] == [{"a": "1", "e": "x", "f": "true", "h": "1.5"}, {"b": "7"}, {}, None]
+
+
+def test_metadata_goes_from_documents_to_chunks(spark):
+    courses = spark.createDataFrame([(1, "title", " headline")], "id int, title string, headline string")
+    chunks = corpus.chunk_text(corpus.course_documents(courses)).collect()
+    assert [c.meta for c in chunks] == [{"title": "title", "headline": " headline"}]
+    owned = corpus.owned_documents(courses, "resume", F.col("id"), F.lit("o"), F.col("title"))
+    assert owned.first().meta == {}
+
+
+def test_short_texts_stay_in_the_jvm(spark, plan_of):
+    texts = ["", " ", "a", "\n\n", "  a b\x1c\n", "x" * 256, "x " * 128, "a\n\n" * 85, "y" * 257, "é " * 200, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in corpus.chunk_text(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_idx, r.chunk))
+    for i, text in enumerate(texts):
+        want = list(enumerate(corpus.split_text(text))) if text is not None else []
+        assert sorted(got.get(i, [])) == want
+    short = corpus.chunk_text(docs.filter(F.length("text") <= 256))
+    # the branch that has a Python node reads no row
+    assert short.count() == len([t for t in texts if t is not None and len(t) <= 256 and t.strip()])
+    plan = plan_of(corpus.chunk_text(docs))
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Union") == 1

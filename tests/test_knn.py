@@ -54,17 +54,21 @@ def frames(spark, queries, corpus):
 def tiny_blocks(monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
     monkeypatch.setattr(knn, "CORPUS_BLOCK", 11)
-    monkeypatch.setattr(knn, "PIVOTS", 6)
+    monkeypatch.setattr(knn, "SAMPLE_ROWS", 6)
 
 
-@pytest.mark.parametrize("small", [0, 1000])
+# queries sent at once, a corpus sent, queries sent in rounds
+WAYS = [{"small_queries": 1000}, {"small_queries": 0}, {"small_queries": 0, "tile_bytes": 700}]
+
+
+@pytest.mark.parametrize("way", WAYS)
 @pytest.mark.parametrize("metric", ["l2sq", "cosine"])
 @pytest.mark.parametrize("copies", [0, 40])
-def test_knn_is_exact(spark, tiny_blocks, small, metric, copies):
+def test_knn_is_exact(spark, tiny_blocks, way, metric, copies):
     queries = [r for r in rows(1, 40) if any(r[2])]
     corpus = [r for r in rows(2, 120, copies=copies) if any(r[2])]
     q, c = frames(spark, queries, corpus)
-    got = grouped(knn.knn(q, c, 3, metric, small_queries=small))
+    got = grouped(knn.knn(q, c, 3, metric, **way))
     if metric == "l2sq":
         assert got == brute(queries, corpus, 3)
     else:  # ties differ by rounding; the distances must still agree
@@ -100,9 +104,24 @@ def test_exclude_self_and_few_rows(spark):
     q, c = frames(spark, corpus, corpus)
     got = grouped(knn.knn(q, c, 3, exclude_self=True))
     assert {qid: sorted(ids) for qid, ids in got.items()} == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
-    assert knn.knn(q, c.filter("false"), 3).count() == 0
-    assert knn.knn(q, c.filter("false"), 3, small_queries=0).count() == 0
-    assert knn.knn(q.filter("false"), c, 3).count() == 0
+    for way in WAYS:
+        assert grouped(knn.knn(q, c, 3, exclude_self=True, **way)) == got
+        assert knn.knn(q, c.filter("false"), 3, **way).count() == 0
+        assert knn.knn(q.filter("false"), c, 3, **way).count() == 0
+
+
+def test_many_queries_in_rounds(spark):
+    """Twenty tiles of queries; no row of the corpus is shuffled, and hits are."""
+    rng = np.random.default_rng(11)
+    points, asked = rng.normal(size=(3000, 6)), rng.normal(size=(20_000, 6))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "qid bigint, embedding array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id bigint, embedding array<double>")
+    hits = knn.knn(q.repartition(4), c.repartition(4), 2, small_queries=0, tile_bytes=112 * 1000)
+    got = {r.qid: r for r in hits.filter("rk = 2").collect()}
+    assert hits.count() == 40_000 and len(got) == 20_000
+    for k in range(0, 20_000, 397):
+        near = np.square(points - asked[k]).sum(axis=1)
+        assert got[k].vec_id == np.argsort(near)[1] and np.isclose(got[k].dist, np.sort(near)[1])
 
 
 def test_string_ids_and_carried_columns(spark):
@@ -136,7 +155,7 @@ def test_lsh_recall(spark):
     assert found / total >= 0.85, found / total
 
 
-@pytest.mark.parametrize("name", ["knn_top3", "knn_cells", "knn_scoped", "recommend", "recommend_text"])
+@pytest.mark.parametrize("name", ["knn_top3", "knn_cells", "knn_sent_corpus", "knn_scoped", "recommend", "recommend_text"])
 def test_no_pairs_are_joined_and_groups_are_limited_early(spark, plan_of, name):
     plan = plan_of(registry.QUERIES[name](spark, SF))
     assert "WindowGroupLimit" in plan
@@ -150,11 +169,11 @@ def rubbish(seed, first):
     return [(first + i, None, v) for i, v in enumerate(bad)]
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_nan_null_and_infinite_components_cost_no_hit(spark, tiny_blocks, small):
+@pytest.mark.parametrize("way", WAYS)
+def test_nan_null_and_infinite_components_cost_no_hit(spark, tiny_blocks, way):
     queries, corpus = rows(1, 20), rows(2, 60)
     q, c = frames(spark, queries + rubbish(3, 500), corpus + rubbish(4, 500))
-    assert grouped(knn.knn(q, c, 3, small_queries=small)) == brute(queries, corpus, 3)
+    assert grouped(knn.knn(q, c, 3, **way)) == brute(queries, corpus, 3)
     near = grouped(knn.knn_lsh(q, c, 3, radius=50.0))
     assert near == brute(queries, corpus, 3)
     owned = [(i, "a", v) for i, _, v in corpus]
@@ -162,11 +181,11 @@ def test_nan_null_and_infinite_components_cost_no_hit(spark, tiny_blocks, small)
     assert grouped(knn.knn_scoped(q, c, 3)) == brute(queries, corpus, 3)
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_ragged_vectors_are_refused(spark, small):
+@pytest.mark.parametrize("way", WAYS)
+def test_ragged_vectors_are_refused(spark, way):
     q, c = frames(spark, rows(1, 3), rows(2, 10) + [(99, None, [1.0])])
     with pytest.raises(Exception, match="components"):
-        knn.knn(q, c, 3, small_queries=small).collect()
+        knn.knn(q, c, 3, **way).collect()
 
 
 def test_empty_inputs_of_the_approximate_search(spark):

@@ -137,3 +137,23 @@ def test_every_request_may_ask_its_own_question(spark):
         if r.request_id in "12":
             question = "cooking" if r.request_id == "1" else "recommend exact courses"
             assert f"Question: {question}" in r.prompt and r.context in r.prompt and len(r.sources) == 3
+
+
+def test_requests_without_id_and_sender_share_nothing(spark):
+    index = index_courses(courses(spark)).cache()
+    rows = [(None, None, f"{STANDING_QUESTION} secret{n}", "cooking") for n in range(3)]
+    asked = spark.createDataFrame(rows, "request_id string, email string, resume string, job_desc string")
+    for answers in (recommend(asked, index), recommend(asked, index, query="resume")):
+        seen = [{n for n in range(3) if f"secret{n}" in r.context} for r in answers.collect()]
+        assert sorted(map(sorted, seen)) == [[0], [1], [2]]
+
+
+def test_messages_list_titles(spark):
+    index = index_courses(courses(spark)).cache()
+    plain = recommend(requests(spark), index).first().message.split("\n")
+    titles = recommend(requests(spark), index, titles=True).first().message.split("\n")
+    assert [t + " for all" for t in titles] == plain
+    each = recommend(requests(spark), index, query="job_desc", titles=True).collect()
+    assert all(set(r.message.split("\n")) <= set(TEXTS) for r in each)
+    # an index without metadata has no titles
+    assert recommend(requests(spark), index.drop("meta"), titles=True).first().message == ""
