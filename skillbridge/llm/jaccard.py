@@ -20,8 +20,9 @@ copies.
 * **Check.** Pairs of leaves that remain are compared by their whole sets.
 
 A tree of thousands of near copies would leave all their pairs. So two rounds come first in
-which a leaf is only compared with the least leaf it may be similar to; they turn such a
-group into one component, which the last, complete walk skips as a whole.
+which a leaf is only compared with the least leaf it may be similar to, and two in which it is compared
+with the leaf of another component that it may share most with; they turn such a group into one
+component, which the last, complete walk skips as a whole.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ FAN_OUT = 8
 # Roots are named by 48 bits of their token: tokens that share them share a root, which costs
 # a comparison and no link.
 _ROOT_BITS = np.uint64((1 << 48) - 1)
+_MET = 100_000  # sets that a task remembers to have sent
 SKETCH_BITS = 8  # bits per token of the bitmaps that pairs are checked by, at least
-STAR_ROUNDS = 2
 _CELLS = 1 << 20  # words of bitmaps compared at once
 STAR_NODES = 4096  # nodes of a root that one group takes in the first rounds, about
 WALK_NODES = 1 << 16  # and in the last walk; beyond it all pairs of such parts are groups
@@ -173,8 +174,12 @@ _NO_TWINS = np.empty(0, dtype=np.uint64)
 def _prefixes(
     batches: Iterator[pa.RecordBatch], size: int, percent: int, frequent, twins: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    """Column ``text`` to ``node, prefix`` of the texts that have shingles."""
+    """Column ``text`` to ``token, node`` of the first tokens of each set.
+
+    A set that the task has just met, as copies have, is not sent again.
+    """
     hot, rank = frequent.value
+    met = np.empty(0, dtype=np.int64)
     for batch in batches:
         for texts in chunks(batch.column(0)):
             tokens, count = token_sets(texts, size)
@@ -186,54 +191,46 @@ def _prefixes(
             order = np.lexsort((tokens, late, text))
             first = np.cumsum(count) - count
             within = np.arange(len(tokens)) - np.repeat(first, count)
-            length = np.where(count > 0, count + (-percent * count) // 100 + 1, 0)
-            prefix = tokens[order][within < np.repeat(length, count)] & _ROOT_BITS
-            some = count > 0
-            ends = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
-            prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix.view(np.int64)))
             node, _ = _node_ids(tokens, count, twins)
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), prefixes], ["node", "prefix"])
+            once = np.zeros(len(node), dtype=bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            once &= (count > 0) & ~np.isin(node, met)
+            met = np.concatenate([met, node[once]])[-_MET:]
+            length = np.where(once, count + (-percent * count) // 100 + 1, 0)
+            prefix = tokens[order][within < np.repeat(length, count)] & _ROOT_BITS
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(prefix.view(np.int64)), pa.array(np.repeat(node, length))], ["token", "node"]
+            )
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``token, node`` in order of token to ``root, node`` of tokens with several nodes.
+    """Rows ``token, node`` in this order to ``root, node`` of tokens with several nodes.
 
     The root is the least of the token's nodes: tokens with much the same nodes have the same
-    one, and share a tree.
+    one, and share a tree. Only the last token and its root are held, however many nodes it has.
     """
-    left: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def out(token, node):
-        if not len(token):
-            return None
-        new = np.ones(len(token), dtype=bool)
-        new[1:] = token[1:] != token[:-1]
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(token)))
-        keep = np.repeat(count > 1, count)
-        if not keep.any():
-            return None
-        root = np.repeat(np.minimum.reduceat(node, first), count)[keep]
-        pairs = np.unique(np.stack([root, node[keep]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["root", "node"])
-
+    last_token, last_node, last_root = None, None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         token, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        # the last token may go on in the next batch
-        cut = int(np.searchsorted(token, token[-1]))
-        if cut or (left and left[-1][0][0] != token[0]):
-            left.append((token[:cut], node[:cut]))
-            done = out(*(np.concatenate(x) for x in zip(*left, strict=True)))
-            left = []
-            if done is not None:
-                yield done
-        left.append((token[cut:], node[cut:]))
-    if left:
-        done = out(*(np.concatenate(x) for x in zip(*left, strict=True)))
-        if done is not None:
-            yield done
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = token[1:] != token[:-1]
+        again = np.zeros(len(token), dtype=bool)
+        again[1:] = ~new[1:] & (node[1:] == node[:-1])
+        first = np.flatnonzero(new)
+        roots = node[first].copy()
+        if last_token is not None and token[0] == last_token:
+            roots[0] = last_root
+            again[0] = node[0] == last_node
+        root = np.repeat(roots, np.diff(np.append(first, len(token))))
+        others = (node != root) & ~again
+        # the root is a node of its tree as well
+        pairs = np.stack([np.concatenate([root[others], root[others]]), np.concatenate([node[others], root[others]])])
+        last_token, last_node, last_root = token[-1], node[-1], roots[-1]
+        if pairs.shape[1]:
+            pairs = np.unique(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["root", "node"])
 
 
 def bitmap(tokens: np.ndarray, per_token: int = 2) -> np.ndarray:
@@ -372,9 +369,18 @@ class SignatureTree:
 
 _MIXED = np.iinfo(np.int64).min
 
+STARS, NEAREST, EVERY = range(3)  # what a walk returns
+ROOTS = 16  # of its least roots that a leaf carries in the last walk
+ROUNDS = (STARS, STARS, NEAREST, NEAREST)  # before the last, complete walk
+
+
+def _walk(batches: Iterator[pa.RecordBatch], percent: int, what: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``cell, node, size, bits, comp`` in order of cell to pairs ``a, b, share``.
 
-def _walk(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """Rows ``cell, node, size, bits, comp`` in order of cell to pairs ``a, b, share``."""
+    With ``EVERY``, rows have ``root`` and ``roots`` as well, and a pair is returned by the first root that
+    both have. ``STARS``: each leaf with the least one it may be linked with. ``NEAREST``: each leaf with the one of
+    another component that it shares most with. ``EVERY``: all pairs of different components.
+    """
 
     def out(rows):
         node, size, comp = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 3))
@@ -382,13 +388,15 @@ def _walk(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Itera
             return
         bits = [b for r in rows for b in r[2]]
         # the first pairs go to the least node; a component lies together in the last walk
-        order = np.lexsort((node, size, comp)) if every else np.lexsort((node,))
+        order = np.lexsort((node,)) if what == STARS else np.lexsort((node, size, comp))
         node, size, comp = node[order], size[order], comp[order]
         tree = SignatureTree(size, [bits[k] for k in order], comp, percent)
-        if every:
-            found = tree.pairs()
-        else:
-            found = _stars(tree, len(node))
+        found = _stars(tree, len(node)) if what == STARS else tree.pairs()
+        if what == NEAREST:
+            found = _nearest(found, len(node))
+        if what == EVERY:
+            roots = _padded([r for x in rows for r in x[5]])[order]
+            found = _at_first_root(found, roots, rows[0][4])
         for a, b, share in found:
             lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
             yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(share)], ["a", "b", "share"])
@@ -398,7 +406,7 @@ def _walk(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Itera
         roots, node, size, comp = (
             batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "node", "size", "comp")
         )
-        bits = batch.column(batch.schema.names.index("bits"))
+        bits = batch.column("bits")
         cuts = np.flatnonzero(np.append(True, roots[1:] != roots[:-1])) if len(roots) else []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(roots)), strict=True):
             if roots[lo] != root:
@@ -406,10 +414,50 @@ def _walk(batches: Iterator[pa.RecordBatch], percent: int, every: bool) -> Itera
                     yield from out(rows)
                 root, rows = roots[lo], []
             rows.append((node[lo:hi], size[lo:hi], bits.slice(lo, hi - lo).to_pylist(), comp[lo:hi]))
+            if what == EVERY:
+                own = batch.column("roots").slice(lo, hi - lo)
+                rows[-1] += (batch.column("root")[int(lo)].as_py(), [x.values.to_numpy(zero_copy_only=False) for x in own])
     if rows:
         yield from out(rows)
 
 
+def _padded(lists: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(lists), ROOTS), np.iinfo(np.int64).max)
+    for k, x in enumerate(lists):
+        out[k, : len(x)] = x
+    return out
+
+
+def _at_first_root(found, roots: np.ndarray, root: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs without a common root below ``root``: each pair of leaves once over all trees.
+
+    Leaves know their least :data:`ROOTS` roots only; pairs that have no common one among these may
+    be returned by several trees.
+    """
+    step = max(1, _CELLS // ROOTS**2)
+    for a, b, share in found:
+        for lo in range(0, len(a), step):
+            x, y = roots[a[lo : lo + step]], roots[b[lo : lo + step]]
+            below = ((x[:, :, None] == y[:, None, :]) & (x < root)[:, :, None]).any(axis=(1, 2))
+            first = lo + np.flatnonzero(~below)
+            if len(first):
+                yield a[first], b[first], share[first]
+
+
+def _nearest(found, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of all pairs the one with the greatest share for each leaf."""
+    best, with_ = np.full(count, -1.0), np.zeros(count, dtype=np.int64)
+    for a, b, share in found:
+        for own, other in ((a, b), (b, a)):
+            order = np.lexsort((-share, own))
+            first = order[np.flatnonzero(np.r_[True, np.diff(own[order]) != 0])]
+            better = first[share[first] > best[own[first]]]
+            best[own[better]], with_[own[better]] = share[better], other[better]
+    some = np.flatnonzero(best >= 0)
+    if len(some):
+        yield some, with_[some], best[some]
+
+
 def _stars(tree: SignatureTree, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Each leaf with the first one it may be linked with."""
     open_ = np.ones(count, dtype=bool)
@@ -495,7 +543,7 @@ class _Whole:
         return written(rows.mapInArrow(lambda b: test(b, percent), "a long, b long"), "shingle-checked")
 
 
-def _cells(forest: DataFrame, comps: DataFrame | None, salt: int, every: bool) -> DataFrame:
+def _cells(forest: DataFrame, comps: DataFrame | None, salt: int, whole: bool) -> DataFrame:
     """``cell, node, size, bits, comp``: the nodes that are compared in one go.
 
     Only roots over several components are left. The first rounds cut large roots into parts
@@ -509,17 +557,17 @@ def _cells(forest: DataFrame, comps: DataFrame | None, salt: int, every: bool) -
     counted = rows.groupBy("root").agg(
         F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    limit = WALK_NODES if every else STAR_NODES
+    limit = WALK_NODES if whole else STAR_NODES
     parts = counted.filter("lo < hi").select("root", F.ceil(F.col("n") / limit).alias("parts"))
     rows = rows.join(parts, "root")
     part = F.pmod(F.xxhash64(F.lit(salt), "node"), "parts")
-    if every:
+    if whole:
         other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
         rows = rows.withColumn("part", part).withColumn("other", other)
         cell = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
     else:
         cell = F.xxhash64("root", part)
-    return rows.select(cell.alias("cell"), "node", "size", "bits", "comp")
+    return rows.select(cell.alias("cell"), "node", "size", "bits", "comp", *(["root", "roots"] if whole else []))
 
 
 def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -545,29 +593,29 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     top = top.assign(token=top["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
     frequent = spark.sparkContext.broadcast((top["token"].to_numpy(), top["n"].to_numpy(np.int64)))
 
-    prefixes = docs.select("text").mapInArrow(
-        tidied(lambda b: _prefixes(b, size, percent, frequent, twins)), "node long, prefix array<long>"
+    tokens = docs.select("text").mapInArrow(
+        tidied(lambda b: _prefixes(b, size, percent, frequent, twins)), "token long, node long"
     )
-    distinct = prefixes.groupBy("node").agg(F.first("prefix").alias("prefix"))
-    tokens = distinct.select(F.explode("prefix").alias("token"), "node")
-    dealt = tokens.repartition("token").sortWithinPartitions("token")
-    with batches_of(spark, 2000):
+    dealt = tokens.repartition("token").sortWithinPartitions("token", "node")
+    with batches_of(spark, 20_000):
         roots = written(dealt.mapInArrow(_roots, "root long, node long").dropDuplicates(), "shingle-roots")
     leaves = (
         shingled.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     )
-    forest = written(roots.join(leaves, "node"), "shingle-trees")
+    # a node has no more roots than tokens that come first
+    least = roots.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("root")), 1, ROOTS).alias("roots"))
+    forest = written(roots.join(leaves.join(least, "node"), "node"), "shingle-trees")
 
     sketches = _Whole(docs, nodes, size, percent, True, twins)
     sets = _Whole(docs, nodes, size, percent, False, twins)
     links, tested, comps = None, None, None
 
-    def found_pairs(salt: int, every: bool) -> DataFrame:
-        rows = _cells(forest, comps, salt, every)
+    def found_pairs(salt: int, what: int) -> DataFrame:
+        rows = _cells(forest, comps, salt, what == EVERY)
         found = (
             rows.repartition("cell")
             .sortWithinPartitions("cell")
-            .mapInArrow(tidied(lambda b: _walk(b, percent, every)), "a long, b long, share double")
+            .mapInArrow(tidied(lambda b: _walk(b, percent, what)), "a long, b long, share double")
         )
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
@@ -583,11 +631,11 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
         links = new if links is None else links.union(new)
         comps = components(links)
 
-    for salt in range(STAR_ROUNDS):
-        pairs = written(best(found_pairs(salt, False)).select("a", "b"), "shingle-pairs")
+    for salt, what in enumerate(ROUNDS):
+        pairs = written(best(found_pairs(salt, what)).select("a", "b"), "shingle-pairs")
         link(sketches.check(pairs))
         tested = pairs if tested is None else tested.union(pairs)
-    every = found_pairs(STAR_ROUNDS, True).select("a", "b").distinct()
+    every = found_pairs(len(ROUNDS), EVERY).select("a", "b").distinct()
     left = sketches.check(written(every, "shingle-pairs")).withColumn("share", F.lit(1.0))
     # first one pair for each node, then what is not one component by that
     link(written(best(left).select("a", "b"), "shingle-pairs"))

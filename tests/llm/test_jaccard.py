@@ -165,3 +165,47 @@ def test_sets_that_hashes_may_confuse(spark, monkeypatch):
     rows = [(10 * k + n, f"{k} " * 6 + " ".join(f"v{k}w{j}" for j in range(40 - n % 3))) for k in range(6) for n in range(5)]
     rows += [(k, "very short") for k in range(100, 104)] + [(200, "long text of many words " + "x y z " * 30_000)]
     assert components_of(spark, rows) == brute(rows)
+
+
+def test_a_pair_is_met_at_its_first_common_root():
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.choice(40, rng.integers(1, jaccard.ROOTS + 1), replace=False)) for _ in range(60)]
+    padded = jaccard._padded(lists)
+    pairs = np.array([(a, b) for a in range(60) for b in range(a)])
+    met = {}
+    for root in range(40):
+        here = np.array([root in lists[a] and root in lists[b] for a, b in pairs])
+        found = iter([(pairs[here, 0], pairs[here, 1], np.ones(here.sum()))])
+        for a, b, _ in jaccard._at_first_root(found, padded, root):
+            for pair in zip(a.tolist(), b.tolist(), strict=True):
+                assert pair not in met
+                met[pair] = root
+    assert met == {(a, b): min(both) for a, b in pairs.tolist() if (both := set(lists[a]) & set(lists[b]))}
+
+
+def test_nearest_partner_of_each_leaf():
+    rng = np.random.default_rng(6)
+    share = {(a, b): rng.random() for a in range(12) for b in range(a) if rng.random() < 0.4}
+    rows = [(np.array([a]), np.array([b]), np.array([s])) for (a, b), s in share.items()]
+    (some, partner, best), = list(jaccard._nearest(iter(rows), 12))
+    for a, b, s in zip(some.tolist(), partner.tolist(), best.tolist(), strict=True):
+        assert s == max(v for pair, v in share.items() if a in pair) == share[max(a, b), min(a, b)]
+
+
+def test_roots_are_streamed():
+    """Tokens that go on over many batches, with repeated nodes."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(30), rng.randrange(12)) for _ in range(600)) + [(50, 1), (51, 2), (51, 2)]
+    for size in (1, 7, 1000):
+        batches = [
+            pa.RecordBatch.from_pydict({"token": [t for t, _ in rows[k : k + size]], "node": [n for _, n in rows[k : k + size]]})
+            for k in range(0, len(rows), size)
+        ]
+        got = {p for b in jaccard._roots(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        want = set()
+        for token in {t for t, _ in rows}:
+            nodes = {n for t, n in rows if t == token}
+            want |= {(min(nodes), n) for n in nodes} if len(nodes) > 1 else set()
+        assert got == want
