@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skillbridge.functions.nearest import vectors
-from skillbridge.operators.knn import best_hits, knn, prepared, query_tiles
+from skillbridge.operators.knn import best_hits, knn, prepared, query_tiles, usual_length
 
 SAMPLE = 20_000  # vectors that the centres are fitted on, at most
 MOST_CELLS = 4096
@@ -53,9 +53,12 @@ def write_ivf(index: DataFrame, folder: str, id_col: str = "vec_id", cells: int
 
     ``cells`` defaults to the square root of the rows, 4,096 at most. Centres are fitted on a sample;
     every row is stored. A cell with very many rows, such as copies of one vector, is dealt
-    to several files by id. Rows without a finite vector are left out.
+    to several files by id. Rows without a finite vector, or with one of another length than most,
+    are left out; queries of another length find nothing.
     """
     rows = prepared(index)
+    length = usual_length(rows) or 0
+    rows = rows.filter(F.size("embedding") == length)
     n = rows.count()
     cells = min(MOST_CELLS, max(1, int(np.ceil(np.sqrt(n))))) if cells is None else cells
     centres = _centres(rows, cells, id_col) if n else np.zeros((0, 0))
@@ -192,6 +195,7 @@ def search_ivf(
     wanted = k + 1 if exclude_self else k
     needed = spark.read.parquet(f"{folder}/settings").first()["probes"] if probes is None else probes
     visits = max(1, min(len(centres), needed))
+    queries = queries.filter(F.size("embedding") == centres.shape[1])
     hits = [
         best_hits(_tile_hits(tile, stored, centres, wanted, visits, candidates * wanted, id_col, schema), wanted, id_col)
         for tile in query_tiles(queries, TILE_BYTES)

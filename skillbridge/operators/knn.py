@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -101,6 +102,17 @@ def _small(queries: DataFrame, max_rows: int) -> pa.Table | None:
     return None if table.num_rows > max_rows or table.nbytes > SMALL_BYTES else table
 
 
+def _of_length(rows: DataFrame, length: int) -> DataFrame:
+    return rows.filter(F.size("embedding") == length)
+
+
+def usual_length(rows: DataFrame) -> int | None:
+    """The number of components that most vectors have (the smaller one, if as many have another)."""
+    counts = rows.groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n"))
+    most = counts.orderBy(F.desc("n"), "length").first()
+    return None if most is None else most["length"]
+
+
 def _scan(queries: pa.Table, corpus: DataFrame, k: int, id_col: str, schema: T.StructType) -> DataFrame:
     """Every task keeps the best ``k`` rows of its partition for each query."""
     if not queries.num_rows:
@@ -323,6 +335,9 @@ def knn(
     ``small_queries`` queries are sent to every task at once. For more, a corpus within
     ``tile_bytes`` is sent to the queries; else tiles of queries, so large, are sent to the corpus
     in rounds, which run here. No vector of the corpus is shuffled; the result is the same.
+
+    Vectors that are NULL, or hold NULL, NaN or an infinite component, take no part; nor do those of
+    another length than most queries have.
     """
     queries = prepared(queries, metric)
     corpus = prepared(corpus, metric)
@@ -330,8 +345,13 @@ def knn(
     schema = _hit_schema(queries, corpus)
     small = _small(queries, small_queries)
     if small is not None:
-        hits = _scan(small, corpus, wanted, id_col, schema)
+        sizes = np.sort(pc.list_value_length(small["embedding"]).to_numpy())
+        length = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+        small = small.filter(pc.equal(pc.list_value_length(small["embedding"]), length))
+        hits = _scan(small, _of_length(corpus, length), wanted, id_col, schema)
         return best_hits(hits, k, id_col, metric, exclude_self)
+    length = usual_length(queries) or 0
+    queries, corpus = _of_length(queries, length), _of_length(corpus, length)
     table = _broadcastable(corpus, tile_bytes)
     if table is not None:
         hits = _scan_queries(queries, table, wanted, id_col, schema)
@@ -352,6 +372,8 @@ def knn_private(
     queries = prepared(queries, metric).filter(F.col("owner").isNotNull())
     corpus = prepared(corpus, metric).filter(F.col("owner").isNotNull())
     wanted = k + 1 if exclude_self else k
+    length = usual_length(queries) or 0
+    queries, corpus = _of_length(queries, length), _of_length(corpus, length)
     asking = matching(corpus, queries, "owner")
     hits = _join_by_key(queries, asking, "owner", wanted, id_col, _hit_schema(queries, corpus))
     return best_hits(hits, k, id_col, metric, exclude_self)
@@ -394,7 +416,9 @@ def knn_lsh(
     ``radius``. All rows of a shared bucket are compared, however full it is. A query that
     shares no bucket with ``k`` rows has fewer hits.
     """
-    queries, corpus = prepared(queries, "l2sq"), prepared(corpus, "l2sq")
+    queries, corpus = prepared(queries), prepared(corpus)
+    length = usual_length(queries) or 0
+    queries, corpus = _of_length(queries, length), _of_length(corpus, length)
     wanted = k + 1 if exclude_self else k
     lsh = BucketedRandomProjectionLSH(
         inputCol="_v",

@@ -221,11 +221,12 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, owner, text, embedding``: all vectors and all documents.
 
     Row ``r`` has the vector numbered ``r`` modulo their count and the document likewise, so
-    the larger table is there once and the smaller one is gone through again.
+    the larger table is there once and the smaller one is gone through again. Ids must be
+    the numbers from 0 on, as a gap would lose rows; that is checked.
     """
     vectors = scoped_vectors(spark, sf_dir)
     text = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_vectors, n_texts = vectors.count(), text.count()
+    n_vectors, n_texts = dense_count(vectors, "vec_id"), dense_count(text, "doc_id")
     if n_vectors >= n_texts:
         rows = vectors.withColumn("doc_id", F.pmod("vec_id", F.lit(max(1, n_texts))))
         return rows.join(text, "doc_id").drop("doc_id")
@@ -234,6 +235,14 @@ def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(named, "number").select(F.col("doc_id").alias("vec_id"), "owner", "embedding", "text")
 
 
+def dense_count(rows: DataFrame, key: str) -> int:
+    """How many rows there are, if their keys are 0, 1, 2, ...; else an error."""
+    n, keys, lo, hi = rows.agg(F.count("*"), F.countDistinct(key), F.min(key), F.max(key)).first()
+    if n and (keys, lo, hi) != (n, 0, n - 1):
+        raise ValueError(f"{key} must go from 0 to {n - 1} without gaps")
+    return n
+
+
 def scoped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label 0 is open to everybody; another label is the owner of its vectors."""
     owner = F.when(F.col("label") != 0, F.concat(F.lit("owner"), F.col("label").cast("string")))

@@ -395,6 +395,12 @@ SELECT count(*) AS n_queries, true AS distances_exact, true AS recall_reached FR
     "recommend_per_request": _recommend_windows(_RESUMES, "job_desc"),
     "recommend_titles": _recommend_windows(_RESUMES, _quote(STANDING_QUESTION), True),
     "recommend_titles_each": _recommend_windows(_RESUMES, "job_desc", True),
+    "outbound_batch": f"""
+SELECT address, subject, message FROM ({_recommend_windows(_RESUMES, _quote(STANDING_QUESTION), True)})
+UNION ALL
+SELECT {_quote(OPERATOR_ADDRESS)}, 'Service Error', 'Error occurred: ' ||
+       CASE WHEN value < 10 THEN 'email is missing' ELSE 'body is not JSON' END
+FROM events WHERE event_type = 'purchase' AND value < 20""",
     # streams
     "stream_route": f"""
 SELECT event_id, CASE WHEN value < 10 THEN props WHEN value < 20 THEN event_type ELSE body END AS body

@@ -16,6 +16,7 @@ from skillbridge.functions import text as X
 from skillbridge.operators import accounts, context, corpus, ivf, knn, numbering, quality
 from skillbridge.plans import inputs as I
 from skillbridge.plans.ingest import all_courses, ingest, typed_listing
+from skillbridge.plans.outbound import answer_landed
 from skillbridge.plans.recommend import answer_queries, index_courses, recommend
 from skillbridge.plans.uploads import publish_uploads
 from skillbridge.schemas import COURSES
@@ -579,6 +580,17 @@ def recommend_titles_each(spark: SparkSession, sf: str) -> DataFrame:
     return _windows(spark, sf, _requests(spark, sf), query="job_desc", titles=True)
 
 
+@query
+def outbound_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as requests, and events as further messages, from the queue to the outbound sink."""
+    landed, out = scratch_path(spark, "batch-requests"), scratch_path(spark, "batch-outbound")
+    own = requests.encode_requests(I.resume_uploads(spark, sf))
+    others = I.event_messages(I.table(spark, sf, "events")).filter("body NOT LIKE '%file_content%'")
+    requests.write_requests(own.unionByName(others), landed)
+    options = {"embedder": I.LetterEmbedder(), "chunker": corpus.chunk_fixed, "titles": True}
+    return answer_landed(spark, landed, _window_index(spark, sf), I.OPERATOR_ADDRESS, out, **options)
+
+
 # Streams ------------------------------------------------------------------------------
 
 

@@ -18,16 +18,21 @@ def publish_uploads(forms: DataFrame, users: DataFrame, table: str, queue: str)
     """Admit uploads, store them in ``table`` and send each to ``queue`` as a request.
 
     ``forms`` has the columns of an upload and ``content_type``. Returns the rejects with
-    their ``errors``: what the file rules say, or ``unknown_user``. What is admitted is
-    computed once, and the messages are made from the stored rows of this load.
+    their ``errors``: what the file rules say, or ``unknown_user``. Forms are judged once and
+    stored with the verdict; table, messages and rejects are all made from what is stored.
     """
     checked = check(forms, upload_rules())
     known, orphans = fk_split(checked.filter(F.size("errors") == 0), users)
+    judged = (
+        checked.filter(F.size("errors") > 0)
+        .unionByName(orphans.withColumn("errors", F.array(F.lit("unknown_user"))))
+        .unionByName(known)
+    )
     spark = forms.sparkSession
     load = scratch_path(spark, "uploads")
-    known.select(UPLOAD).write.parquet(load)
-    admitted = spark.read.parquet(load)
+    judged.write.parquet(load)
+    judged = spark.read.schema(judged.schema).parquet(load)
+    admitted = judged.filter(F.size("errors") == 0).select(UPLOAD)
     append_rows(admitted, table)
     write_requests(encode_requests(admitted), queue)
-    rejects = checked.filter(F.size("errors") > 0)
-    return rejects.unionByName(orphans.withColumn("errors", F.array(F.lit("unknown_user"))))
+    return judged.filter(F.size("errors") > 0)

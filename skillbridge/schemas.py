@@ -1,7 +1,8 @@
 """Table and message schemas.
 
 Length limits and required columns are kept in the schema itself (nullability and
-``max_length`` metadata), so that the constraint rules can be derived from it.
+``max_length`` metadata), so that the constraint rules can be derived from it. Column names, their
+order and the limits are fixed values: stored tables and messages must match them.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from skillbridge.functions.text import base64_text
 from skillbridge.schemas import MESSAGE, REQUEST_BODY
 
+# Fixed value: the key that upload messages are bound to.
 ROUTING_KEY = "resume_pdf"
 
 

@@ -152,7 +152,7 @@ def test_lsh_recall(spark):
     near = grouped(registry.knn_lsh(spark, SF))
     found = sum(len(set(ids) & set(near.get(qid, []))) for qid, ids in exact.items())
     total = sum(len(ids) for ids in exact.values())
-    assert found / total >= 0.85, found / total
+    assert found / total >= 0.9, found / total
 
 
 @pytest.mark.parametrize("name", ["knn_top3", "knn_cells", "knn_sent_corpus", "knn_scoped", "recommend", "recommend_text"])
@@ -182,10 +182,16 @@ def test_nan_null_and_infinite_components_cost_no_hit(spark, tiny_blocks, way):
 
 
 @pytest.mark.parametrize("way", WAYS)
-def test_ragged_vectors_are_refused(spark, way):
-    q, c = frames(spark, rows(1, 3), rows(2, 10) + [(99, None, [1.0])])
-    with pytest.raises(Exception, match="components"):
-        knn.knn(q, c, 3, **way).collect()
+def test_ragged_vectors_are_left_out(spark, way):
+    """A row of another length takes no part and stops nothing, on either side."""
+    queries, corpus = rows(1, 6), rows(2, 20)
+    odd = [(99, "a", [1.0]), (98, "a", [0.0] * 9), (97, "a", [])]
+    q, c = frames(spark, queries + odd, corpus + odd)
+    assert grouped(knn.knn(q, c, 3, **way)) == brute(queries, corpus, 3)
+    owned = [[(i, "a", v) for i, _, v in x] for x in (queries, corpus)]
+    q, c = frames(spark, owned[0] + odd, owned[1] + odd)
+    assert grouped(knn.knn_private(q, c, 3)) == brute(queries, corpus, 3)
+    assert grouped(knn.knn_lsh(q, c, 3, radius=50.0)) == brute(queries, corpus, 3)
 
 
 def test_empty_inputs_of_the_approximate_search(spark):

@@ -8,7 +8,7 @@ from skillbridge.plans.oracles import ORACLES
 from skillbridge.plans.registry import QUERIES
 from tools.check import canonical
 
-NO_SQL = {"embed_hash", "knn_lsh", "surrogate_ids", "recommend_text", "stream_recommend_text"}
+NO_SQL = {"embed_hash", "knn_ivf", "knn_lsh", "surrogate_ids", "recommend_text", "stream_recommend_text"}
 
 
 def test_which_queries_have_sql():
