@@ -560,6 +560,12 @@ def _cells(forest: DataFrame, comps: DataFrame | None, salt: int, whole: bool) -
     limit = WALK_NODES if whole else STAR_NODES
     parts = counted.filter("lo < hi").select("root", F.ceil(F.col("n") / limit).alias("parts"))
     rows = rows.join(parts, "root")
+    if whole:
+        # of the roots that are left only; a node has no more of them than tokens that come first
+        least = rows.select("node", "root").groupBy("node").agg(
+            F.slice(F.array_sort(F.collect_list("root")), 1, ROOTS).alias("roots")
+        )
+        rows = rows.join(written(least, "shingle-node-roots"), "node")
     part = F.pmod(F.xxhash64(F.lit(salt), "node"), "parts")
     if whole:
         other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
@@ -597,14 +603,12 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
         tidied(lambda b: _prefixes(b, size, percent, frequent, twins)), "token long, node long"
     )
     dealt = tokens.repartition("token").sortWithinPartitions("token", "node")
-    with batches_of(spark, 20_000):
+    with batches_of(spark, 2000):
         roots = written(dealt.mapInArrow(_roots, "root long, node long").dropDuplicates(), "shingle-roots")
     leaves = (
         shingled.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     )
-    # a node has no more roots than tokens that come first
-    least = roots.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("root")), 1, ROOTS).alias("roots"))
-    forest = written(roots.join(leaves.join(least, "node"), "node"), "shingle-trees")
+    forest = written(roots.join(leaves, "node"), "shingle-trees")
 
     sketches = _Whole(docs, nodes, size, percent, True, twins)
     sets = _Whole(docs, nodes, size, percent, False, twins)
