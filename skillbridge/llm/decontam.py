@@ -201,7 +201,8 @@ def matches(
     and empty texts. Windows with fewer than :data:`LITERALS` plain words match word by word only.
     Windows that are equal word by word always count; those with placeholders count unless the slots of
     their passage disagree. Items and documents that repeat an id are
-    reported under it; rows equal in id and text count once. Empty tables give no matches.
+    reported under it; rows equal in id and text count once. Empty tables give no matches. Texts of any
+    length are read whole; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -282,7 +283,11 @@ def matches(
 def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **kw
 ) -> DataFrame:
-    """``docs`` without those that match an item; all other rows stay as they are."""
+    """``docs`` without those that match an item; all other rows stay as they are.
+
+    NULL and empty texts stay, repeated rows go or stay together. All columns are kept, whatever their
+    names; an empty table gives an empty one.
+    """
     hits = matches(docs, benchmark, text, doc_id, **kw)
     doc, th = unused(docs.columns, "_doc", "_th")
     hits = hits.select(F.col(f"`{doc_id}`").alias(doc), F.col("th").alias(th)).distinct()

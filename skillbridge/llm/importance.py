@@ -161,7 +161,8 @@ def resample(
     weight and noise) is largest; rows that tie with the last of them are kept as well, so
     repeated rows are kept or not together. Texts that are NULL, empty or blank have no
     weight and are never kept. Without target documents all weights are 0 and the draw is
-    uniform. An empty table gives an empty one.
+    uniform. An empty table gives an empty one. Texts of any length are counted whole; other columns
+    are not read.
     """
     ratios = log_ratios(docs, ids, text, doc_id, buckets)
     noise = F.when(F.col("log_weight").isNotNull(), F.col("log_weight") + gumbel(seed, F.col(doc_id), F.col("th")))

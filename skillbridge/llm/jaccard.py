@@ -667,7 +667,7 @@ def similar(
     reachable by links. Texts that are NULL, empty or without words have no shingles and are
     components of their own. Repeated rows and ids are legal and give a row each; a NULL id
     is never a component's id unless nothing else is. ``th`` is a hash of the text and ``component`` another name of the component (NULL
-    without shingles). An empty
+    without shingles). Texts of any length count whole. An empty
     table gives an empty one; other columns are not read.
     """
     source = docs.select(
@@ -694,7 +694,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` with one document of each component: the one with the least id (NULL last).
 
     Of rows that share that id the text with the least hash stays, and of rows equal in id
-    and text one. Texts without words all stay, but for such repeats.
+    and text one. Texts without words all stay, but for such repeats. All columns are kept, whatever
+    their names; an empty table gives an empty one.
     """
     groups = written(similar(docs, text, doc_id).withColumnRenamed(doc_id, "doc"), "near-groups")
     rows = groups.groupBy("doc", "th", "component").agg(F.count("*").alias("n"))

@@ -168,7 +168,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", doc_id: str =
     ``und`` and 0 for a text that is NULL or has no letter, or if nothing was learned. A text
     whose n-grams no language knows, or that has none, is given the language of most
     documents, with score 0; ties go to the language first in order. Repeated rows get equal
-    results, an empty table none. Only the text is looked at.
+    results, an empty table none. Texts of any length are looked at whole, and nothing but the text.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -11,11 +11,11 @@ one *up to* its last line. Only these two runs per line need to be looked at.
 
 1. Every line is hashed. Of each shortest run the line with the least hash is selected: the
    *fingerprints*. Equal runs select equal lines, so a repeat always shares a fingerprint.
-2. Fingerprints are joined with those that occur at several positions.
-3. A match is extended both ways: the runs from and up to a line whose fingerprint recurs
-   are compared with all others of the same content, one class per content. The first
-   occurrence stays and the lines of later ones go; runs overlap, so matches grow along
-   them in both directions for as long as an earlier text holds them.
+2. Runs whose fingerprint occurs once are dropped. The others are joined with the first position of
+   their content, which is unique. (The first position of the fingerprint itself would not do: a line may
+   first occur in another surrounding than the passage that is repeated.)
+3. The lines of later runs go. Runs of one passage overlap, so their union is the match, extended both
+   ways for as long as some earlier text holds it; there is no comparison line by line.
 
 Only built-in functions. A content that fills a third of the table is no hot spot: classes
 are counted by partial aggregates and joined back, where Spark can split a skewed key. Of a
@@ -124,7 +124,8 @@ def dedup_lines(
 
     Rows equal in id and text are one document: they are cut alike and all stay. A NULL or
     empty text stays as it is, as do documents without repeats; an empty table gives an
-    empty one. Other columns are kept, but one named ``lines_removed`` is replaced.
+    empty one. Texts of any length are read whole. Other columns are kept, whatever their names, but
+    one named ``lines_removed`` is replaced.
     """
     columns = [c for c in docs.columns if c != "lines_removed"]
     runs = written(shortest_runs(counting_lines(docs, text, doc_id), min_words), "line-runs")

@@ -80,7 +80,8 @@ def section_counts(
     overlapping); without it every line is a section. By the rules of :func:`allocate` a
     token is counted once, so the lines of a text add up to its tokens. NULL and empty texts
     have one empty section with no tokens (given sections: those, with no tokens); repeated
-    rows and NULL ids are counted as any. Other columns are not read.
+    rows and NULL ids are counted as any. Texts of any length are encoded whole. Other columns are
+    not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

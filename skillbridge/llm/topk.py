@@ -129,7 +129,7 @@ def search(vectors: DataFrame, every: int, k: int, vector: str = "embedding", ve
     non-finite component take no part. Only vectors of one length are compared. Rows equal in
     id and vector count once; rows that share an id with another vector are candidates (and
     queries) each. A query without candidates has no rows, nor has an empty table. Products
-    beyond 64 bits wrap around.
+    beyond 64 bits wrap around. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(

@@ -223,7 +223,8 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_")
     """``docs`` with a probability for each category, where the rows lie.
 
     A NULL or empty text has no features and gets the probabilities that the intercepts
-    give; repeated rows get equal ones. Columns that bear a new column's name are replaced.
+    give; repeated rows get equal ones. Texts of any length are scored whole. Columns that bear a new
+    column's name are replaced; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -259,7 +260,10 @@ CATEGORIES = ("poor", "toxic")
 def remove_toxic(
     docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``docs`` without those whose probability of ``toxic`` reaches ``threshold``."""
+    """``docs`` without those whose probability of ``toxic`` reaches ``threshold``.
+
+    All columns are kept, whatever their names; NULL and empty texts are as toxic as the intercepts say.
+    """
     chain = fit_chain(docs, label_categories(labels), CATEGORIES, text)
     prefix = "_p_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
