@@ -375,10 +375,10 @@ ROUNDS = (STARS, STARS, NEAREST, NEAREST)  # before the last, complete walk
 
 
 def _walk(batches: Iterator[pa.RecordBatch], percent: int, what: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``cell, node, size, bits, comp`` in order of cell to pairs ``a, b, share``.
+    """Rows ``cell, root, node, size, bits, comp`` in order of cell to pairs ``a, b, share, root``.
 
-    With ``EVERY``, rows have ``root`` and ``roots`` as well, and a pair is returned by the first root that
-    both have. ``STARS``: each leaf with the least one it may be linked with. ``NEAREST``: each leaf with the one of
+    With ``EVERY``, rows have ``roots`` as well, and a pair is returned by the first root that both have.
+    ``STARS``: each leaf with the least one it may be linked with. ``NEAREST``: each leaf with the one of
     another component that it shares most with. ``EVERY``: all pairs of different components.
     """
 
@@ -395,28 +395,29 @@ def _walk(batches: Iterator[pa.RecordBatch], percent: int, what: int) -> Iterato
         if what == NEAREST:
             found = _nearest(found, len(node))
         if what == EVERY:
-            roots = _padded([r for x in rows for r in x[5]])[order]
-            found = _at_first_root(found, roots, rows[0][4])
+            roots = _padded([r for x in rows for r in x[4]])[order]
+            found = _at_first_root(found, roots, root)
         for a, b, share in found:
             lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(share)], ["a", "b", "share"])
+            columns = [pa.array(hi), pa.array(lo), pa.array(share), pa.array(np.full(len(hi), root, dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "share", "root"])
 
-    root, rows = None, []
+    cell, root, rows = None, None, []
     for batch in batches:
-        roots, node, size, comp = (
-            batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in ("cell", "node", "size", "comp")
+        cells, roots, node, size, comp = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "root", "node", "size", "comp")
         )
         bits = batch.column("bits")
-        cuts = np.flatnonzero(np.append(True, roots[1:] != roots[:-1])) if len(roots) else []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(roots)), strict=True):
-            if roots[lo] != root:
+        cuts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(cells)), strict=True):
+            if cells[lo] != cell:
                 if rows:
                     yield from out(rows)
-                root, rows = roots[lo], []
+                cell, root, rows = cells[lo], int(roots[lo]), []
             rows.append((node[lo:hi], size[lo:hi], bits.slice(lo, hi - lo).to_pylist(), comp[lo:hi]))
             if what == EVERY:
                 own = batch.column("roots").slice(lo, hi - lo)
-                rows[-1] += (batch.column("root")[int(lo)].as_py(), [x.values.to_numpy(zero_copy_only=False) for x in own])
+                rows[-1] += ([x.values.to_numpy(zero_copy_only=False) for x in own],)
     if rows:
         yield from out(rows)
 
@@ -573,7 +574,7 @@ def _cells(forest: DataFrame, comps: DataFrame | None, salt: int, whole: bool) -
         cell = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
     else:
         cell = F.xxhash64("root", part)
-    return rows.select(cell.alias("cell"), "node", "size", "bits", "comp", *(["root", "roots"] if whole else []))
+    return rows.select(cell.alias("cell"), "root", "node", "size", "bits", "comp", *(["roots"] if whole else []))
 
 
 def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -619,7 +620,7 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
         found = (
             rows.repartition("cell")
             .sortWithinPartitions("cell")
-            .mapInArrow(tidied(lambda b: _walk(b, percent, what)), "a long, b long, share double")
+            .mapInArrow(tidied(lambda b: _walk(b, percent, what)), "a long, b long, share double, root long")
         )
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
@@ -636,7 +637,14 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
         comps = components(links)
 
     for salt, what in enumerate(ROUNDS):
-        pairs = written(best(found_pairs(salt, what)).select("a", "b"), "shingle-pairs")
+        found = found_pairs(salt, what)
+        if not salt:
+            # a root that was compared in one go and found nothing will never find a pair
+            found = written(found, "shingle-found")
+            split = forest.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > STAR_NODES)
+            live = found.select("root").union(split.select("root")).distinct()
+            forest = written(forest.join(live, "root", "left_semi"), "shingle-trees")
+        pairs = written(best(found).select("a", "b"), "shingle-pairs")
         link(sketches.check(pairs))
         tested = pairs if tested is None else tested.union(pairs)
     every = found_pairs(len(ROUNDS), EVERY).select("a", "b").distinct()

@@ -32,6 +32,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a longer word that are a feature by the
 LEVELS = (1, 2, 4)  # a word or beginning that occurs so often in a text is a feature each
 ASSOCIATED = 30.0  # least chi-square of a feature with a category
 THRESHOLD = 0.4
+NOTHING_KNOWN = -14.0  # intercept of a model without rows
 
 _WORDLIKE = np.zeros(256, dtype=bool)
 _WORDLIKE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
@@ -153,8 +154,9 @@ def fit_chain(
 ) -> Chain:
     """A chain for the 0/1 columns ``categories`` of ``labels``, in that order.
 
-    Features are chosen by chi-square against any of the categories. Without labelled
-    documents, or with one class only, a category's probability is its smoothed share.
+    Features are chosen by chi-square against any of the categories. With one class only, a category's
+    probability is its smoothed share; without labelled documents nothing is predicted, and it is 0
+    (to a millionth).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -203,7 +205,9 @@ def fit_chain(
 
 def _fit(categories: tuple[str, ...], known: np.ndarray, matrix: Rows, truth: np.ndarray, fold: np.ndarray) -> Chain:
     width = len(categories)
-    weights, earlier, bias = np.zeros((len(known), width)), np.zeros((width, width)), np.zeros(width)
+    weights, earlier, bias = np.zeros((len(known), width)), np.zeros((width, width)), np.full(width, NOTHING_KNOWN)
+    if not len(truth):
+        return Chain(categories, known, weights, earlier, bias)
     unseen = np.zeros_like(truth)  # out-of-fold probabilities
     row = matrix.row_of()
     for k in range(width):

@@ -7,6 +7,8 @@ import pytest
 import tiktoken
 from conftest import SF
 from plain import cut_lines
+from pyspark.sql import functions as F
+from rows import DOCS
 from test_jaccard import brute as components
 
 import corpus_pipeline
@@ -90,6 +92,45 @@ def test_encoding(steps):
     assert sorted(tuple(r) for r in after.collect()) == sorted(want)
 
 
+NAMES = ["_doc", "_th", "_mask", "_n", "_p_toxic", "doc", "node", "id"]
+
+
+def odd_folder(spark, folder, rows, labels, items):
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)
+    for name in NAMES:
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_odd_rows_and_clashing_names(spark, folder):
+    item = "a question of the benchmark that is long enough to be found by its thirteen and more words"
+    own = [(k, f"text {k} " + " ".join(f"w{k}x{j}" for j in range(70))) for k in range(8)]
+    rows = [*own, (3, own[3][1]), (20, own[5][1]), (21, None), (22, ""), (None, "no id " + item), (None, None), (23, item.upper())]
+    labels = [(1, 1, 0), (2, None, None), (None, 0, 1), (99, 0, 1)]
+    path = odd_folder(spark, folder, rows, labels, [(1, item), (2, None), (None, "")])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, path), name)
+        assert docs.columns == [*DOCS.names, *NAMES]
+        assert all(r[n] == n for r in docs.collect() for n in NAMES)
+    left = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    # the only line of row 20 repeats an earlier one
+    assert left == sorted([*own, (20, ""), (21, None), (22, ""), (None, None)], key=str)
+    out = corpus_pipeline.run(spark, path)
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i, _ in left)
+
+
+def test_empty_tables(spark, folder):
+    rows = [(k, f"text {k} of its own " * 30) for k in range(5)]
+    path = odd_folder(spark, f"{folder}/a", rows, [], [])
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, path).collect()) == list(range(5))
+    path = odd_folder(spark, f"{folder}/b", [], [(1, 1, 0)], [(1, "some words of an item")])
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
 def test_rest_works_without_the_folder():
     """No module outside imports the operators, but for the guarded entry point."""
     top = Path(corpus_pipeline.__file__).parent
