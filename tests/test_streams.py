@@ -266,3 +266,15 @@ def test_batches_in_the_course_table(spark, folder):
     assert again.columns == kept and again.count() == left + 1
     with pytest.raises(Exception, match="title is NULL"):
         sinks.put_load(one.selectExpr("1 AS id", "cast(NULL AS string) AS title", *kept[2:]), name, "x")
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_streams_of_a_file_and_of_a_folder(spark, folder, files):
+    rows = spark.range(10)
+    if files == 1:
+        rows.toPandas().to_parquet(f"{folder}/events.parquet")
+    else:
+        rows.repartition(files).write.parquet(f"{folder}/events.parquet")
+    spark.range(5).write.parquet(f"{folder}/late_events.parquet")
+    got = registry._run(spark, registry._table_stream(spark, folder, "events"), "stream-table")
+    assert sorted(r.id for r in got.collect()) == list(range(10))
