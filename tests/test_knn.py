@@ -199,3 +199,16 @@ def test_empty_inputs_of_the_approximate_search(spark):
     assert knn.knn_lsh(q, c.filter("false"), 3).count() == 0
     assert knn.knn_lsh(q.filter("false"), c, 3).count() == 0
     assert knn.knn_scoped(q, c.filter("false"), 3).count() == 0
+
+
+def test_small_tiles_share_a_round(spark, monkeypatch):
+    """A scan of the corpus for every tile would grow with the square of the input."""
+    sent, tiles = [], knn.query_tiles
+    monkeypatch.setattr(knn, "query_tiles", lambda *a: (sent.append(t.num_rows) or t for t in tiles(*a)))
+    queries, corpus = rows(8, 200), rows(9, 300)
+    q, c = frames(spark, queries, corpus)
+    assert grouped(knn.knn(q, c, 3, small_queries=0, tile_bytes=1000)) == brute(queries, corpus, 3)
+    assert sent == [200]
+    monkeypatch.setattr(knn, "TILE_BYTES", 4800)
+    assert grouped(knn.knn(q, c, 3, small_queries=0, tile_bytes=1000)) == brute(queries, corpus, 3)
+    assert sent == [200, 50, 50, 50, 50]
