@@ -24,7 +24,7 @@ from skillbridge.sources.requests import (
     split_requests,
 )
 from skillbridge.sources.sinks import put_load, write_batch, write_notification_batch
-from skillbridge.streaming.poison import MOST, isolate
+from skillbridge.streaming.poison import MOST, Suspects, isolate
 
 FILES_PER_BATCH = 100  # a backlog is worked off in batches of so many files
 Trigger = dict[str, bool | str]
@@ -139,6 +139,7 @@ def recommend_stream(
     checkpoint: str,
     trigger: Trigger | None = None,
     most_raising: int = MOST,
+    suspects: Suspects | None = None,
 ) -> StreamingQuery:
     """Answer usable requests and turn the others into dead letters; the stream goes on.
 
@@ -146,7 +147,8 @@ def recommend_stream(
     ``out/outbound``, the notifications of both. A usable request for which ``answer`` has
     no row (by ``request_id``) is a dead letter as well, and so is one whose answer raises: it is
     set aside by :func:`~skillbridge.streaming.poison.isolate`, and the rest of its batch is
-    answered. A batch with more than ``most_raising`` of these stops the stream.
+    answered. A batch with more than ``most_raising`` of these stops the stream. ``suspects`` names raising
+    rows at once, which a batch may have many of.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -162,7 +164,7 @@ def recommend_stream(
             def work(rows: DataFrame) -> None:
                 (whole if rows is every else answer(rows)).write.mode("append").parquet(folder)
 
-            usable, raising = isolate(every, work, reset, most_raising)
+            usable, raising = isolate(every, work, reset, most_raising, suspects)
             answers = spark.read.parquet(folder)
             got = answers.select(F.col("request_id").cast("string").alias("_id")).distinct()
             silent = usable.join(got, F.col("message_id").cast("string").eqNullSafe(F.col("_id")), "left_anti")

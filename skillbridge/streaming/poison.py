@@ -3,6 +3,9 @@
 A row that raises takes its whole job down. When a batch fails, it is numbered and halved until each
 raising row stands alone; all others are answered on the way. Finding one of ``n`` rows takes some
 ``2 log2(n)`` jobs, and a batch without such rows takes one.
+
+A step that can tell in its tasks which rows make it raise, such as a model, is asked first. That takes
+one job, however many rows raise; only what raises for another reason is left to the halving.
 """
 
 from __future__ import annotations
@@ -69,8 +72,15 @@ class _Search:
         return self.run(middle, hi, not left) or left
 
 
+Suspects = Callable[[DataFrame], DataFrame]
+
+
 def isolate(
-    batch: DataFrame, work: Callable[[DataFrame], None], reset: Callable[[], None], most: int = MOST
+    batch: DataFrame,
+    work: Callable[[DataFrame], None],
+    reset: Callable[[], None],
+    most: int = MOST,
+    suspects: Suspects | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run ``work`` on all rows of ``batch`` but those that raise: the rows done, and the others.
 
@@ -78,6 +88,10 @@ def isolate(
     and is called before each attempt at the whole batch. Raising rows have an ``error``, the
     reason. If more than ``most`` rows raise, so does this: an outage must not turn all messages
     into failures. Errors in the job itself, before any row is read, are raised as they are.
+
+    ``suspects`` returns the rows it is given that raise, with ``error``, without raising itself. It is asked
+    when the whole batch has failed. As these come at no cost for each, it is an outage if
+    they are more than half of the batch (and more than ``most``).
     """
     reset()
     try:
@@ -90,12 +104,47 @@ def isolate(
         path, schema = scratch_path(batch.sparkSession, "failing-batch"), rows.schema
         rows.write.parquet(path)
         rows = batch.sparkSession.read.schema(schema).parquet(path)
-        search = _Search(rows, work, most)
-        if n:
-            search.run(0, n, n > 1)
-        # as many rows as ``most`` at the most
-        reasons = batch.sparkSession.createDataFrame(search.found, "_number bigint, error string")
-        raising = rows.join(F.broadcast(reasons), "_number").drop("_number")
-        fine = rows.join(F.broadcast(reasons), "_number", "left_anti").drop("_number")
-        return fine, raising
+        if suspects is not None:
+            return _told(rows, n, work, reset, most, suspects)
+        return _halved(rows, n, n > 1, work, most)
     return batch, batch.filter(F.lit(False)).withColumn("error", F.lit(None).cast("string"))
+
+
+def _halved(
+    rows: DataFrame, n: int, known: bool, work: Callable[[DataFrame], None], most: int
+) -> tuple[DataFrame, DataFrame]:
+    search = _Search(rows, work, most)
+    if n:
+        search.run(0, n, known)
+    # as many rows as ``most`` at the most
+    reasons = rows.sparkSession.createDataFrame(search.found, "_number bigint, error string")
+    raising = rows.join(F.broadcast(reasons), "_number").drop("_number")
+    fine = rows.join(F.broadcast(reasons), "_number", "left_anti").drop("_number")
+    return fine, raising
+
+
+def _told(
+    rows: DataFrame, n: int, work: Callable[[DataFrame], None], reset: Callable[[], None], most: int, suspects: Suspects
+) -> tuple[DataFrame, DataFrame]:
+    """The rows that ``suspects`` names are set aside; the others are run, and halved if they raise all the same."""
+    spark = rows.sparkSession
+    path, schema = scratch_path(spark, "raising"), "_number bigint, error string"
+    suspects(rows).select("_number", F.col("error").cast("string").alias("error")).write.parquet(path)
+    told = spark.read.schema(schema).parquet(path)
+    found = told.count()
+    if found > max(most, n // 2):
+        raise RuntimeError(f"{found} of {n} messages of a batch raise; one of them: {told.first()['error']}")
+    raising = rows.join(told, "_number").drop("_number")
+    fine = rows.join(told.select("_number"), "_number", "left_anti").drop("_number")
+    try:
+        work(fine)
+    except AnalysisException:
+        raise
+    except (PySparkException, Py4JJavaError):
+        reset()
+        left, n = numbered(fine, "_number")
+        path, kept = scratch_path(spark, "failing-batch"), left.schema
+        left.write.parquet(path)
+        fine, others = _halved(spark.read.schema(kept).parquet(path), n, n > 1, work, most)
+        raising = raising.unionByName(others)
+    return fine, raising

@@ -1,11 +1,14 @@
 import base64
 import json
+from pathlib import Path
 
+import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from skillbridge.functions.text import ERROR_PREFIX
+from skillbridge.operators import corpus
 from skillbridge.plans import inputs, registry
 from skillbridge.plans.ingest import ingest
 from skillbridge.plans.recommend import index_courses, recommend
@@ -272,9 +275,55 @@ def test_batches_in_the_course_table(spark, folder):
 def test_table_streams_of_a_file_and_of_a_folder(spark, folder, files):
     rows = spark.range(10)
     if files == 1:
+        Path(folder).mkdir(parents=True)
         rows.toPandas().to_parquet(f"{folder}/events.parquet")
     else:
         rows.repartition(files).write.parquet(f"{folder}/events.parquet")
     spark.range(5).write.parquet(f"{folder}/late_events.parquet")
     got = registry._run(spark, registry._table_stream(spark, folder, "events"), "stream-table")
     assert sorted(r.id for r in got.collect()) == list(range(10))
+
+
+def short_model():
+    def too_long(model_name, device):  # here, as workers don't have the tests
+        def model(texts):
+            for text in texts:
+                if len(text) > 20:
+                    raise ValueError(f"{len(text)} characters are too many")
+            return np.array([[len(t)] for t in texts], dtype=np.float32).reshape(-1, 1)
+
+        return model
+
+    return corpus.ModelEmbedder(too_long, "m")
+
+
+@pytest.mark.parametrize("bad, other", [(150, []), (0, []), (3, ["job 200"])])
+def test_many_raising_texts_are_named_by_the_model(spark, folder, bad, other):
+    """More raising rows than halving may find, in a few jobs; what raises for another reason is halved."""
+    rows = [("resume_pdf", body(content=b"x" * (30 if n < bad else 5), job=f"job {n}")) for n in range(400)]
+    messages(spark, *rows).repartition(3).write.json(f"{folder}/in")
+    model = short_model()
+
+    def answer(batch):
+        return raising_answer(other)(model.embed(batch, "resume").filter("embedding[0] > 0"))
+
+    jobs.recommend_stream(
+        jobs.request_stream(spark, f"{folder}/in"), answer, "op@x", f"{folder}/out", f"{folder}/checkpoint",
+        suspects=lambda batch: model.raising(batch, "resume"),
+    ).awaitTermination()
+    dead = {r.message_id: r.message for r in spark.read.parquet(f"{folder}/out/dead").collect()}
+    assert set(dead) == {str(n) for n in range(bad)} | {j.split()[1] for j in other}
+    assert all(dead[str(n)] == ERROR_PREFIX + "30 characters are too many" for n in range(bad))
+    answers = spark.read.parquet(f"{folder}/out/answers")
+    assert sorted(int(r.request_id) for r in answers.collect()) == [n for n in range(400) if str(n) not in dead]
+
+
+def test_the_model_names_an_outage(spark, folder):
+    messages(spark, *[("resume_pdf", body(content=b"x" * 30)) for n in range(8)]).write.json(f"{folder}/in")
+    model = short_model()
+    stream = jobs.recommend_stream(
+        jobs.request_stream(spark, f"{folder}/in"), lambda b: raising_answer([])(model.embed(b, "resume").filter("embedding[0] > 0")),
+        "op@x", f"{folder}/out", f"{folder}/checkpoint", most_raising=3, suspects=lambda b: model.raising(b, "resume"),
+    )
+    with pytest.raises(Exception, match="messages of a batch raise"):
+        stream.awaitTermination()
