@@ -29,6 +29,9 @@ SAMPLE = 20_000  # vectors that the centres are fitted on, at most
 MOST_CELLS = 4096
 TILE_BYTES = 8 << 20  # of queries searched at once
 CANDIDATES = 20  # rows measured exactly for each hit asked for
+BOUND_ROWS = 8192  # of the index, for a first bound of each query's distances
+HELD = 2_000_000  # candidates that a task holds before it thins them
+BLOCK_CELLS = 2_000_000  # rough distances held at once
 TRIALS, NEAREST = 256, 10  # rows asked for their nearest ones, to see how many cells must be visited
 TARGET = 0.98  # share of those that the visited cells must hold
 
@@ -100,22 +103,71 @@ def _needed(stored: DataFrame, centres: np.ndarray, id_col: str) -> int:
     return int(np.quantile(found, TARGET, method="higher")) + 1 if found else len(centres)
 
 
+def _bounded(queries: DataFrame, stored: DataFrame, centres: np.ndarray, k: int, probes: int, id_col: str) -> DataFrame:
+    """Queries with ``_limit``, which the ``k``-th distance among the rows of their cells can't exceed.
+
+    It is the ``k``-th distance to those rows of a sample that lie in the cells the query visits.
+    """
+    sample = stored.select(id_col, "cell", "embedding").orderBy(F.xxhash64(id_col), id_col).limit(BOUND_ROWS).toArrow()
+    known, cells = vectors(sample["embedding"].combine_chunks()), sample["cell"].to_numpy()
+    sent = stored.sparkSession.sparkContext.broadcast((known, cells, centres))
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cells, centres = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points, far = vectors(batch.column("embedding")), np.full(batch.num_rows, np.inf)
+            for lo in range(0, len(points) if len(known) >= k else 0, 256):
+                some = points[lo : lo + 256]
+                square = np.maximum(_squares(some, known), 0.0)
+                square[~_visited(some, centres, probes)[:, cells]] = np.inf
+                far[lo : lo + 256] = np.partition(square, k - 1, axis=1)[:, k - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far)], ["qid", "embedding", "_limit"])
+
+    queries = queries.select("qid", "embedding")
+    return queries.mapInArrow(limits, T.StructType([*queries.schema, T.StructField("_limit", T.DoubleType())]))
+
+
+def _visited(points: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """Which cells each query visits."""
+    if probes >= len(centres):
+        return np.ones((len(points), len(centres)), dtype=bool)
+    out = np.zeros((len(points), len(centres)), dtype=bool)
+    near = np.argpartition(_squares(points, centres), probes - 1, axis=1)[:, :probes]
+    np.put_along_axis(out, near, True, axis=1)
+    return out
+
+
 def _tile_hits(
     table: pa.Table, stored: DataFrame, centres: np.ndarray, k: int, probes: int, candidates: int, id_col: str, schema: T.StructType
 ) -> DataFrame:
     spark = stored.sparkSession
     matrix = vectors(table["embedding"].combine_chunks())
-    near = _squares(matrix, centres)
-    visits = np.argpartition(near, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.tile(np.arange(len(centres)), (len(matrix), 1))
-    visited = np.zeros((len(centres), len(matrix)), dtype=bool)
-    visited[visits.ravel(), np.repeat(np.arange(len(matrix)), visits.shape[1])] = True
+    visited = _visited(matrix, centres, probes).T
     wanted = [int(c) for c in np.flatnonzero(visited.any(axis=1))]
-    sent = spark.sparkContext.broadcast((matrix, centres, np.packbits(visited, axis=1)))
+    roots = np.sqrt(table["_limit"].to_numpy())
+    sent = spark.sparkContext.broadcast((matrix, centres, np.packbits(visited, axis=1), roots))
     id_field = stored.schema[id_col]
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, centres, packed = sent.value
-        query, dist, ids = np.empty(0, np.int64), np.empty(0), None
+        matrix, centres, packed, roots = sent.value
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        best, many = np.full(len(matrix), np.inf), 0
+
+        def compact() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            """The best candidates of each query so far; farther rows are no longer looked at."""
+            query, dist = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            ids = pa.concat_arrays([h[2] for h in held])
+            order = np.lexsort((dist, query))
+            first = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+            order, rank = order[rank < candidates], rank[rank < candidates]
+            full = order[rank == candidates - 1]
+            best[query[full]] = dist[full]
+            return query[order], dist[order], ids.take(pa.array(order))
+
+        room = max(HELD, 2 * candidates * len(matrix))
         for batch in batches:
             cells = batch.column("cell").to_numpy(zero_copy_only=False)
             for cell in np.unique(cells):
@@ -125,21 +177,25 @@ def _tile_hits(
                 codes = np.frombuffer(raw, np.int8).reshape(len(at), -1)
                 scale = batch.column("scale").to_numpy(zero_copy_only=False)[at]
                 points = centres[cell] + codes * scale[:, None]
-                for lo in range(0, len(asking), 4096):
-                    some = asking[lo : lo + 4096]
+                # a code is off by half a step per component at the most
+                off = 0.51 * scale.max() * np.sqrt(points.shape[1])
+                step = max(1, BLOCK_CELLS // len(at))
+                for lo in range(0, len(asking), step):
+                    some = asking[lo : lo + step]
                     square = _squares(matrix[some], points)
-                    best = np.argpartition(square, candidates - 1, axis=1)[:, :candidates] if candidates < len(at) else np.tile(np.arange(len(at)), (len(some), 1))
-                    query = np.concatenate([query, np.repeat(some, best.shape[1])])
-                    dist = np.concatenate([dist, np.take_along_axis(square, best, axis=1).ravel()])
-                    found = batch.column(id_col).take(pa.array(at[best.ravel()]))
-                    ids = found if ids is None else pa.concat_arrays([ids, found])
-                    # the best candidates of each query so far
-                    order = np.lexsort((dist, query))
-                    first = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
-                    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-                    order = order[rank < candidates]
-                    query, dist, ids = query[order], dist[order], ids.take(pa.array(order))
-        if ids is not None:
+                    limit = np.minimum(best[some], (roots[some] + off) ** 2 * (1 + 1e-9) + 1e-9)
+                    row, point = np.nonzero(square <= limit[:, None])
+                    if len(row) > 4 * candidates * len(some) and len(at) > candidates:
+                        point = np.argpartition(square, candidates - 1, axis=1)[:, :candidates].ravel()
+                        row = np.repeat(np.arange(len(some)), candidates)
+                    if len(row):
+                        held.append((some[row], square[row, point], batch.column(id_col).take(pa.array(at[point]))))
+                        many += len(row)
+                    if many > room:
+                        held = [compact()]
+                        many = len(held[0][0])
+        if held:
+            query, dist, ids = compact()
             yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(dist), ids], ["_query", "_rough", id_col])
 
     # an IN list of cells prunes folders; vectors are not read here
@@ -196,6 +252,7 @@ def search_ivf(
     needed = spark.read.parquet(f"{folder}/settings").first()["probes"] if probes is None else probes
     visits = max(1, min(len(centres), needed))
     queries = queries.filter(F.size("embedding") == centres.shape[1])
+    queries = _bounded(queries, stored, centres, wanted, visits, id_col)
     hits = [
         best_hits(_tile_hits(tile, stored, centres, wanted, visits, candidates * wanted, id_col, schema), wanted, id_col)
         for tile in query_tiles(queries, TILE_BYTES)

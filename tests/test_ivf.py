@@ -79,3 +79,18 @@ def test_stored_rows_hold_their_cell(spark, folder, column):
         assert np.square(v - centres[r.cell]).sum() <= min(np.square(v - x).sum() for x in centres.values()) + 1e-6
         back = centres[r.cell] + np.frombuffer(r.code, np.int8) * r.scale
         assert np.abs(back - v).max() <= 0.51 * r.scale
+
+
+def test_candidates_are_thinned_as_they_come(spark, folder, monkeypatch):
+    """Far rows are left out by a bound, and what is held is cut to the best; hits stay those of all cells."""
+    queries, corpus = clustered(1, 50), clustered(2, 900)
+    q, c = frames(spark, queries, corpus)
+    ivf.write_ivf(c, folder, cells=20)
+    bounded = ivf._bounded(q, spark.read.parquet(f"{folder}/rows"), np.array([r.centre for r in spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()]), 3, 10**6, "vec_id")
+    want, limits = brute(queries, corpus, 3), {r.qid: r._limit for r in bounded.collect()}
+    vector = {i: np.array(v) for i, _, v in corpus}
+    off = [np.square(np.array(v) - vector[want[i][-1]]).sum() - limits[i] for i, _, v in queries]
+    assert max(off) <= 1e-3, off  # vectors are kept as floats
+    monkeypatch.setattr(ivf, "HELD", 100)
+    monkeypatch.setattr(ivf, "BOUND_ROWS", 2)  # no bound
+    assert grouped(ivf.search_ivf(spark, folder, q, probes=10**6, candidates=10)) == want
