@@ -205,3 +205,58 @@ def test_short_texts_stay_in_the_jvm(spark, plan_of):
     assert short.count() == len([t for t in texts if t is not None and len(t) <= 256 and t.strip()])
     plan = plan_of(corpus.chunk_text(docs))
     assert plan.count("ArrowEvalPython") == 1 and plan.count("Union") == 1
+
+
+def test_windows_of_a_long_text(spark):
+    """Windows come from runs of them; borders of runs and characters of several bytes make no difference."""
+    lengths = [0, 1, 256, 257, 32 * 192 + 64, 32 * 192 + 65, 20_000]
+    texts = [(n, "".join("aé€😀"[(i * i) % 4] for i in range(n))) for n in lengths]
+    got = {}
+    for r in corpus.chunk_fixed(spark.createDataFrame(texts, "doc_id int, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.chunk_idx] = r.chunk
+    for n, text in texts:
+        count = max(1, -(-(n - 64) // 192))
+        assert got[n] == {k: text[k * 192 : k * 192 + 256] for k in range(count)}
+
+
+def test_letters_of_texts(spark, monkeypatch):
+    from skillbridge.plans import inputs
+
+    monkeypatch.setattr(inputs, "TEXT_BYTES", 10)
+    texts = ["abc", "", None, "ÄÖ 12", "zebra zz" * 9, "é{`aé", "A", "q"]
+    made = inputs.LetterEmbedder().embed(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t")
+    assert "_counts" not in made.columns
+    got = {r.t: r.embedding for r in made.collect()}
+    want = {t: [t.count(c) for c in inputs.LetterEmbedder.letters] for t in texts if t and any("a" <= c <= "z" for c in t)}
+    assert set(got) == set(want)
+    for t, counts in want.items():
+        norm = sum(n * n for n in counts) ** 0.5
+        assert got[t] == pytest.approx([n / norm for n in counts], abs=1e-6)
+
+
+def test_shared_rows_of_an_index_are_dealt_to_several_tasks(spark, folder):
+    rows = spark.range(4000).selectExpr("concat('c', id) AS chunk_id", "CAST(NULL AS STRING) AS owner", "'course' AS kind")
+    stored = sinks.read_index(spark, sinks.write_index(rows, folder, "v1"))
+    assert stored.count() == 4000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = sinks.read_index(spark, sinks.write_index(rows, folder, "v2"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = stored.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 2000
+
+
+def test_norms_are_not_computed_for_every_component(spark):
+    """A lambda over components holds no sum over components."""
+    from skillbridge.operators import knn
+    from skillbridge.plans import inputs
+
+    vectors = spark.createDataFrame([(1, [3.0, 4.0])], "vec_id int, embedding array<float>")
+    letters = inputs.LetterEmbedder().embed(spark.createDataFrame([("ab",)], "t string"), "t")
+    for made, inner in (
+        (registry.embed_counts(spark, SF), "exists("), (knn.prepared(vectors, "cosine"), " / "), (letters, " / ")
+    ):
+        lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        line = next(x for x in lines if inner in x)
+        assert "aggregate(" not in line.split(inner, 1)[1], line
