@@ -211,4 +211,13 @@ def test_small_tiles_share_a_round(spark, monkeypatch):
     assert sent == [200]
     monkeypatch.setattr(knn, "TILE_BYTES", 4800)
     assert grouped(knn.knn(q, c, 3, small_queries=0, tile_bytes=1000)) == brute(queries, corpus, 3)
-    assert sent == [200, 50, 50, 50, 50]
+    assert sent == [200, 40, 40, 40, 40, 40]
+
+
+def test_copies_of_a_query_in_tiles_of_a_round(spark):
+    """They are ranked by tile: as rows of one query they would leave each other too few hits."""
+    corpus = [(i, v) for i, _, v in rows(9, 20)]
+    q = spark.createDataFrame(corpus + corpus, "qid bigint, embedding array<float>").coalesce(1)
+    c = spark.createDataFrame(corpus, "vec_id bigint, embedding array<float>")
+    got = grouped(knn.knn(q, c, 3, exclude_self=True, small_queries=0, tile_bytes=96 * 20))
+    assert len(got) == 20 and all(len(ids) == 3 and i not in ids for i, ids in got.items())
