@@ -221,3 +221,32 @@ def test_copies_of_a_query_in_tiles_of_a_round(spark):
     c = spark.createDataFrame(corpus, "vec_id bigint, embedding array<float>")
     got = grouped(knn.knn(q, c, 3, exclude_self=True, small_queries=0, tile_bytes=96 * 20))
     assert len(got) == 20 and all(len(ids) == 3 and i not in ids for i, ids in got.items())
+
+
+def test_rows_of_a_key_are_copied_for_tiles_of_queries_only(spark):
+    """A block holds as many queries as a tile: its rows are not copied for every 2,048 of them."""
+    q, c = (
+        spark.range(6000).select(F.col("id").alias(name), F.lit("a").alias("owner"), F.array(F.col("id").cast("float")).alias("embedding"))
+        for name in ("qid", "vec_id")
+    )
+    assert knn._splits(q, c, "owner", 64).count() == 0
+    assert [r["_nq"] for r in knn._splits(q, c, "owner", 3 * knn.TILE_BYTES // 16 // 6000).collect()] == [2]
+
+
+@pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e6, 1e-3), (0.0, 1e-20), (0.0, 1e25), (-3e9, 1.0)])
+@pytest.mark.parametrize("steps", [(7,), (3000,)])
+def test_short_numbers_of_the_rough_pass_lose_no_hit(shift, scale, steps):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    queries, points = (shift + scale * rng.normal(size=(n, 12)) for n in (600, 3000))
+    points[::3] = points[1]  # ties
+    top = TopK(queries, 3)
+    for lo in range(0, len(points), steps[0]):
+        some = points[lo : lo + steps[0]]
+        top.offer(some, pa.table({"id": np.arange(lo, lo + len(some))}), "id")
+    dist = np.cumsum(np.square(queries[:, None, :] - points[None, :, :]), axis=2)[:, :, -1]
+    want = np.argsort(dist, axis=1, kind="stable")[:, :3]
+    assert (top.query == np.repeat(np.arange(600), 3)).all()
+    assert (top.rows["id"].to_numpy().reshape(-1, 3) == want).all()
+    assert (top.dist.reshape(-1, 3) == np.take_along_axis(dist, want, 1)).all()
