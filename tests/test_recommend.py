@@ -157,3 +157,18 @@ def test_messages_list_titles(spark):
     assert all(set(r.message.split("\n")) <= set(TEXTS) for r in each)
     # an index without metadata has no titles
     assert recommend(requests(spark), index.drop("meta"), titles=True).first().message == ""
+
+
+def test_requests_are_read_once_and_their_texts_are_not_sorted(spark, plan_of):
+    """A task would hold the whole texts of its part to sort them, and parse them again to answer."""
+    index = index_courses(spark.createDataFrame([(1, "spark course", "learn")], "id int, title string, headline string"))
+    row = ("1", "a@b", "a resume about spark", "a job")
+    asked = [row, row, ("1", "c@d", None, "another job")]  # copies, and another request under their id
+    asked = spark.createDataFrame(asked, "request_id string, email string, resume string, job_desc string")
+    answers = recommend(asked, index)
+    plan = plan_of(answers)
+    assert "LocalTableScan" not in plan and "ExistingRDD" not in plan and "SortAggregate" not in plan
+    for found in (answers, recommend(asked, index, query="job_desc")):
+        first, second, other = sorted((r.address, r.sources, r.context) for r in found.collect())
+        assert first == second and first[1].count("resume-1#000000000") == 1 and "a resume about spark" in first[2]
+        assert other[0] == "c@d" and not any(s.startswith("resume") for s in other[1]) and "another job" in other[2]
