@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.llm.spans import Texts, chunks, mix, span_hashes, spans, windows
-from skillbridge.llm.store import bit_filter, may_hold, same, small_batches, unused, written
+from skillbridge.llm.store import bit_filter, may_hold, same, small_batches, tidied, unused, written
 
 WINDOW = 13  # template words of a window; an item with fewer is one window
 SHORTEST = 5  # items with fewer words are no evidence
@@ -220,7 +220,7 @@ def matches(
         F.col(f"`{text}`").alias("text"),
     )
     found = source.mapInArrow(
-        lambda b: _doc_windows(b, sizes, wanted), f"id struct<doc: {kind}, th: bigint>, {_COLUMNS}"
+        tidied(lambda b: _doc_windows(b, sizes, wanted)), f"id struct<doc: {kind}, th: bigint>, {_COLUMNS}"
     ).distinct()
     theirs = items.select(
         F.col("id").alias("item"), "window", "size", "reading", "kinds", F.col("place").alias("at"), F.col("vals").alias("asked")

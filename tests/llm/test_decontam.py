@@ -112,3 +112,12 @@ def test_filter(spark):
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(r) for r in [rows[1], *rows[3:]])
     assert decontam.remove_contaminated(docs, bench(spark, [])).count() == 6
     assert decontam.matches(docs_of(spark, []), bench(spark, [(1, QUESTION)])).count() == 0
+
+
+def test_workers_give_memory_back_while_they_make_windows(spark, monkeypatch):
+    worked = []
+    monkeypatch.setattr(decontam, "tidied", lambda work: worked.append(work) or work)
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "One two three four five six")], "item_id long, text string")
+    assert [r.item_id for r in decontam.matches(docs, items).collect()] == [7]
+    assert len(worked) == 1
