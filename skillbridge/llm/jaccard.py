@@ -17,12 +17,16 @@ copies.
   ``x`` tokens outside, which bounds the overlap of all leaves below, and so do the sizes. A
   pair of inner nodes is left as soon as the bound is below what the threshold asks for, or
   when all leaves below are of one component.
-* **Check.** Pairs of leaves that remain are compared by their whole sets.
-
-A tree of thousands of near copies would leave all their pairs. So two rounds come first in
-which a leaf is only compared with the least leaf it may be similar to, and two in which it is compared
-with the leaf of another component that it may share most with; they turn such a group into one
-component, which the last, complete walk skips as a whole.
+* **Sieve.** A tree's walk returns no pairs but its nodes that may have a link below this root; a pair
+  counts at the first root that both have. The walk is repeated with larger bitmaps of the nodes left.
+* **Check.** Whole sets of the nodes that remain are compared where the trees are, and a task returns links
+  that span the components it finds: fewer than it has nodes, however many pairs are linked. A leaf is first
+  compared with all that may be similar and have no partner yet, then with the leaf of another component
+  that it may share most with, and last with all of other components.
+
+A root too large for a task is cut into parts by a hash of the node. Nodes that a part leaves alone (in a sieve:
+without a partner; in the check, where parts have one node in common: outside of the root's largest component)
+are then compared with all nodes of the root; of a group of near copies these are few.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skillbridge.llm.components import components
@@ -51,8 +55,9 @@ _ROOT_BITS = np.uint64((1 << 48) - 1)
 _MET = 100_000  # sets that a task remembers to have sent
 SKETCH_BITS = 8  # bits per token of the bitmaps that pairs are checked by, at least
 _CELLS = 1 << 20  # words of bitmaps compared at once
-STAR_NODES = 4096  # nodes of a root that one group takes in the first rounds, about
-WALK_NODES = 1 << 16  # and in the last walk; beyond it all pairs of such parts are groups
+STAR_NODES = 4096  # nodes of a root whose whole sets one group takes, about
+WALK_NODES = 1 << 16  # and whose bitmaps; beyond it a root is cut into parts
+CELL_BYTES = 16 << 20  # of sets or bitmaps in a part, about
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -344,8 +349,8 @@ class SignatureTree:
         ok = (x < count) & (y < count) & (x <= y)
         return x[ok], y[ok]
 
-    def near(self, leaf: int, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves behind ``leaf`` that may be linked with it and are still open; as ``pairs``."""
+    def near(self, leaf: int, open_: np.ndarray, behind: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves (``behind``: those behind ``leaf``) that may be linked with it and are open; as ``pairs``."""
         any_bit, _, size, _, comp = self.levels[0]
         mine, n, t = any_bit[leaf], int(size[leaf]), self.percent
         at = np.zeros(1, dtype=np.int64)
@@ -361,65 +366,145 @@ class SignatureTree:
             if level:
                 at = (at[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
                 at = at[at < len(self.levels[level - 1][2])]
-                # only leaves behind this one
-                at = at[(at + 1) * FAN_OUT ** (level - 1) > leaf]
-        good = (at > leaf) & open_[at]
+                if behind:
+                    at = at[(at + 1) * FAN_OUT ** (level - 1) > leaf]
+        good = ((at > leaf) if behind else (at != leaf)) & open_[at]
         return at[good], bound[good] / (n + size[at[good]])
 
 
 _MIXED = np.iinfo(np.int64).min
 
-STARS, NEAREST, EVERY = range(3)  # what a walk returns
-ROOTS = 16  # of its least roots that a leaf carries in the last walk
-ROUNDS = (STARS, STARS, NEAREST, NEAREST)  # before the last, complete walk
-
+ROOTS = 16  # of its least roots that a leaf carries
+_DENSE = 256  # leaves of a tree whose pairs are all looked at
 
-def _walk(batches: Iterator[pa.RecordBatch], percent: int, what: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``cell, root, node, size, bits, comp`` in order of cell to pairs ``a, b, share, root``.
-
-    With ``EVERY``, rows have ``roots`` as well, and a pair is returned by the first root that both have.
-    ``STARS``: each leaf with the least one it may be linked with. ``NEAREST``: each leaf with the one of
-    another component that it shares most with. ``EVERY``: all pairs of different components.
-    """
 
-    def out(rows):
-        node, size, comp = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 3))
-        if len(node) < 2 or (comp == comp[0]).all():
-            return
-        bits = [b for r in rows for b in r[2]]
-        # the first pairs go to the least node; a component lies together in the last walk
-        order = np.lexsort((node,)) if what == STARS else np.lexsort((node, size, comp))
-        node, size, comp = node[order], size[order], comp[order]
-        tree = SignatureTree(size, [bits[k] for k in order], comp, percent)
-        found = _stars(tree, len(node)) if what == STARS else tree.pairs()
-        if what == NEAREST:
-            found = _nearest(found, len(node))
-        if what == EVERY:
-            roots = _padded([r for x in rows for r in x[4]])[order]
-            found = _at_first_root(found, roots, root)
-        for a, b, share in found:
-            lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            columns = [pa.array(hi), pa.array(lo), pa.array(share), pa.array(np.full(len(hi), root, dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "share", "root"])
-
-    cell, root, rows = None, None, []
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows that start with ``cell, root``, in order of cell: the root and the other columns of each cell."""
+    cell, root, rows = None, 0, []
     for batch in batches:
-        cells, roots, node, size, comp = (
-            batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "root", "node", "size", "comp")
-        )
-        bits = batch.column("bits")
+        cells, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         cuts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(cells)), strict=True):
             if cells[lo] != cell:
                 if rows:
-                    yield from out(rows)
+                    yield root, rows
                 cell, root, rows = cells[lo], int(roots[lo]), []
-            rows.append((node[lo:hi], size[lo:hi], bits.slice(lo, hi - lo).to_pylist(), comp[lo:hi]))
-            if what == EVERY:
-                own = batch.column("roots").slice(lo, hi - lo)
-                rows[-1] += ([x.values.to_numpy(zero_copy_only=False) for x in own],)
+            rows.append(tuple(batch.column(k).slice(lo, hi - lo) for k in range(2, batch.num_columns)))
     if rows:
-        yield from out(rows)
+        yield root, rows
+
+
+def _numbers(rows: list[tuple], column: int) -> np.ndarray:
+    return np.concatenate([r[column].to_numpy(zero_copy_only=False) for r in rows])
+
+
+def _sieved(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``cell, root, node, size, data, roots`` to ``root, node, size`` of nodes that may have a link.
+
+    ``data`` are bitmaps. A pair counts in the cells of the first root that both have.
+    """
+    for root, rows in _cell_rows(batches):
+        node, once = np.unique(_numbers(rows, 0), return_index=True)
+        if len(node) < 2:
+            continue
+        size = _numbers(rows, 1)[once]
+        order = np.lexsort((node, size))
+        node, size, once = node[order], size[order], once[order]
+        data = [x for r in rows for x in r[2].to_pylist()]
+        roots = _padded([x.values.to_numpy(zero_copy_only=False) for r in rows for x in r[3]])[once]
+        tree = SignatureTree(size, [data[k] for k in once], node, percent)
+        some = _partnered(tree, roots, root)
+        if some.any():
+            columns = [pa.array(np.full(int(some.sum()), root, dtype=np.int64)), pa.array(node[some]), pa.array(size[some])]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "node", "size"])
+
+
+def _partnered(tree: SignatureTree, roots: np.ndarray, root: int) -> np.ndarray:
+    """Which leaves may be linked with another one that has no common root with it below ``root``."""
+    met = np.zeros(len(roots), dtype=bool)
+    if len(roots) <= _DENSE:
+        for a, b, _ in _at_first_root(tree.pairs(), roots, root):
+            met[a] = met[b] = True
+        return met
+    every = np.ones(len(roots), dtype=bool)
+    for leaf in range(len(roots)):
+        if not met[leaf]:
+            near, share = tree.near(leaf, every, behind=False)
+            for a, b, _ in _at_first_root(iter([(np.full(len(near), leaf), near, share)]), roots, root):
+                met[a] = met[b] = True
+    return met
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``cell, root, node, size, data, comp`` to links ``a, b`` that span the components in each cell.
+
+    ``data`` are whole sets. Nodes of one ``comp`` are linked already.
+    """
+    for _, rows in _cell_rows(batches):
+        node, once = np.unique(_numbers(rows, 0), return_index=True)
+        comp = _numbers(rows, 3)[once]
+        if (comp == comp[0]).all():
+            continue
+        data = [x for r in rows for x in r[2].to_pylist()]
+        sets = [np.frombuffer(data[k], np.uint64) for k in once]
+        found = _spanning(sets, comp, percent)
+        if found:
+            a, b = node[np.array(found).T]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _overlaps(sets: list[np.ndarray], one: int, others: np.ndarray) -> np.ndarray:
+    """How many tokens the set ``one`` shares with each of ``others``."""
+    own, out = sets[one], []
+    step = max(1, _CELLS // len(own))
+    for lo in range(0, len(others), step):
+        held = [sets[k] for k in others[lo : lo + step]]
+        tokens = np.concatenate(held)
+        at = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+        first = np.cumsum([0, *(len(x) for x in held[:-1])])
+        out.append(np.add.reduceat((own[at] == tokens).astype(np.int64), first))
+    return np.concatenate(out)
+
+
+def _spanning(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components: as many as it takes to connect all that links connect."""
+    size = np.array([len(x) for x in sets])
+    bits = [bitmap(x, SKETCH_BITS).tobytes() for x in sets]
+    label = np.unique(comp, return_inverse=True)[1].astype(np.int64)
+    links: list[tuple[int, int]] = []
+
+    def connect(one: int, others: np.ndarray) -> None:
+        others = others[label[others] != label[one]]
+        if not len(others):
+            return
+        both = _overlaps(sets, one, others)
+        hits = others[100 * both >= percent * (size[one] + size[others] - both)]
+        if len(hits):
+            new, at = np.unique(label[hits], return_index=True)
+            links.extend((one, int(k)) for k in hits[at])
+            label[np.isin(label, new)] = label[one]
+
+    tree = SignatureTree(size, bits, label.copy(), percent)
+    open_ = np.ones(len(sets), dtype=bool)
+    for leaf in range(len(sets) - 1):
+        if open_[leaf]:
+            near, _ = tree.near(leaf, open_)
+            if len(near):
+                connect(leaf, near)
+                open_[near[label[near] == label[leaf]]] = False
+    for complete in (False, True):
+        if (label == label[0]).all():
+            break
+        order = np.lexsort((size, label))
+        tree = SignatureTree(size[order], [bits[k] for k in order], label[order], percent)
+        found = tree.pairs()
+        for a, b, _ in found if complete else _nearest(found, len(order)):
+            by = np.argsort(a, kind="stable")
+            a, b = order[a[by]], order[b[by]]
+            cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(a)), strict=True):
+                connect(int(a[lo]), b[lo:hi])
+    return links
 
 
 def _padded(lists: list[np.ndarray]) -> np.ndarray:
@@ -459,122 +544,111 @@ def _nearest(found, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield some, with_[some], best[some]
 
 
-def _stars(tree: SignatureTree, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Each leaf with the first one it may be linked with."""
-    open_ = np.ones(count, dtype=bool)
-    for leaf in range(count - 1):
-        if open_[leaf]:
-            near, share = tree.near(leaf, open_)
-            if len(near):
-                open_[near] = False
-                yield np.full(len(near), leaf), near, share
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, sketch: bool, twins: np.ndarray) -> DataFrame:
+    """``node, size, data`` of the nodes in ``wanted``, from one document each; a node may come twice."""
+    spark = docs.sparkSession
+    one = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "th")).alias("d"))
+    picked = written(one.select("node", F.xxhash64("d.doc", "d.th").alias("pick")), "shingle-picks")
+    picks = spark.sparkContext.broadcast(bit_filter(picked, "pick"))
+    some = spark.sparkContext.broadcast(bit_filter(picked, "node"))
+    rows = docs.select(F.xxhash64("doc", "th").alias("pick"), "text")
+    return rows.mapInArrow(tidied(lambda b: _sets(b, size, picks, some, sketch, twins)), "node long, size long, data binary")
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with the sizes and bitmaps of both sides: those that may be linked."""
-    for batch in batches:
-        a, b, m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        keep = np.zeros(len(a), dtype=bool)
-        for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-            x, y = x.as_py(), y.as_py()
-            width = min(len(x), len(y)) // 8
-            x, y = folded(x, width), folded(y, width)
-            most = min(m[k] - int(np.bitwise_count(x & ~y).sum()), n[k] - int(np.bitwise_count(y & ~x).sum()))
-            keep[k] = (100 + percent) * most >= percent * (m[k] + n[k])
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-
-def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with the sizes and tokens of both sides: those that are linked."""
-    for batch in batches:
-        a, b, m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        keep = np.zeros(len(a), dtype=bool)
-        for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[k] = 100 * both >= percent * (m[k] + n[k] - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-
-class _Whole:
-    """Sets, or bitmaps, of the nodes that pairs name; read from the texts when first needed."""
-
-    def __init__(
-        self, docs: DataFrame, nodes: DataFrame, size: int, percent: int, sketch: bool, twins: np.ndarray
-    ) -> None:
-        self.docs, self.nodes, self.size, self.percent, self.sketch = docs, nodes, size, percent, sketch
-        self.twins = twins
-        self.held: DataFrame | None = None
-
-    def _read(self, wanted: DataFrame) -> DataFrame:
-        """``node, size, data`` of the nodes in ``wanted``, from one document each."""
-        spark, size, sketch, twins = self.docs.sparkSession, self.size, self.sketch, self.twins
-        one = self.nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "th")).alias("d"))
-        picked = written(one.select("node", F.xxhash64("d.doc", "d.th").alias("pick")), "shingle-picks")
-        picks = spark.sparkContext.broadcast(bit_filter(picked, "pick"))
-        some = spark.sparkContext.broadcast(bit_filter(picked, "node"))
-        rows = self.docs.select(F.xxhash64("doc", "th").alias("pick"), "text")
-        sets = rows.mapInArrow(tidied(lambda b: _sets(b, size, picks, some, sketch, twins)), "node long, size long, data binary")
-        return written(sets, "shingle-sets")
-
-    def _side(self, pairs: DataFrame, column: str) -> DataFrame:
-        """The rows that a side of ``pairs`` names, prefiltered where they are read."""
-        wanted = pairs.sparkSession.sparkContext.broadcast(bit_filter(pairs.select(column), column))
-
-        def some(batches):
-            for batch in batches:
-                node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                yield batch.filter(pa.array(may_hold(wanted.value, node)))
-
-        return self.held.mapInArrow(some, "node long, size long, data binary")
-
-    def check(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that pass; a node may be held twice, so a pair may come twice."""
-        met = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        if self.held is None:
-            self.held = self._read(met)
-        else:
-            more = written(met.distinct().join(self.held, "node", "left_anti"), "shingle-more")
-            if not more.isEmpty():
-                self.held = self.held.union(self._read(more))
-        first = self._side(pairs, "a").toDF("a", "m", "x")
-        second = self._side(pairs, "b").toDF("b", "n", "y")
-        rows = pairs.join(first, "a").join(second, "b").select("a", "b", "m", "n", "x", "y")
-        test, percent = _bounded if self.sketch else _compared, self.percent
-        return written(rows.mapInArrow(lambda b: test(b, percent), "a long, b long"), "shingle-checked")
-
-
-def _cells(forest: DataFrame, comps: DataFrame | None, salt: int, whole: bool) -> DataFrame:
-    """``cell, node, size, bits, comp``: the nodes that are compared in one go.
-
-    Only roots over several components are left. The first rounds cut large roots into parts
-    by a hash of the node, another one each round. The last one compares whole roots; a root
-    too large for a task becomes a group for each pair of its parts.
+def _count(limit: int, token_bytes: float) -> Column:
+    """How many parts some nodes make."""
+    return F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum("size") * token_bytes / CELL_BYTES))
+
+
+def _parts(live: DataFrame, limit: int, token_bytes: float) -> DataFrame:
+    """``root, parts, pivot``: how many parts the nodes of each root make, and one of its nodes."""
+    return live.groupBy("root").agg(_count(limit, token_bytes).alias("parts"), F.min("node").alias("pivot"))
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("node"), "parts")
+
+
+def _numbers_below(count: str) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
+
+
+def _outside(rows: DataFrame, limit: int, token_bytes: float) -> DataFrame:
+    """``in`` for rows ``root, node, size, parts, outside``: each node outside with all nodes of its root.
+
+    A cell has a part of all nodes and a part of those outside, so a row of the others has a copy for each part
+    of those outside only.
     """
-    if comps is None:
-        rows = forest.withColumn("comp", F.col("node"))
-    else:
-        rows = forest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    counted = rows.groupBy("root").agg(
-        F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    limit = WALK_NODES if whole else STAR_NODES
-    parts = counted.filter("lo < hi").select("root", F.ceil(F.col("n") / limit).alias("parts"))
-    rows = rows.join(parts, "root")
-    if whole:
-        # of the roots that are left only; a node has no more of them than tokens that come first
-        least = rows.select("node", "root").groupBy("node").agg(
-            F.slice(F.array_sort(F.collect_list("root")), 1, ROOTS).alias("roots")
+    counted = rows.filter("outside").groupBy("root").agg(_count(limit, token_bytes).alias("others"))
+    rows = rows.join(counted, "root")
+    other = F.pmod(F.xxhash64(F.lit(1), "node"), "others")
+    cell = lambda a, b: F.struct(F.xxhash64("root", a, b).alias("cell"), "root")
+    cells = F.transform(_numbers_below("others"), lambda k: cell(_part(), k))
+    more = F.transform(_numbers_below("parts"), lambda k: cell(k, other))
+    return rows.withColumn("in", F.when(F.col("outside"), F.array_distinct(F.concat(cells, more))).otherwise(cells))
+
+
+def _by_cell(cells: DataFrame, data: DataFrame, *more: str) -> DataFrame:
+    """Rows ``node, in`` (cells and roots) with the node's ``size, data`` as rows of cells, in their order."""
+    rows = cells.join(data, "node").select(F.inline("in"), "node", "size", "data", *more)
+    return rows.repartition("cell").sortWithinPartitions("cell")
+
+
+def _sieve(live: DataFrame, data: DataFrame, token_bytes: float, percent: int) -> DataFrame:
+    """The rows ``root, node, size`` of ``live`` that may have a link there, by the bitmaps in ``data``.
+
+    A root too large for a task is cut into parts; nodes that have no partner in their own part are then
+    compared with all parts.
+    """
+    # a node has no more roots than tokens that come first
+    least = F.slice(F.array_sort(F.collect_set("root")), 1, ROOTS).alias("roots")
+
+    def sieved(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        cells = rows.groupBy("node").agg(F.flatten(F.collect_list("in")).alias("in"), least)
+        if more is not None:
+            cells = cells.drop("roots").join(more, "node")
+        found = _by_cell(cells, data, "roots").mapInArrow(
+            tidied(lambda b: _sieved(b, percent)), "root long, node long, size long"
         )
-        rows = rows.join(written(least, "shingle-node-roots"), "node")
-    part = F.pmod(F.xxhash64(F.lit(salt), "node"), "parts")
-    if whole:
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
-        rows = rows.withColumn("part", part).withColumn("other", other)
-        cell = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
-    else:
-        cell = F.xxhash64("root", part)
-    return rows.select(cell.alias("cell"), "root", "node", "size", "bits", "comp", *(["roots"] if whole else []))
+        return written(found, "shingle-live")
+
+    parts = _parts(live, WALK_NODES, token_bytes)
+    own = F.array(F.struct(F.xxhash64("root", _part()).alias("cell"), "root"))
+    found = sieved(live.join(parts, "root").withColumn("in", own))
+    large = parts.filter("parts > 1").select("root", "parts")
+    if large.isEmpty():
+        return found
+    met = found.select("root", "node", F.lit(False).alias("outside"))
+    rows = live.join(large, "root").join(met, ["root", "node"], "left").fillna(True, "outside")
+    rows = _outside(written(rows, "shingle-large"), WALK_NODES, token_bytes)
+    return found.union(sieved(rows, live.groupBy("node").agg(least))).distinct()
+
+
+def _set_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` from rows ``node, comp, in``."""
+    rows = _by_cell(cells, sets, "comp")
+    return written(rows.mapInArrow(tidied(lambda b: _linked(b, percent)), "a long, b long"), "shingle-links")
+
+
+def _first_cells(live: DataFrame) -> DataFrame:
+    """Whole roots; a large one is cut into parts that all have its pivot."""
+    rows = live.join(_parts(live, STAR_NODES, 8), "root")
+    own = F.when(F.col("node") == F.col("pivot"), _numbers_below("parts")).otherwise(F.array(_part()))
+    cells = F.transform(own, lambda k: F.struct(F.xxhash64("root", k).alias("cell"), "root"))
+    cells = rows.select("node", cells.alias("in")).groupBy("node").agg(F.flatten(F.collect_list("in")).alias("in"))
+    return cells.withColumn("comp", F.col("node"))
+
+
+def _last_cells(live: DataFrame, comps: DataFrame) -> DataFrame:
+    """Of roots in several parts: each node outside of the root's largest component with all nodes of it."""
+    large = _parts(live, STAR_NODES, 8).filter("parts > 1").select("root", "parts")
+    rows = live.join(large, "root").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = written(rows, "shingle-large")
+    by = rows.groupBy("root", "comp").agg(F.count("*").alias("n"))
+    main = by.groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    rows = rows.join(main, "root").withColumn("outside", F.col("comp") != F.col("main"))
+    rows = _outside(rows, STAR_NODES, 8)
+    return rows.groupBy("node").agg(F.first("comp").alias("comp"), F.flatten(F.collect_list("in")).alias("in"))
 
 
 def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -607,56 +681,18 @@ def similar_nodes(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) ->
     with batches_of(spark, 2000):
         roots = written(dealt.mapInArrow(_roots, "root long, node long").dropDuplicates(), "shingle-roots")
     leaves = (
-        shingled.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+        shingled.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("data"))
     )
-    forest = written(roots.join(leaves, "node"), "shingle-trees")
-
-    sketches = _Whole(docs, nodes, size, percent, True, twins)
-    sets = _Whole(docs, nodes, size, percent, False, twins)
-    links, tested, comps = None, None, None
-
-    def found_pairs(salt: int, what: int) -> DataFrame:
-        rows = _cells(forest, comps, salt, what == EVERY)
-        found = (
-            rows.repartition("cell")
-            .sortWithinPartitions("cell")
-            .mapInArrow(tidied(lambda b: _walk(b, percent, what)), "a long, b long, share double, root long")
-        )
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        return found
-
-    def best(pairs: DataFrame) -> DataFrame:
-        """For each node its most promising partner."""
-        return pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-
-    def link(pairs: DataFrame) -> None:
-        nonlocal links, comps
-        new = sets.check(pairs)
-        links = new if links is None else links.union(new)
-        comps = components(links)
-
-    for salt, what in enumerate(ROUNDS):
-        found = found_pairs(salt, what)
-        if not salt:
-            # a root that was compared in one go and found nothing will never find a pair
-            found = written(found, "shingle-found")
-            split = forest.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > STAR_NODES)
-            live = found.select("root").union(split.select("root")).distinct()
-            forest = written(forest.join(live, "root", "left_semi"), "shingle-trees")
-        pairs = written(best(found).select("a", "b"), "shingle-pairs")
-        link(sketches.check(pairs))
-        tested = pairs if tested is None else tested.union(pairs)
-    every = found_pairs(len(ROUNDS), EVERY).select("a", "b").distinct()
-    left = sketches.check(written(every, "shingle-pairs")).withColumn("share", F.lit(1.0))
-    # first one pair for each node, then what is not one component by that
-    link(written(best(left).select("a", "b"), "shingle-pairs"))
-    for side in ("a", "b"):
-        own = comps.select(F.col("node").alias(side), F.col("comp").alias(f"of_{side}"))
-        left = left.join(own, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-    left = written(left.filter("of_a <> of_b").select("a", "b").distinct(), "shingle-pairs")
-    if not left.isEmpty():
-        link(left)
+    sizes = nodes.filter("size > 0").select("node", "size").distinct()
+    # bitmaps of 2 to 4 bits a token, and of four times as many
+    live = _sieve(written(roots.join(sizes, "node"), "shingle-trees"), leaves, 0.5, percent)
+    live = _sieve(live, _sets_of(docs, nodes, live, size, True, twins), 2, percent)
+    links = _set_links(_first_cells(live), _sets_of(docs, nodes, live, size, False, twins), percent)
+    comps = components(links)
+    if not _parts(live, STAR_NODES, 8).filter("parts > 1").isEmpty():
+        cells = written(_last_cells(live, comps), "shingle-cells")
+        more = _set_links(cells, _sets_of(docs, nodes, cells, size, False, twins), percent)
+        comps = components(links.union(more))
     return nodes, comps
 
 

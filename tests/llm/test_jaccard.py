@@ -209,3 +209,71 @@ def test_roots_are_streamed():
             nodes = {n for t, n in rows if t == token}
             want |= {(min(nodes), n) for n in nodes} if len(nodes) > 1 else set()
         assert got == want
+
+
+def near_copies(count, size=60, seed=4):
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(1000)}" for _ in range(size)]
+    return [" ".join(base[:k] + [f"v{n}"] + base[k + 1 :]) for n, k in enumerate(rng.randrange(size) for _ in range(count))]
+
+
+def rows_made(spark, rows, monkeypatch):
+    """Rows of each intermediate table of the join, by name."""
+    made, own = {}, jaccard.written
+
+    def counted(df, name):
+        out = own(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    assert got(spark, rows) == brute(rows)
+    monkeypatch.setattr(jaccard, "written", own)
+    return made
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Near copies in two families that share a passage: no pairs leave a task, but links that span the groups."""
+    most = []
+    for count in (40, 160):
+        texts = near_copies(count) + [t + " w" * 30 + f" x{k}" for k, t in enumerate(near_copies(count))]
+        # texts that overlap by a little less than it takes, each with each
+        texts += [" ".join([*(f"c{j}" for j in range(60)), *(f"d{k}e{j}" for j in range(9))]) for k in range(count)]
+        made = rows_made(spark, list(enumerate(texts)), monkeypatch)
+        # of all the steps after the roots
+        most.append(max(n for name, counts in made.items() for n in counts if name not in ("shingles", "shingle-roots")))
+        assert sum(made["shingle-links"]) < 2 * len(texts)
+        assert len([name for counts in made.values() for name in counts]) < 20
+    assert most[1] < 6 * most[0]
+
+
+def test_parts_of_a_large_root(spark, monkeypatch):
+    """Of near copies in parts, only those outside of the largest component meet all others."""
+    for name, value in (("STAR_NODES", 16), ("WALK_NODES", 32)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = near_copies(150, 200)
+    texts += [" ".join(texts[0].split()[:170] + [f"z{k}y{j}" for j in range(5 + k)]) for k in range(12)]
+    made = rows_made(spark, list(enumerate(texts)), monkeypatch)
+    assert "shingle-large" in made and sum(made["shingle-links"]) < 3 * len(texts)
+
+
+def test_links_span_what_is_linked():
+    rng = np.random.default_rng(2)
+    base = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (4, 40, 44, 300)]
+    for _ in range(5):
+        sets = [
+            np.unique(np.append(b[rng.random(len(b)) < rng.choice([0.8, 0.9, 0.97])], rng.integers(0, 1 << 62, 1 + k % 3).astype(np.uint64)))
+            for k, b in ((k, base[k % 4]) for k in range(60))
+        ]
+        comp = rng.integers(0, 50, len(sets))
+        linked = [(i, j) for i in range(60) for j in range(i) if 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - o)]
+
+        def groups(links):
+            label = comp.copy()
+            for i, j in links:
+                label[label == label[i]] = label[j]
+            return {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label.tolist())}
+
+        links = jaccard._spanning(sets, comp, 80)
+        assert {(max(p), min(p)) for p in links} <= set(linked)
+        assert groups(links) == groups(linked) and len(links) == len(set(comp.tolist())) - len(groups(linked))
