@@ -411,14 +411,29 @@ def _sieved(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         order = np.lexsort((node, size))
         node, size, once = node[order], size[order], once[order]
         data = [x for r in rows for x in r[2].to_pylist()]
+        data = [data[k] for k in once]
         roots = _padded([x.values.to_numpy(zero_copy_only=False) for r in rows for x in r[3]])[once]
-        tree = SignatureTree(size, [data[k] for k in once], node, percent)
-        some = _partnered(tree, roots, root)
+        some = np.zeros(len(node), dtype=bool)
+        for part, comp in _of_one_width(size, np.array([len(x) for x in data]), percent):
+            tree = SignatureTree(size[part], [data[k] for k in part], comp, percent)
+            some[part] |= _partnered(tree, roots[part], root)
         if some.any():
             columns = [pa.array(np.full(int(some.sum()), root, dtype=np.int64)), pa.array(node[some]), pa.array(size[some])]
             yield pa.RecordBatch.from_arrays(columns, ["root", "node", "size"])
 
 
+def _of_one_width(size: np.ndarray, width: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of leaves that a tree compares, and components for it: those of one width with each other and
+    with wider ones that are not too large. Only these are folded, and not all to the least width of the cell.
+    """
+    for w in np.unique(width):
+        own = width == w
+        wider = (width > w) & (percent * size <= 100 * size[own].max())
+        part = np.flatnonzero(own | wider)
+        if len(part) > 1:
+            yield part, np.where(own[part], part, -1)
+
+
 def _partnered(tree: SignatureTree, roots: np.ndarray, root: int) -> np.ndarray:
     """Which leaves may be linked with another one that has no common root with it below ``root``."""
     met = np.zeros(len(roots), dtype=bool)
@@ -470,6 +485,7 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tu
     """Links between sets of different components: as many as it takes to connect all that links connect."""
     size = np.array([len(x) for x in sets])
     bits = [bitmap(x, SKETCH_BITS).tobytes() for x in sets]
+    width = np.array([len(x) for x in bits])
     label = np.unique(comp, return_inverse=True)[1].astype(np.int64)
     links: list[tuple[int, int]] = []
 
@@ -484,26 +500,33 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tu
             links.extend((one, int(k)) for k in hits[at])
             label[np.isin(label, new)] = label[one]
 
-    tree = SignatureTree(size, bits, label.copy(), percent)
-    open_ = np.ones(len(sets), dtype=bool)
-    for leaf in range(len(sets) - 1):
-        if open_[leaf]:
-            near, _ = tree.near(leaf, open_)
-            if len(near):
-                connect(leaf, near)
-                open_[near[label[near] == label[leaf]]] = False
+    def trees():
+        order = np.lexsort((size, label))
+        for part, own in _of_one_width(size[order], width[order], percent):
+            at = order[part]
+            comps = np.where(own >= 0, label[at], -1)
+            if (comps != comps[0]).any():
+                yield at, SignatureTree(size[at], [bits[k] for k in at], comps, percent)
+
+    for at, tree in trees():
+        open_ = np.ones(len(at), dtype=bool)
+        for leaf in range(len(at) - 1):
+            if open_[leaf]:
+                near, _ = tree.near(leaf, open_)
+                if len(near):
+                    connect(int(at[leaf]), at[near])
+                    open_[near[label[at[near]] == label[at[leaf]]]] = False
     for complete in (False, True):
         if (label == label[0]).all():
             break
-        order = np.lexsort((size, label))
-        tree = SignatureTree(size[order], [bits[k] for k in order], label[order], percent)
-        found = tree.pairs()
-        for a, b, _ in found if complete else _nearest(found, len(order)):
-            by = np.argsort(a, kind="stable")
-            a, b = order[a[by]], order[b[by]]
-            cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(a)), strict=True):
-                connect(int(a[lo]), b[lo:hi])
+        for at, tree in trees():
+            found = tree.pairs()
+            for a, b, _ in found if complete else _nearest(found, len(at)):
+                by = np.argsort(a, kind="stable")
+                a, b = at[a[by]], at[b[by]]
+                cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(a)), strict=True):
+                    connect(int(a[lo]), b[lo:hi])
     return links
 
 

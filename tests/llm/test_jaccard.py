@@ -277,3 +277,26 @@ def test_links_span_what_is_linked():
         links = jaccard._spanning(sets, comp, 80)
         assert {(max(p), min(p)) for p in links} <= set(linked)
         assert groups(links) == groups(linked) and len(links) == len(set(comp.tolist())) - len(groups(linked))
+
+
+def test_a_small_set_does_not_blunt_the_others():
+    """Sets of one cell that overlap little, with a very small one: only the near copies may have a link."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    shared = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    sets = [np.append(shared, rng.integers(0, 1 << 62, 300 + 9 * k).astype(np.uint64)) for k in range(20)]
+    sets += [sets[4][1:], shared[:5]]
+    count = len(sets)
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "cell": [1] * count,
+            "root": [1] * count,
+            "node": list(range(count)),
+            "size": [len(x) for x in sets],
+            "data": [jaccard.bitmap(x).tobytes() for x in sets],
+            "roots": [[1]] * count,
+        }
+    )
+    out = [n for b in jaccard._sieved(iter([batch]), 80) for n in b.column("node").to_pylist()]
+    assert sorted(out) == [4, 20]
