@@ -12,10 +12,11 @@ are spread evenly. So it is measured when the index is written, and stored with
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,10 +25,12 @@ from pyspark.sql import types as T
 
 from skillbridge.functions.nearest import vectors
 from skillbridge.operators.knn import best_hits, knn, prepared, query_tiles, usual_length
+from skillbridge.session import scratch_path
 
 SAMPLE = 20_000  # vectors that the centres are fitted on, at most
 MOST_CELLS = 4096
 TILE_BYTES = 8 << 20  # of queries searched at once
+TILE_PAIRS = 1 << 20  # and their candidates, which go to all tasks by way of the driver
 CANDIDATES = 20  # rows measured exactly for each hit asked for
 BOUND_ROWS = 8192  # of the index, for a first bound of each query's distances
 HELD = 2_000_000  # candidates that a task holds before it thins them
@@ -134,38 +137,42 @@ def _visited(points: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray
     if probes >= len(centres):
         return np.ones((len(points), len(centres)), dtype=bool)
     out = np.zeros((len(points), len(centres)), dtype=bool)
-    near = np.argpartition(_squares(points, centres), probes - 1, axis=1)[:, :probes]
-    np.put_along_axis(out, near, True, axis=1)
+    step = max(1, BLOCK_CELLS // len(centres))
+    for lo in range(0, len(points), step):
+        near = np.argpartition(_squares(points[lo : lo + step], centres), probes - 1, axis=1)[:, :probes]
+        np.put_along_axis(out[lo : lo + step], near, True, axis=1)
     return out
 
 
 def _tile_hits(
     table: pa.Table, stored: DataFrame, centres: np.ndarray, k: int, probes: int, candidates: int, id_col: str, schema: T.StructType
-) -> DataFrame:
+) -> tuple[DataFrame, Broadcast]:
+    """Measured candidates of a tile of queries, and what was sent for them, of no use once they are read."""
     spark = stored.sparkSession
     matrix = vectors(table["embedding"].combine_chunks())
     visited = _visited(matrix, centres, probes).T
     wanted = [int(c) for c in np.flatnonzero(visited.any(axis=1))]
     roots = np.sqrt(table["_limit"].to_numpy())
-    sent = spark.sparkContext.broadcast((matrix, centres, np.packbits(visited, axis=1), roots))
+    sent = spark.sparkContext.broadcast((matrix, centres, np.packbits(visited, axis=1), roots, table["qid"].combine_chunks()))
     id_field = stored.schema[id_col]
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, centres, packed, roots = sent.value
-        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        matrix, centres, packed, roots, _ = sent.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
         best, many = np.full(len(matrix), np.inf), 0
+        longest = np.linalg.norm(matrix, axis=1).max()
 
-        def compact() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        def compact() -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
             """The best candidates of each query so far; farther rows are no longer looked at."""
-            query, dist = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            ids = pa.concat_arrays([h[2] for h in held])
+            query, dist, error = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2))
+            ids = pa.concat_arrays([h[3] for h in held])
             order = np.lexsort((dist, query))
             first = np.flatnonzero(np.r_[True, np.diff(query[order]) != 0])
             rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
             order, rank = order[rank < candidates], rank[rank < candidates]
             full = order[rank == candidates - 1]
             best[query[full]] = dist[full]
-            return query[order], dist[order], ids.take(pa.array(order))
+            return query[order], dist[order], error[order], ids.take(pa.array(order))
 
         room = max(HELD, 2 * candidates * len(matrix))
         for batch in batches:
@@ -178,7 +185,9 @@ def _tile_hits(
                 scale = batch.column("scale").to_numpy(zero_copy_only=False)[at]
                 points = centres[cell] + codes * scale[:, None]
                 # a code is off by half a step per component at the most
-                off = 0.51 * scale.max() * np.sqrt(points.shape[1])
+                errors = 0.51 * scale * np.sqrt(points.shape[1])
+                off = errors.max()
+                errors += 4e-7 * (longest + np.linalg.norm(points, axis=1).max())  # the root of what squares are rounded by
                 step = max(1, BLOCK_CELLS // len(at))
                 for lo in range(0, len(asking), step):
                     some = asking[lo : lo + step]
@@ -189,40 +198,46 @@ def _tile_hits(
                         point = np.argpartition(square, candidates - 1, axis=1)[:, :candidates].ravel()
                         row = np.repeat(np.arange(len(some)), candidates)
                     if len(row):
-                        held.append((some[row], square[row, point], batch.column(id_col).take(pa.array(at[point]))))
+                        held.append((some[row], square[row, point], errors[point], batch.column(id_col).take(pa.array(at[point]))))
                         many += len(row)
                     if many > room:
                         held = [compact()]
                         many = len(held[0][0])
         if held:
-            query, dist, ids = compact()
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(dist), ids], ["_query", "_rough", id_col])
+            query, dist, error, ids = compact()
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(dist), pa.array(error), ids], ["_query", "_rough", "_off", id_col])
 
     # an IN list of cells prunes folders; vectors are not read here
     here = stored.filter(F.col("cell").isin(wanted))
+    measures = [T.StructField(name, T.DoubleType()) for name in ("_rough", "_off")]
     first = here.select("cell", id_col, "code", "scale").mapInArrow(
-        rough, T.StructType([T.StructField("_query", T.LongType()), T.StructField("_rough", T.DoubleType()), id_field])
+        rough, T.StructType([T.StructField("_query", T.LongType()), *measures, id_field])
     )
-    order = Window.partitionBy("_query").orderBy("_rough", id_col)
-    chosen = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= candidates)
-    # so many rows as the tile has queries, times candidates
+    whole = Window.partitionBy("_query")
+    chosen = first.withColumn("_n", F.row_number().over(whole.orderBy("_rough", id_col))).filter(F.col("_n") <= candidates)
+    # a row that is farther by the least its distance can be than k others by the most is no hit
+    root = F.sqrt(F.greatest("_rough", F.lit(0.0)))
+    most = F.when(F.col(id_col).isNotNull(), root + F.col("_off"))
+    kth = F.get(F.array_sort(F.collect_list(most).over(whole)), F.lit(k - 1))
+    near = F.coalesce(root - F.col("_off") <= kth, F.lit(True))
+    chosen = chosen.withColumn("_near", near).withColumn("_near", F.max("_near").over(Window.partitionBy("_query", id_col)))
+    chosen = chosen.filter("_near")
+    # at most as many rows as the tile has queries, times candidates
     chosen = chosen.select("_query", id_col)
     carried = [f.name for f in schema][2:]
     met = here.select("embedding", *carried).join(F.broadcast(chosen), id_col)
-    qids = table["qid"].combine_chunks()
-    names = spark.sparkContext.broadcast(qids)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = sent.value[0]
+        matrix, *_, qids = sent.value
         for batch in batches:
             if batch.num_rows:
                 query = batch.column("_query").to_numpy(zero_copy_only=False)
                 diff = matrix[query] - vectors(batch.column("embedding"))
                 dist = np.cumsum(np.square(diff), axis=1)[:, -1]
-                columns = [names.value.take(pa.array(query)), pa.array(dist), *[batch.column(c) for c in carried]]
+                columns = [qids.take(pa.array(query)), pa.array(dist), *[batch.column(c) for c in carried]]
                 yield pa.RecordBatch.from_arrays(columns, ["qid", "dist", *carried])
 
-    return met.select("_query", "embedding", *carried).mapInArrow(exact, schema)
+    return met.select("_query", "embedding", *carried).mapInArrow(exact, schema), sent
 
 
 def search_ivf(
@@ -239,6 +254,8 @@ def search_ivf(
 
     A query visits the ``probes`` cells with the nearest centres; by default so many as the index was found
     to need. (If it visits all, only what the rough pass misjudges may be lost.) Distances are exact. Columns as of :func:`~skillbridge.operators.knn.knn`.
+
+    If there is more than one tile of queries, tiles are searched here, and their hits stored.
     """
     stored = spark.read.parquet(f"{folder}/rows") if _has_rows(spark, folder) else None
     queries = prepared(queries)
@@ -253,13 +270,27 @@ def search_ivf(
     visits = max(1, min(len(centres), needed))
     queries = queries.filter(F.size("embedding") == centres.shape[1])
     queries = _bounded(queries, stored, centres, wanted, visits, id_col)
-    hits = [
-        best_hits(_tile_hits(tile, stored, centres, wanted, visits, candidates * wanted, id_col, schema), wanted, id_col)
-        for tile in query_tiles(queries, TILE_BYTES)
-    ]
-    if not hits:
-        return best_hits(spark.createDataFrame([], schema), k, id_col)
-    return best_hits(reduce(DataFrame.unionByName, hits).drop("rk"), k, id_col, exclude_self=exclude_self)
+    candidates *= wanted
+    most = max(1, TILE_PAIRS // candidates) * (8 * centres.shape[1] + 64)
+
+    def best(tile: pa.Table) -> tuple[DataFrame, Broadcast]:
+        met, sent = _tile_hits(tile, stored, centres, wanted, visits, candidates, id_col, schema)
+        return best_hits(met, wanted, id_col).select(schema.names), sent
+
+    tiles = query_tiles(queries, min(TILE_BYTES, most))
+    first, second = next(tiles, None), next(tiles, None)
+    if first is None:
+        hits = spark.createDataFrame([], schema)
+    elif second is None:
+        hits, _ = best(first)
+    else:  # one after another, so that the driver has the candidates of one tile only
+        path = scratch_path(spark, "ivf-hits")
+        for tile in chain((first, second), tiles):
+            found, sent = best(tile)
+            found.write.mode("append").parquet(path)
+            sent.destroy()
+        hits = spark.read.schema(schema).parquet(path)
+    return best_hits(hits, k, id_col, exclude_self=exclude_self)
 
 
 def _has_rows(spark: SparkSession, folder: str) -> bool:

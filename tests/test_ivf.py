@@ -94,3 +94,37 @@ def test_candidates_are_thinned_as_they_come(spark, folder, monkeypatch):
     monkeypatch.setattr(ivf, "HELD", 100)
     monkeypatch.setattr(ivf, "BOUND_ROWS", 2)  # no bound
     assert grouped(ivf.search_ivf(spark, folder, q, probes=10**6, candidates=10)) == want
+
+
+def test_tiles_are_searched_one_after_another(spark, folder, monkeypatch, plan_of):
+    """Candidates of many tiles must not be broadcast at once: hits of a tile are stored, and few pairs are sent."""
+    queries, corpus = clustered(1, 90), clustered(2, 900)
+    q, c = frames(spark, queries, corpus)
+    ivf.write_ivf(c, folder, cells=20)
+    want, sent, tile_hits = brute(queries, corpus, 3), [], ivf._tile_hits
+
+    def counted(*args):
+        met, other = tile_hits(*args)
+        sent.append((args[0].num_rows, met.count()))
+        return met, other
+
+    monkeypatch.setattr(ivf, "_tile_hits", counted)
+    monkeypatch.setattr(ivf, "TILE_PAIRS", 30 * 60)
+    hits = ivf.search_ivf(spark, folder, q, probes=10**6)
+    assert "Broadcast" not in plan_of(hits)
+    assert [rows for rows, _ in sent] == [30, 30, 30]
+    assert sum(pairs for _, pairs in sent) < 90 * 12  # of 60 candidates
+    assert grouped(hits) == want
+
+
+def test_ids_that_repeat_or_are_missing(spark, folder, monkeypatch):
+    """A pair is kept for every row of its id; rows without an id don't count as hits."""
+    near = [(i, None, [float(i), 0.0]) for i in range(40)]
+    c = frames(spark, near, near)[1].drop("owner")
+    far = c.filter("vec_id < 3").selectExpr("vec_id", "transform(embedding, x -> x + 30) AS embedding")
+    lost = c.filter("vec_id < 20").selectExpr("cast(NULL AS bigint) AS vec_id", "embedding")
+    q = c.selectExpr("vec_id AS qid", "embedding").filter("qid < 3")
+    ivf.write_ivf(c.unionByName(far).unionByName(far).unionByName(lost.select(*c.columns)), folder, cells=3)
+    monkeypatch.setattr(ivf, "TILE_PAIRS", 1)
+    got = ivf.search_ivf(spark, folder, q, probes=3, k=1, candidates=200)
+    assert sorted((r.qid, r.vec_id, r.dist) for r in got.collect()) == [(i, i, 0.0) for i in range(3)]
