@@ -8,6 +8,10 @@ are shuffled, and Spark splits a partition of the table that a hot key makes too
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+FEW = 1 << 18  # keys that are sent to all tasks, whatever a cluster broadcasts by itself
+FEW_BYTES = 16 << 20  # and the texts beside them
 
 
 def matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -18,3 +22,8 @@ def matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def missing(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``keys``, or NULL."""
     return df.join(keys.select(key).distinct(), key, "left_anti").select(df.columns)
+
+
+def few_sent(keys: DataFrame, n: int, size: int = 0) -> DataFrame:
+    """``n`` keys with texts of ``size`` bytes, to be sent to all tasks if they are few, so that the other side stays where it lies."""
+    return F.broadcast(keys) if n <= FEW and size <= FEW_BYTES else keys

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skillbridge.functions.text import ERROR_SUBJECT, error_text
+from skillbridge.operators.keys import few_sent
 from skillbridge.plans.ingest import courses_of, judge, rejects_of
 from skillbridge.plans.recommend import nearest_courses, recommend
+from skillbridge.session import stored
 from skillbridge.sources.listings import SourceSpec, read_pages
 from skillbridge.sources.requests import (
     ROUTING_KEY,
@@ -131,6 +133,16 @@ def course_answers(index: DataFrame, **options: object) -> Callable[[DataFrame],
     return answer
 
 
+def _unanswered(usable: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests whose id no answer has. Ids are compared by themselves, so that bodies stay where they lie."""
+    got = answers.select(F.col("request_id").cast("string").alias("_got")).distinct()
+    ids = usable.select(F.col("message_id").cast("string").alias("_id")).distinct()
+    left = stored(ids.join(got, F.col("_id").eqNullSafe(F.col("_got")), "left_anti"), "unanswered")
+    n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_id")), F.lit(0))).first()
+    same = F.col("message_id").cast("string").eqNullSafe(F.col("_id"))
+    return usable.join(few_sent(left, n, size), same, "left_semi")
+
+
 def recommend_stream(
     parsed: DataFrame,
     answer: Callable[[DataFrame], DataFrame],
@@ -152,28 +164,24 @@ def recommend_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            usable, failed = split_requests(batch)
-            spark, folder = batch.sparkSession, f"{out}/answers/batch_id={batch_id}"
-            every, whole = usable, answer(usable)
-
-            def reset() -> None:
-                spark.createDataFrame([], whole.schema).write.mode("overwrite").parquet(folder)
-
-            def work(rows: DataFrame) -> None:
-                (whole if rows is every else answer(rows)).write.mode("append").parquet(folder)
-
-            usable, raising = isolate(every, work, reset, most_raising, suspects)
-            answers = spark.read.parquet(folder)
-            got = answers.select(F.col("request_id").cast("string").alias("_id")).distinct()
-            silent = usable.join(got, F.col("message_id").cast("string").eqNullSafe(F.col("_id")), "left_anti")
-            failed = failed.unionByName(silent.withColumn("error", F.lit("there is no answer"))).unionByName(raising)
-            write_batch(dead_letters(failed, operator_address, "message_id", "body"), f"{out}/dead", batch_id)
-            letters = spark.read.parquet(f"{out}/dead/batch_id={batch_id}")
-            rows = ["address", "subject", "message"]
-            write_notification_batch(answers.select(rows).unionByName(letters.select(rows)), f"{out}/outbound", batch_id)
-        finally:
-            batch.unpersist()
+        # on disk, as texts held in memory would take it from the tasks
+        usable, failed = split_requests(stored(batch, "request-batch"))
+        spark, folder = batch.sparkSession, f"{out}/answers/batch_id={batch_id}"
+        every, whole = usable, answer(usable)
+
+        def reset() -> None:
+            spark.createDataFrame([], whole.schema).write.mode("overwrite").parquet(folder)
+
+        def work(rows: DataFrame) -> None:
+            (whole if rows is every else answer(rows)).write.mode("append").parquet(folder)
+
+        usable, raising = isolate(every, work, reset, most_raising, suspects)
+        answers = spark.read.parquet(folder)
+        silent = _unanswered(usable, answers)
+        failed = failed.unionByName(silent.withColumn("error", F.lit("there is no answer"))).unionByName(raising)
+        write_batch(dead_letters(failed, operator_address, "message_id", "body"), f"{out}/dead", batch_id)
+        letters = spark.read.parquet(f"{out}/dead/batch_id={batch_id}")
+        rows = ["address", "subject", "message"]
+        write_notification_batch(answers.select(rows).unionByName(letters.select(rows)), f"{out}/outbound", batch_id)
 
     return run_batches(parsed, handle, checkpoint, trigger)

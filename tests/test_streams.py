@@ -327,3 +327,40 @@ def test_the_model_names_an_outage(spark, folder):
     )
     with pytest.raises(Exception, match="messages of a batch raise"):
         stream.awaitTermination()
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """Nothing is broadcast for its size alone, as where tables are large."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_batches_are_not_held_in_memory(spark, folder, plan_of):
+    messages(spark, *[("resume_pdf", body(job=f"job {n}")) for n in range(8)], ("resume_pdf", "{")).write.json(f"{folder}/in")
+    plans = []
+
+    def answer(batch):
+        plans.append(plan_of(batch))
+        return raising_answer([])(batch)
+
+    jobs.recommend_stream(
+        jobs.request_stream(spark, f"{folder}/in"), answer, "op@x", f"{folder}/out", f"{folder}/checkpoint"
+    ).awaitTermination()
+    assert plans and not any("InMemoryTableScan" in plan for plan in plans)
+    assert spark.read.parquet(f"{folder}/out/answers").count() == 8
+    assert spark.read.parquet(f"{folder}/out/dead").count() == 1
+
+
+def test_bodies_stay_where_they_lie(spark, no_small_tables, plan_of):
+    """Only ids are shuffled to see what has no answer; missing ids are like each other, and ids may come twice."""
+    ids = [None, "a", "a", "b", "b", "c"]
+    usable = spark.createDataFrame([(i, f"body {n}") for n, i in enumerate(ids)], "message_id string, body string")
+    for got, want in ((["a"], [0, 3, 4, 5]), ([None, "b"], [1, 2, 5]), ([], range(6)), ([None, "a", "b", "c"], [])):
+        found = jobs._unanswered(usable, spark.createDataFrame([(g,) for g in got], "request_id string"))
+        assert "Exchange hashpartitioning" not in plan_of(found) and "SortMergeJoin" not in plan_of(found)
+        assert sorted(r.body for r in found.collect()) == [f"body {n}" for n in want]
+        assert found.columns == usable.columns
