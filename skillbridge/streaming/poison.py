@@ -19,8 +19,9 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skillbridge.operators.keys import few_sent
 from skillbridge.operators.numbering import numbered
-from skillbridge.session import scratch_path
+from skillbridge.session import stored
 
 _FEW = 64  # rows that need no second task
 MOST = 100  # raising rows of a batch; with more, the fault is hardly the messages'
@@ -101,12 +102,10 @@ def isolate(
     except (PySparkException, Py4JJavaError):
         reset()
         rows, n = numbered(batch, "_number")
-        path, schema = scratch_path(batch.sparkSession, "failing-batch"), rows.schema
-        rows.write.parquet(path)
-        rows = batch.sparkSession.read.schema(schema).parquet(path)
         if suspects is not None:
             return _told(rows, n, work, reset, most, suspects)
-        return _halved(rows, n, n > 1, work, most)
+        # with their numbers, so that a part is read and not looked for
+        return _halved(stored(rows, "failing-batch"), n, n > 1, work, most)
     return batch, batch.filter(F.lit(False)).withColumn("error", F.lit(None).cast("string"))
 
 
@@ -127,15 +126,12 @@ def _told(
     rows: DataFrame, n: int, work: Callable[[DataFrame], None], reset: Callable[[], None], most: int, suspects: Suspects
 ) -> tuple[DataFrame, DataFrame]:
     """The rows that ``suspects`` names are set aside; the others are run, and halved if they raise all the same."""
-    spark = rows.sparkSession
-    path, schema = scratch_path(spark, "raising"), "_number bigint, error string"
-    suspects(rows).select("_number", F.col("error").cast("string").alias("error")).write.parquet(path)
-    told = spark.read.schema(schema).parquet(path)
-    found = told.count()
+    told = stored(suspects(rows).select("_number", F.col("error").cast("string").alias("error")), "raising")
+    found, size = told.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("error")), F.lit(0))).first()
     if found > max(most, n // 2):
         raise RuntimeError(f"{found} of {n} messages of a batch raise; one of them: {told.first()['error']}")
-    raising = rows.join(told, "_number").drop("_number")
-    fine = rows.join(told.select("_number"), "_number", "left_anti").drop("_number")
+    raising = rows.join(few_sent(told, found, size), "_number").drop("_number")
+    fine = rows.join(few_sent(told.select("_number"), found), "_number", "left_anti").drop("_number")
     try:
         work(fine)
     except AnalysisException:
@@ -143,8 +139,6 @@ def _told(
     except (PySparkException, Py4JJavaError):
         reset()
         left, n = numbered(fine, "_number")
-        path, kept = scratch_path(spark, "failing-batch"), left.schema
-        left.write.parquet(path)
-        fine, others = _halved(spark.read.schema(kept).parquet(path), n, n > 1, work, most)
+        fine, others = _halved(stored(left, "failing-batch"), n, n > 1, work, most)
         raising = raising.unionByName(others)
     return fine, raising

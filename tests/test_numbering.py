@@ -65,3 +65,16 @@ def test_gap_runs_over_several_ranges(spark):
     runs = listings.gap_runs(pages, 0, 10_000).collect()
     listed = {n for r in runs for n in range(r.gap_first, r.gap_last + 1)}
     assert listed == set(range(10_001)) - {2 * k for k in range(5000) if 2 * k % 10 != 4}
+
+
+def test_rows_stay_where_they_were_dealt(spark, plan_of):
+    """A row per partition goes to the rows, whatever Spark broadcasts by itself."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        rows, n = numbered(spark.range(0, 100, 1, 7))
+        assert "SortMergeJoin" not in plan_of(rows)
+        assert n == 100 and sorted(r.number for r in rows.collect()) == list(range(100))
+    finally:
+        spark.conf.set(name, before)

@@ -364,3 +364,20 @@ def test_bodies_stay_where_they_lie(spark, no_small_tables, plan_of):
         assert "Exchange hashpartitioning" not in plan_of(found) and "SortMergeJoin" not in plan_of(found)
         assert sorted(r.body for r in found.collect()) == [f"body {n}" for n in want]
         assert found.columns == usable.columns
+
+
+def test_raising_rows_are_told_apart_where_they_lie(spark, no_small_tables, plan_of):
+    batch = spark.range(200).selectExpr("id", "repeat('x', cast(id as int)) AS text").repartition(5)
+    tried = []
+
+    def work(rows):
+        tried.append(plan_of(rows))
+        rows.select(F.when(F.col("id") >= 190, F.raise_error(F.lit("no"))).otherwise(F.col("id"))).collect()
+
+    fine, raising = poison.isolate(
+        batch, work, lambda: None, suspects=lambda rows: rows.filter("id >= 190").withColumn("error", F.lit("long"))
+    )
+    assert sorted(r.id for r in fine.collect()) == list(range(190))
+    assert sorted((r.id, r.text, r.error) for r in raising.collect()) == [(n, "x" * n, "long") for n in range(190, 200)]
+    for plan in (tried[-1], plan_of(fine), plan_of(raising)):
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
