@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skillbridge.functions.nearest import vectors
+from skillbridge.functions.nearest import _true_cells, vectors
 from skillbridge.operators.knn import best_hits, knn, prepared, query_tiles, usual_length
 from skillbridge.session import scratch_path
 
@@ -34,7 +34,7 @@ TILE_PAIRS = 1 << 20  # and their candidates, which go to all tasks by way of th
 CANDIDATES = 20  # rows measured exactly for each hit asked for
 BOUND_ROWS = 8192  # of the index, for a first bound of each query's distances
 HELD = 2_000_000  # candidates that a task holds before it thins them
-BLOCK_CELLS = 2_000_000  # rough distances held at once
+BLOCK_CELLS = 1 << 18  # rough distances held at once, which stay in a core's cache
 TRIALS, NEAREST = 256, 10  # rows asked for their nearest ones, to see how many cells must be visited
 TARGET = 0.98  # share of those that the visited cells must hold
 
@@ -144,6 +144,28 @@ def _visited(points: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray
     return out
 
 
+def _short(points: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+    """Points and a ``last`` column in short numbers, as long as these hold the values."""
+    kind = np.float32 if len(points) and max(np.abs(points).max(), np.abs(last).max()) < 1e15 else np.float64
+    out = np.empty((len(points), points.shape[1] + 1), dtype=kind)
+    out[:, :-1], out[:, -1] = points, last
+    return out
+
+
+def _maybe_within(short: np.ndarray, norms: np.ndarray, side: np.ndarray, theirs: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of queries and points that may be within the queries' limits, with room for rounding.
+
+    A distance is within the limit if the product q p less p p / 2 reaches (q q - limit) / 2: one product
+    of ``short`` (queries and a 1) and ``side`` (points and - p p / 2), and one comparison for a pair.
+    """
+    product = short @ side.T
+    kind = product.dtype.type
+    coarse = max(float(np.finfo(x.dtype).eps) for x in (short, side))
+    least = (norms - limit) / 2 - 4 * (short.shape[1] + 8) * coarse * (norms + theirs.max())
+    cell = _true_cells(product >= np.nextafter(least.astype(kind), kind(-np.inf))[:, None])
+    return np.divmod(cell, len(side))
+
+
 def _tile_hits(
     table: pa.Table, stored: DataFrame, centres: np.ndarray, k: int, probes: int, candidates: int, id_col: str, schema: T.StructType
 ) -> tuple[DataFrame, Broadcast]:
@@ -160,7 +182,8 @@ def _tile_hits(
         matrix, centres, packed, roots, _ = sent.value
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
         best, many = np.full(len(matrix), np.inf), 0
-        longest = np.linalg.norm(matrix, axis=1).max()
+        norms, short = np.einsum("ij,ij->i", matrix, matrix), _short(matrix, 1.0)
+        longest = np.sqrt(norms.max())
 
         def compact() -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
             """The best candidates of each query so far; farther rows are no longer looked at."""
@@ -189,16 +212,25 @@ def _tile_hits(
                 off = errors.max()
                 errors += 4e-7 * (longest + np.linalg.norm(points, axis=1).max())  # the root of what squares are rounded by
                 step = max(1, BLOCK_CELLS // len(at))
+                theirs = np.einsum("ij,ij->i", points, points)
+                side = _short(points, -theirs / 2)
                 for lo in range(0, len(asking), step):
                     some = asking[lo : lo + step]
-                    square = _squares(matrix[some], points)
                     limit = np.minimum(best[some], (roots[some] + off) ** 2 * (1 + 1e-9) + 1e-9)
-                    row, point = np.nonzero(square <= limit[:, None])
-                    if len(row) > 4 * candidates * len(some) and len(at) > candidates:
-                        point = np.argpartition(square, candidates - 1, axis=1)[:, :candidates].ravel()
-                        row = np.repeat(np.arange(len(some)), candidates)
+                    row, point = _maybe_within(short[some], norms[some], side, theirs, limit)
+                    if 8 * len(row) > len(some) * len(at):
+                        square = _squares(matrix[some], points)
+                        row, point = np.nonzero(square <= limit[:, None])
+                        if len(row) > 4 * candidates * len(some) and len(at) > candidates:
+                            point = np.argpartition(square, candidates - 1, axis=1)[:, :candidates].ravel()
+                            row = np.repeat(np.arange(len(some)), candidates)
+                        dist = square[row, point]
+                    else:
+                        dist = norms[some[row]] + theirs[point] - 2.0 * np.einsum("ij,ij->i", matrix[some[row]], points[point])
+                        keep = dist <= limit[row]
+                        row, point, dist = row[keep], point[keep], dist[keep]
                     if len(row):
-                        held.append((some[row], square[row, point], errors[point], batch.column(id_col).take(pa.array(at[point]))))
+                        held.append((some[row], dist, errors[point], batch.column(id_col).take(pa.array(at[point]))))
                         many += len(row)
                     if many > room:
                         held = [compact()]
